@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import langid, license_scan, packing, quality, simhash
+from shelfmark.llm import langid, license_scan, packing, pii, quality, simhash
 from shelfmark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.extract(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
+    "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
