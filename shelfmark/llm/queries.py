@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import langid, license_scan, packing, pii, quality, simhash
+from shelfmark.llm import langid, license_scan, linededup, packing, pii, quality, sharding, simhash
 from shelfmark.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.drop("log_p", "n_chars_scored")
@@ -45,7 +53,9 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_sharding": op5_sharding,
+    "op9_lines": op9_lines,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_lines": linededup.oracle()}
