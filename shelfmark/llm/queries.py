@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import langid, license_scan, linededup, packing, pii, quality, sharding, simhash
+from shelfmark.llm import ann, langid, license_scan, linededup, mixing, packing, pii, quality, sharding, simhash
 from shelfmark.llm.common import table
 
 
@@ -38,6 +38,15 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.digest(mixing.with_copies(docs, labels, carry=["doc_id"]))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.drop("log_p", "n_chars_scored")
@@ -54,8 +63,10 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
-    "op9_lines": op9_lines,
+    "op6_mixing": op6_mixing,
+    "op7_neighbours": op7_neighbours,
     "op8_quality": op8_quality,
+    "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op9_lines": linededup.oracle()}
