@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from shelfmark.functions import scalars  # noqa: F401
+from shelfmark.operators import browse, dashboards, predicates, scoring, sessions, similarity  # noqa: F401
+from shelfmark.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+
 FLAGSHIP = "flagship_scored_categories"
