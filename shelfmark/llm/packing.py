@@ -28,7 +28,7 @@ CAPACITY = 4096
 OPEN_BINS = 128
 CLOSING_ID = 1
 ROWS_A_TASK = 40_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 #: Characters for which Python and the tokenizer agree on normal form, case and class: a text of others goes to the tokenizer whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ſ–—‘’“”…€]*")
 #: A run of neither letters nor white space; within PLAIN.
