@@ -4,7 +4,7 @@ Rows with equal keys (here: equal texts) are linked; a group stands for all its
 pairs are never formed. Rows start in shards dealt evenly by a hash. In each round every
 group looks at its members' shards and its members propose to move to the open shard that
 holds most of them. A shard accepts as many as it has unlinked rows to give away, in the
-order of groups, so that groups move whole where they fit; unlinked rows then fill what
+order of groups, the largest first, so that groups move whole where they fit; unlinked rows then fill what
 the moves left. Hence the law ``rows`` holds in each round: counts differ by one at most.
 
 Defined results: a null text counts as an empty one; repeated rows are placed once each;
@@ -60,16 +60,16 @@ def propagate(linked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         opened = [s for s in range(shards) if free.get(s, 0) > 0]
         if not opened:
             break
-        held = now.where("links > 1").groupBy("g", "key", "shard").agg(F.count("*").alias("n"))
+        held = now.where("links > 1").groupBy("g", "key", "links", "shard").agg(F.count("*").alias("n"))
         turn = F.pmod(F.col("shard") + F.pmod("g", F.lit(shards)), F.lit(shards))  # ties go round the shards by group
         best = held.where(F.col("shard").isin(opened)).groupBy("g", "key").agg(F.max(F.struct(F.col("n"), turn.alias("turn"), F.col("shard").alias("to"))).alias("best"))
         own = held.join(best.select("g", "key", F.col("best.n").alias("most"), F.col("best.turn").alias("most_turn"), F.col("best.to").alias("to")), ["g", "key"])
         gains = (F.col("shard") != F.col("to")) & ((F.col("n") < F.col("most")) | ((F.col("n") == F.col("most")) & (turn < F.col("most_turn"))))
-        asked = own.where(gains).select("g", "key", F.col("shard").alias("from"), "to", "n")
+        asked = own.where(gains).select("g", "key", "links", F.col("shard").alias("from"), "to", "n")
         quota = F.element_at(F.array(*[F.lit(free.get(s, 0)) for s in range(shards)]), F.col("to") + 1)
-        # whole groups in hash order until a shard's quota is used up; only the last one is split
+        # larger size classes first, then in hash order, whole groups until a shard's quota is used up
         wide = 4 * shuffle_width(now.sparkSession)
-        bucketed = asked.withColumn("b", F.pmod("g", F.lit(wide)))
+        bucketed = asked.withColumn("b", F.pmod("g", F.lit(wide)) - F.floor(F.log2("links")) * wide)
         firsts = bucketed.groupBy("to", "b").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("to").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
         running = F.coalesce(F.sum("n").over(W.partitionBy("to", "b").orderBy("g", "key", "from").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         granted = bucketed.withColumn("inner", running).join(firsts, ["to", "b"]).withColumn("may", F.least("n", F.greatest(F.lit(0), quota - F.col("before") - F.col("inner"))))
