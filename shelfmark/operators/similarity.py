@@ -114,6 +114,45 @@ def centroids(df: DataFrame, owner: str = "label", column: str = "embedding") ->
     return parts.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p")).select(owner, unit(F.transform("p", lambda s: s["x"])).alias("centroid"))
 
 
+#: Owners of a broadcast centroid table; with 512 dimensions that is 40 MB.
+MOST_IN_MEMORY = 10_000
+
+
+def nearest_owner(df: DataFrame, owners: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", most: int = MOST_IN_MEMORY, blocks: int = 8) -> DataFrame:
+    """Rows ``vec_id, owner, cosine``: the most alike centroid, if alike enough; ties to the larger owner.
+
+    Few centroids are broadcast after a count; else blocks of vectors meet blocks of centroids, each meeting one matrix product.
+    """
+    side = df.select(F.col(key).alias("k"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
+    kind = owners.schema["owner"].dataType.simpleString()
+    parts = blocks if owners.count() > most else 1
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("owner", ascending=False)
+        a, b = (np.array(x.tolist()).reshape(len(x), -1) for x in (left["v"], right["centroid"]))
+        alike = np.round((a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, 9)
+        at = alike.argmax(axis=1)
+        return pd.DataFrame({key: left["k"].to_numpy(), "owner": right["owner"].to_numpy()[at], "cosine": alike[np.arange(len(a)), at]})
+
+    schema = f"{key} long, owner {kind}, cosine double"
+    if parts == 1:
+        held = owners.toPandas()
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf) and len(held):
+                    yield best(pdf, held)
+
+        found = side.mapInPandas(run, schema)
+    else:
+        dealt = side.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        spread = owners.withColumn("j", F.pmod(F.xxhash64("owner"), F.lit(blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        met = lambda l, r: best(l, r) if len(l) and len(r) else pd.DataFrame({key: [], "owner": [], "cosine": []})  # noqa: E731, E741
+        found = dealt.groupBy("i", "j").cogroup(spread.groupBy("i", "j")).applyInPandas(lambda l, r: met(l, r), schema)  # noqa: E741
+    top = found.groupBy(key).agg(F.max(F.struct("cosine", "owner")).alias("b"))
+    return top.where(F.col("b.cosine") >= least).select(key, F.col("b.owner").alias("owner"), F.col("b.cosine").alias("cosine"))
+
+
 def density_clusters(df: DataFrame, least: float, min_points: int, key: str = "vec_id") -> DataFrame:
     """DBSCAN over cosine: core points have enough neighbours; a border point joins its most alike core; the rest is noise (null)."""
     pairs = stash(cosine_pairs(df, least, key))
@@ -375,18 +414,15 @@ def _(v):
 
 @query("k7_nearest_person", f"SELECT vec_id, arg_max(c.label, (round({COS.format(a='v.embedding', b='c.centroid')}, 9), c.label)) AS person FROM vec v, ({CENTRES}) c WHERE {COS.format(a='v.embedding', b='c.centroid')} >= 0.2 GROUP BY 1")
 def _(v):
-    # one centroid for each person; the side is broadcast only if Spark's size bound allows
-    people = centroids(v.vec).select(F.col("label").alias("person"), "centroid")
-    near = v.vec.select("vec_id", "embedding").join(people).withColumn("c", cosine("embedding", "centroid")).where("c >= 0.2")
-    return near.groupBy("vec_id").agg(F.max_by("person", F.struct(F.round("c", 9), F.col("person"))).alias("person"))
+    owners = centroids(v.vec).select(F.col("label").alias("owner"), "centroid")
+    return nearest_owner(v.vec, owners, 0.2).select("vec_id", F.col("owner").alias("person"))
 
 
 @query("k8_merge_suggestions", f"WITH c AS ({CENTRES}) SELECT a.label AS a, b.label AS b, round({COS.format(a='a.centroid', b='b.centroid')}, 5) AS cos FROM c a JOIN c b ON a.label < b.label WHERE {COS.format(a='a.centroid', b='b.centroid')} >= 0.0 AND (a.label + b.label) % 5 <> 0")
 def _(v):
-    c = centroids(v.vec)
-    left, right = c.toDF("a", "ca"), c.toDF("b", "cb")
-    rejected = c.select(F.col("label").alias("a")).join(c.select(F.col("label").alias("b"))).where("a < b and (a + b) % 5 = 0")
-    return left.join(right, F.col("a") < F.col("b")).withColumn("cos", cosine("ca", "cb")).where("cos >= 0").join(rejected, ["a", "b"], "left_anti").select("a", "b", F.round("cos", 5).alias("cos"))
+    alike = cosine_pairs(centroids(v.vec).toDF("vec_id", "embedding"), 0.0)
+    rejected = alike.where("(a + b) % 5 = 0").select("a", "b")
+    return alike.join(rejected, ["a", "b"], "left_anti").select("a", "b", F.round("cosine", 5).alias("cos"))
 
 
 @query("k9_merge_groups")

@@ -80,6 +80,14 @@ def test_cosine_pairs_are_exact(spark):
     assert {(r["a"], r["b"]) for r in similarity.cosine_pairs(df, 0.5, blocks=3).collect()} == want
 
 
+def test_nearest_owner_is_alike_by_broadcast_and_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 4)))], "vec_id long, embedding array<double>")
+    owners = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(9, 4)))], "owner int, centroid array<double>")
+    one = {tuple(r) for r in similarity.nearest_owner(df, owners, 0.3).collect()}
+    assert one and one == {tuple(r) for r in similarity.nearest_owner(df, owners, 0.3, most=0, blocks=3).collect()}
+
+
 def test_merge_chains_and_cycles(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (12, 11)], "src long, dst long")
     got = {r["s"]: r["d"] for r in similarity.resolve_chains(pairs).collect()}
