@@ -101,22 +101,25 @@ def split_scenes(scened: DataFrame, least: int = 3, most: int = 40) -> DataFrame
 
 
 def _greedy_bursts(rapid: float, window: float, bits: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["captured_at", "path"], kind="stable").reset_index(drop=True)
-        times = pdf["captured_at"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-        hashes, people = pdf["hash"].to_numpy(np.int64).view(np.uint64), pdf["person"].to_numpy()
-        burst, members, number = np.zeros(len(pdf), np.int64), [], 0
-        for i in range(len(pdf)):
-            fits = False
-            if members:
-                m = np.array(members)
-                gap, far = times[i] - times[m], np.bitwise_count(hashes[m] ^ hashes[i])
-                fits = bool((((gap <= rapid) & (far <= 2 * bits) & (people[m] == people[i])) | ((gap <= window) & (far <= bits))).any())
-            if not fits:
-                members, number = [], number + 1
-            members.append(i)
-            burst[i] = number
-        return pdf.assign(burst=burst)[["session", "path", "burst"]]
+    def run(batches):
+        session, number, members = None, 0, []
+        for pdf in batches:
+            times = pdf["captured_at"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+            hashes, people, sessions_, burst = pdf["hash"].to_numpy(np.int64).view(np.uint64), pdf["person"].to_numpy(), pdf["session"].to_numpy(), np.zeros(len(pdf), np.int64)
+            for i in range(len(pdf)):
+                if sessions_[i] != session:
+                    session, number, members = sessions_[i], 0, []
+                fits = False
+                if members:
+                    t, h, p = (np.array(x) for x in zip(*members, strict=True))
+                    gap, far = times[i] - t, np.bitwise_count(h ^ hashes[i])
+                    fits = bool((((gap <= rapid) & (far <= 2 * bits) & (p == people[i])) | ((gap <= window) & (far <= bits))).any())
+                    members = [m for m in members if times[i] - m[0] <= max(rapid, window)]
+                if not fits:
+                    members, number = [], number + 1
+                members.append((times[i], hashes[i], people[i]))
+                burst[i] = number
+            yield pdf.assign(burst=burst)[["session", "path", "burst"]]
 
     return run
 
@@ -124,11 +127,13 @@ def _greedy_bursts(rapid: float, window: float, bits: int):
 def bursts(df: DataFrame, rapid: float, window: float, bits: int) -> DataFrame:
     """Greedy runs where a shot joins if it matches any member: soon after one of the same person, or alike within the window.
 
-    Both tests are bounded in time, so cutting at wider gaps is exact; each piece is one
-    group. A null time is a burst of its own.
+    Both tests are bounded in time, so cutting at wider gaps is exact. Each piece runs in
+    time order through one task, which remembers only what the tests can still reach. A
+    null time is a burst of its own.
     """
     timed = sessions(df.where("captured_at is not null"), max(rapid, window))
-    done = timed.select("session", "path", "captured_at", "hash", "person").groupBy("session").applyInPandas(_greedy_bursts(rapid, window, bits), "session long, path long, burst long")
+    ordered = timed.select("session", "path", "captured_at", "hash", "person").repartition("session").sortWithinPartitions("session", "captured_at", "path")
+    done = ordered.mapInPandas(_greedy_bursts(rapid, window, bits), "session long, path long, burst long")
     return done.unionByName(df.where("captured_at is null").select(F.lit(None).cast("long").alias("session"), "path", F.col("path").alias("burst")))
 
 

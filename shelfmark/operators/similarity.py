@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfmark.functions.scalars import cosine, dot, hamming, intersection, unit
+from shelfmark.functions.scalars import cosine, hamming, intersection, unit
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.sessions import sessions
 from shelfmark.registry import query
