@@ -115,8 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.mapInArrow(run, f"_mix_id {kind}, _mix_class int, hashed array<int>, counts array<double>").toArrow().sort_by("_mix_id")
     model = Classifier(len(DOMAINS))
     if rows.num_rows:
-        counts = np.array(rows.column("counts").to_pylist())
-        model.fit([np.array(h, np.int64) for h in rows.column("hashed").to_pylist()], counts, rows.column("_mix_class").to_numpy())
+        hashed, counts = rows.column("hashed").combine_chunks(), rows.column("counts").combine_chunks()
+        parts = np.split(hashed.flatten().to_numpy(), np.cumsum(hashed.value_lengths().to_numpy())[:-1])
+        model.fit(parts, counts.flatten().to_numpy().reshape(-1, COUNTS), rows.column("_mix_class").to_numpy())
     return model
 
 
