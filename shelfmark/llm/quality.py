@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.llm.common import slices, utf8
 from shelfmark.runtime import stash
@@ -30,7 +30,7 @@ ORDER = 4
 FENCE = 4.0
 #: n-grams of a broadcast model: 24 bytes each.
 MOST_IN_MEMORY = 4_000_000
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,8 +58,7 @@ def _codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 def _places(lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the predicted characters, and each one's word."""
     word = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.cumsum(lengths) - lengths
-    return np.arange(len(word)) + (order - 1) * (word + 1), word if len(first) else word
+    return np.arange(len(word)) + (order - 1) * (word + 1), word
 
 
 def _grams(counts: dict[bytes, int], order: int) -> pa.RecordBatch:
@@ -208,7 +207,7 @@ def measure(docs: DataFrame, model: pa.Table | None, text_col: str = "text", car
             if len(numbers) > HELD_WORDS:
                 numbers.clear()
                 log_p, chars = np.zeros(0), np.zeros(0, np.int64)
-            found = [_base(t, numbers) for t in utf8(batch.column(len(carry)))]
+            found = [_base(t, numbers) for t in utf8(batch.column(at))]
             sums, counts = [0.0] * len(found), [0] * len(found)
             if arrays:
                 fresh = list(numbers)[len(log_p) :]
@@ -222,8 +221,10 @@ def measure(docs: DataFrame, model: pa.Table | None, text_col: str = "text", car
             out = [*batch.columns[: len(carry)], *(pa.array(b, pa.int64()) for b in base), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[*carry, *(f.split()[0] for f in METRICS.split(", "))])
 
-    chosen = docs.select(*carry, F.col(text_col).alias("_text"))
-    schema = chosen.drop("_text").schema
+    # a carried text goes to Python once
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    chosen = docs.select(*carry) if text_col in carry else docs.select(*carry, F.col(text_col).alias("_text"))
+    schema = docs.select(*carry).schema
     clash = set(schema.names) & {f.split()[0] for f in METRICS.split(", ")}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
