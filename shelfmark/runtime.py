@@ -37,11 +37,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bounds of the Arrow batches between Spark and Python, so that a task's memory doesn't depend on its rows' lengths.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and bound the session's Arrow batches."""
     import shutil
     from pathlib import Path
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if getattr(context, "_shelfmark_shipped", False):
         return
