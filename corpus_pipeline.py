@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import mixing, packing, pii, quality, simhash
+from shelfmark.llm import mixing, near_texts, packing, pii, quality
 from shelfmark.llm.common import table
 from shelfmark.llm.queries import tokenizer_path
 from shelfmark.runtime import ship, stash
@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates; shingles of five words."""
+    """One document, that of smallest id, of each group of near-duplicates: similarity of the sets of five-word shingles from 0.8."""
     ship(spark)
-    return simhash.keep_one(docs, width=5)
+    return near_texts.keep_one(docs, width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,20 +33,27 @@ GROUP = 1024
 LARGEST = 4096
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The XXH64 value of each word shingle."""
     import xxhash
 
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         flat, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         shingles = [flat[a:b] for a, b in zip((ends - lengths).tolist(), ends[width - 1 :].tolist(), strict=False)]
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    hashes = shingle_hashes(text, width).view(np.uint8).reshape(-1, 8)
+    if not len(hashes):
+        return 0
     ones = sum(np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), 65536))
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
