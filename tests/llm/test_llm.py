@@ -358,3 +358,13 @@ def test_pipeline(spark, sf):
         if number < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == names and 0 < docs.count() <= 2 * before.count()
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_returns_the_packed_ids(spark, docs):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.pack_sequences(spark, docs, "")
+    held = packed.collect()
+    assert sum(len(r["ids"]) for r in held) == 4 * sum(r["length"] for r in held) > 0
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in held)
+    assert sum(r["length"] for r in packing.sequences(packed).collect()) == sum(r["length"] for r in held)
