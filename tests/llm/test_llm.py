@@ -291,6 +291,16 @@ def test_gibberish_falls_out_of_its_band(spark):
     assert not kept[99] and sum(kept.values()) >= 58
 
 
+def test_much_junk_does_not_widen_its_band(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in EN.split() for b in ("", "s", "ing")]
+    good = [" ".join(rng.choice(words, 120)) for _ in range(70)]
+    bad = [" ".join(w + "".join(rng.choice(list("*%$#&"), 4)) for w in rng.choice(words, 120)) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.keep(df).select("doc_id").collect()}
+    assert len(kept & set(range(70))) >= 67 and not kept & set(range(70, 100))
+
+
 def test_line_dedup(spark, docs, nothing):
     held = [(2, "one two three four five six\nshort one\nOne  two three four five SIX"), (1, "a b c d e f g\none two three four five six"), (3, None), (4, ""), (5, "short one\n\n"), (None, "a b c d e f g\nx")]
     df = spark.createDataFrame(held, "doc_id long, text string")
