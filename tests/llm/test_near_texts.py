@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmark.llm import near_texts
@@ -55,7 +56,7 @@ def test_cut_groups_and_rounds_lose_no_link(spark):
     held = edited(count=3, copies=40, words=400)
     want = brute_components(held)
     df = spark.createDataFrame(held, "doc_id long, text string")
-    distinct = near_texts.marks(df, "doc_id", "text", 5).groupBy("node").agg({"doc_id": "min", "sig": "first"}).toDF("node", "least", "sig")
+    distinct = near_texts.marks(df, "doc_id", "text", 5).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     least = {r["node"]: r["least"] for r in distinct.collect()}
     for largest, few in ((4096, 2), (16, 1)):
         found = near_texts.near_components(df, distinct, "doc_id", "text", 5, largest=largest, few=few).collect()
