@@ -1,4 +1,4 @@
-"""Facets and dashboards (group D)."""
+"""Value counts and dashboards (group D)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from shelfmark.registry import query
 from shelfmark.sources.views import METRICS
 
 
-def facet(df: DataFrame, column: str, least: int = 1, limit: int | None = None) -> DataFrame:
+def value_counts(df: DataFrame, column: str, least: int = 1, limit: int | None = None) -> DataFrame:
     """Values with their counts, most frequent first, ties by value."""
     out = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return out.orderBy(F.desc("n"), "value").limit(limit) if limit else out
@@ -33,8 +33,8 @@ def ladder(column: Column, cuts: list[float], names: list[str]) -> Column:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation, 0 where it is undefined."""
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+    """Correlation, null where it is undefined."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def metric_bounds(df: DataFrame, columns: tuple[str, ...] = METRICS) -> DataFrame:
@@ -190,29 +190,29 @@ def _(v):
     return rule_overlap(v.scored, {"a": F.col("aesthetic") >= 5, "e": F.col("exposure") >= 4, "g": F.col("aggregate") >= 5})
 
 
-@query("d20_facets", "SELECT 'camera' AS facet, camera AS value, count(*)::BIGINT AS n FROM item GROUP BY 2 UNION ALL SELECT 'category', category, count(*)::BIGINT FROM item GROUP BY 2 UNION ALL SELECT 'status', status, count(*)::BIGINT FROM item GROUP BY 2")
+@query("d20_value_counts", "SELECT 'camera' AS kind, camera AS value, count(*)::BIGINT AS n FROM item GROUP BY 2 UNION ALL SELECT 'category', category, count(*)::BIGINT FROM item GROUP BY 2 UNION ALL SELECT 'status', status, count(*)::BIGINT FROM item GROUP BY 2")
 def _(v):
-    long = v.item.select(F.inline(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("camera", "category", "status")])))
-    return long.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    long = v.item.select(F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("camera", "category", "status")])))
+    return long.where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-@query("d21_tag_facet", "SELECT tag AS value, count(*)::BIGINT AS n FROM part_tag GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
+@query("d21_tag_counts", "SELECT tag AS value, count(*)::BIGINT AS n FROM part_tag GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
 def _(v):
-    return facet(v.part_tag, "tag", limit=50)
+    return value_counts(v.part_tag, "tag", limit=50)
 
 
-@query("d22_person_facet", "SELECT l_suppkey AS person, count(DISTINCT l_orderkey)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 600 OR l_suppkey IN (1, 2)")
+@query("d22_person_counts", "SELECT l_suppkey AS person, count(DISTINCT l_orderkey)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 600 OR l_suppkey IN (1, 2)")
 def _(v):
     counts = v.table("lineitem").select("l_suppkey", "l_orderkey").distinct().groupBy(F.col("l_suppkey").alias("person")).agg(F.count("*").alias("n"))
     return counts.where((F.col("n") >= 600) | F.col("person").isin(1, 2))
 
 
-@query("d23_numeric_facets", "SELECT round(aesthetic, 1) AS value, count(*)::BIGINT AS n FROM metric WHERE n_parts = 1 GROUP BY 1")
+@query("d23_numeric_counts", "SELECT round(aesthetic, 1) AS value, count(*)::BIGINT AS n FROM metric WHERE n_parts = 1 GROUP BY 1")
 def _(v):
     return v.metric.where("n_parts = 1").groupBy(F.round("aesthetic", 1).alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("d24_colour_facets", "SELECT CASE WHEN s < 0.1 THEN 'neutral' WHEN h < 90 OR h >= 300 THEN 'warm' ELSE 'cool' END AS value, count(*)::BIGINT AS n FROM (SELECT path % 360 AS h, tech_sharpness / 10 AS s FROM metric) GROUP BY 1")
+@query("d24_colour_counts", "SELECT CASE WHEN s < 0.1 THEN 'neutral' WHEN h < 90 OR h >= 300 THEN 'warm' ELSE 'cool' END AS value, count(*)::BIGINT AS n FROM (SELECT path % 360 AS h, tech_sharpness / 10 AS s FROM metric) GROUP BY 1")
 def _(v):
     from shelfmark.functions.scalars import colour_temperature
 

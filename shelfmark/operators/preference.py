@@ -30,32 +30,52 @@ def culling_pairs(decided: DataFrame, group: str, keeps: int = 2, cap: int = 12)
     return rows.select(group, F.expr("k[i % size(k)].path").alias("a_path"), F.col("loser").alias("b_path"), F.lit("a").alias("winner"))
 
 
-def label_pairs(items: DataFrame, per_item: int = 6, total: int = 2000, strata: int = 64) -> DataFrame:
-    """Pairs from labels within a category: favourite over rejected, then stars two apart, then favourite over unlabelled.
-
-    The caps of the feature depend on order, so each (category, stratum) is one bounded group with a fixed order.
+def label_pairs(items: DataFrame, per_item: int = 6, total: int = 2000, gap: int = 2, pool: int = 500, sampled: int = 2) -> DataFrame:
+    """Pairs from labels within a category: favourite over rejected, then stars ``gap`` apart, then favourite over unlabelled.
+
+    An item takes part in at most ``per_item`` pairs, all categories together give at most ``total``, in the order of
+    category, rule and path. No pair needs an item beyond the first ``depth`` of its class: at most
+    ``2 * total / per_item`` items are used up, and each other one gives a pair while partners are left. So
+    the walk in order sees a number of rows that the feature's caps bound, whatever the table's size.
+    Unlabelled items are taken in turn from the first ``pool`` ones.
     """
+    depth = total + 2 * total // per_item + 1
+    fav, rej, stars = F.col("is_favorite") == 1, F.col("is_rejected") == 1, F.coalesce(F.col("star_rating"), F.lit(0))
+    named = F.array(F.when(fav, "favourite"), F.when(rej, "rejected"), F.when((stars > 0) & ~F.coalesce(rej, F.lit(False)), F.concat(F.lit("stars "), stars)),
+                    F.when(~F.coalesce(fav, F.lit(False)) & ~F.coalesce(rej, F.lit(False)) & (stars == 0), "plain"))
+    classed = items.select("category", "path", stars.alias("stars"), F.explode(F.array_compact(named)).alias("class"))
+    rank = F.row_number().over(W.partitionBy("category", "class").orderBy("path"))
+    first = classed.withColumn("n", rank).where(F.col("n") <= F.when(F.col("class") == "plain", pool).otherwise(depth))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("path").reset_index(drop=True)
-        fav, rej, stars = pdf["is_favorite"].to_numpy() == 1, pdf["is_rejected"].to_numpy() == 1, pdf["star_rating"].to_numpy(float)
-        plain = ~fav & ~rej & np.isnan(stars)
-        rules = [(fav, rej, None), (~np.isnan(stars), ~np.isnan(stars), 2), (fav, plain, None)]
-        used, out, paths = np.zeros(len(pdf), int), [], pdf["path"].to_numpy()
-        for better, worse, apart in rules:
-            for i in np.flatnonzero(better):
-                for j in np.flatnonzero(worse):
-                    if used[i] >= per_item or len(out) >= total:
-                        break
-                    if i == j or used[j] >= per_item or (apart and not stars[i] - stars[j] >= apart):
-                        continue
-                    used[i] += 1
-                    used[j] += 1
-                    out.append((pdf["category"][0], paths[i], paths[j]))
+        used: dict[int, int] = {}
+        out: list[tuple[str, int, int]] = []
+        room = lambda x: used.get(x, 0) < per_item
+
+        def put(better: int, worse: list[int], most: int | None = None) -> None:
+            for other in worse[:most]:
+                if len(out) >= total or not room(better):
+                    return
+                if other != better and room(other):
+                    out.append((category, better, other))
+                    used[better], used[other] = used.get(better, 0) + 1, used.get(other, 0) + 1
+
+        for category, rows in pdf.sort_values(["category", "path"]).groupby("category", sort=True):
+            held = {name: part["path"].tolist() for name, part in rows.groupby("class")}
+            rated = sorted(((int(name.split()[1]), paths) for name, paths in held.items() if name.startswith("stars ")), reverse=True)
+            favourites, plain = held.get("favourite", []), held.get("plain", [])
+            for item in favourites:
+                put(item, held.get("rejected", []))
+            for high, better in rated:
+                worse = [p for low, paths in rated if high - low >= gap for p in paths if room(p)]
+                for item in better:
+                    put(item, worse)
+                    worse = [p for p in worse if room(p)] if len(worse) and not room(worse[0]) else worse
+            for k, item in enumerate(favourites):
+                put(item, [plain[(sampled * k + m) % len(plain)] for m in range(min(sampled, len(plain)))])
         return pd.DataFrame(out, columns=["category", "a_path", "b_path"])
 
-    dealt = items.withColumn("stratum", F.pmod(F.xxhash64("path"), F.lit(strata)))
-    return dealt.groupBy("category", "stratum").applyInPandas(run, "category string, a_path long, b_path long")
+    return first.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "category string, a_path long, b_path long")
 
 
 def merged_sources(votes: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -197,17 +217,23 @@ def _(v):
     return next_pairs(v.shot, v.pref.select("a_path", "b_path"), 30, 5.5, 8.5)
 
 
-@query("m5_least_compared", "SELECT path, n FROM (SELECT s.path, count(p.a_path)::BIGINT AS n, any_value(aggregate) AS g FROM shot s LEFT JOIN (SELECT * FROM pref WHERE category = 'view') p ON s.path = p.a_path OR s.path = p.b_path WHERE s.path < 200 GROUP BY 1) ORDER BY n, g DESC, path LIMIT 40")
+@query("m5_least_compared", """WITH seen AS (SELECT path, count(*) AS k FROM (SELECT unnest([a_path, b_path]) AS path FROM pref WHERE category = 'view') GROUP BY 1)
+  SELECT s.path, coalesce(k, 0)::BIGINT AS n FROM shot s LEFT JOIN seen USING (path) ORDER BY n, aggregate DESC, s.path LIMIT 40""")
 def _(v):
     seen = v.pref.where("category = 'view'").select(F.explode(F.array("a_path", "b_path")).alias("path")).groupBy("path").agg(F.count("*").alias("k"))
-    return v.shot.where("path < 200").join(seen, "path", "left").select("path", F.coalesce("k", F.lit(0)).alias("n"), "aggregate").orderBy("n", F.desc("aggregate"), "path").limit(40).select("path", "n")
+    return v.shot.join(seen, "path", "left").select("path", F.coalesce("k", F.lit(0)).alias("n"), "aggregate").orderBy("n", F.desc("aggregate"), "path").limit(40).select("path", "n")
+
+
+#: Candidates of the learning-value choice, a limit of the feature; drawn by a hash of their ids.
+CANDIDATE_POOL = 200
 
 
-@query("m6_learning_value")
+@query("m6_learning_value", f"""WITH pool AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {CANDIDATE_POOL})
+  SELECT a.vec_id AS a, b.vec_id AS b, round((1 - list_cosine_similarity(a.v, b.v)) * CASE WHEN a.label <> b.label THEN 2.0::DOUBLE ELSE 1.0 END, 5) AS value FROM pool a JOIN pool b ON a.vec_id < b.vec_id ORDER BY value DESC, a, b LIMIT 20""")
 def _(v):
     from shelfmark.functions.scalars import cosine
 
-    pool = v.vec.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(60)
+    pool = v.vec.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(CANDIDATE_POOL)
     pairs = pool.alias("a").join(pool.alias("b"), F.col("a.vec_id") < F.col("b.vec_id"))
     value = (1 - cosine("a.embedding", "b.embedding")) * F.when(F.col("a.label") != F.col("b.label"), 2.0).otherwise(1.0)
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(value, 5).alias("value")).orderBy(F.desc("value"), "a", "b").limit(20)

@@ -107,7 +107,7 @@ def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS,
         tried /= tried.sum(axis=1, keepdims=True)
         sums = [sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)) for row in tried]
         found = df.agg(*[pearson(s, F.col(target)).alias(f"c{i}") for i, s in enumerate(sums)]).first()
-        best, spread = tried[int(np.argmax([found[f"c{i}"] for i in range(len(tried))]))], spread / 2
+        best, spread = tried[int(np.argmax([-2.0 if found[f"c{i}"] is None else found[f"c{i}"] for i in range(len(tried))]))], spread / 2
     return dict(zip(metrics, best.tolist(), strict=True))
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -119,11 +120,11 @@ def test_weights_sum_to_a_hundred():
     assert scoring.normalise_weights({}) == {}
 
 
-def test_zero_variance_correlation_is_zero(spark):
+def test_zero_variance_correlation_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     from shelfmark.operators.dashboards import pearson
 
-    assert df.agg(pearson(F.col("x"), F.col("y"))).first()[0] == 0
+    assert df.agg(pearson(F.col("x"), F.col("y"))).first()[0] is None
 
 
 def test_global_rank_is_gapless(spark):
@@ -186,3 +187,42 @@ def test_upsert_keeps_what_is_not_declared(spark):
     new = spark.createDataFrame([(2, 9.0), (3, 3.0)], "path long, x double")
     got = {tuple(r) for r in collection_sets.upsert(old, new, "path", ["x"]).collect()}
     assert got == {(1, 1.0, "a"), (2, 9.0, "b"), (3, 3.0, None)}
+
+
+def greedy_pairs(rows, per_item, total, gap, pool, sampled):
+    """Label pairs by plain nested loops over all items."""
+    used, out = {}, []
+
+    def put(c, a, b):
+        if a != b and len(out) < total and used.get(a, 0) < per_item and used.get(b, 0) < per_item:
+            out.append((c, a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+
+    for c in sorted({r[0] for r in rows}):
+        own = sorted(r[1:] for r in rows if r[0] == c)
+        liked, lost = [r[0] for r in own if r[2] == 1], [r[0] for r in own if r[3] == 1]
+        rated = sorted(((-(r[1] or 0), r[0]) for r in own if r[1] and r[3] != 1))
+        plain = [r[0] for r in own if not r[1] and r[2] != 1 and r[3] != 1][:pool]
+        for a in liked:
+            for b in lost:
+                put(c, a, b)
+        for s, a in rated:
+            for t, b in rated:
+                if t - s >= gap:
+                    put(c, a, b)
+        for k, a in enumerate(liked):
+            for m in range(min(sampled, len(plain))):
+                put(c, a, plain[(sampled * k + m) % len(plain)])
+    return out
+
+
+def test_label_pairs_match_plain_loops(spark):
+    from shelfmark.operators.preference import label_pairs
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, rng.choice([None, 1, 2, 3, 4, 5]), int(rng.random() < 0.3), int(rng.random() < 0.2)) for i in range(160)]
+    df = spark.createDataFrame(rows, "category string, path long, star_rating int, is_favorite int, is_rejected int")
+    for caps in ((6, 2000, 2, 500, 2), (3, 2000, 2, 5, 2), (6, 70, 3, 500, 1)):
+        got = [tuple(r) for r in label_pairs(df, *caps).collect()]
+        assert got == greedy_pairs(rows, *caps)
+    assert label_pairs(df.limit(0)).count() == 0
