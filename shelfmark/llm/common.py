@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.runtime import shuffle_width
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,53 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, limit: int = 8 <<
             yield batch.slice(at, step)
 
 
+class Numbers(dict):
+    """Words by number; a word that is asked for first gets the next number and is listed as fresh."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, word) -> int:
+        found = self[word] = len(self)
+        self.fresh.append(word)
+        return found
+
+    def taken(self) -> list:
+        """The fresh words, which are none from then on."""
+        out, self.fresh = self.fresh, []
+        return out
+
+
+#: Rows of one key that a task takes in any case.
+FEW_ROWS = 500
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more rows than an even task's share, with ``_parts``: the places to deal them to; None if there are none.
+
+    At most four times as many keys as shuffle partitions can be hot, whatever the input.
+    """
+    bound = max(FEW_ROWS, rows.count() // (4 * shuffle_width(rows.sparkSession)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > bound)
+    hot = counts.select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    held = hot.collect()
+    return rows.sparkSession.createDataFrame(held, hot.schema) if held else None
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a ``lookup`` of one row a key, whose other columns' names are new.
+
+    The rows of ``hot_keys`` are dealt to several places, where their lookup rows are repeated. Null keys find nothing.
+    """
+    if hot is None:
+        return rows.join(lookup, keys, how)
+    # a row's place depends on its content alone, so that a task that runs again deals it alike
+    place = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", place).drop("_parts")
+    spread = lookup.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(spread, [*keys, "_part"], how).drop("_part")
+
+
 def ascii_lower(column):
     """Lower-case A-Z only, whatever the locale or script."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -35,7 +35,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+    return linededup.digest(linededup.dedup_passages(table(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def base_spans(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
 
 
-HARD = ["a@b.c_d@e.f x@y..z q@w.e. 1.2.3.4.5 1.2.3.256", "4111 1111-1111 1111, 4111 1111 1111 1112", "1 " * 3000 + "a.b@c" + ".d" * 3000, "é😀 foo@bar.com  55", "9" * 5000 + " ..a@b.c@d.e.f %%@x.y --@-.-", "+12 345 678 9  +1.2.3", " 4111 1111 1111 1111"]
+HARD = ["a@b.c_d@e.f x@y..z q@w.e. 1.2.3.4.5 1.2.3.256", "4111 1111-1111 1111, 4111 1111 1111 1112", "1 " * 3000 + "a.b@c" + ".d" * 3000, "é😀 foo@bar.com  55", "9" * 5000 + " ..a@b.c@d.e.f %%@x.y --@-.-", "+12 345 678 9  +1.2.3", " 4111 1111 1111 1111", "key = \"" + "0a" * 20 + "\" " + "0a" * 20 + "z"]
 
 
 def test_personal_data(spark, docs, nothing):
@@ -149,11 +149,26 @@ def test_personal_data(spark, docs, nothing):
 
 def test_contexts_discover_unseen_identifiers(spark):
     known = [(i, f"lorem account holder user{i}@mail.com ipsum and 7 of 9") for i in range(6)]
-    df = spark.createDataFrame([*known, (100, "lorem account holder ID-77X4, ipsum"), (101, "clean text with 12 words")], "doc_id long, text string")
+    secrets = [(10 + i, f"a token = \"{i}{'ab12' * 9}\" here, 3 times") for i in range(5)]
+    shaped = [(20 + i, f"word{i} reach 10.{i}.0.1 x") for i in range(5)]
+    df = spark.createDataFrame([*known, *secrets, *shaped, (100, "lorem account holder ID-77X4, ipsum"), (101, "clean text with 12 words"), (102, 'é token = "Q-99x" z'), (103, "we reach 10.1.999.1 now, reach 12")], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.extract(df)).collect()}
-    assert got[100] == "email:21:28" and got[101] == ""
+    assert got[100] == "email:21:28" and got[101] == "" and got[102] == "secret:11:16" and got[103] == "ip:9:19"
+    assert all(got[i] == "secret:11:48" for i in range(10, 15)) and got[0] == "email:21:35"
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
-    assert clean[100] == "lorem account holder [EMAIL], ipsum" and clean[101] == "clean text with 12 words"
+    assert clean[100] == "lorem account holder [EMAIL], ipsum" and clean[101] == "clean text with 12 words" and clean[102] == 'é token = "[SECRET]" z'
+
+
+def test_many_tokens_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.digest(pii.extract(df)).first()["spans"] == ""
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
 
 
 def test_language(docs, nothing):
@@ -301,15 +316,63 @@ def test_much_junk_does_not_widen_its_band(spark):
     assert len(kept & set(range(70))) >= 67 and not kept & set(range(70, 100))
 
 
-def test_line_dedup(spark, docs, nothing):
-    held = [(2, "one two three four five six\nshort one\nOne  two three four five SIX"), (1, "a b c d e f g\none two three four five six"), (3, None), (4, ""), (5, "short one\n\n"), (None, "a b c d e f g\nx")]
+def brute_passages(held, paragraph, reach):
+    """(kept text, removed spans) of each (id, text), by plain loops."""
+    first, gone = {}, {}
+    order = sorted(range(len(held)), key=lambda k: (held[k][0] is None, held[k][0] or 0, k))
+    for k in order:
+        words = [m.group().translate(UP) for m in re.finditer(r"[^\x20\x09-\x0D]+", held[k][1] or "")]
+        keys = [hashlib.md5(w.encode()).digest() for w in words]
+        starts = {max(range(i, i + reach), key=lambda j: ([255 - x for x in keys[j]], j)) for i in range(len(words) - reach + 1)}
+        gone[k] = set()
+        for at in sorted(s for s in starts if s + paragraph <= len(words)):
+            row, begin = first.setdefault(tuple(words[at : at + paragraph]), (k, at))
+            if (row, begin) != (k, at):
+                gone[k] |= set(range(max(at, begin + paragraph) if row == k else at, at + paragraph))
+    out = []
+    for k, (i, text) in enumerate(held):
+        pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
+        lead = len(text or "") - sum(map(len, pieces))
+        kept, spans, at = (text or "")[:lead], [], lead
+        for w, piece in enumerate(pieces):
+            if w in gone[k]:
+                spans = [*spans[:-1], (spans[-1][0], at + len(piece))] if spans and spans[-1][1] == at else [*spans, (at, at + len(piece))]
+            else:
+                kept += piece
+            at += len(piece)
+        out.append((i, None if text is None else kept, spans))
+    return out
+
+
+def test_passages_match_brute_force(spark, docs, nothing):
+    rng = np.random.default_rng(3)
+    passage = lambda n: " ".join(f"p{x}" for x in rng.integers(0, 9**6, n))
+    shared, short = passage(51), passage(20)
+    held = [(9, f" {passage(30)} {shared}\n{passage(5)}"), (4, f"{passage(3)}  {shared.upper()} {passage(40)} é"), (7, shared), (7, shared), (None, shared), (8, f"{short} {passage(60)}"), (3, short), (2, None), (1, ""), (5, "of " * 130), (6, " \n\t ")]
+    held += [(100 + i, t) for i, t, _ in rows() if i is not None]
     df = spark.createDataFrame(held, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], [tuple(s) for s in r["removed"]]) for r in linededup.dedup_lines(df).collect()}
-    assert got[1] == ("a b c d e f g\none two three four five six", [])
-    assert got[2] == ("short one", [(0, 27), (38, 66)])
-    assert got[3] == (None, []) and got[4] == ("", []) and got[5] == ("short one\n\n", []) and got[None] == ("x", [(0, 13)])
-    assert linededup.dedup_lines(nothing).count() == 0
-    assert linededup.dedup_lines(docs).count() == len(rows())
+    found = linededup.dedup_passages(df).collect()
+    got = collections.Counter((r["doc_id"], r["text"], tuple(tuple(s) for s in r["removed"])) for r in found)
+    assert got == collections.Counter((i, t, tuple(spans)) for i, t, spans in brute_passages(held, linededup.PARAGRAPH, linededup.REACH))
+    cleaned = {r["doc_id"]: r for r in found}
+    assert cleaned[4]["removed"] == [] and cleaned[9]["removed"] and cleaned[8]["removed"] == [] and cleaned[None]["removed"]
+    for r in found:  # what was removed stands at the offsets
+        if r["doc_id"] in (9, 5):
+            text = dict(held)[r["doc_id"]]
+            assert len(text) == len(r["text"]) + sum(s["end"] - s["start"] for s in r["removed"])
+    assert linededup.dedup_passages(nothing).count() == 0
+    same = linededup.dedup_passages(docs)
+    assert same.count() == len(rows()) and same.columns == [*docs.columns, "removed"]
+    with pytest.raises(ValueError, match="exist already"):
+        linededup.dedup_passages(docs.withColumn("Removed", F.lit(1)))
+
+
+def test_each_passage_of_more_than_fifty_words_is_found():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        keys, start = rng.integers(0, 30, 120).astype(np.uint64), int(rng.integers(0, 69))
+        own = linededup.unit_starts(keys << np.uint64(24), np.array([120]), linededup.PARAGRAPH, linededup.REACH)
+        assert any(start <= s and s + linededup.PARAGRAPH <= start + 51 for s in own)
 
 
 def reference_fingerprint(text, width):
