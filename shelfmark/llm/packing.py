@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import slices, utf8
+from shelfmark.llm.common import Numbers, slices, utf8
 from shelfmark.runtime import stash
 
 CAPACITY = 4096
@@ -31,8 +31,9 @@ ROWS_A_TASK = 40_000
 CACHED_WORDS = 1_000_000
 #: Characters for which Python and the tokenizer agree on normal form, case and class: a text of others goes to the tokenizer whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ſ–—‘’“”…€]*")
-#: A run of neither letters nor white space; within PLAIN.
-NO_LETTERS = re.compile("[^\\sa-zªµºß-öø-ſ]+")
+#: Letters of PLAIN in lower case, and runs of letters or of others.
+LETTERS = "a-zªµºß-öø-ſ"
+WORD, RUNS = re.compile(f"[{LETTERS}]+"), re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
 SPECIAL = "<|"
 GAP = "\x02"
 
@@ -40,44 +41,85 @@ GAP = "\x02"
 class WordIds:
     """Token ids of whole texts, one white-space word at a time.
 
-    The tokenizer treats words on their own, so each distinct word is encoded once and
-    kept as little-endian bytes; the store is emptied when it is full.
+    The tokenizer treats words on their own, and within them runs of letters and of others (but
+    for apostrophes, which it takes with letters). So each distinct word is encoded once: its ids
+    lie in one array, and a text's ids are taken from there by its words' numbers. The store is
+    emptied when it is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.gap = self.whole.encode(GAP, add_special_tokens=False).ids
         assert len(self.gap) == 1
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 64):
-            part = words[at : at + 64]
-            ids = np.array(self.whole.encode_batch_fast([f" {GAP} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            for word, run in zip(part, np.split(ids, np.flatnonzero(ids == self.gap[0])), strict=True):
-                self.words[word] = (run[1:] if len(run) and run[0] == self.gap[0] else run).tobytes()
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number = Numbers()
+        self.flat, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, words: list[str], a_text: int, between: str) -> np.ndarray:
+        parts = [between.join(words[at : at + a_text]) for at in range(0, len(words), a_text)]
+        return np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch_fast(parts, add_special_tokens=False))])
+
+    def _keep(self, numbers: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        assert len(lengths) == len(numbers) and lengths.sum() == len(ids)
+        self.starts[numbers], self.lengths[numbers] = len(self.flat) + np.cumsum(lengths) - lengths, lengths
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _learn(self) -> None:
+        number, letters, odd, mixed = self.number, [], [], []
+        for word in number.fresh:  # runs within mixed words join the list as it is read
+            if WORD.fullmatch(word):
+                letters.append(word)
+            elif "'" in word or len(runs := RUNS.findall(word)) == 1:
+                odd.append(word)
+            else:
+                mixed.append((number[word], [number[run] for run in runs]))
+        number.taken()
+        grown = len(number) - len(self.starts)
+        self.starts, self.lengths = (np.concatenate([x, np.zeros(grown, np.int64)]) for x in (self.starts, self.lengths))
+        ids = self._encoded(letters, 1024, " ")
+        self._keep([number[w] for w in letters], ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0))
+        for at in range(0, len(odd), 64):
+            ids = np.append(self._encoded(odd[at : at + 64], 64, f" {GAP} "), np.array(self.gap, "<u4"))
+            ends = np.flatnonzero(ids == self.gap[0])
+            self._keep([number[w] for w in odd[at : at + 64]], ids[ids != self.gap[0]], np.diff(ends, prepend=-1) - 1)
+        if mixed:
+            runs = np.array([run for _, runs in mixed for run in runs])
+            sizes = np.add.reduceat(self.lengths[runs], np.cumsum([0, *(len(runs) for _, runs in mixed[:-1])]))
+            self._keep([word for word, _ in mixed], self._taken(runs), sizes)
+
+    def _taken(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
+        if len(self.number) > CACHED_WORDS:
+            self._clear()
+        get, out = self.number.__getitem__, [b""] * len(texts)
+        simple, numbers, sizes = [], [], []
+        for k, text in enumerate(texts):
             if SPECIAL in text or not PLAIN.fullmatch(text):
-                split.append(None)
-                continue
-            text = text.lower()
-            split.append((text if "'" in text else NO_LETTERS.sub(r" \g<0> ", text)).split())
-        used = {w for words in split if words for w in words}
-        fresh = used - self.words.keys()
-        if len(self.words) + len(fresh) > CACHED_WORDS:
-            self.words.clear()
-            fresh = used
-        self._learn(list(fresh))
-        get = self.words.__getitem__
-        return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split, strict=True)
-        ]
+                out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                words = text.lower().split()
+                simple.append(k)
+                sizes.append(len(words))
+                numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
+        if self.number.fresh:
+            self._learn()
+        own = np.concatenate([np.zeros(0, np.int64), *numbers])
+        ids = self._taken(own).tobytes()
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths[own])])[np.cumsum([0, *sizes])] * 4
+        for k, a, b in zip(simple, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out
 
 
 _ENCODERS: dict[str, WordIds] = {}
