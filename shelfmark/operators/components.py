@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.runtime import stash
+from shelfmark.runtime import forget, stash
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-        now = stash(_directed(_small_star(_directed(_large_star(now)))))
+        last, now = now, stash(_directed(_small_star(_directed(_large_star(now)))))
+        forget(last)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select(

@@ -54,11 +54,16 @@ def duplicate_groups(df: DataFrame, strict: int, loose: int, least_cosine: float
     return connected_components(checked, "a", "b")
 
 
-def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", blocks: int = 8) -> DataFrame:
+#: Vectors of a block, whatever the table's size.
+BLOCK_ROWS = 2048
+
+
+def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``a, b, cosine`` of all pairs at least so alike, exactly: blocks of vectors meet pairwise, each meeting one matrix product.
 
-    Work is quadratic by nature; a block pair is one task, so memory is bounded by the block size.
+    Work is quadratic by nature. The count of blocks follows that of vectors, so a meeting holds about ``2 * block_rows`` of them.
     """
+    blocks = max(1, -(-df.count() // block_rows))
     held = df.select(F.col(key).alias("k"), F.col(column).cast("array<double>").alias("v")).where("v is not null").withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -118,14 +123,16 @@ def centroids(df: DataFrame, owner: str = "label", column: str = "embedding") ->
 MOST_IN_MEMORY = 10_000
 
 
-def nearest_owner(df: DataFrame, owners: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", most: int = MOST_IN_MEMORY, blocks: int = 8) -> DataFrame:
+def nearest_owner(df: DataFrame, owners: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", most: int = MOST_IN_MEMORY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``vec_id, owner, cosine``: the most alike centroid, if alike enough; ties to the larger owner.
 
     Few centroids are broadcast after a count; else blocks of vectors meet blocks of centroids, each meeting one matrix product.
     """
     side = df.select(F.col(key).alias("k"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
     kind = owners.schema["owner"].dataType.simpleString()
-    parts = blocks if owners.count() > most else 1
+    count = owners.count()
+    parts = max(2, -(-count // block_rows)) if count > most else 1
+    across = max(1, -(-side.count() // block_rows)) if parts > 1 else 1
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("owner", ascending=False)
@@ -145,8 +152,8 @@ def nearest_owner(df: DataFrame, owners: DataFrame, least: float, key: str = "ve
 
         found = side.mapInPandas(run, schema)
     else:
-        dealt = side.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        spread = owners.withColumn("j", F.pmod(F.xxhash64("owner"), F.lit(blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        dealt = side.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        spread = owners.withColumn("j", F.pmod(F.xxhash64("owner"), F.lit(parts)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))))
         met = lambda l, r: best(l, r) if len(l) and len(r) else pd.DataFrame({key: [], "owner": [], "cosine": []})  # noqa: E731, E741
         found = dealt.groupBy("i", "j").cogroup(spread.groupBy("i", "j")).applyInPandas(lambda l, r: met(l, r), schema)  # noqa: E741
     top = found.groupBy(key).agg(F.max(F.struct("cosine", "owner")).alias("b"))
