@@ -45,6 +45,32 @@ class Numbers(dict):
         return out
 
 
+def making_room(docs: DataFrame, added: str, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with other names for columns that clash, and each column's name there.
+
+    A column that has the name of an added one, whatever the case, or begins with the reserved prefix comes back as ``in_``
+    and its name, so nothing is overwritten.
+    """
+    taken = {a.lower() for a in added.split()}
+    names: dict[str, str] = {}
+    for name in docs.columns:
+        new = name
+        while new.lower() in taken or new.lower().startswith(prefix):
+            new = f"in_{new}"
+        taken.add(new.lower())
+        names[name] = new
+    return docs.toDF(*names.values()), names
+
+
+#: Rows of a table that is broadcast; all such tables here have two short columns at most.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if a count shows that it is small."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 #: Rows of one key that a task takes in any case.
 FEW_ROWS = 500
 
@@ -64,14 +90,15 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
 def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with a ``lookup`` of one row a key, whose other columns' names are new.
 
-    The rows of ``hot_keys`` are dealt to several places, where their lookup rows are repeated. Null keys find nothing.
+    The rows of ``hot_keys``, found by some or all of ``keys``, are dealt to several places, where their lookup rows are repeated. Null keys find nothing.
     """
     if hot is None:
         return rows.join(lookup, keys, how)
+    known = [c for c in hot.columns if c != "_parts"]
     # a row's place depends on its content alone, so that a task that runs again deals it alike
     place = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_parts")).cast("int"), F.lit(0))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", place).drop("_parts")
-    spread = lookup.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    dealt = rows.join(F.broadcast(hot), known, "left").withColumn("_part", place).drop("_parts")
+    spread = lookup.join(F.broadcast(hot), known, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(spread, [*keys, "_part"], how).drop("_part")
 
 

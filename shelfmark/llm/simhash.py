@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import slices, utf8
+from shelfmark.llm.common import hot_keys, slices, spread_join, utf8
 from shelfmark.operators.components import connected_components
 from shelfmark.runtime import stash
 
@@ -49,13 +49,18 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number; zero without hashes."""
+    rows = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    if not len(rows):
+        return 0
+    ones = sum(np.unpackbits(rows[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(rows), 65536))
+    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: bytes | None, width: int) -> int:
     """The fingerprint as a signed 64-bit number."""
-    hashes = shingle_hashes(text, width).view(np.uint8).reshape(-1, 8)
-    if not len(hashes):
-        return 0
-    ones = sum(np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), 65536))
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -70,46 +75,83 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+class Counters:
+    """Vertical counters of set bits, in carry-save form: a level holds its sum and a plane that waits for another one."""
+
+    def __init__(self, lanes: int, levels: int):
+        self.sums = [np.zeros(lanes, np.uint64) for _ in range(levels)]
+        self.waits: list[np.ndarray | None] = [None] * levels
+        self.over = np.zeros(lanes, np.uint64)
+
+    def add(self, x: np.ndarray) -> None:
+        for level, y in enumerate(self.waits):
+            if y is None:
+                self.waits[level] = x
+                return
+            s = self.sums[level]
+            half = s ^ x
+            self.sums[level], x, self.waits[level] = half ^ y, (s & x) | (half & y), None
+        self.over |= x
+
+    def settle(self) -> None:
+        """Add what waits."""
+        for level in range(len(self.waits)):
+            x, self.waits[level] = self.waits[level], None
+            for above in range(level, len(self.sums)) if x is not None else ():
+                self.sums[above], x = self.sums[above] ^ x, self.sums[above] & x
+            if x is not None:
+                self.over |= x
+
+    def beyond(self, most: int) -> np.ndarray:
+        """Lanes that count more than ``most``."""
+        self.settle()
+        above, same = np.zeros_like(self.over), ~np.zeros_like(self.over)
+        for level in reversed(range(len(self.sums))):
+            s = self.sums[level]
+            if most >> level & 1:
+                same &= s
+            else:
+                above |= same & s
+                same &= ~s
+        return self.over | above
+
+    def keep(self, lanes: np.ndarray) -> None:
+        self.sums, self.over = [s[lanes] for s in self.sums], self.over[lanes]
+
+
 def near_rows(values: np.ndarray, radius: int, order: list[int]) -> np.ndarray:
-    """A bit matrix, packed into 64-bit words: row i marks what lies within ``radius`` of value i."""
-    m = len(values)
+    """A bit matrix, packed into 64-bit words: row i marks what lies within ``radius`` of value i.
+
+    ``values`` has one or more 64-bit words a row; bits are compared in this order. Nothing can be abandoned before
+    several times ``radius`` bits are compared, so until then all blocks of a row are updated at once.
+    """
+    values = values.reshape(len(values), -1)
+    m, words = values.shape
     width = -(-m // 64)
-    bits = ((values[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(bool)
-    planes = np.zeros((64, width * 64), bool)
+    bits = ((values[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(bool).reshape(m, 64 * words)
+    planes = np.zeros((64 * words, width * 64), bool)
     planes[:, :m] = bits.T
     planes = np.packbits(planes, axis=1, bitorder="little").view("<u8")
     signs = np.where(bits, ~np.uint64(0), np.uint64(0))
     lanes = np.packbits(np.arange(width * 64) < m, bitorder="little").view("<u8")
     near = np.zeros((m, width), np.uint64)
-    full = ~np.uint64(0)
+    full, early = ~np.uint64(0), min(len(order), max(16, 5 * radius // 2 // 8 * 8))
     for first in range(0, m, max(1, 16384 // width)):
         rows = np.arange(first, min(m, first + max(1, 16384 // width)))
+        count = Counters(len(rows) * width, max(3, radius.bit_length()))
+        for bit in order[:early]:
+            count.add((planes[bit][None, :] ^ signs[rows, bit][:, None]).reshape(-1))
         row, word = np.repeat(rows, width), np.tile(np.arange(width), len(rows))
-        one, two, four, over = (np.zeros(len(row), np.uint64) for _ in range(4))
-        for step, bit in enumerate(order, 1):
-            x = planes[bit][word] ^ signs[row, bit]
-            carry = one & x
-            one ^= x
-            x = two & carry
-            two ^= carry
-            over |= four & x
-            four ^= x
-            if step % 8 == 0 and step >= 16:
-                far = over | _beyond(one, two, four, radius)
-                if len(live := np.flatnonzero(far != full)) < 0.7 * len(row):  # blocks wholly beyond the radius are abandoned
-                    row, word, one, two, four, over = (a[live] for a in (row, word, one, two, four, over))
-        near[row, word] = ~(over | _beyond(one, two, four, radius)) & lanes[word]
+        for step in range(early, len(order) + 1, 8):
+            if len(live := np.flatnonzero(count.beyond(radius) != full)) < 0.7 * len(row):  # blocks wholly beyond the radius are abandoned
+                row, word = row[live], word[live]
+                count.keep(live)
+            for bit in order[step : step + 8] if len(row) else ():
+                count.add(planes[bit][word] ^ signs[row, bit])
+        near[row, word] = ~count.beyond(radius) & lanes[word]
     return near
 
 
-def _beyond(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is more than ``radius``, which is 0 to 7."""
-    out = np.zeros_like(one)
-    for count in range(radius + 1, 8):
-        out |= (one if count & 1 else ~one) & (two if count & 2 else ~two) & (four if count & 4 else ~four)
-    return out
-
-
 def stars(values: np.ndarray, radius: int, order: list[int]) -> list[tuple[int, int]]:
     """Pairs (value, smallest value of its component in this group), without singletons."""
     near = near_rows(values.view(np.uint64), radius, order)
@@ -172,14 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stash(fingerprints(docs, id_col, text_col, width))
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = near_components(distinct.select("fp"), radius).select(F.col("node").alias("fp"), "component")
-    rooted = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rooted = stash(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with the document of smallest id from each component; rows without an id all stay."""
-    least = near_duplicates(docs, id_col, text_col, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(least, docs[id_col] == least["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    classes = spread_join(rooted, smallest, ["component"], hot_keys(rooted, ["component"])).select("fp", "component_id")
+    return spread_join(marked, classes, ["fp"], hot_keys(marked, ["fp"])).select("doc_id", "fp", "component_id")

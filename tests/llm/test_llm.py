@@ -143,8 +143,8 @@ def test_personal_data(spark, docs, nothing):
     want = collections.Counter((i, hashlib.sha256(base_spans(t).encode()).hexdigest()) for i, t in [*texts(), *((1000 + i, t) for i, t in enumerate(HARD))])
     assert got == want
     assert pii.extract(nothing, carry=["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        pii.extract(docs.withColumn("spans", F.lit(1)))
+    clashing = df.withColumn("spans", F.lit(7)).withColumn("_pii_row", F.lit("mine"))
+    assert pii.redact(clashing).columns == clashing.columns and pii.extract(clashing).columns == ["doc_id", "text", "in_spans", "in__pii_row", "base", "spans"]
 
 
 def test_contexts_discover_unseen_identifiers(spark):
@@ -182,6 +182,34 @@ def test_language(docs, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def plain_profile(text, dimensions=langid.DIMENSIONS):
+    """A text's bundle, n-gram by n-gram."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = re.sub(" +", " ", f" {letters} ")
+    own, total = langid.Profiles(dimensions, 3), np.zeros(dimensions)
+    for gram in zip(padded, padded[1:], padded[2:], strict=False):
+        total += np.prod([np.roll(own.letter(0 if c == " " else ord(c)), 2 - k) for k, c in enumerate(gram)], axis=0)
+    return total
+
+
+def test_language_matches_brute_force(spark, docs):
+    taught = collections.defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1 if i is not None else False
+    for i, text, lang in rows():
+        if lang and text and not held_out(i):
+            taught[lang] += plain_profile(text)
+    names = sorted(taught)
+    want = collections.Counter()
+    for i, text, _ in rows():
+        bundle = plain_profile(text or "")
+        cosines = [float(taught[n] @ bundle / (np.linalg.norm(taught[n]) * (np.linalg.norm(bundle) or 1))) for n in names]
+        best = int(np.argmax(cosines))
+        seen = any(c.isalpha() for c in text or "")
+        want[i, held_out(i), names[best] if seen else "und", round(max(0.0, cosines[best]) if seen else 0.0, 4)] += 1
+    for most in (langid.MOST_LANGUAGES, 1):  # all languages at once, and one by one
+        assert collections.Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 4)) for r in langid.identify(docs, most_languages=most).collect()) == want
+
+
 def test_profiles_bind_and_bundle():
     p = langid.Profiles(64, 3)
     keys, counts = p.counts(b"abab")
@@ -214,6 +242,20 @@ def test_sharding_splits_only_what_is_too_large(spark):
     assert 2 <= len(by[zlib.crc32(b"same")]) <= 3 and sum(len(s) > 1 for s in by.values()) <= 4
 
 
+def test_sharding_swaps_where_every_row_is_linked(spark):
+    df = spark.createDataFrame([(i, f"t{i // 2}") for i in range(400)], "doc_id long, text string")
+
+    def cut(rounds):
+        got = sharding.shard_documents(df, shards=4, rounds=rounds).collect()
+        assert collections.Counter(collections.Counter(r["shard"] for r in got).values()) == {100: 4}
+        by = collections.defaultdict(set)
+        for r in got:
+            by[r["text_crc32"]].add(r["shard"])
+        return sum(len(s) > 1 for s in by.values())
+
+    assert cut(0) > 120 and cut(6) < 30
+
+
 def test_mixing(spark, docs, nothing):
     rng = np.random.default_rng(3)
     held = [(i, " ".join(rng.choice([f"w{k}" for k in range(300)], 60)) + (" awful, nasty horrid" if i % 5 == 0 else " junk $$$ %%% ###" if i % 3 == 0 else "")) for i in range(300)] + [(300, None), (301, "")]
@@ -276,7 +318,16 @@ def test_rules(docs, nothing):
         want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)] += 1
     assert got == want
     assert quality.judge(nothing).count() == 0
-    assert quality.keep(docs).columns == docs.columns
+    clashing = docs.withColumn("kept", F.lit("mine")).withColumn("perplexity", F.lit("mine")).withColumn("_lm_lang", F.lit("mine"))
+    kept = quality.keep(clashing)
+    assert kept.columns == clashing.columns and {tuple(r) for r in kept.select("kept", "perplexity", "_lm_lang").collect()} == {("mine",) * 3}
+    assert quality.judge(clashing).select("in_kept", "kept").schema.simpleString() == "struct<in_kept:string,kept:boolean>"
+
+
+def test_repeats_are_exact_beyond_two_million_words():
+    numbers = collections.defaultdict(lambda: len(numbers) + (1 << 21))
+    text = b"a b c d a b c e f a b d"
+    assert quality._base(text, numbers)[0][4] == quality._base(text, collections.defaultdict(itertools.count().__next__))[0][4] == 6
 
 
 def test_model_is_a_distribution_and_joins_agree(docs):
@@ -363,8 +414,7 @@ def test_passages_match_brute_force(spark, docs, nothing):
     assert linededup.dedup_passages(nothing).count() == 0
     same = linededup.dedup_passages(docs)
     assert same.count() == len(rows()) and same.columns == [*docs.columns, "removed"]
-    with pytest.raises(ValueError, match="exist already"):
-        linededup.dedup_passages(docs.withColumn("Removed", F.lit(1)))
+    assert linededup.dedup_passages(nothing.withColumn("Removed", F.lit(1))).columns == [*docs.columns, "in_Removed", "removed"]
 
 
 def test_each_passage_of_more_than_fifty_words_is_found():
@@ -405,8 +455,6 @@ def test_simhash(docs, nothing):
             least[find(f)] = min(i, least.get(find(f), i))
     assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == collections.Counter((i, least.get(find(f))) for i, f in fps)
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(docs, width=4)
-    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
 
 
 def test_crowded_groups_are_cut_and_lose_no_link(spark):
@@ -433,11 +481,30 @@ def test_pipeline(spark, sf):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_each_stage_handles_odd_rows_and_clashing_names(spark, sf):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, EN * 6, "en", "a", 1), (1, FR * 6, None, "b", 2), (None, EN * 6, "en", "c", 3)], base.schema)
+    clashing = base.unionByName(odd)
+    for name in ("kept", "perplexity", "spans", "base", "removed", "_lm_lang", "_sim_row", "_pii_row", "_mix_n", "node", "row", "held"):
+        clashing = clashing.withColumn(name, F.lit("mine"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf)
+        assert out.columns == clashing.columns and 0 < out.count()
+        assert out.where("kept = 'mine' and spans = 'mine' and _sim_row = 'mine'").count() == out.count()
+        assert stage(spark, clashing.limit(0), sf).count() == 0
+    assert corpus_pipeline.pack_sequences(spark, clashing, sf).count() >= clashing.count()
+    assert corpus_pipeline.pack_sequences(spark, clashing.limit(0), sf).count() == 0
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, odd, sf).collect()]
+    assert sorted(t or "" for t in kept) == sorted(["", EN * 6, FR * 6])  # texts of one id are documents of their own
+
+
 def test_pipeline_returns_the_packed_ids(spark, docs):
     import corpus_pipeline
 
     packed = corpus_pipeline.pack_sequences(spark, docs, "")
     held = packed.collect()
-    assert sum(len(r["ids"]) for r in held) == 4 * sum(r["length"] for r in held) > 0
-    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in held)
+    assert sum(len(r["ids"]) for r in held) == 2 * sum(r["length"] for r in held) > 0
+    assert all(zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"] for r in held)
     assert sum(r["length"] for r in packing.sequences(packed).collect()) == sum(r["length"] for r in held)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmark.llm import near_texts
+from shelfmark.llm.simhash import near_rows
 
 
 def brute_components(held, width=5):
@@ -55,11 +56,12 @@ def test_edited_copies_go_and_clean_texts_stay(spark):
 def test_cut_groups_and_rounds_lose_no_link(spark):
     held = edited(count=3, copies=40, words=400)
     want = brute_components(held)
-    df = spark.createDataFrame(held, "doc_id long, text string")
-    distinct = near_texts.marks(df, "doc_id", "text", 5).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    df = near_texts._numbered(spark.createDataFrame(held, "doc_id long, text string"))
+    marked = near_texts.marks(df, "doc_id", "text", 5).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("one").alias("one"), F.first("two").alias("two"))
+    distinct = marked.select("node", F.col("least.row").alias("row"), F.col("least.doc_id").alias("least"), "one", "two").cache()
     least = {r["node"]: r["least"] for r in distinct.collect()}
-    for largest, few in ((4096, 2), (16, 1)):
-        found = near_texts.near_components(df, distinct, "doc_id", "text", 5, largest=largest, few=few).collect()
+    for group, largest, few in ((1024, 4096, 2), (1024, 16, 1), (16, 32, 2)):
+        found = near_texts.near_components(df, distinct, "text", 5, group=group, largest=largest, few=few).collect()
         groups = {}
         for r in found:
             groups.setdefault(r["component"], set()).add(least[r["node"]])
@@ -70,6 +72,21 @@ def test_cut_groups_and_rounds_lose_no_link(spark):
 
 
 def test_rows_without_words_or_ids(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "a b c"), (4, "A b  c"), (5, "other")], "doc_id long, text string")
-    assert sorted(r["doc_id"] or 0 for r in near_texts.keep_one(df).collect()) == [0, 1, 3, 5]
+    held = [(1, None, "a"), (2, "", "b"), (None, "a b c", "c"), (3, "a b c", "d"), (4, "A b  c", "e"), (5, "other", "f"), (5, "one two", "g"), (5, "one two", "h"), (None, "nobody", "i"), (None, "nobody", "j")]
+    df = spark.createDataFrame(held, "doc_id long, text string, node string").coalesce(1)
+    kept = near_texts.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["node"] for r in kept.collect()) == ["a", "d", "f", "g", "i"]  # two texts of one id are two documents
     assert near_texts.keep_one(df.limit(0)).count() == 0
+    clashing = df.withColumn("_SIM_row", F.lit(1))
+    assert near_texts.keep_one(clashing).columns == clashing.columns
+
+
+def test_counters_match_plain_counts():
+    rng = np.random.default_rng(2)
+    for words, radius in ((1, 4), (2, 31), (1, 0), (2, 5)):
+        centre = rng.integers(0, 1 << 63, (40, words), dtype=np.uint64)
+        values = np.concatenate([centre ^ np.uint64((1 << int(k)) - 1) for k in rng.integers(0, 40, 6)])
+        got = np.unpackbits(near_rows(values, radius, rng.permutation(64 * words).tolist()).view(np.uint8), axis=1, bitorder="little")[:, : len(values)]
+        apart = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2, dtype=int)
+        assert (got == (apart <= radius)).all()
