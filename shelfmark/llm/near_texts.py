@@ -1,41 +1,43 @@
-"""Near-duplicate texts by true shingle similarity.
-
-Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
-4/5. Candidates come from min-hashes: texts that agree on all ``ROWS`` min-hashes of one of
-``BANDS`` bands meet in a group, so a pair at 0.8 is missed with probability 0.0004, and
-rarer above. In a group, pairs whose min-hashes agree on ``LEAST_SHARE`` or more are
-compared by their shingles themselves; only those links count. Texts with equal sets
-collapse first, and groups with equal members are compared once.
-
-Groups pass on at most ``few`` pairs for each text in a round. Pairs that are linked by
-then are not asked again, those found unlike are not either, and rounds go on with four times
-as many until no group has a pair left; hence no candidate is dropped, and a large group of
-copies doesn't pass on its pairs.
-
-Defined results: texts without words are linked to each other; a null id takes part, but
-the smallest id of a component ignores it, and rows without an id all stay.
+"""Near-duplicate texts by SimHash: bit-sliced comparison finds candidates, their shingles decide.
+
+Two texts are linked if the Jaccard similarity of their sets of word shingles is at least 4/5.
+Such sets' fingerprints of 128 majority bits differ in about 19 bits, and in more than
+``RADIUS`` hardly ever, while those of unlike sets differ in 64. So fingerprints that agree
+on the bits of one of several random choices meet in a group, where bit planes and carry-save
+counters compare them; pairs within the radius are candidates, and only those of truly similar
+shingles count as links. Choices have more bits for more texts, so that groups stay small,
+and there are as many choices as a miss rate of ``MISS`` asks for. Texts with equal sets collapse first.
+
+A group passes on at most ``few`` candidates for each text in a round, and names the texts that have
+more. Pairs that are linked by then are not asked again, those found unlike are not either, and
+rounds go on, among the texts named, with four times as many until no text is named; hence no
+candidate is dropped, and a large group of copies doesn't pass on its pairs.
+
+Defined results: texts without words are linked to each other; of each group the row of smallest
+id stays, of equal ids the first in row order; null ids rank last. An empty table gives an empty
+result. Columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import slices, utf8
-from shelfmark.llm.simhash import shingle_hashes
+from shelfmark.llm.common import if_small, making_room, slices, utf8
+from shelfmark.llm.simhash import majority, near_rows, shingle_hashes
 from shelfmark.operators.components import connected_components
-from shelfmark.runtime import stash
+from shelfmark.runtime import forget, stash
 
-ROWS, BANDS = 5, 20
-LEAST_SHARE = 0.65
-LARGEST = 4096
+BITS, RADIUS = 128, 31
+#: Share of bits on which sets of similarity 4/5 agree, one standard deviation to the safe side.
+AGREE, MISS = 0.82, 5e-4
+GROUP, LARGEST = 1024, 4096
 FEW = 2
-_RNG = np.random.default_rng(42)
-_TIMES = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def shingle_set(text: bytes | None, width: int) -> tuple[int, np.ndarray]:
@@ -46,97 +48,83 @@ def shingle_set(text: bytes | None, width: int) -> tuple[int, np.ndarray]:
     return int.from_bytes(xxhash.xxh3_64_digest(held.tobytes()), "big", signed=True), held
 
 
-def min_hashes(held: np.ndarray) -> np.ndarray:
-    """The upper halves of the min-hashes of a set."""
-    out = np.full(len(_TIMES), ~np.uint64(0))
-    for at in range(0, len(held), 1024):
-        np.minimum(out, (_TIMES[:, None] * held[at : at + 1024] + _PLUS[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype("<u4")
-
-
 def marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows ``doc_id, node, sig``, one for each row of ``docs``: equal nodes are equal sets of shingles."""
+    """Rows ``row, doc_id, node, one, two`` of rows numbered ``_sim_row``: equal nodes are equal sets; ``one`` and ``two`` are the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingle_set(t, width) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([min_hashes(h).tobytes() for _, h in found], pa.binary())], names=["doc_id", "node", "sig"])
+            found = [shingle_set(t, width) for t in utf8(batch.column(2))]
+            nodes = pa.array([n for n, _ in found], pa.int64())
+            one = pa.array([majority(h) for _, h in found], pa.int64())
+            two = pa.array([majority((h ^ (h >> np.uint64(33))) * _MIX) for _, h in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, one, two], names=["row", "doc_id", "node", "one", "two"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, sig binary")
+    return docs.select("_sim_row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, doc_id {kind}, node long, one long, two long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows ``node, held`` of the wanted nodes ``node, least``: each one's shingles."""
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
+    """Rows ``node, held`` of the wanted ``node, row``: each one's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingle_set(t, width) for t in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([h.tobytes() for _, h in found], pa.binary())], names=["node", "held"])
-
-    ids = wanted.where("least is not null").select(F.col("least").alias("_least")).distinct()
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    read = own.join(ids, F.col("_id") == F.col("_least"), "left_semi").unionByName(own.where("_id is null"))
-    held = read.select("_text").mapInArrow(run, "node long, held binary")
-    return held.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
-
-
-def _bands(distinct: DataFrame) -> DataFrame:
-    """Rows ``band, part, node``: texts of equal ``band, part`` agree on a band's min-hashes."""
+            held = [shingle_set(t, width)[1].tobytes() for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["node", "held"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    own = docs.select(F.col("_sim_row").alias("row"), F.col(text_col).alias("text"))
+    return own.join(if_small(wanted), "row").select("node", "text").mapInArrow(run, "node long, held binary")
 
-        for batch in batches:
-            parts = [xxhash.xxh3_64_intdigest(sig[at : at + 4 * ROWS]) - (1 << 63) for sig in batch.column(1).to_pylist() for at in range(0, 4 * ROWS * BANDS, 4 * ROWS)]
-            nodes = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)), pa.array(parts, pa.int64()), pa.array(nodes)], names=["band", "part", "node"])
 
-    return distinct.select("node", "sig").mapInArrow(run, "band int, part long, node long")
+def choices(count: int, group: int = GROUP) -> list[list[int]]:
+    """The bits of each choice for so many fingerprints; one choice of none, if a group can hold all."""
+    bits = max(0, ceil(log2(max(1, count / group))))
+    rng = np.random.default_rng(42)
+    return [sorted(rng.choice(BITS, bits, replace=False).tolist()) for _ in range(ceil(log(1 / MISS) / AGREE**bits) if bits else 1)]
 
 
-def _groups(keyed: DataFrame, largest: int) -> DataFrame:
-    """Rows ``band, part, a, b, node`` of groups of several texts, each set of members once; crowded ones cut, each pair of cuts a group."""
-    members = keyed.groupBy("band", "part").agg(F.count("*").alias("n"), F.expr("bit_xor(node)").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y")).where("n > 1")
-    once = members.groupBy("n", "x", "y").agg(F.min(F.struct("band", "part")).alias("k")).select("k.band", "k.part", "n")
-    cuts = F.when(F.col("n") > largest, F.ceil(F.col("n") * 2 / largest).cast("int"))
-    cut = keyed.join(once.withColumn("cuts", cuts), ["band", "part"]).withColumn("own", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
+def _dealt(distinct: DataFrame, chosen: list[list[int]], largest: int) -> DataFrame:
+    """Rows ``choice, part, a, b, node, one, two``; crowded groups are cut, each pair of cuts a group."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    mask = lambda bits, word: F.lit(signed(sum(1 << (b & 63) for b in bits if b >> 6 == word)))
+    parts = [F.xxhash64(F.col("one").bitwiseAND(mask(bits, 0)), F.col("two").bitwiseAND(mask(bits, 1))) for bits in chosen]
+    keyed = distinct.select("node", "one", "two", F.posexplode(F.array(*parts)).alias("choice", "part"))
+    crowded = keyed.groupBy("choice", "part").count().where(F.col("count") > largest).select("choice", "part", F.ceil(F.col("count") * 2 / largest).cast("int").alias("cuts"))
+    cut = keyed.join(crowded, ["choice", "part"], "left").withColumn("own", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
     spread = cut.withColumn("other", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.expr("sequence(0, cuts - 1)"))))
-    return spread.select("band", "part", F.coalesce(F.least("own", "other"), F.lit(0)).alias("a"), F.when(F.col("own").isNotNull(), F.greatest("own", "other")).otherwise(F.lit(0)).alias("b"), "node")
-
-
-def open_pairs(nodes: np.ndarray, components: np.ndarray, sigs: np.ndarray, unlike: list[list[int] | None], few: int) -> set[tuple[int, int]]:
-    """For each text, its ``few`` likeliest pairs with texts of other components that were not found unlike."""
-    out: set[tuple[int, int]] = set()
-    m, least = len(nodes), LEAST_SHARE * sigs.shape[1]
-    if (components == components[0]).all():
-        return out
-    place = {int(v): i for i, v in enumerate(nodes)}
-    columns = np.ascontiguousarray(sigs.T)
-    for first in range(0, m, 256):
-        rows = np.arange(first, min(m, first + 256))
-        same = np.zeros((len(rows), m), np.uint8)
-        for column in columns:
-            same += column[rows, None] == column
-        same[components[rows, None] == components] = 0
-        for i in rows:
-            for other in unlike[i] or []:
-                if other in place:
-                    same[i - first, place[other]] = 0
-        best = np.argpartition(same, m - few, axis=1)[:, m - few :] if few < m else np.broadcast_to(np.arange(m), same.shape)
-        for i, js in zip(rows, best, strict=True):
-            for j in js[same[i - first, js] >= least]:
-                a, b = int(nodes[i]), int(nodes[j])
-                out.add((min(a, b), max(a, b)))
-    return out
-
-
-def _compare(few: int):
-    def run(rows: pa.Table) -> pa.Table:
-        nodes, components = rows.column("node").to_numpy(), rows.column("component").to_numpy()
-        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(len(nodes), -1)
-        pairs = open_pairs(nodes, components, sigs, rows.column("unlike").to_pylist(), few)
-        return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
+    return spread.select("choice", "part", F.coalesce(F.least("own", "other"), F.lit(0)).alias("a"), F.when(F.col("own").isNotNull(), F.greatest("own", "other")).otherwise(F.lit(0)).alias("b"), "node", "one", "two")
+
+
+def open_pairs(nodes: np.ndarray, prints: np.ndarray, order: list[int], components: np.ndarray | None, unlike: list[list[int] | None] | None, few: int) -> tuple[set[tuple[int, int]], list[int]]:
+    """For each text up to ``few`` near ones of other components that were not found unlike, next in turn; and the texts that have more."""
+    near = near_rows(prints, RADIUS, order)
+    pairs: set[tuple[int, int]] = set()
+    more: list[int] = []
+    for i in np.flatnonzero(np.bitwise_count(near).sum(axis=1) > 1):
+        others = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little"))
+        others = others[others != i]
+        if components is not None:
+            others = others[components[others] != components[i]]
+            if unlike[i]:
+                others = others[~np.isin(nodes[others], unlike[i])]
+        if len(others) > few:
+            more.append(int(nodes[i]))
+            others = np.roll(others, -np.searchsorted(others, i))[:few]
+        pairs.update((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))) for j in others)
+    return pairs, more
+
+
+def _compare(chosen: list[list[int]], few: int):
+    """Rows ``u, v`` of a group's pairs; ``v`` is null where ``u`` has more of them."""
+    orders = [[b for b in range(BITS) if b not in bits] + bits for bits in map(list, chosen)]
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_numpy()
+        _, first = np.unique(nodes, return_index=True)
+        rows = rows.take(pa.array(first))
+        prints = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("one", "two")], axis=1)
+        known = "component" in rows.column_names
+        pairs, more = open_pairs(nodes[first], prints, orders[key[0].as_py()], rows.column("component").to_numpy() if known else None, rows.column("unlike").to_pylist() if known else None, few)
+        return pa.table({"u": pa.array([*(a for a, _ in pairs), *more], pa.int64()), "v": pa.array([*(b for _, b in pairs), *([None] * len(more))], pa.int64())})
 
     return run
 
@@ -157,44 +145,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long, alike boolean")
 
 
-def near_components(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, largest: int = LARGEST, few: int = FEW) -> DataFrame:
-    """From ``node, least, sig``, rows ``node, component`` for all that link to another."""
-    grouped = stash(_groups(stash(_bands(distinct)), largest))
-    candidates = grouped.select("node").distinct()
-    sets = stash(_sets(docs, distinct.join(candidates, "node", "left_semi").select("node", "least"), id_col, text_col, width))
-    found, linked = None, None
+def near_components(docs: DataFrame, distinct: DataFrame, text_col: str, width: int, group: int = GROUP, largest: int = LARGEST, few: int = FEW) -> DataFrame:
+    """From ``node, row, one, two``, rows ``node, component`` for all that link to another."""
+    chosen = choices(distinct.count(), group)
+    dealt = _dealt(distinct, chosen, largest)
+    asked = stash(dealt.groupBy("choice", "part", "a", "b").applyInArrow(_compare(chosen, few), "u long, v long").distinct())
+    found = None
     while True:
-        known = distinct.select("node", "sig").join(candidates, "node", "left_semi")
-        if found is None:
-            known = known.withColumn("component", F.col("node")).withColumn("unlike", F.array().cast("array<long>"))
-        else:
-            bad = found.where("not alike")
-            both = bad.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(bad.select(F.col("v").alias("node"), F.col("u").alias("other")))
-            known = known.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(both.groupBy("node").agg(F.collect_list("other").alias("unlike")), "node", "left")
-
-        asked = stash(grouped.join(known, "node").groupBy("band", "part", "a", "b").applyInArrow(_compare(few), "u long, v long").distinct())
-        if asked.isEmpty():
-            break
-        new = stash(_verified(asked, sets))
+        pairs = asked.where("v is not null")
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        sets = stash(_sets(docs, distinct.select("node", "row").join(ends, "node", "left_semi"), text_col, width))
+        new = stash(_verified(pairs, sets))
+        forget(sets)
         found = new if found is None else found.unionByName(new)
         linked = stash(connected_components(found.where("alike"), "u", "v"))
+        more = asked.where("v is null").select(F.col("u").alias("node"))
+        if more.isEmpty():
+            return linked
         few *= 4
-    return linked if linked is not None else distinct.select("node", F.col("node").alias("component")).limit(0)
+        bad = found.where("not alike")
+        both = bad.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(bad.select(F.col("v").alias("node"), F.col("u").alias("other")))
+        known = distinct.select("node").join(more, "node", "left_semi").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(both.groupBy("node").agg(F.collect_set("other").alias("unlike")), "node", "left")
+        asked = stash(dealt.join(known, "node").groupBy("choice", "part", "a", "b").applyInArrow(_compare(chosen, few), "u long, v long").distinct())
+
+
+def _rooted(numbered: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The marks, and rows ``node, component, least`` of the distinct sets; ``least`` is the first row of the set."""
+    marked = stash(marks(numbered, id_col, text_col, width))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = stash(marked.groupBy("node").agg(F.min(rank).alias("least"), F.first("one").alias("one"), F.first("two").alias("two")))
+    linked = near_components(numbered, distinct.select("node", F.col("least.row").alias("row"), "one", "two"), text_col, width)
+    return marked, distinct.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stash(docs.withColumn("_sim_row", F.monotonically_increasing_id()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Rows ``doc_id, node, component_id``: the smallest id among documents linked by similar shingles."""
-    marked = stash(marks(docs, id_col, text_col, width))
-    distinct = stash(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
-    linked = near_components(docs, distinct, id_col, text_col, width)
-    rooted = distinct.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "component").select("node", "component_id")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked, rooted = _rooted(_numbered(chosen), "doc_id", "text", width)
+    smallest = rooted.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.doc_id").alias("component_id"))
+    classes = rooted.select("node", "component").join(smallest, "component").select("node", "component_id")
     return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``docs`` with the document of smallest id from each component; rows without an id all stay."""
-    least = near_duplicates(docs, id_col, text_col, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(least, docs[id_col] == least["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component."""
+    held, own = making_room(docs, "", "_sim")
+    numbered = _numbered(held)
+    marked, rooted = _rooted(numbered, own[id_col], own[text_col], width)
+    kept = stash(rooted.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_sim_row")))
+    forget(marked)
+    return numbered.join(if_small(kept), "_sim_row", "left_semi").drop("_sim_row").toDF(*docs.columns)
