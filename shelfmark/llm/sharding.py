@@ -2,10 +2,11 @@
 
 Rows with equal keys (here: equal texts) are linked; a group stands for all its links, so
 pairs are never formed. Rows start in shards dealt evenly by a hash. In each round every
-group looks at its members' shards and its members propose to move to the open shard that
-holds most of them. A shard accepts as many as it has unlinked rows to give away, in the
-order of groups, the largest first, so that groups move whole where they fit; unlinked rows then fill what
-the moves left. Hence the law ``rows`` holds in each round: counts differ by one at most.
+group looks at its members' shards and its members propose to move to the shard that
+holds most of them. From one shard to another as many rows may go as want the way back, and
+as many more as the target has unlinked rows to give away, in the order of groups, the largest first, so that groups
+move whole where they fit; unlinked rows then fill what the moves left. Hence the law ``rows`` holds
+in each round: counts differ by one at most.
 
 Defined results: a null text counts as an empty one; repeated rows are placed once each;
 a group larger than a shard takes several shards. An empty table gives an empty result.
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfmark.runtime import shuffle_width, stash
+from shelfmark.llm.common import hot_keys, spread_join
+from shelfmark.runtime import forget, shuffle_width, stash
 
 SHARDS = 8
 ROUNDS = 6
@@ -53,35 +55,39 @@ def propagate(linked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     """
     start = ranked(linked.select("row", "key").withColumn("all", F.lit(0)), ["all"], F.struct(F.xxhash64("row"), "row"), "n")
     placed = start.select("row", "key", (F.col("n") % shards).cast("int").alias("shard"))
+    hot = hot_keys(linked, ["key"])
     sizes = linked.groupBy("key").agg(F.count("*").alias("links"))
-    now = stash(placed.join(sizes, "key").select("row", "key", F.xxhash64("key").alias("g"), "links", "shard"))
-    for _ in range(rounds):
+    now = stash(spread_join(placed, sizes, ["key"], hot).select("row", "key", F.xxhash64("key").alias("g"), "links", "shard"))
+    wide = 4 * shuffle_width(now.sparkSession)
+    for turn_of in range(rounds):
         free = {r["shard"]: r["n"] for r in now.where("links = 1").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        opened = [s for s in range(shards) if free.get(s, 0) > 0]
-        if not opened:
-            break
         held = now.where("links > 1").groupBy("g", "key", "links", "shard").agg(F.count("*").alias("n"))
-        turn = F.pmod(F.col("shard") + F.pmod("g", F.lit(shards)), F.lit(shards))  # ties go round the shards by group
-        best = held.where(F.col("shard").isin(opened)).groupBy("g", "key").agg(F.max(F.struct(F.col("n"), turn.alias("turn"), F.col("shard").alias("to"))).alias("best"))
+        turn = F.pmod(F.col("shard") + F.pmod(F.xxhash64("g", F.lit(turn_of)), F.lit(shards)), F.lit(shards))  # ties go round the shards by group and round
+        # every other round looks at shards with unlinked rows to give away alone, else full ones would block their groups
+        opened = [s for s in range(shards) if free.get(s, 0) > 0]
+        targets = opened if opened and turn_of % 2 == 0 else list(range(shards))
+        best = held.where(F.col("shard").isin(targets)).groupBy("g", "key").agg(F.max(F.struct(F.col("n"), turn.alias("turn"), F.col("shard").alias("to"))).alias("best"))
         own = held.join(best.select("g", "key", F.col("best.n").alias("most"), F.col("best.turn").alias("most_turn"), F.col("best.to").alias("to")), ["g", "key"])
         gains = (F.col("shard") != F.col("to")) & ((F.col("n") < F.col("most")) | ((F.col("n") == F.col("most")) & (turn < F.col("most_turn"))))
-        asked = own.where(gains).select("g", "key", "links", F.col("shard").alias("from"), "to", "n")
-        quota = F.element_at(F.array(*[F.lit(free.get(s, 0)) for s in range(shards)]), F.col("to") + 1)
-        # larger size classes first, then in hash order, whole groups until a shard's quota is used up
-        wide = 4 * shuffle_width(now.sparkSession)
+        asked = stash(own.where(gains).select("g", "key", "links", F.col("shard").alias("from"), "to", "n"))
+        wish = {(r["from"], r["to"]): r["n"] for r in asked.groupBy("from", "to").agg(F.sum("n").alias("n")).collect()}
+        granted_flow = _quotas(wish, free, shards)
+        if not granted_flow:
+            if targets == opened and len(opened) < shards:
+                continue
+            break
+        quota = F.element_at(F.array(*[F.lit(granted_flow.get((s, t), 0)) for s in range(shards) for t in range(shards)]), F.col("from") * shards + F.col("to") + 1)
+        # larger size classes first, then in hash order, whole groups until a flow's quota is used up
         bucketed = asked.withColumn("b", F.pmod("g", F.lit(wide)) - F.floor(F.log2("links")) * wide)
-        firsts = bucketed.groupBy("to", "b").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("to").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-        running = F.coalesce(F.sum("n").over(W.partitionBy("to", "b").orderBy("g", "key", "from").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        granted = bucketed.withColumn("inner", running).join(firsts, ["to", "b"]).withColumn("may", F.least("n", F.greatest(F.lit(0), quota - F.col("before") - F.col("inner"))))
+        firsts = bucketed.groupBy("from", "to", "b").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("from", "to").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
+        running = F.coalesce(F.sum("n").over(W.partitionBy("from", "to", "b").orderBy("g", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        granted = bucketed.withColumn("inner", running).join(firsts, ["from", "to", "b"]).withColumn("may", F.least("n", F.greatest(F.lit(0), quota - F.col("before") - F.col("inner"))))
         granted = stash(granted.where("may > 0").select("g", "key", F.col("from").alias("shard"), "to", "n", "may"))
-        flows = granted.groupBy("shard", "to").agg(F.sum("may").alias("n")).collect()
-        if not flows:
-            break
         gain = [0] * shards
-        for r in flows:
-            gain[r["shard"]] -= r["n"]
-            gain[r["to"]] += r["n"]
-        movers = now.where("links > 1").join(granted.select("key", "shard", "to", "n", "may"), ["key", "shard"], "left")
+        for (source, to), n in granted_flow.items():
+            gain[source] -= n
+            gain[to] += n
+        movers = spread_join(now.where("links > 1"), granted.select("key", "shard", "to", "n", "may"), ["key", "shard"], hot, "left")
         whole = movers.where("may is null or may = n").select("row", "key", "g", "links", F.when(F.col("may").isNotNull(), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         part = ranked(movers.where("may < n"), ["key", "shard"], F.struct(F.xxhash64("row"), "row"), "i")
         part = part.select("row", "key", "g", "links", F.when(F.col("i") < F.col("may"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
@@ -91,10 +97,26 @@ def propagate(linked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         target = _filling(gave, [(s, -gain[s]) for s in lack], shards)
         loose = ranked(now.where("links = 1"), ["shard"], F.struct(F.xxhash64("row"), "row"), "i")
         loose = loose.select("row", "key", "g", "links", target.alias("shard"))
-        now = stash(whole.unionByName(part).unionByName(loose))
+        last, now = now, stash(whole.unionByName(part).unionByName(loose))
+        for done in (last, asked, granted):
+            forget(done)
     return now.select("row", "shard")
 
 
+def _quotas(wish: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> dict[tuple[int, int], int]:
+    """How many rows may go from a shard to another: as many as want the way back, and more while the target has unlinked rows to give away."""
+    out = {}
+    for to in range(shards):
+        left = free.get(to, 0)
+        for source in range(shards):
+            both = min(wish.get((source, to), 0), wish.get((to, source), 0))
+            more = min(left, wish.get((source, to), 0) - both)
+            left -= more
+            if both + more:
+                out[source, to] = both + more
+    return out
+
+
 def _filling(gave: list[tuple[int, int]], lack: list[tuple[int, int]], shards: int) -> Column:
     """Where the unlinked row of rank ``i`` in its shard goes: the first ones of a shard that gained fill the others in turn."""
     out, lack = F.col("shard"), [list(x) for x in lack]
