@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shelfmark.plans.query_spec import QuerySpec, ordered
 from shelfmark.registry import query
 from shelfmark.runtime import shuffle_width, stash
+from shelfmark.sources import tables
 
 DAY = "yyyy-MM-dd"
 
@@ -177,6 +178,33 @@ def _(v):
     return with_columns(v.item, {"path": "bigint", "date_taken": "timestamp", "aggregate": "double", "iso": "int"})
 
 
+@query("a2_media_paths", """SELECT DISTINCT replace(place, '/./', '/') || suffix AS path FROM (SELECT place, unnest(['.JPG', '.html', '.dng']) AS suffix FROM folder) WHERE suffix <> '.html'""")
+def _(v):
+    named = v.folder.select(F.explode(F.array(*[F.concat(x, F.lit(s)) for s in (".JPG", ".html", ".dng") for x in (F.col("place"), F.concat(F.lit("./"), F.col("place")), F.regexp_replace("place", "/", "/.//"))])).alias("path"))
+    return tables.media_paths(named)
+
+
+@query("a5_metadata_lines", """SELECT path, strftime(date_taken, '%Y:%m:%d 00:00:00') AS taken, CASE WHEN path % 3 <> 0 THEN (path % 7 * 100)::DOUBLE END AS iso, aggregate AS f_stop, '1/' || (path % 9 + 1) AS shutter FROM (SELECT path::VARCHAR AS name, * FROM item)""".replace("SELECT path,", "SELECT name AS path,", 1))
+def _(v):
+    taken = F.date_format("date_taken", "yyyy:MM:dd 00:00:00")
+    fields = F.struct(
+        F.col("path").cast("string").alias("SourceFile"), F.when(F.col("path") % 2 == 0, taken).alias("DateTimeOriginal"), taken.alias("CreateDate"), F.when(F.col("path") % 3 != 0, (F.col("path") % 7 * 100).cast("double")).alias("ISO"),
+        F.col("aggregate").alias("FNumber"), F.concat(F.lit("1/"), (F.col("path") % 9 + 1).cast("string")).alias("ExposureTime"),
+    )
+    return tables.parse_metadata(v.item.select(F.to_json(fields).alias("value")))
+
+
+@query("a7_sidecar_texts", """SELECT path, star_rating AS rating, CASE WHEN is_favorite = 1 THEN 'Select' END AS label, CASE WHEN is_rejected = 1 THEN 'kind,rejected' ELSE 'kind' END AS keywords, '2024-01-' || lpad((path % 28 + 1)::VARCHAR, 2, '0') AS dated FROM overlay""")
+def _(v):
+    lead = F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:xmp="u:xmp" xmlns:dc="u:dc" xmlns:rdf="u:rdf">')
+    words = F.concat(F.lit("<dc:subject><rdf:Bag><rdf:li>kind</rdf:li>"), F.when(F.col("is_rejected") == 1, "<rdf:li>rejected</rdf:li>").otherwise(""), F.lit("</rdf:Bag></dc:subject>"))
+    rating = F.when(F.col("star_rating").isNotNull(), F.concat(F.lit("<xmp:Rating>"), F.col("star_rating").cast("string"), F.lit("</xmp:Rating>"))).otherwise("")
+    label = F.when(F.col("is_favorite") == 1, "<xmp:Label>Select</xmp:Label>").otherwise("")
+    dated = F.concat(F.lit("<xmp:MetadataDate>2024-01-"), F.lpad((F.col("path") % 28 + 1).cast("string"), 2, "0"), F.lit("</xmp:MetadataDate>"))
+    texts = v.overlay.select("path", F.concat(lead, rating, label, words, dated, F.lit("</x:xmpmeta>")).alias("x"))
+    return tables.parse_sidecars(texts).withColumn("keywords", F.array_join("keywords", ","))
+
+
 @query("a3_drop_paired_raw", "SELECT file FROM (SELECT 'p' || (path // 2) || CASE path % 4 WHEN 0 THEN '.raw' WHEN 1 THEN '.jpg' WHEN 2 THEN '.raw' ELSE '.png' END AS file FROM item) f WHERE NOT (file LIKE '%.raw' AND regexp_extract(file, '^(.*)\\.', 1) IN (SELECT 'p' || (path // 2) FROM item WHERE path % 4 = 1))")
 def _(v):
     from shelfmark.sources.tables import without_paired_raw

@@ -196,6 +196,14 @@ def _(v):
     return weights.join(v.metric.select(category_of().alias("kind")).distinct(), "kind", "left_semi")
 
 
+@query("g6_whole_weights", """WITH c AS (SELECT category, count(*) AS n FROM item GROUP BY 1), r AS (SELECT category, round(n * (100.0::DOUBLE / sum(n) OVER ()))::BIGINT AS w, row_number() OVER (ORDER BY category DESC) AS k FROM c)
+  SELECT category, CASE WHEN k = 1 THEN 100 - (sum(w) FILTER (k > 1) OVER ())::BIGINT ELSE w END AS weight FROM r""")
+def _(v):
+    counts = v.item.groupBy("category").agg(F.count("*").alias("n"))  # a row a category reaches the driver
+    whole = normalise_weights({r["category"]: r["n"] for r in sorted(counts.collect(), key=lambda r: r["category"])})
+    return v.item.select("category").distinct().select("category", F.element_at(F.create_map(*[F.lit(x) for pair in whole.items() for x in pair]), F.col("category")).cast("bigint").alias("weight"))
+
+
 @query("g7_bulk_rescore", f"SELECT path, round(CASE WHEN kind = 'sharp' THEN score ELSE aggregate END, 9) AS aggregate FROM ({ORACLE_SCORED})")
 def _(v):
     return score(v.scored).select("path", F.round(F.when(F.col("kind") == "sharp", F.col("score")).otherwise(F.col("aggregate")), 9).alias("aggregate"))

@@ -95,6 +95,16 @@ def _split_scene(least: int, most: int):
     return run
 
 
+def widest_gaps(df: DataFrame, group: str, time: str = "captured_at", key: str = "path") -> DataFrame:
+    """Rows ``group, cut, gap``: the row that follows a group's widest gap, of equal gaps the one nearest the group's middle; groups of one row have none."""
+    order = W.partitionBy(group).orderBy(time, key)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    placed = df.select(group, key, (micros - F.lag(micros).over(order)).alias("gap"), (F.row_number().over(order) - 1).alias("at"))
+    sized = placed.join(df.groupBy(group).agg(F.count("*").alias("n")), group).where("gap is not null")
+    best = F.max(F.struct("gap", (-F.abs(F.col("at") - F.col("n") / 2)).alias("near"), (-F.col("at")).alias("early"), F.col(key).alias("cut")))
+    return sized.groupBy(group).agg(best.alias("b")).select(group, "b.cut", "b.gap")
+
+
 def split_scenes(scened: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
     """Rows ``session, path, part``: scenes cut where a label changes and holds, then at their widest gaps while too large. A scene is one bounded group."""
     return scened.select("session", "path", "captured_at", "kind").groupBy("session").applyInPandas(_split_scene(least, most), "session long, path long, part int")
@@ -267,6 +277,12 @@ def _(v):
     return split_scenes(sessions(v.shot, 30 * 60), 3, 40)
 
 
+@query("f25_widest_gap", """WITH g AS (SELECT camera, path, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY camera) AS n, epoch_us(captured_at) - lag(epoch_us(captured_at)) OVER w AS gap FROM shot WINDOW w AS (PARTITION BY camera ORDER BY captured_at, path))
+  SELECT camera, path AS cut, gap FROM g WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY camera ORDER BY gap DESC, abs(pos - n / 2.0), pos) = 1""")
+def _(v):
+    return widest_gaps(v.shot, "camera")
+
+
 @query("i5_scene_summary", f"""SELECT s.session, count(*)::BIGINT AS n, strftime(min(captured_at), '%Y-%m-%d %H:%M:%S') AS began, min_by(path, (-aggregate, path)) AS best, any_value(d.kind) AS dominant FROM ({SCENED}) s
   JOIN (SELECT session, kind, row_number() OVER (PARTITION BY session ORDER BY round(sum(aggregate), 6) DESC, kind) AS rn FROM ({SCENED}) GROUP BY 1, 2) d ON d.session = s.session AND d.rn = 1 GROUP BY 1""")
 def _(v):

@@ -12,10 +12,17 @@ def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(n).cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in wanted.items()])
 
 
+def media_paths(files: DataFrame, suffixes: tuple[str, ...] = MEDIA, column: str = "path") -> DataFrame:
+    """The files of these suffixes, each path once after its ``.`` and empty parts are resolved."""
+    resolved = F.regexp_replace(F.regexp_replace(column, r"(?<=/)(?:\./|/)+", ""), r"^(?:\./)+", "")
+    held = files.withColumn(column, resolved)
+    return held.where(F.lower(F.regexp_extract(column, r"\.([^./]+)$", 1)).isin(*suffixes)).dropDuplicates([column])
+
+
 def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = MEDIA) -> DataFrame:
     """Paths below a folder by suffix, without their content; each once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).dropDuplicates(["path"])
+    return media_paths(files, suffixes)
 
 
 def without_paired_raw(files: DataFrame, column: str = "file", raw: tuple[str, ...] = ("raw", "dng"), developed: tuple[str, ...] = ("jpg", "jpeg")) -> DataFrame:
@@ -35,9 +42,17 @@ def map_by_prefix(df: DataFrame, column: str, targets: dict[str, str]) -> DataFr
     return df.withColumn("target", out).where("target is not null")
 
 
+METADATA = "SourceFile string, DateTimeOriginal string, CreateDate string, ISO double, FNumber double, ExposureTime string"
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A dump of metadata, one JSON object a line; creation time where the original is missing, non-finite numbers as null."""
-    raw = spark.read.schema("SourceFile string, DateTimeOriginal string, CreateDate string, ISO double, FNumber double, ExposureTime string").json(path)
+    return parse_metadata(spark.read.text(path))
+
+
+def parse_metadata(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of the metadata in a column of JSON texts; a text that isn't JSON gives nulls."""
+    raw = lines.select(F.from_json(column, METADATA).alias("m")).select("m.*")
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
     return raw.select(F.col("SourceFile").alias("path"), F.coalesce("DateTimeOriginal", "CreateDate").alias("taken"), finite("ISO").alias("iso"), finite("FNumber").alias("f_stop"), F.col("ExposureTime").alias("shutter"))
 
@@ -53,7 +68,11 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """XML sidecars: rating, label, keywords and date, by path expressions."""
-    texts = spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("x"))
+    return parse_sidecars(spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("x")))
+
+
+def parse_sidecars(texts: DataFrame) -> DataFrame:
+    """Rows ``path, rating, label, keywords, dated`` from ``path`` and the XML text ``x``."""
     one = lambda tag: f"//*[local-name()='{tag}']/text()"
     return texts.select(
         "path", F.xpath_string("x", F.lit(one("Rating"))).try_cast("int").alias("rating"), F.nullif(F.xpath_string("x", F.lit(one("Label"))), F.lit("")).alias("label"),
