@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.runtime import shuffle_width
+from shelfmark.runtime import shuffle_width, stash
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +82,8 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     """
     bound = max(FEW_ROWS, rows.count() // (4 * shuffle_width(rows.sparkSession)))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > bound)
-    hot = counts.select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
-    held = hot.collect()
-    return rows.sparkSession.createDataFrame(held, hot.schema) if held else None
+    hot = stash(counts.select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts")))
+    return None if hot.isEmpty() else hot
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
