@@ -11,7 +11,7 @@ from shelfmark.functions.scalars import season, short_id
 from shelfmark.operators.browse import top_per_group
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.predicates import co_appearing
-from shelfmark.operators.similarity import cosine_pairs
+from shelfmark.operators.similarity import ALIKE, REACHED, cosine_pairs
 from shelfmark.plans.query_spec import QuerySpec, composite
 from shelfmark.registry import query
 from shelfmark.runtime import stash
@@ -126,7 +126,9 @@ def _(v):
     return v.item.join(F.broadcast(cut), F.col("aggregate") >= F.col("cut")).orderBy(F.desc("aggregate"), "path").limit(50).select("path", "aggregate")
 
 
-@query("n4_visual_story")
+@query("n4_visual_story", f"""WITH RECURSIVE e AS ({ALIKE} 0.33), {REACHED}, s AS (SELECT component, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, component LIMIT 5),
+  t AS (SELECT component, label, count(*) AS k FROM g JOIN s USING (component) JOIN vec ON vec_id = node GROUP BY 1, 2)
+  SELECT component, array_to_string(list(label::VARCHAR ORDER BY k DESC, label)[1:2], ' & ') AS title FROM t GROUP BY 1""")
 def _(v):
     groups = connected_components(cosine_pairs(v.vec, 0.33), "a", "b")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "component").limit(5)

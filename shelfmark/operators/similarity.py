@@ -278,6 +278,9 @@ def hashed(v) -> DataFrame:
 
 H = "SELECT *, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i) END ELSE 0 END))::BIGINT AS hash FROM vec"
 COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+#: From edges e (a, b): g (node, component).
+REACHED = "u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.c), g AS (SELECT node, min(c) AS component FROM r GROUP BY 1)"
+ALIKE = f"SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS cos FROM vec a JOIN vec b ON a.vec_id < b.vec_id AND {COS.format(a='a.embedding', b='b.embedding')} >= "
 
 
 @query("j1_hamming_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INTEGER AS bits FROM ({H}) a JOIN ({H}) b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 17")
@@ -285,7 +288,8 @@ def _(v):
     return hamming_pairs(hashed(v), 17)
 
 
-@query("j1_duplicate_groups")
+@query("j1_duplicate_groups", f"""WITH RECURSIVE h AS ({H}), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 20
+  AND (bit_count(xor(a.hash, b.hash)) <= 16 OR {COS.format(a='a.embedding', b='b.embedding')} >= 0.35)), {REACHED} SELECT node, component FROM g""")
 def _(v):
     return duplicate_groups(hashed(v), 16, 20, 0.35)
 
@@ -367,10 +371,10 @@ def _(v):
     return text.join(near, "doc", "full").select("doc", F.round(0.7 * zero("similarity") + 0.3 * zero("score"), 4).alias("score"))
 
 
-@query("j13_group_paging")
+@query("j13_group_paging", f"WITH RECURSIVE e AS ({ALIKE} 0.3), {REACHED} SELECT component, count(*)::BIGINT AS n FROM g WHERE node % 7 <> 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5('4:' || component), component LIMIT 20")
 def _(v):
     groups = connected_components(cosine_pairs(v.vec, 0.3), "a", "b").where("node % 7 <> 0").groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
-    return groups.orderBy(F.xxhash64("component", F.lit(4)), "component").limit(20)
+    return groups.orderBy(F.md5(F.concat(F.lit("4:"), F.col("component").cast("string")).cast("binary")), "component").limit(20)
 
 
 @query("j14_vector_index", "SELECT vec_id, len(embedding)::BIGINT AS dim FROM vec WHERE len(embedding) = 64")
@@ -383,7 +387,10 @@ def _(v):
     return mmr(v.vec.select("label", F.col("vec_id").alias("path"), "embedding", ((F.col("vec_id") % 10) / 10).alias("score")), "label", 8, 0.6)
 
 
-@query("k1_density_clusters")
+@query("k1_density_clusters", f"""WITH RECURSIVE p AS ({ALIKE} 0.3), pairs AS (SELECT a, b, cos FROM p UNION ALL SELECT b, a, cos FROM p), core AS (SELECT a AS core FROM pairs GROUP BY 1 HAVING count(*) + 1 >= 3),
+  e AS (SELECT a, b FROM pairs SEMI JOIN core x ON pairs.a = x.core SEMI JOIN core y ON pairs.b = y.core UNION SELECT core, core FROM core), {REACHED},
+  border AS (SELECT a AS node, arg_min(component, (-cos, b)) AS component FROM pairs JOIN g ON g.node = pairs.b WHERE a NOT IN (SELECT core FROM core) GROUP BY 1)
+  SELECT vec_id, component AS cluster FROM vec LEFT JOIN (SELECT * FROM g UNION ALL SELECT * FROM border) m ON m.node = vec_id""")
 def _(v):
     return density_clusters(v.vec, 0.3, 3)
 
@@ -432,14 +439,15 @@ def _(v):
     return alike.join(rejected, ["a", "b"], "left_anti").select("a", "b", F.round("cosine", 5).alias("cos"))
 
 
-@query("k9_merge_groups")
+@query("k9_merge_groups", f"""WITH RECURSIVE c AS ({CENTRES}), e AS (SELECT a.label AS a, b.label AS b, {COS.format(a='a.centroid', b='b.centroid')} AS cos FROM c a JOIN c b ON a.label < b.label WHERE {COS.format(a='a.centroid', b='b.centroid')} >= 0.05), {REACHED}
+  SELECT component, count(*)::BIGINT AS pairs, round(min(cos), 5) AS low, round(max(cos), 5) AS high FROM e JOIN g ON g.node = e.a GROUP BY 1""")
 def _(v):
     pairs = stash(cosine_pairs(centroids(v.vec).toDF("vec_id", "embedding"), 0.05))
     groups = connected_components(pairs, "a", "b")
     return pairs.join(groups, F.col("a") == F.col("node")).groupBy("component").agg(F.count("*").alias("pairs"), F.round(F.min("cosine"), 5).alias("low"), F.round(F.max("cosine"), 5).alias("high"))
 
 
-@query("k10_merge_chains")
+@query("k10_merge_chains", """WITH RECURSIVE m AS (SELECT vec_id AS s, vec_id - 1 AS d FROM vec WHERE vec_id % 3 <> 0), w AS (SELECT s, d FROM m UNION ALL SELECT w.s, m.d FROM w JOIN m ON m.s = w.d) SELECT s, min(d) AS d FROM w GROUP BY 1""")
 def _(v):
     moved = v.vec.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("src"), F.when(F.col("vec_id") % 3 == 1, F.col("vec_id") - 1).otherwise(F.col("vec_id") - 1).alias("dst"))
     return resolve_chains(moved)
