@@ -12,7 +12,8 @@ Defined results: a null text has no words, so it fails the base rules; a text is
 its own words alone, so copies get the same verdict; a language with all perplexities
 equal keeps these. The model is broadcast while it has at most ``MOST_IN_MEMORY`` n-grams,
 else scores come from a join of the corpus's distinct words with the model.
-An empty table gives an empty result. Column names that clash with the added ones are an error.
+An empty table gives an empty result. A column whose name clashes with an added one, or begins with ``_lm``,
+comes back as ``in_`` and its name; ``keep`` returns all columns under their own names.
 """
 
 from __future__ import annotations
@@ -22,22 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import slices, utf8
-from shelfmark.runtime import stash
+from shelfmark.llm.common import making_room, slices, utf8
+from shelfmark.runtime import forget, stash
 
 ORDER = 4
 #: Of 3.5, 4, 4.5, 5, 6 and 7 what rejects most labelled junk of one half of sf0.1 while at most 1% of its clean texts go.
 FENCE = 5.0
 #: Equal texts' log perplexities differ by rounding.
 ROUNDING = 1e-9
-#: n-grams of a broadcast model: 24 bytes each.
+#: n-grams of a broadcast model: 24 bytes each; both ways score in double precision.
 MOST_IN_MEMORY = 4_000_000
 HELD_WORDS = 150_000
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+ADDED = "n_words word_chars n_symbols n_dup_lines n_repeat_words log_p n_chars_scored perplexity base_failed kept"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_p double, n_chars_scored long"
 
 
@@ -132,7 +135,10 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     backs = parts.groupBy("n", "context").agg(F.first("back").alias("back")).select((F.col("n") - 1).alias("n"), F.col("context").alias("gram"), "back")
     both = scored.join(backs, ["n", "gram"], "full").select("n", "gram", F.log("p").alias("log_p"), F.log("back").alias("log_back"))
     none = F.when(F.col("n") == 0, F.log(F.lit(1.0 / kinds))).otherwise(F.col("log_p"))
-    return stash(both.withColumn("log_p", none))
+    model = stash(both.withColumn("log_p", none))
+    for done in (grams, used, parts):
+        forget(done)
+    return model
 
 
 class HashArrays:
@@ -141,7 +147,7 @@ class HashArrays:
     def __init__(self, rows: pa.Table, order: int):
         self.order, self.levels = order, []
         n, gram = rows.column("n").to_numpy(), rows.column("gram").to_numpy()
-        log_p, back = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in ("log_p", "log_back"))
+        log_p, back = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("log_p", "log_back"))
         for k in range(order + 1):
             own = np.flatnonzero(n == k)
             own = own[np.argsort(gram[own])]
@@ -188,7 +194,11 @@ def _base(text: bytes | None, numbers: dict[bytes, int]) -> tuple[tuple[int, ...
     repeats = 0
     if len(ids) > 3:
         row = np.array(ids, np.int64)
-        _, inverse, count = np.unique((row[:-2] << 42) | (row[1:-1] << 21) | row[2:], return_inverse=True, return_counts=True)
+        if row.max() < 1 << 21:
+            keys = (row[:-2] << 42) | (row[1:-1] << 21) | row[2:]
+        else:  # number the pairs first, so that keys stay exact for any count of words
+            keys = (np.unique((row[:-2] << 31) | row[1:-1], return_inverse=True)[1] << 31) | row[2:]
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
         twice = count[inverse] > 1
         if twice.any():
             held = np.zeros(len(row), bool)
@@ -198,12 +208,12 @@ def _base(text: bytes | None, numbers: dict[bytes, int]) -> tuple[tuple[int, ...
     return (len(words), chars, symbols, len(lines) - len(set(lines)), repeats), ids
 
 
-def measure(docs: DataFrame, model: pa.Table | None, text_col: str = "text", carry: list[str] | None = None, order: int = ORDER) -> DataFrame:
-    """The ``carry`` columns with the metrics; without a model ``log_p`` is zero."""
+def measure(docs: DataFrame, model: Broadcast | None, text_col: str = "text", carry: list[str] | None = None, order: int = ORDER) -> DataFrame:
+    """The ``carry`` columns with the metrics; ``model`` is a broadcast of ``HashArrays``, without it ``log_p`` is zero."""
     carry = list(carry if carry is not None else docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = HashArrays(model, order) if model is not None else None
+        arrays = model.value if model is not None else None
         numbers: dict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         log_p, chars = np.zeros(0), np.zeros(0, np.int64)
@@ -227,11 +237,8 @@ def measure(docs: DataFrame, model: pa.Table | None, text_col: str = "text", car
 
     # a carried text goes to Python once
     at = carry.index(text_col) if text_col in carry else len(carry)
-    chosen = docs.select(*carry) if text_col in carry else docs.select(*carry, F.col(text_col).alias("_text"))
+    chosen = docs.select(*carry) if text_col in carry else docs.select(*carry, F.col(text_col).alias("_lm_text"))
     schema = docs.select(*carry).schema
-    clash = set(schema.names) & {f.split()[0] for f in METRICS.split(", ")}
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     for field in METRICS.split(", "):
         schema = schema.add(*field.split())
     return chosen.mapInArrow(run, schema)
@@ -239,16 +246,16 @@ def measure(docs: DataFrame, model: pa.Table | None, text_col: str = "text", car
 
 def _scored_by_join(docs: DataFrame, model: DataFrame, text_col: str, carry: list[str], order: int) -> DataFrame:
     """For a model too large to broadcast: each distinct word is scored by joins, order by order, then texts add up their words."""
-    rows = stash(measure(docs, None, text_col, [*carry, text_col], order).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stash(measure(docs, None, text_col, list(dict.fromkeys([*carry, text_col])), order).withColumn("_lm_row", F.monotonically_increasing_id()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 held = Counter(text.split()) if text else {}
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(held), pa.int64()), pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["_row", "word", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(held), pa.int64()), pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["_lm_row", "word", "times"])
 
-    used = stash(rows.select("_row", F.col(text_col)).mapInArrow(words, "_row long, word string, times long"))
+    used = stash(rows.select("_lm_row", F.col(text_col)).mapInArrow(words, "_lm_row long, word string, times long"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=4096):
@@ -275,35 +282,42 @@ def _scored_by_join(docs: DataFrame, model: DataFrame, text_col: str, carry: lis
     )
     places = hit.groupBy("word", "at").agg(walk.alias("w")).join(F.broadcast(unseen))
     scored = places.groupBy("word").agg(F.sum(F.col("w.sum") + F.when(F.col("w.done"), 0.0).otherwise(F.col("unseen"))).alias("p"), F.count("*").alias("chars"))
-    total = used.join(scored, "word").groupBy("_row").agg(F.sum(F.col("p") * F.col("times")).alias("_p"), F.sum(F.col("chars") * F.col("times")).alias("_c"))
-    done = rows.drop("log_p", "n_chars_scored").join(total, "_row", "left")
-    return done.select(*carry, *(f.split()[0] for f in METRICS.split(", ")[:-2]), F.coalesce("_p", F.lit(0.0)).alias("log_p"), F.coalesce("_c", F.lit(0)).alias("n_chars_scored"))
+    total = used.join(scored, "word").groupBy("_lm_row").agg(F.sum(F.col("p") * F.col("times")).alias("_lm_p"), F.sum(F.col("chars") * F.col("times")).alias("_lm_c"))
+    done = rows.drop("log_p", "n_chars_scored").join(total, "_lm_row", "left")
+    return done.select(*carry, *(f.split()[0] for f in METRICS.split(", ")[:-2]), F.coalesce("_lm_p", F.lit(0.0)).alias("log_p"), F.coalesce("_lm_c", F.lit(0)).alias("n_chars_scored"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, order: int = ORDER, fence: float = FENCE, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
-    """The ``carry`` columns with metrics, ``perplexity`` (null without words), ``base_failed`` and ``kept``."""
-    carry = list(carry if carry is not None else docs.columns)
-    if "_lang" in carry:
-        raise ValueError("columns exist already: ['_lang']")
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, order: int = ORDER, fence: float = FENCE, most_in_memory: int = MOST_IN_MEMORY, again: bool = False) -> DataFrame:
+    """The ``carry`` columns with metrics, ``perplexity`` (null without words), ``base_failed`` and ``kept``.
+
+    ``again`` scores rows again once the bands are known, rather than write what they carry.
+    """
+    docs, names = making_room(docs, ADDED, "_lm")
+    carry, text_col, lang_col = [names[c] for c in (carry if carry is not None else names)], names[text_col], names[lang_col]
     model = kneser_ney(count_grams(docs, text_col, order), order)
-    with_lang = docs.withColumn("_lang", F.col(lang_col).cast("string"))
-    if model.count() <= most_in_memory:
-        scored = measure(with_lang, model.toArrow(), text_col, [*carry, "_lang"], order)
-    else:
-        scored = _scored_by_join(with_lang, model, text_col, [*carry, "_lang"], order)
-    scored = stash(scored.withColumn("perplexity", F.when(F.col("n_chars_scored") > 0, F.exp(-F.col("log_p") / F.col("n_chars_scored")))))
-    known = scored.where("perplexity is not null").select(F.col("_lang").alias("_of"), F.log("perplexity").alias("_x"))
-    middles = known.groupBy("_of").agg(F.percentile_approx("_x", 0.5, 10000).alias("_m"))
-    apart = known.join(middles.withColumnRenamed("_of", "_its"), F.col("_of").eqNullSafe(F.col("_its"))).select("_of", "_m", F.abs(F.col("_x") - F.col("_m")).alias("_d"))
-    spreads = apart.groupBy("_of").agg(F.first("_m").alias("_m"), (fence * F.percentile_approx("_d", 0.5, 10000) + ROUNDING).alias("_w"))
-    bands = spreads.select("_of", (F.col("_m") - F.col("_w")).alias("_low"), (F.col("_m") + F.col("_w")).alias("_high"))
+    with_lang = docs.withColumn("_lm_lang", F.col(lang_col).cast("string"))
+    small = model.count() <= most_in_memory
+    arrays = docs.sparkSession.sparkContext.broadcast(HashArrays(model.toArrow(), order)) if small else None
+
+    def scored_rows(columns: list[str]) -> DataFrame:
+        rows = measure(with_lang, arrays, text_col, columns, order) if arrays is not None else _scored_by_join(with_lang, model, text_col, columns, order)
+        return rows.withColumn("perplexity", F.when(F.col("n_chars_scored") > 0, F.exp(-F.col("log_p") / F.col("n_chars_scored"))))
+
+    again = again and arrays is not None
+    first = stash(scored_rows(["_lm_lang"]).select("_lm_lang", "perplexity") if again else scored_rows([*carry, "_lm_lang"]))
+    scored = scored_rows([*carry, "_lm_lang"]) if again else first
+    known = first.where("perplexity is not null").select(F.col("_lm_lang").alias("_lm_of"), F.log("perplexity").alias("_lm_x"))
+    middles = known.groupBy("_lm_of").agg(F.percentile_approx("_lm_x", 0.5, 10000).alias("_lm_m"))
+    apart = known.join(middles.withColumnRenamed("_lm_of", "_lm_its"), F.col("_lm_of").eqNullSafe(F.col("_lm_its"))).select("_lm_of", "_lm_m", F.abs(F.col("_lm_x") - F.col("_lm_m")).alias("_lm_d"))
+    spreads = apart.groupBy("_lm_of").agg(F.first("_lm_m").alias("_lm_m"), (fence * F.percentile_approx("_lm_d", 0.5, 10000) + ROUNDING).alias("_lm_w"))
+    bands = spreads.select("_lm_of", (F.col("_lm_m") - F.col("_lm_w")).alias("_lm_low"), (F.col("_lm_m") + F.col("_lm_w")).alias("_lm_high"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.log("perplexity").between(F.col("_low"), F.col("_high"))
+    inside = F.log("perplexity").between(F.col("_lm_low"), F.col("_lm_high"))
     # a row for each language; beyond the session's broadcast bound Spark joins it by shuffle
-    judged = scored.join(bands, scored["_lang"].eqNullSafe(bands["_of"]), "left").withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("_lang", "_of", "_low", "_high")
+    judged = scored.join(bands, scored["_lm_lang"].eqNullSafe(bands["_lm_of"]), "left").withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("_lm_lang", "_lm_of", "_lm_low", "_lm_high")
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules and bands keep."""
-    return judge(docs, text_col, lang_col).where("kept").select(docs.columns)
+    return judge(docs, text_col, lang_col, again=True).where("kept").select(*making_room(docs, ADDED, "_lm")[1].values()).toDF(*docs.columns)

@@ -349,6 +349,70 @@ def test_model_is_a_distribution_and_joins_agree(docs):
     assert np.allclose(one["perplexity"].fillna(0), two["perplexity"].fillna(0), rtol=1e-4)
 
 
+def plain_kneser_ney(texts, order):
+    """A function of (context, character) from n-gram counts by plain loops."""
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for t in texts:
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t):
+            padded = "<" * (order - 1) + w + ">"
+            for at in range(order - 1, len(padded)):
+                for n in range(1, order + 1):
+                    counts[n][padded[at - n + 1 : at + 1]] += 1
+    used = [None, *({g: len({h for h in counts[n + 1] if h[1:] == g}) for g in counts[n]} for n in range(1, order)), dict(counts[order])]
+    cuts, totals, freed = [None], [None], [None]
+    for n in range(1, order + 1):
+        n1, n2, n3, n4 = (sum(c == k for c in used[n].values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw)]
+        cuts.append({g: d[min(c, 3) - 1] for g, c in used[n].items()})
+        totals.append(collections.Counter())
+        freed.append(collections.Counter())
+        for g, c in used[n].items():
+            totals[n][g[:-1]] += c
+            freed[n][g[:-1]] += cuts[n][g]
+    kinds = len(used[1]) + 1
+
+    def probability(gram):
+        n = len(gram)
+        if not n:
+            return 1 / kinds
+        context = gram[:-1]
+        if context not in totals[n]:
+            return probability(gram[1:])
+        own = (used[n][gram] - cuts[n][gram]) / totals[n][context] if gram in used[n] else 0.0
+        return own + freed[n][context] / totals[n][context] * probability(gram[1:])
+
+    return probability, [g for g in used[1]]
+
+
+def test_perplexity_and_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    held = [(i, " ".join(rng.choice(EN.split() + ["é😀x", "aa", "b"], 60)), "en") for i in range(20)] + [(20 + i, " ".join(rng.choice(FR.split(), 55)), None) for i in range(9)]
+    held += [(40, " ".join("qzx" + "".join(rng.choice(list("#*vkj"), 5)) for _ in range(60)), "en"), (41, None, "en"), (42, "", None), (43, "one two", "en")]
+    probability, characters = plain_kneser_ney([t or "" for _, t, _ in held], quality.ORDER)
+    for context in ("<<<", "<th", "the", "zzz", "he>"):
+        assert sum(probability(context + c) for c in [*characters, "?"]) == pytest.approx(1)
+    want, logs = {}, collections.defaultdict(list)
+    for i, t, lang in held:
+        terms = [probability(padded[at - quality.ORDER + 1 : at + 1]) for w in (t or "").split() for padded in ["<" * (quality.ORDER - 1) + w + ">"] for at in range(quality.ORDER - 1, len(padded))]
+        want[i] = -np.mean(np.log(terms)) if terms else None
+        if terms:
+            logs[lang].append(want[i])
+    middle = lambda x: sorted(x)[-(-len(x) // 2) - 1]
+    centre = {lang: middle(x) for lang, x in logs.items()}
+    spread = {lang: quality.FENCE * middle([abs(y - centre[lang]) for y in x]) + quality.ROUNDING for lang, x in logs.items()}
+    df = spark.createDataFrame(held, "doc_id long, text string, lang string")
+    for most in (quality.MOST_IN_MEMORY, 0):
+        got = {r["doc_id"]: r for r in quality.judge(df, most_in_memory=most).collect()}
+        for i, _, lang in held:
+            assert (got[i]["perplexity"] is None) == (want[i] is None)
+            if want[i] is not None:
+                assert np.log(got[i]["perplexity"]) == pytest.approx(want[i], abs=1e-9)
+            assert got[i]["kept"] == (not got[i]["base_failed"] and abs(want[i] - centre[lang]) <= spread[lang])
+        assert not got[40]["kept"] and not got[40]["base_failed"]
+
+
 def test_gibberish_falls_out_of_its_band(spark):
     rng = np.random.default_rng(6)
     good = [(i, " ".join(rng.permutation((EN * 3).split())), "en") for i in range(60)]
