@@ -15,17 +15,19 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.llm.common import crc_of_id, slices, utf8
+from shelfmark.runtime import stash
 
 DIMENSIONS = 1024
 ORDER = 3
 UNKNOWN = "und"
-#: Languages of one model: prototypes are broadcast, 8 kB each.
+#: Languages compared at once: prototypes are broadcast, 8 kB each. More of them are compared part by part.
 MOST_LANGUAGES = 2000
 CACHED_GRAMS = 32_768
 
@@ -93,8 +95,8 @@ def _profiles(dimensions: int, order: int) -> Profiles:
     return _PROFILES[dimensions, order]
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER) -> dict[str, np.ndarray]:
-    """A prototype for each language of ``docs``; one vector a language reaches the driver."""
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER) -> DataFrame:
+    """Rows ``lang, value``: a prototype for each language of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = _profiles(dimensions, order), {}
@@ -111,14 +113,11 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
 
     taught = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     parts = taught.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    rows = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", "v.value").limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {r["lang"]: np.array(r["value"]) for r in sorted(rows, key=lambda r: r["lang"])}
+    return parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value").alias("value"))
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of ``docs`` with ``lang_pred`` and ``score`` (cosine, at least 0)."""
+    """The ``carry`` columns of ``docs`` with ``lang_pred`` and ``score`` (cosine)."""
     carry = list(carry if carry is not None else [c for c in docs.columns if c != text_col])
     names = [n for n, v in prototypes.items() if np.any(v)]
     matrix = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), dimensions)
@@ -138,7 +137,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 cosines = matrix @ vector / size
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
-                scores.append(min(1.0, max(0.0, float(cosines[best]))))
+                scores.append(float(cosines[best]))
             arrays = [*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, "lang_pred", "score"])
 
@@ -146,8 +145,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return chosen.mapInArrow(run, chosen.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def _held(prototypes: DataFrame) -> dict[str, np.ndarray]:
+    return {r["lang"]: np.array(r["value"]) for r in sorted(prototypes.collect(), key=lambda r: r["lang"])}
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """Rows ``doc_id, held_out, lang_pred, score``: learned on two thirds of the ids, predicted for all rows."""
     marked = docs.select(F.col(id_col).alias("doc_id"), "text", "lang", (F.coalesce(crc_of_id(id_col), F.lit(0)) % 3 == 1).alias("held_out"))
-    prototypes = learn(marked.where("not held_out"))
-    return predict(marked, prototypes, carry=["doc_id", "held_out"])
+    prototypes = stash(learn(marked.where("not held_out")))
+    parts = -(-2 * count // most_languages) if (count := prototypes.count()) > most_languages else 1
+    if parts == 1:
+        found = predict(marked, _held(prototypes), carry=["doc_id", "held_out"])
+    else:
+        numbered = stash(marked.withColumn("row", F.monotonically_increasing_id()))
+        held = (_held(prototypes.where(F.pmod(F.xxhash64("lang"), F.lit(parts)) == k)) for k in range(parts))
+        each = [predict(numbered, some, carry=["row", "doc_id", "held_out"]) for some in held if some]
+        best = reduce(DataFrame.unionByName, each).groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "lang_pred", "doc_id", "held_out")).alias("b"))
+        found = best.select("b.doc_id", "b.held_out", "b.lang_pred", (-F.col("b.minus")).alias("score"))
+    return found.select("doc_id", "held_out", "lang_pred", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))

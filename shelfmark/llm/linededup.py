@@ -15,7 +15,8 @@ original offsets (code points, the end exclusive) are kept.
 Defined results: a null text stays null and has no words; repeated rows repeat their units, so
 the first row keeps them; a text may become empty; an occurrence that overlaps the earliest one
 in the same row goes from the end of that on; texts of fewer words than a unit stay. An empty
-table gives an empty result. Null ids rank last. Names that begin with ``_line`` are reserved.
+table gives an empty result. Null ids rank last. A column named ``removed``, or whose name begins with
+``_line``, comes back as ``in_`` and its name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import Numbers, slices, utf8
+from shelfmark.llm.common import Numbers, making_room, slices, utf8
 from shelfmark.runtime import shuffle_width, stash
 
 PARAGRAPH, REACH = 42, 10
@@ -141,8 +142,8 @@ def _cut(text: str, gone: list[dict[str, int]]) -> tuple[str, list[dict[str, int
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraph: int = PARAGRAPH, reach: int = REACH) -> DataFrame:
     """``docs`` with the cleaned text and ``removed``: an array of (start, end) in the original text."""
-    if clash := {c for c in docs.columns if c.lower().startswith("_line") or c.lower() == "removed"}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs, own = making_room(docs, "removed", "_line")
+    id_col, text_col = own[id_col], own[text_col]
     numbered = stash(docs.withColumn("_line_row", F.monotonically_increasing_id()))
     gone = repeated(numbered, id_col, text_col, paragraph, reach).withColumnsRenamed({"row": "_line_row", "gone": "_line_gone"})
     joined = numbered.join(gone, "_line_row", "left").select(*docs.columns, "_line_gone")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shelfmark.llm.common import slices, utf8
+from shelfmark.llm.common import making_room, slices, utf8
 from shelfmark.runtime import stash
 
 DOMAINS = ("high", "low", "toxic")
@@ -96,12 +96,12 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fit on the labelled documents first in hash order; only their hashed words reach the driver."""
+    """Fit on the labelled documents first in hash order, ``fit_rows`` at most, each id with its least text; only their hashed words reach the driver."""
     worst = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
     classes = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(worst).alias("_mix_class"))
     order = F.xxhash64("_mix_id", F.lit(3))
     drawn = docs.select(F.col(id_col).alias("_mix_id")).where("_mix_id is not null").distinct().join(classes, "_mix_id").orderBy(order, "_mix_id").limit(fit_rows)
-    texts = docs.select(F.col(id_col).alias("_mix_id"), F.col(text_col).alias("_mix_text")).join(stash(drawn), "_mix_id").select("_mix_id", "_mix_class", "_mix_text")
+    texts = docs.select(F.col(id_col).alias("_mix_id"), F.col(text_col).alias("_mix_text")).join(stash(drawn), "_mix_id").groupBy("_mix_id", "_mix_class").agg(F.min("_mix_text").alias("_mix_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -124,8 +124,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def posteriors(docs: DataFrame, model: Classifier, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns with ``_mix_tokens`` and ``_mix_p``."""
     carry = list(carry if carry is not None else docs.columns)
-    if clash := {c for c in carry if c.lower().startswith("_mix")}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +181,8 @@ def with_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Copies are the rate rounded up or down by a hash of the id, so that they keep its mean.
     """
+    docs, own = making_room(docs, "", "_mix")
+    carry, id_col, text_col = [own[c] for c in (carry if carry is not None else own)], own[id_col], own[text_col]
     model = train(docs, labels, id_col, text_col)
     scored = stash(posteriors(docs, model, text_col, carry))
     rate = _rate(fit_rates(scored, targets))
@@ -194,7 +194,7 @@ def with_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with each row as often as its copies say."""
     rated = with_copies(docs, labels, id_col, text_col, targets)
-    return rated.where("_mix_copies > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
+    return rated.where("_mix_copies > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*making_room(docs, "", "_mix")[1].values()).toDF(*docs.columns)
 
 
 def digest(rated: DataFrame) -> DataFrame:
