@@ -22,7 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.common import Numbers, slices, utf8
-from shelfmark.runtime import stash
 
 CAPACITY = 4096
 OPEN_BINS = 128
@@ -125,11 +124,13 @@ class WordIds:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def _pieces(path: str, capacity: int, with_ids: bool):
+def _pieces(path: str, capacity: int, with_ids: bool, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = WordIds(path)
         encoder = _ENCODERS[path]
+        if len(encoder.last) > 1 << 8 * id_bytes:
+            raise ValueError(f"ids of {path} need more than {id_bytes} bytes")
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         for batch in slices(batches, rows=256):
             keys, out = batch.column(0).to_pylist(), {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
@@ -138,7 +139,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 ids += closing
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for name, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
+                    for name, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes() if with_ids else None), strict=True):
                         out[name].append(value)
             arrays = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             if not with_ids:
@@ -148,14 +149,14 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True, id_bytes: int = 4) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32[, ids]``: each document's ids, cut at ``capacity``.
 
-    ``ids`` holds little-endian unsigned 32-bit ids.
+    ``ids`` holds little-endian unsigned ids of ``id_bytes``; ``ids_crc32`` is that of 32-bit ones in any case.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity, with_ids), schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity, with_ids, id_bytes), schema)
 
 
 class OpenBins:
@@ -204,23 +205,23 @@ def _place(capacity: int, most: int, at: int):
     return run
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_a_task: int = ROWS_A_TASK, rows: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; lengths are 1 to ``capacity``.
 
     Pieces are dealt to tasks by a hash and sorted there, so a task that runs again
     places them alike; each task packs on its own, and the count of tasks follows the
-    rows, so that the bins left open at the end stay a small share.
+    rows (``rows``, if their number is known about), so that the bins left open at the end stay a small share.
     """
     order = F.xxhash64(*[F.col(c) for c in pieces.columns if c != "ids"])
-    tasks = max(1, -(-pieces.count() // rows_a_task))
+    tasks = max(1, -(-(pieces.count() if rows is None else rows) // rows_a_task))
     dealt = pieces.withColumn("_deal", order).repartition(tasks, "_deal").sortWithinPartitions("_deal").drop("_deal")
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(_place(capacity, open_bins, dealt.columns.index(length_col)), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack documents; the cut pieces are written once to the shared folder."""
-    return pack(stash(tokenise(docs, tokenizer, id_col, text_col, capacity, with_ids)), capacity=capacity, open_bins=open_bins)
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False, id_bytes: int = 4) -> DataFrame:
+    """Tokenise, cut and pack documents; the pieces go straight from tokenising to their task."""
+    return pack(tokenise(docs, tokenizer, id_col, text_col, capacity, with_ids, id_bytes), capacity=capacity, open_bins=open_bins, rows=docs.count())
 
 
 def sequences(packed: DataFrame) -> DataFrame:
