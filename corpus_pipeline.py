@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates: similarity of the sets of five-word shingles from 0.8."""
+    """One document, that of smallest id, of each group of near-duplicates: SimHash finds them, sets of five-word shingles of a similarity from 0.8 decide."""
     ship(spark)
     return near_texts.keep_one(docs, width=5)
 
@@ -34,9 +34,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their token ids and their places in sequences; ``packing.sequences`` joins them."""
+    """The pieces of all documents with their token ids (of 16 bits) and their places in sequences; ``packing.sequences`` joins them."""
     ship(spark)
-    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True, id_bytes=2)
 
 
 STAGES = [
