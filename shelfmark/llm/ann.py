@@ -4,7 +4,8 @@ The trees are fitted on a bounded sample; every row is indexed. A query walks al
 through one shared priority queue, which opens next the subtree whose boundary lies
 closest, until it has as many leaves as a calibration asks for: exact neighbours of a
 bounded sample of queries show how many leaves reach the wanted recall. Candidates of
-the leaves are ranked by their exact cosine.
+the leaves are ranked by their exact cosine. A leaf of more rows than a group shall hold is cut by a hash, and its
+queries go to each cut, so groups stay bounded where the sample can't carry deeper trees.
 
 Equal vectors are indexed once, with their smallest ids, as many as one result can hold;
 so groups of copies cost one row. Rows are dealt by tree and leaf.
@@ -144,21 +145,25 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         return empty
     shuffled = F.xxhash64("rep", F.lit(11))
     drawn = _matrix(pa.chunked_array(index.orderBy(shuffled, "rep").limit(sample).select("v").toArrow().column(0).chunks).combine_chunks())
-    depth = max(0, min(int(np.log2(max(1, count / leaf))), int(np.log2(max(1, len(drawn) / 16)))))
+    depth = max(0, min(int(np.log2(max(1, count / leaf))), int(np.log2(max(1, len(drawn) / 8)))))
     forest = Forest(_unit(drawn), trees, depth)
     tried = queries.orderBy(shuffled, "rep").limit(calibration).select("rep", "v").toArrow().combine_chunks()
     tried_ids, tried_v = tried.column("rep").to_numpy(), _matrix(tried.column("v").combine_chunks())
     truth = exact_sample(index, tried_v, tried_ids, k + 1).join(index.select("rep", "v"), "rep").select("query", "v").toArrow().combine_chunks()
     most = _leaves_needed(forest, dict(zip(tried_ids.tolist(), _unit(tried_v), strict=True)), truth.column("query").to_numpy(), _unit(_matrix(truth.column("v").combine_chunks())), recall)
     shared = spark.sparkContext.broadcast(forest)
+    cuts = max(1, -(-2 * count // (BLOCK << depth)))
     shift = max(0, depth - max(0, int(np.log2(max(1, count / BLOCK)))))
 
+    def cut_of(ids: pa.Array) -> np.ndarray:
+        return ((ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % cuts
+
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 places = shared.value.leaves(_unit(_matrix(batch.column(1))))
                 for t in range(places.shape[1]):
-                    yield _dealt(batch.column(0), batch.column(1), np.full(len(places), t), places[:, t], False, shift)
+                    yield _dealt(batch.column(0), batch.column(1), np.full(len(places), t), places[:, t], False, shift, cut_of(batch.column(0)))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +172,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 lists = [shared.value.nearest_leaves(v, most) for v in _unit(_matrix(part.column(1)))]
                 own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 flat = np.array([p for x in lists for p in x]).reshape(-1, 2)
-                yield _dealt(part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), flat[:, 0], flat[:, 1], True, shift)
+                for cut in range(cuts):
+                    yield _dealt(part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), flat[:, 0], flat[:, 1], True, shift, np.full(len(flat), cut))
 
-    schema = "tree int, block int, leaf int, asks boolean, rep long, v array<double>"
+    schema = "tree int, block int, cut int, leaf int, asks boolean, rep long, v array<double>"
     dealt = index.select("rep", "v").mapInArrow(indexed, schema).unionByName(queries.select("rep", "v").mapInArrow(routed, schema))
 
     def rerank(table: pa.Table) -> pa.Table:
@@ -183,7 +189,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                     best.setdefault(query, []).append((-score, rep))
         return pa.table(_rows([(query, rep, -minus) for query, near in best.items() for minus, rep in sorted(near)[: k + 1]]))
 
-    near = dealt.groupBy("tree", "block").applyInArrow(rerank, _FOUND)
+    near = dealt.groupBy("tree", "block", "cut").applyInArrow(rerank, _FOUND)
     once = near.groupBy("query", "rep").agg(F.max("score").alias("score"))
     top = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))
     best = once.withColumn("n", top).where(F.col("n") <= k + 1).join(index.select("rep", "ids"), "rep")
@@ -194,9 +200,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return spread.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _dealt(ids: pa.Array, vectors: pa.Array, tree: np.ndarray, leaf: np.ndarray, asks: bool, shift: int) -> pa.RecordBatch:
-    columns = [pa.array(tree, pa.int32()), pa.array(leaf >> shift, pa.int32()), pa.array(leaf, pa.int32()), pa.array(np.full(len(leaf), asks)), ids, vectors]
-    return pa.RecordBatch.from_arrays(columns, names=["tree", "block", "leaf", "asks", "rep", "v"])
+def _dealt(ids: pa.Array, vectors: pa.Array, tree: np.ndarray, leaf: np.ndarray, asks: bool, shift: int, cut: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(tree, pa.int32()), pa.array(leaf >> shift, pa.int32()), pa.array(cut, pa.int32()), pa.array(leaf, pa.int32()), pa.array(np.full(len(leaf), asks)), ids, vectors]
+    return pa.RecordBatch.from_arrays(columns, names=["tree", "block", "cut", "leaf", "asks", "rep", "v"])
 
 
 def _leaves_needed(forest: Forest, queries: dict[int, np.ndarray], owners: np.ndarray, neighbours: np.ndarray, recall: float) -> int:
