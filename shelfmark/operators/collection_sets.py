@@ -58,11 +58,11 @@ def deduplicated(sets: DataFrame, most_shared: float = 0.2) -> DataFrame:
         for a, b in zip(right["a"], right["b"], strict=True):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        kept: list[str] = []
+        kept: set[str] = set()
         for name, _ in sorted(zip(left["a"], left["b"].astype(float), strict=True), key=lambda r: (r[1], r[0])):
-            if not near.get(name, set()) & set(kept):
-                kept.append(name)
-        return pd.DataFrame({"name": kept})
+            if near.get(name, set()).isdisjoint(kept):
+                kept.add(name)
+        return pd.DataFrame({"name": sorted(kept)})
 
     members, edges = members.toDF("component", "a", "b"), edges.toDF("component", "a", "b")
     chosen = members.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(greedy, "name string")

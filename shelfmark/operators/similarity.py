@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,20 +91,22 @@ def nearest(df: DataFrame, query_id: int, k: int, least: float = -1.0, key: str
     return scored.orderBy(F.desc(F.round("similarity", 9)), key).limit(k).drop("q")
 
 
-def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``term, doc, tf, length``."""
-    words = docs.select(F.col(key).alias("doc"), F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "").alias("w"))
-    return words.select("doc", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "doc", "length").agg(F.count("*").alias("tf"))
+def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``doc, w, length``: each text's words in lower case."""
+    split = docs.select(F.col(key).alias("doc"), F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "").alias("w"))
+    return split.withColumn("length", F.size("w"))
 
 
 def text_search(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over prefix terms that all must occur; scores scaled to 0 to 1 among the hits."""
-    index = inverted_index(docs, key)
-    totals = docs.agg(F.count("*").alias("docs")).join(index.select("doc", "length").distinct().agg(F.avg("length").alias("mean")))
+    split = words(docs, key)
+    totals = split.agg(F.count("*").alias("docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
     which = F.lit(None).cast("int")
     for i, term in enumerate(terms):
         which = F.when(F.col("term").startswith(term.lower()), i).otherwise(which)
-    hits = index.withColumn("q", which).where("q is not null").groupBy("doc", "length", "q").agg(F.sum("tf").alias("tf"))
+    # only the words asked for leave their text
+    asked = F.filter("w", lambda w: reduce(lambda x, y: x | y, [w.startswith(term.lower()) for term in terms], F.lit(False)))
+    hits = split.select("doc", "length", F.explode(asked).alias("term")).groupBy("doc", "length", which.alias("q")).agg(F.count("*").alias("tf"))
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
