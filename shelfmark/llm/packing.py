@@ -55,9 +55,9 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.number = Numbers()
         self.flat, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -100,7 +100,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.number) > CACHED_WORDS:
-            self._clear()
+            self.clear()
         get, out = self.number.__getitem__, [b""] * len(texts)
         simple, numbers, sizes = [], [], []
         for k, text in enumerate(texts):
@@ -132,19 +132,22 @@ def _pieces(path: str, capacity: int, with_ids: bool, id_bytes: int):
         if len(encoder.last) > 1 << 8 * id_bytes:
             raise ValueError(f"ids of {path} need more than {id_bytes} bytes")
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
-        for batch in slices(batches, rows=256):
-            keys, out = batch.column(0).to_pylist(), {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            texts = [b.decode() if b else "" for b in utf8(batch.column(1))]
-            for key, ids in zip(keys, encoder.encode(texts), strict=True):
-                ids += closing
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes() if with_ids else None), strict=True):
-                        out[name].append(value)
-            arrays = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            if not with_ids:
-                out.pop("ids")
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), arrays, strict=False)], names=list(out))
+        try:
+            for batch in slices(batches, rows=256):
+                keys, out = batch.column(0).to_pylist(), {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
+                texts = [b.decode() if b else "" for b in utf8(batch.column(1))]
+                for key, ids in zip(keys, encoder.encode(texts), strict=True):
+                    ids += closing
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for name, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes() if with_ids else None), strict=True):
+                            out[name].append(value)
+                arrays = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                if not with_ids:
+                    out.pop("ids")
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), arrays, strict=False)], names=list(out))
+        finally:
+            encoder.clear()  # between tasks a worker keeps the tokenizer alone
 
     return run
 
