@@ -36,7 +36,8 @@ FENCE = 5.0
 ROUNDING = 1e-9
 #: n-grams of a broadcast model: 24 bytes each; both ways score in double precision.
 MOST_IN_MEMORY = 4_000_000
-HELD_WORDS = 150_000
+#: Distinct words that a task scores, or counts, at once; counting takes about a kilobyte a word.
+HELD_WORDS, COUNTED_WORDS = 150_000, 50_000
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +95,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
             for text in utf8(batch.column(0)):
                 if text:
                     words.update(text.split())
-            if len(words) > HELD_WORDS:
+            if len(words) > COUNTED_WORDS:
                 yield _grams(words, order)
                 words.clear()
         if words:
