@@ -23,15 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with a table that outlives a lost executor, and what is
-    read several times is computed once.
+    read several times is computed once. ``partition_by`` gives each value of a column its folder, so that a
+    filter on it reads those files alone; the column then comes last.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held._stash_path = path
     return held

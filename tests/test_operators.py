@@ -78,7 +78,7 @@ def test_cosine_pairs_are_exact(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, j) for i, j in itertools.combinations(range(40), 2) if u[i] @ u[j] >= 0.5}
-    assert {(r["a"], r["b"]) for r in similarity.cosine_pairs(df, 0.5, blocks=3).collect()} == want
+    assert {(r["a"], r["b"]) for r in similarity.cosine_pairs(df, 0.5, block_rows=5).collect()} == want
 
 
 def test_nearest_owner_is_alike_by_broadcast_and_by_blocks(spark):
@@ -86,7 +86,7 @@ def test_nearest_owner_is_alike_by_broadcast_and_by_blocks(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 4)))], "vec_id long, embedding array<double>")
     owners = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(9, 4)))], "owner int, centroid array<double>")
     one = {tuple(r) for r in similarity.nearest_owner(df, owners, 0.3).collect()}
-    assert one and one == {tuple(r) for r in similarity.nearest_owner(df, owners, 0.3, most=0, blocks=3).collect()}
+    assert one and one == {tuple(r) for r in similarity.nearest_owner(df, owners, 0.3, most=0, block_rows=5).collect()}
 
 
 def test_merge_chains_and_cycles(spark):
