@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import ann, langid, license_scan, linededup, merkle, mixing, packing, pii, quality, sharding, simhash
+from shelfmark.llm import ann, langid, license_scan, linededup, merkle, mixing, packing, phrases, pii, quality, sharding, simhash, toxicity
 from shelfmark.llm.common import table
 
 
@@ -57,10 +57,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
@@ -72,6 +80,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }
-ORACLE_SQL: dict[str, str] = {"op9_lines": linededup.oracle(), "op12_merkle": merkle.oracle()}
+ORACLE_SQL: dict[str, str] = {"op9_lines": linededup.oracle(), "op12_merkle": merkle.oracle(), "op13_phrases": phrases.oracle()}
