@@ -2,15 +2,15 @@
 
 The kernel of two strings counts their common subsequences of three letters, each weighed by ``DECAY`` for every letter
 that it skips, in spans of at most ``SPAN`` letters; so an insult with inserted letters or gaps keeps much of its
-likeness. Punctuation is taken out of words first, and letters that stand alone one after another
+likeness. Punctuation is taken out of words first, their ends are marked, and letters that stand alone one after another
 make a word. Landmarks are fragments of words: those that stand in toxic labelled documents far more often than elsewhere, and those of
 clean words that are most like them. A word's features are its kernel values with the landmarks, squared and scaled by the landmark's own
 value, so what stands around an insult doesn't dilute it; a sentence has the largest value of its words for each landmark, and
 the inverse root of the landmarks' own kernel matrix makes these features those of the kernel machine.
 
 A document's label holds for some sentence of it. The machine is trained on labelled sentences: all of clean documents, and of each toxic
-document the one that it rates highest, chosen again until the choice stays. A document's margin is that of its highest sentence, and a
-logistic curve, fitted on documents that the machine has not seen, makes it a score.
+document the one that it rates highest and others that it rates toxic, chosen again until the choice stays. A document's margin is that of its highest sentence, and a
+rising curve, fitted on documents that the machine has not seen, makes it a score.
 
 Spark counts fragments, finds landmarks and rates all documents; the machine itself is fitted on a bounded sample: ``TOXIC_DOCS`` and
 ``CLEAN_DOCS`` labelled documents, those first in hash order, and ``FIT_SENTENCES`` of their sentences.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -35,18 +36,22 @@ from shelfmark.llm.common import Numbers, crc_of_id, slices, utf8
 from shelfmark.runtime import stash
 
 TOXIC_DOCS, CLEAN_DOCS, FIT_SENTENCES = 3000, 6000, 60_000
-#: Of the sampled documents one in so many serves for the logistic curve.
+#: Of the sampled documents one in so many serves for the curve.
 CURVE_PART = 4
-DECAY, SPAN = 0.5, 6
-#: Letters of a fragment; a landmark stands in so many toxic documents, so many standard deviations more than expected.
-SHORTEST, LONGEST, LEAST_DOCS, LEAST_EXCESS = 4, 8, 4, 6.0
+DECAY, SPAN = 0.7, 6
+#: Letters of a fragment, the word's ends among them; a landmark's words stand in so many toxic documents, so many standard deviations more than expected, and this share of their documents is toxic.
+SHORTEST, LONGEST, LEAST_DOCS, LEAST_EXCESS, LEAST_SHARE = 5, 10, 4, 6.0, 0.6
 LANDMARKS, CLEAN_LANDMARKS = 48, 24
 #: Landmarks are less alike than this; scaled kernel values below the floor count as none.
-TOO_ALIKE, FLOOR = 0.75, 0.4
-COST, ROUNDS = 1.0, 6
+TOO_ALIKE, FLOOR = 0.5, 0.45
+COST, ROUNDS = 10.0, 6
+#: What all stretched fragments weigh in the training, for each toxic sentence that is chosen.
+STRETCHED = 0.1
 THRESHOLD = 0.7
 #: Words that a task keeps; bytes of a word that are compared at once, and how far the next such window begins.
 KEPT_WORDS, WINDOW, SHIFT = 300_000, 24, 12
+#: Words that are looked up at once, and bytes of a part of a long text.
+AT_ONCE, PART = 200_000, 1 << 20
 MARK = b"|"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz    ")
 SIGNS = b"\"#$%&'()*+,-/:;<=>@[\\]^_`{|}~"
@@ -62,6 +67,16 @@ def words_of(text: bytes | None) -> list[bytes]:
     return SPELLED.sub(lambda m: m[0].replace(b" ", b""), plain).split()
 
 
+def parts_of(text: bytes | None) -> Iterator[bytes]:
+    """A text whole if it is short, else in parts that end at a blank."""
+    at, text = 0, text or b""
+    while at < len(text):
+        end = len(text) if at + PART >= len(text) else text.find(b" ", at + PART)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 def sentences(text: bytes | None) -> list[list[bytes]]:
     """The words of each sentence, none of them empty."""
     out: list[list[bytes]] = [[]]
@@ -87,10 +102,18 @@ def subsequences(word: bytes) -> dict[bytes, float]:
     return out
 
 
+@cache
+def profile(word: bytes) -> dict[bytes, float]:
+    """The subsequences' weights, scaled to length 1."""
+    weights = subsequences(word)
+    length = max(1e-9, sum(w * w for w in weights.values()) ** 0.5)
+    return {k: w / length for k, w in weights.items()}
+
+
 def likeness(one: bytes, other: bytes) -> float:
     """The kernel of two words, scaled to 1 for equal ones."""
-    a, b = subsequences(one), subsequences(other)
-    return sum(w * b.get(k, 0.0) for k, w in a.items()) / max(1e-9, np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values())))
+    b = profile(other)
+    return sum(w * b[k] for k, w in profile(one).items() if k in b)
 
 
 class Landmarks:
@@ -117,6 +140,7 @@ class Landmarks:
         """The words that are like some landmark, by number, and their features; a bound that only sums leaves most words out."""
         pieces, owner = [], []
         for number, word in enumerate(words):
+            word = b"^" + word + b"$"
             for at in range(0, max(1, len(word) - SHIFT), SHIFT) if len(word) > WINDOW else (0,):
                 pieces.append(word[at : at + WINDOW])
                 owner.append(number)
@@ -171,32 +195,48 @@ class Rater:
         return self.row_of[ids]
 
     def pooled(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the sentences with any likeness: the text's number, the sentence's number there, the features."""
-        texts_of, sentence_of, rows_of = [], [], []
+        """Of the sentences with any likeness: the text's number, the sentence's number, the features."""
+        found, pending, owners, held, sentence = [], [], [], 0, 0
         for number, text in enumerate(texts):
-            words = words_of(text)
-            for at in range(0, len(words), 1 << 18):  # parts of very long texts; sentences are numbered on
-                part = words[at : at + (1 << 18)]
-                rows = self.rows(part)
-                base = sum(1 for w in words[:at] if w == MARK) if at else 0
-                ends = base + np.cumsum(np.fromiter((w == MARK for w in part), bool, len(part)))
-                near = np.flatnonzero(rows)
-                texts_of.append(np.full(len(near), number))
-                sentence_of.append(ends[near])
-                rows_of.append(self.features[rows[near]])
-        if not rows_of or not sum(map(len, rows_of)):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.landmarks.names)), np.float32)
-        text, sentence, values = np.concatenate(texts_of), np.concatenate(sentence_of), np.concatenate(rows_of)
-        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (sentence[1:] != sentence[:-1])])
-        return text[first], sentence[first], np.maximum.reduceat(values, first, axis=0)
+            sentence += 1
+            for part in parts_of(text):
+                pending.append(words_of(part))
+                owners.append(number)
+                held += len(pending[-1])
+                if held >= AT_ONCE:
+                    found.append(self._pooled(pending, owners, sentence))
+                    pending, owners, held, sentence = [], [], 0, found[-1][3]
+        found.append(self._pooled(pending, owners, sentence))
+        text, ends, values = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if not len(text):
+            return text, ends, values
+        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (ends[1:] != ends[:-1])])
+        return text[first], ends[first], np.maximum.reduceat(values, first, axis=0)
+
+    def _pooled(self, lists: list[list[bytes]], owners: list[int], sentence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Words with any likeness: their text, sentence and features; sentences are numbered on from ``sentence``, which is also the last number then."""
+        words = [w for words in lists for w in words]
+        rows = self.rows(words)
+        near = np.flatnonzero(rows)
+        ends = sentence + np.cumsum(np.fromiter((w == MARK for w in words), np.int64, len(words)))
+        owner = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
+        return owner[near], ends[near], self.features[rows[near]], int(ends[-1]) if len(ends) else sentence
+
+
+def stretched_words(fragment: bytes) -> list[bytes]:
+    """A fragment's letters as words, each with one strange letter inside: what an insult that was stretched to get past a filter looks like."""
+    letters = fragment.strip(b"^$")
+    return [letters[:at] + b"\x7f" + letters[at:] for at in range(1, len(letters))]
 
 
 class Machine:
-    """A margin ``features @ weights + bias`` and the logistic curve that makes it a score; without landmarks a constant."""
+    """A margin ``features @ weights + bias`` and the rising curve that makes it a score; without landmarks a constant."""
 
-    def __init__(self, landmarks: list[bytes], share: float):
-        self.landmarks = Landmarks(landmarks) if landmarks else None
-        self.weights, self.bias, self.slope, self.shift, self.share = np.zeros(len(landmarks)), 0.0, 0.0, 0.0, share
+    def __init__(self, toxic: list[bytes], clean: list[bytes], share: float):
+        landmarks, self.n_toxic = [*toxic, *clean], len(toxic)
+        self.landmarks = Landmarks(landmarks) if toxic else None
+        self.weights, self.bias, self.share = np.zeros(len(landmarks)), 0.0, share
+        self.knots, self.levels = np.zeros(1), np.full(1, share)
 
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ self.weights + self.bias
@@ -204,29 +244,31 @@ class Machine:
     def scores(self, margins: np.ndarray) -> np.ndarray:
         if self.landmarks is None:
             return np.full(len(margins), self.share)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
+        even = 1 / (1 + np.exp(-np.clip(margins, -40, 40)))  # a little of the margin itself keeps the order within a step
+        return 0.98 * np.interp(margins, self.knots, self.levels) + 0.02 * even
 
     def fit(self, docs: np.ndarray, toxic: np.ndarray, features: np.ndarray, blank_clean: int) -> None:
-        """Squared hinge loss by Newton steps; each toxic document's highest sentence is chosen anew in each round.
+        """Squared hinge loss by Newton steps; the toxic sentences of toxic documents are chosen anew in each round, one at least of each.
 
         ``docs`` numbers each sentence's document; ``blank_clean`` clean sentences have no likeness at all.
         """
         values, vectors = np.linalg.eigh(self.landmarks.gram)
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        x = np.vstack([features @ root, np.zeros((1, features.shape[1]))])
+        stretched = self.landmarks.values([w for n in self.landmarks.names[: self.n_toxic] for w in stretched_words(n)])[1]
+        x = np.vstack([features @ root, np.zeros((1, features.shape[1])), stretched @ root])
         x = np.hstack([x, np.ones((len(x), 1))])
-        rating, chosen = features.sum(axis=1), None
+        blank, more = len(features), np.arange(len(features) + 1, len(x))
+        rating, chosen = features[:, : self.n_toxic].max(axis=1, initial=0.0) - 0.5, None
         for _ in range(ROUNDS):
             order = np.lexsort((-rating, docs))
             first = order[np.r_[True, docs[order][1:] != docs[order][:-1]]] if len(order) else order
-            witness = np.sort(first[toxic[first]])
+            witness = np.union1d(first[toxic[first]], np.flatnonzero(toxic & (rating > 0)))
             if chosen is not None and np.array_equal(chosen, witness):
                 break
             chosen = witness
-            used = np.r_[np.flatnonzero(~toxic), witness, len(x) - 1]
-            sign = np.r_[-np.ones(int((~toxic).sum())), np.ones(len(witness)), -1.0]
-            cost = np.full(len(used), COST)
-            cost[-1] = COST * blank_clean
+            used = np.r_[np.flatnonzero(~toxic), witness, more, blank]
+            sign = np.r_[-np.ones(int((~toxic).sum())), np.ones(len(witness) + len(more)), -1.0]
+            cost = np.r_[np.full(len(used) - 1 - len(more), COST), np.full(len(more), COST * STRETCHED * len(witness) / max(1, len(more))), COST * blank_clean]
             w, ridge = np.zeros(x.shape[1]), np.r_[np.ones(x.shape[1] - 1), 1e-6]
             for _ in range(50):
                 slack = 1 - sign * (x[used] @ w)
@@ -240,18 +282,20 @@ class Machine:
             rating = self.margins(features)
 
     def curve(self, margins: np.ndarray, toxic: np.ndarray) -> None:
-        """A logistic curve by Newton steps, with targets a little inside 0 and 1."""
-        n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-        target = np.where(toxic, (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2))
-        x = np.stack([margins, np.ones(len(margins))], axis=1)
-        w = np.zeros(2)
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6]), x.T @ (p - target) + np.array([1e-3, 1e-6]) * w)
-            w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-            if np.abs(step).max() < 1e-9:
-                break
-        self.slope, self.shift = max(0.0, float(w[0])), float(w[1])
+        """The rising step function nearest to the labels: neighbours that fall are pooled; between steps the score rises evenly."""
+        order = np.argsort(margins, kind="stable")
+        steps: list[list[float]] = []  # sum of labels, rows, lowest and highest margin
+        for m, t in zip(margins[order].tolist(), toxic[order].tolist(), strict=True):
+            if steps and m == steps[-1][3]:
+                steps[-1] = [steps[-1][0] + t, steps[-1][1] + 1, steps[-1][2], m]
+            else:
+                steps.append([float(t), 1.0, m, m])
+            while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
+                s, n, _, high = steps.pop()
+                steps[-1] = [steps[-1][0] + s, steps[-1][1] + n, steps[-1][2], high]
+        found = [((s + 0.5) / (n + 1), low, high) for s, n, low, high in steps]
+        self.knots = np.array([m for _, low, high in found for m in (low, high)])
+        self.levels = np.maximum.accumulate(np.array([v for v, _, _ in found for _ in (0, 1)]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -279,27 +323,28 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return texts.select("_id", "_text", "toxic", curve.alias("curve")).mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, toxic boolean, curve boolean, sentence long, words array<string>")
 
 
-def choose_landmarks(held: DataFrame) -> list[bytes]:
+def choose_landmarks(held: DataFrame) -> tuple[list[bytes], list[bytes]]:
     """Fragments that mark toxic documents, and the clean ones that are most like them. Spark counts all fragments; a few thousand at most are compared here."""
     seen = held.where("not curve").select("doc", "toxic", F.explode("words").alias("word")).distinct()
+    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     words = stash(seen.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")))
     totals = held.where("not curve").groupBy("toxic").agg(F.count_distinct("doc").alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in totals}
     if len(n) < 2:
-        return []
+        return [], []
     share = n[True] / (n[True] + n[False])
     cut = F.expr(f"explode(flatten(transform(sequence({SHORTEST}, {LONGEST}), k -> transform(filter(sequence(1, greatest(1, length(word) - k + 1)), i -> i + k - 1 <= length(word)), i -> substr(word, i, k)))))")
     expected = (F.col("t") + F.col("c")) * share
     excess = (F.col("t") - expected) / F.sqrt(expected * (1 - share) + 0.3)
-    counted = words.select("t", "c", cut.alias("part")).groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("excess", excess)
-    found = counted.where((F.col("t") >= LEAST_DOCS) & (F.col("excess") >= LEAST_EXCESS)).orderBy(F.round("excess", 6).desc(), F.length("part").desc(), "part").limit(2000).collect()
+    counted = words.withColumn("word", marked).select("t", "c", cut.alias("part")).groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("excess", excess)
+    found = counted.where((F.col("t") >= LEAST_DOCS) & (F.col("excess") >= LEAST_EXCESS) & (F.col("t") >= LEAST_SHARE * (F.col("t") + F.col("c")))).orderBy(F.round("excess", 6).desc(), F.length("part").desc(), "part").limit(2000).collect()
     chosen: list[bytes] = []
     for row in found:
         part = row["part"].encode()
         if len(chosen) < LANDMARKS and all(likeness(part, other) < TOO_ALIKE for other in chosen):
             chosen.append(part)
     if not chosen:
-        return []
+        return [], []
     marks = Landmarks(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,20 +353,20 @@ def choose_landmarks(held: DataFrame) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), pa.array(values.max(axis=1).astype(np.float64))], names=["word", "like"])
 
     clean = words.where("t = 0 and c >= 2").select("word").mapInArrow(run, "word string, like double").orderBy(F.round("like", 6).desc(), "word").limit(500).collect()
+    near: list[bytes] = []
     for row in clean:
-        word = row["word"].encode()[:WINDOW]
-        if len(chosen) < len(marks.names) + CLEAN_LANDMARKS and all(likeness(word, other) < TOO_ALIKE for other in chosen):
-            chosen.append(word)
-    return chosen
+        word = (b"^" + row["word"].encode() + b"$")[:WINDOW]
+        if len(near) < CLEAN_LANDMARKS and all(likeness(word, other) < TOO_ALIKE for other in near):
+            near.append(word)
+    return chosen, near
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> Machine:
     """The machine fitted on the sample of labelled sentences."""
     held = stash(sample(docs, labels, id_col, text_col, **bounds))
     kinds = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count_distinct("doc").alias("n")).collect()}
-    names = choose_landmarks(held)
-    machine = Machine(names, kinds.get(True, 0) / max(1, sum(kinds.values())))
-    if not names:
+    machine = Machine(*choose_landmarks(held), kinds.get(True, 0) / max(1, sum(kinds.values())))
+    if machine.landmarks is None:
         return machine
     shared = docs.sparkSession.sparkContext.broadcast(machine.landmarks)
 
@@ -334,7 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rated = stash(held.mapInArrow(run, held.drop("words").schema.add("features", T.ArrayType(T.FloatType()))))
     drawn = rated.orderBy(F.xxhash64("doc", "sentence"), "doc", "sentence").limit(FIT_SENTENCES).toArrow().sort_by([("doc", "ascending"), ("sentence", "ascending")])
-    features = drawn.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(names)).astype(float)
+    features = drawn.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(machine.weights)).astype(float)
     docs_of = drawn.column("doc").combine_chunks().dictionary_encode().indices.to_numpy()
     toxic, curve = (drawn.column(c).to_numpy().astype(bool) for c in ("toxic", "curve"))
     blank = held.where("not toxic and not curve").count() - int((~toxic & ~curve).sum())
@@ -366,7 +411,7 @@ def rate(docs: DataFrame, machine: Machine, text_col: str = "text", carry: list[
             scores = machine.scores(margins)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=[*carry, "score", "predicted"])
 
-    schema = docs.select(*carry).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*carry).schema.add("score", "double").add("predicted", "integer")
     return docs.select(*carry, F.col(text_col).alias("_toxicity_text")).mapInArrow(run, schema)
 
 
