@@ -24,9 +24,9 @@ An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,7 @@ MARK = b"|"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz    ")
 SIGNS = b"\"#$%&'()*+,-/:;<=>@[\\]^_`{|}~"
 ENDS = re.compile(rb"[.!?]+[ \n]+|\n+")
+ALONE = re.compile(rb" [a-z0-9] [a-z0-9] [a-z0-9](?![^ ])")
 SPELLED = re.compile(rb"(?<![^ ])[a-z0-9](?: [a-z0-9]){2,}(?![^ ])")
 
 
@@ -64,7 +65,8 @@ def words_of(text: bytes | None) -> list[bytes]:
     if not text:
         return []
     plain = ENDS.sub(b" | ", text.translate(LOWER, SIGNS)).translate(None, b".!?")
-    return SPELLED.sub(lambda m: m[0].replace(b" ", b""), plain).split()
+    # few texts have such letters; a search from blank to blank tells
+    return (SPELLED.sub(lambda m: m[0].replace(b" ", b""), plain) if ALONE.search(b" " + plain) else plain).split()
 
 
 def parts_of(text: bytes | None) -> Iterator[bytes]:
@@ -134,6 +136,10 @@ class Landmarks:
         own = np.maximum((raw**2).sum(axis=0), 1e-9)
         self.scaled = (raw / own).astype(np.float32)
         self.most = self.scaled.max(axis=1, initial=0.0)
+        # a subsequence stands in few landmarks: each row's entries one after another
+        row, self.entry_of = np.nonzero(self.scaled)
+        self.entries = self.scaled[row, self.entry_of].astype(float)
+        self.begins = np.searchsorted(row, np.arange(len(self.scaled) + 1))
         self.gram = ((raw.T @ raw) / np.sqrt(np.outer(own, own))) ** 2
 
     def values(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +163,16 @@ class Landmarks:
         near = bound >= FLOOR
         number = np.cumsum(near) - 1
         kept = near[which]
-        out = np.zeros((int(near.sum()), len(self.names)), np.float32)
-        np.add.at(out, number[which[kept]], weights[kept, None] * self.scaled[rows[kept]])
+        which, rows, weights = number[which[kept]], rows[kept], weights[kept]
+        count = self.begins[rows + 1] - self.begins[rows]
+        entry = np.repeat(self.begins[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        width = len(self.names)
+        sums = np.bincount(np.repeat(which * width, count) + self.entry_of[entry], np.repeat(weights, count) * self.entries[entry], int(near.sum()) * width)
+        out = sums.reshape(-1, width).astype(np.float32)
         out = np.where(out < FLOOR, 0.0, np.minimum(out, 1.0)) ** 2
-        words_near, place = np.unique(np.array(owner, np.int64)[near], return_inverse=True)
-        best = np.zeros((len(words_near), len(self.names)), np.float32)
-        np.maximum.at(best, place, out)
+        owners = np.array(owner, np.int64)[near]
+        first = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else owners
+        words_near, best = owners[first], np.maximum.reduceat(out, first, axis=0) if len(first) else out
         alike = best.any(axis=1)
         return words_near[alike], best[alike]
 
@@ -180,11 +190,11 @@ class Rater:
         self.row_of = np.zeros(1, np.int32)
         self.features = np.zeros((1, len(self.landmarks.names)), np.float32)
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """For each word the row of its features; row 0 has none."""
+    def rows(self, words: Iterable[bytes], count: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its number, and the row of its features; row 0 has none."""
         if len(self.numbers) > KEPT_WORDS:
             self.start()
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, count)
         fresh = self.numbers.taken()
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
@@ -192,7 +202,7 @@ class Rater:
             rows = np.zeros(len(part), np.int32)
             rows[near] = len(self.features) + np.arange(len(near))
             self.features, self.row_of = np.concatenate([self.features, values]), np.concatenate([self.row_of, rows])
-        return self.row_of[ids]
+        return ids, self.row_of[ids]
 
     def pooled(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the sentences with any likeness: the text's number, the sentence's number, the features."""
@@ -215,11 +225,11 @@ class Rater:
 
     def _pooled(self, lists: list[list[bytes]], owners: list[int], sentence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Words with any likeness: their text, sentence and features; sentences are numbered on from ``sentence``, which is also the last number then."""
-        words = [w for words in lists for w in words]
-        rows = self.rows(words)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids, rows = self.rows(chain.from_iterable(lists), int(sizes.sum()))
         near = np.flatnonzero(rows)
-        ends = sentence + np.cumsum(np.fromiter((w == MARK for w in words), np.int64, len(words)))
-        owner = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
+        ends = sentence + np.cumsum(ids == 0)  # the mark's number
+        owner = np.repeat(np.array(owners, np.int64), sizes)
         return owner[near], ends[near], self.features[rows[near]], int(ends[-1]) if len(ends) else sentence
 
 
