@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from shelfmark.llm.common import Numbers, if_small, slices, utf8
+from shelfmark.llm.common import SMALL_ROWS, Numbers, if_small, slices, utf8
 from shelfmark.runtime import forget, stash
 
 SHARDS = 3
@@ -42,7 +42,8 @@ SCALE = 2_000_000
 COVERS = 80
 #: Upper and lower bound of a bit field's size, in powers of two.
 LARGEST_FIELD, LEAST_FIELD = 27, 16
-BLOCK_WORDS = 1 << 20
+#: Words that a task holds in its open blocks.
+BLOCK_WORDS = 3 << 20
 SLICE = 1 << 20
 #: Capitals to small letters, signs between pieces to one mark (a blank on both sides makes it a word of its own), tabs to blanks.
 MARK = b"."
@@ -127,9 +128,39 @@ class Field:
         return ((self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _fields(frequent: DataFrame, since: int, count: int) -> list[Field]:
-    """Fields of all frequent phrases and of those that are so since a scan; Spark gathers the bits, whose number is bounded."""
-    power = min(LARGEST_FIELD, max(LEAST_FIELD, (16 * count).bit_length()))
+class Fields:
+    """The fields of all frequent phrases and of those that became so in the last scans; a scan adds its new phrases alone.
+
+    Spark gathers the bits, whose number is bounded. Where the phrases have outgrown the fields, these are made anew.
+    """
+
+    def __init__(self, shards: int, longest: int):
+        self.shards, self.longest, self.power = shards, longest, 0
+        self.by_scan: dict[int, np.ndarray] = {}
+        self.older: np.ndarray | None = None
+
+    def after(self, frequent: DataFrame, scan: int, count: int) -> list[Field]:
+        """Both fields once ``scan`` has ended; ``frequent`` has ``lang, phrase, k, since``, ``count`` is its size."""
+        power = min(LARGEST_FIELD, max(LEAST_FIELD, (64 * count).bit_length()))
+        if not self.power or count > (1 << self.power) // 16 and power > self.power:
+            self.power, self.by_scan, self.older = power, {}, np.zeros(1 << (power - 3), np.uint8)
+            first = 0
+        else:
+            first = scan
+        wanted = frequent.where((F.col("k") < self.longest) & (F.col("since") >= first))
+        for since, bits in _bits(wanted, self.power).items():
+            self.by_scan[since] = bits
+        for since in [k for k in self.by_scan if k <= scan - self.shards]:
+            self.older |= self.by_scan.pop(since)
+        recent, everything = Field(self.power), Field(self.power)
+        for bits in self.by_scan.values():
+            recent.bits |= bits
+        everything.bits = self.older | recent.bits
+        return [everything, recent]
+
+
+def _bits(phrases: DataFrame, power: int) -> dict[int, np.ndarray]:
+    """For each scan the bits of the phrases that it made frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=20000):
@@ -139,16 +170,17 @@ def _fields(frequent: DataFrame, since: int, count: int) -> list[Field]:
                 for h in _word_hashes(phrase.split(b" ")):
                     state = _mixed(state, h)
                 places[k] = state[0] >> np.uint64(64 - power)
-            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), batch.column(2)], names=["place", "new"])
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), batch.column(2)], names=["place", "since"])
 
-    bits = frequent.select("lang", "phrase", (F.col("since") >= since).alias("new")).mapInArrow(run, "place long, new boolean")
+    bits = phrases.select("lang", "phrase", "since").mapInArrow(run, "place long, since int")
     bit = F.expr("shiftleft(1, cast(place % 8 as int))")
-    found = bits.groupBy(F.floor(F.col("place") / 8).alias("byte")).agg(F.bit_or(bit).alias("all"), F.coalesce(F.bit_or(F.when(F.col("new"), bit)), F.lit(0)).alias("new")).toArrow()
-    fields = [Field(power), Field(power)]
-    at = found.column("byte").to_numpy()
-    for field, name in zip(fields, ("all", "new"), strict=True):
-        field.bits[at] = found.column(name).to_numpy().astype(np.uint8)
-    return fields
+    found = bits.groupBy(F.floor(F.col("place") / 8).alias("byte"), "since").agg(F.bit_or(bit).alias("bits")).toArrow()
+    at, since, values = (found.column(c).to_numpy() for c in ("byte", "since", "bits"))
+    out = {}
+    for scan in np.unique(since).tolist():
+        out[scan] = np.zeros(1 << (power - 3), np.uint8)
+        out[scan][at[since == scan]] = values[since == scan].astype(np.uint8)
+    return out
 
 
 def count_block(lang: str, words: pa.Array, tokens: np.ndarray, fields: list[Field] | None, single: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -205,7 +237,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     still: DataFrame | None = None
     frequent: DataFrame | None = None
     fields: list[Field] | None = None
-    scan = 0
+    gathered, scan, count = Fields(shards, longest), 0, 0
     while True:
         fresh, shared = _scan(blocks.where(F.col("shard") == scan % shards), fields, scan < shards, longest)
         rows = fresh.select("lang", "phrase", "k", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("since"), F.lit(0).cast("long").alias("count"), "new")
@@ -213,13 +245,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             rows = rows.unionByName(still.where("not closed").drop("closed").withColumn("new", F.lit(0).cast("long")))
         summed = rows.groupBy("lang", "phrase", "k").agg(F.max("start").alias("start"), F.max("since").alias("since"), F.sum("count").alias("count"), F.sum("new").alias("new"))
         if frequent is not None:
-            # a phrase starts when both its subphrases have; a key that no phrase has stands where that is known already
+            # a phrase starts when both its subphrases have; where that is known the key finds nothing (and, in a shuffle, is one that no phrase has, so these rows don't meet in one task)
             asked = F.col("start").isNull() & (F.col("k") > 1)
-            own = F.concat(F.lit("\n"), F.col("phrase"))
-            head = F.expr("substr(phrase, 1, length(phrase) - instr(reverse(phrase), ' '))")
+            small = count <= SMALL_ROWS
+            own = F.lit(None).cast("string") if small else F.concat(F.lit("\n"), F.col("phrase"))
+            head = F.expr("substr(phrase, 1, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)")
             tail = F.expr("substr(phrase, instr(phrase, ' ') + 1)")
             for name, part in (("first", head), ("last", tail)):
-                found = if_small(frequent.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("since").alias(f"_{name}")))
+                found = frequent.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("since").alias(f"_{name}"))
+                found = F.broadcast(found) if small else found
                 keyed = summed.withColumn("_key", F.when(asked, part).otherwise(own))
                 summed = keyed.join(found, (F.col("lang") == F.col("_lang")) & (F.col("_key") == F.col("_part")), "left").drop("_lang", "_part", "_key")
             begun = F.when(F.col("_first").isNotNull() & F.col("_last").isNotNull(), F.greatest("_first", "_last"))
@@ -229,7 +263,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         active = summed.where(F.col("start") + shards >= scan).withColumn("count", F.col("count") + F.col("new")).drop("new")
         since = F.coalesce(F.col("since"), F.when(F.col("count") >= least, F.lit(scan)))
         after = active.withColumn("since", since).withColumn("closed", F.col("start") + shards == scan).where("not closed or since is not null")
-        last, still = still, stash(after)
+        last, still = still, stash(after, partition_by="closed")
         done = stash(still.where("closed").select("lang", "phrase", "k", "since", "count"))
         shared.destroy()
         closed.append(done)
@@ -245,7 +279,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         count, waiting = frequent.agg(F.count("*"), F.count_if((F.col("since") >= scan - shards) & (F.col("k") < longest))).first()
         if scan >= shards and not waiting:
             break
-        fields = _fields(frequent.where(F.col("k") < longest), scan - shards, count) if count else None
+        fields = gathered.after(frequent, scan - 1, count) if count else None
     forget(still)
     forget(frequent)
     forget(blocks)

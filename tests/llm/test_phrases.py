@@ -76,18 +76,25 @@ def test_full_fields_change_nothing(spark, monkeypatch):
     plain = {(w, c) for w, c in counted(rows(), 3)[0].items() if c >= 9}
     docs = spark.createDataFrame(rows(), SCHEMA)
 
-    def full(frequent, since, count):
+    def full(self, frequent, scan, count):
         fields = [phrases.Field(8), phrases.Field(8)]
         for field in fields:
             field.bits[:] = 255
         return fields
 
-    for fields in (phrases._fields, full):
-        monkeypatch.setattr(phrases, "_fields", fields)
+    for after in (phrases.Fields.after, full):
+        monkeypatch.setattr(phrases.Fields, "after", after)
         found, words = phrases.frequent_phrases(docs, least=9, longest=3)
         assert {((r["lang"], r["phrase"]), r["count"]) for r in found.collect()} == plain
         assert {r["lang"]: r["n"] for r in words.collect()} == {k: v for k, v in counted(rows(), 1)[1].items() if k != "de"} | {"de": 0}
 
 
+def test_small_fields_that_are_made_anew_and_joins_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "LEAST_FIELD", 5)
+    monkeypatch.setattr(phrases, "SMALL_ROWS", 0)
+    found, _ = phrases.frequent_phrases(spark.createDataFrame(rows(), SCHEMA), least=9, longest=3)
+    assert {((r["lang"], r["phrase"]), r["count"]) for r in found.collect()} == {(w, c) for w, c in counted(rows(), 3)[0].items() if c >= 9}
+
+
 def test_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
