@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.registry import query
 from shelfmark.runtime import shared_dir
+from shelfmark.streaming.keyed import BUCKETS, KeyedTable
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +25,12 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("path"), F.col("ts").cast("timestamp").alias("captured_at"), F.col("user_id").alias("camera"), F.col("event_type").alias("kind"), "value")
 
 
-def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over what is there now, batch by batch; progress lives in the shared folder."""
+def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> list[dict]:
+    """Run a stream over what is there now, batch by batch; progress lives in the shared folder. Returns the batches' reports."""
     place = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    return [json.loads(p.json) for p in run.recentProgress]
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -53,19 +57,18 @@ def settled(stream: DataFrame, quiet: str, late: str = "10 minutes") -> DataFram
     return groups.agg(F.count("*").alias("n")).select("camera", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
-def ingest_new(stream: DataFrame, target: str, key: str = "path") -> None:
-    """Adds rows with unseen keys to a Parquet table; a batch that runs again adds nothing."""
-    spark = stream.sparkSession
+def ingest_new(stream: DataFrame, target: str, key: str = "path", buckets: int = BUCKETS) -> KeyedTable:
+    """Adds rows with unseen keys to a table in hash buckets; a batch reads the buckets that it touches, and one that runs again adds nothing."""
+    table = KeyedTable(stream.sparkSession, target, stream.schema, key, buckets)
+    drain(stream, lambda batch, number: table.insert_new(batch) and None)
+    return table
 
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        done = [f for f in range(number)]
-        if done:
-            known = spark.read.option("mergeSchema", "false").schema(batch.schema).parquet(*[f"{target}/batch={n}" for n in done])
-            fresh = fresh.join(known.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    drain(stream, write)
+def upsert_stream(stream: DataFrame, target: str, key: str = "path", columns: list[str] | None = None, order: str | None = None, buckets: int = BUCKETS) -> KeyedTable:
+    """Keeps the latest values of each key in a table in hash buckets; a batch replaces the buckets that it touches."""
+    table = KeyedTable(stream.sparkSession, target, stream.schema, key, buckets)
+    drain(stream, lambda batch, number: table.upsert(batch, columns, order) and None)
+    return table
 
 
 def retrain_triggers(stream: DataFrame, threshold: int = 25, idle_seconds: int = 60, late: str = "0 seconds") -> DataFrame:
@@ -114,8 +117,7 @@ SECOND = "yyyy-MM-dd HH:mm:ss"
 def _(v):
     target = f"{shared_dir(v.spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     stream = _events(v).select("path", "kind")
-    ingest_new(stream, target)
-    return v.spark.read.schema(stream.schema).parquet(target).select("path", "kind")
+    return ingest_new(stream, target).read().select("path", "kind")
 
 
 @query("p2_settled_changes", "WITH s AS (SELECT *, sum(CASE WHEN captured_at - prev < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY camera ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(captured_at) OVER (PARTITION BY camera ORDER BY captured_at) AS prev FROM shot)) SELECT camera, strftime(min(captured_at), '%Y-%m-%d %H:%M:%S') AS began, count(*)::BIGINT AS n FROM s GROUP BY camera, g")
