@@ -65,36 +65,6 @@ def scene_summary(scened: DataFrame, session: str = "session", time: str = TIME,
     return stats.join(dominant, session)
 
 
-def _split_scene(least: int, most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["captured_at", "path"], kind="stable").reset_index(drop=True)
-        kinds, cuts, at = pdf["kind"].tolist(), [0], 0
-        while at < len(kinds):  # a change holds if the new label stays for least rows
-            run_end = at
-            while run_end < len(kinds) and kinds[run_end] == kinds[at]:
-                run_end += 1
-            if at > cuts[-1] and run_end - at >= least:
-                cuts.append(at)
-            at = run_end
-        times = pdf["captured_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        out, work = [], [(a, b) for a, b in zip(cuts, [*cuts[1:], len(kinds)], strict=True)][::-1]
-        while work:
-            a, b = work.pop()
-            if b - a <= most:
-                out.append((a, b))
-                continue
-            gaps = np.diff(times[a:b])
-            widest = np.flatnonzero(gaps == gaps.max()) + 1
-            cut = a + int(widest[np.argmin(np.abs(widest - (b - a) / 2))])  # ties to the middle
-            work += [(cut, b), (a, cut)]
-        part = np.zeros(len(pdf), np.int32)
-        for i, (a, b) in enumerate(out):
-            part[a:b] = i
-        return pdf.assign(part=part)[["session", "path", "part"]]
-
-    return run
-
-
 def widest_gaps(df: DataFrame, group: str, time: str = "captured_at", key: str = "path") -> DataFrame:
     """Rows ``group, cut, gap``: the row that follows a group's widest gap, of equal gaps the one nearest the group's middle; groups of one row have none."""
     order = W.partitionBy(group).orderBy(time, key)
@@ -105,11 +75,6 @@ def widest_gaps(df: DataFrame, group: str, time: str = "captured_at", key: str =
     return sized.groupBy(group).agg(best.alias("b")).select(group, "b.cut", "b.gap")
 
 
-def split_scenes(scened: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
-    """Rows ``session, path, part``: scenes cut where a label changes and holds, then at their widest gaps while too large. A scene is one bounded group."""
-    return scened.select("session", "path", "captured_at", "kind").groupBy("session").applyInPandas(_split_scene(least, most), "session long, path long, part int")
-
-
 def _greedy_bursts(rapid: float, window: float, bits: int):
     def run(batches):
         session, number, members = None, 0, []
@@ -152,16 +117,18 @@ def lead(df: DataFrame, group: list[str], score: str = "aggregate", time: str =
     return df.withColumn("is_lead", F.row_number().over(w) == 1)
 
 
-def brackets(df: DataFrame, gap: float = 3, step: float = 0.5, span: float = 1, uneven: float = 0.34, least: int = 3, by: str = "camera") -> DataFrame:
+def brackets(df: DataFrame, gap: float = 3, step: float = 0.5, span: float = 1, uneven: float = 0.34, least: int = 3, by: str = "camera", hash_col: str | None = None, bits: int = 10) -> DataFrame:
     """Exposure brackets: runs of one camera with close times and steps of exposure in one direction; wide and even enough.
 
-    Rows ``path, run, offset`` with the base frame at the middle rung.
+    With ``hash_col``, a signed number of 64 bits, neighbours must also look alike: at most ``bits`` differ; a null hash is like none. Rows ``path, run, offset`` with the base frame at the middle rung.
     """
     w = W.partitionBy(by).orderBy(TIME, "path")
-    steps = df.withColumn("_s", F.col("ev") - F.lag("ev").over(w)).withColumn("_t", (micros(TIME) - F.lag(micros(TIME)).over(w)) / 1e6)
-    before = F.lag(F.when((F.col("_t") <= gap) & (F.abs("_s") >= step), F.col("_s"))).over(w)
+    alike = F.coalesce(F.bit_count(F.col(hash_col).bitwiseXOR(F.lag(hash_col).over(w))) <= bits, F.lit(False)) if hash_col else F.lit(True)
+    steps = df.withColumn("_s", F.col("ev") - F.lag("ev").over(w)).withColumn("_t", (micros(TIME) - F.lag(micros(TIME)).over(w)) / 1e6).withColumn("_like", alike)
+    joins = (F.col("_t") <= gap) & (F.abs("_s") >= step) & F.col("_like")
+    before = F.lag(F.when(joins, F.col("_s"))).over(w)
     same_way = before.isNull() | (F.signum(before) == F.signum("_s"))
-    broken = steps.withColumn("_new", F.when((F.col("_t") <= gap) & (F.abs("_s") >= step) & same_way, 0).otherwise(1))
+    broken = steps.withColumn("_new", F.when(joins & same_way, 0).otherwise(1))
     runs = broken.withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     inner = F.when(F.col("_new") == 0, F.abs("_s"))
     good = runs.groupBy(by, "run").agg(F.count("*").alias("n"), (F.max("ev") - F.min("ev")).alias("_w"), (F.max(inner) - F.min(inner)).alias("_u")).where((F.col("n") >= least) & (F.col("_w") >= span) & (F.col("_u") <= uneven))
@@ -188,9 +155,12 @@ def cull_reason(df: DataFrame, group: list[str]) -> DataFrame:
     return behind.withColumn("reason", reason).drop("b")
 
 
-def auto_cull(groups: dict[str, DataFrame], strictness: float = 50, min_keep: int = 1, score: str = "aggregate") -> DataFrame:
-    """Rows ``path, source, keep``: kinds in the given order, the first decision for a shot wins; groups left with one row are skipped."""
-    done = None
+def auto_cull(groups: dict[str, DataFrame], strictness: float = 50, min_keep: int = 1, score: str = "aggregate", whole: DataFrame | None = None) -> DataFrame:
+    """Rows ``path, source, keep``: kinds in the given order, the first decision for a shot wins; groups left with one row are skipped.
+
+    Shots of ``whole`` (a ``path`` each, frames of panoramas) are kept before all kinds, as ``panorama``.
+    """
+    done = None if whole is None else stash(whole.where("path is not null").select("path").distinct().select("path", F.lit("panorama").alias("source"), F.lit(True).alias("keep")))
     for name, df in groups.items():
         left = df if done is None else df.join(done.select("path"), "path", "left_anti")
         sizes = left.groupBy("grp").agg(F.count("*").alias("_n")).where("_n >= 2").select("grp")
@@ -210,37 +180,6 @@ def stale_runs(runs: DataFrame, watermark, stamp: str = TIME) -> DataFrame:
     return runs.groupBy("run").agg(F.bool_or(F.col(stamp).isNull() | (F.col(stamp) > watermark)).alias("stale"))
 
 
-def _segments(least: int, inliers: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("captured_at", kind="stable").reset_index(drop=True)
-        best: list[tuple[int, int]] = []
-        at = 0
-        while at < len(pdf):
-            longest = at
-            for axis in ("dx", "dy"):
-                for sign in (1, -1):
-                    end = at
-                    while end + 1 < len(pdf) and pdf["inliers"][end + 1] >= inliers and sign * pdf[axis][end + 1] > 0:
-                        end += 1
-                    longest = max(longest, end)
-            if longest - at + 1 >= least:
-                best.append((at, longest))
-                at = longest + 1
-            else:
-                at += 1
-        out = np.full(len(pdf), -1, np.int64)
-        for i, (a, b) in enumerate(best):
-            out[a : b + 1] = i
-        return pdf.assign(segment=out)[["run", "path", "segment"]].query("segment >= 0")
-
-    return run
-
-
-def panorama_segments(steps: DataFrame, least: int = 3, inliers: int = 20) -> DataFrame:
-    """From measured steps ``run, path, captured_at, dx, dy, inliers``: stretches that drift one way along an axis."""
-    return steps.groupBy("run").applyInPandas(_segments(least, inliers), "run long, path long, segment long")
-
-
 def trips(df: DataFrame, home_km: float, gap_hours: float, least: int) -> DataFrame:
     """Runs away from home; home is each person's most frequent half-degree cell."""
     from shelfmark.functions.scalars import haversine
@@ -272,11 +211,6 @@ def _(v):
     return adaptive_gap(v.shot, "camera", 3600, 3).select("camera", F.round("gap", 3).alias("gap"))
 
 
-@query("i3_i4_split_scenes")
-def _(v):
-    return split_scenes(sessions(v.shot, 30 * 60), 3, 40)
-
-
 @query("f25_widest_gap", """WITH g AS (SELECT camera, path, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY camera) AS n, epoch_us(captured_at) - lag(epoch_us(captured_at)) OVER w AS gap FROM shot WINDOW w AS (PARTITION BY camera ORDER BY captured_at, path))
   SELECT camera, path AS cut, gap FROM g WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY camera ORDER BY gap DESC, abs(pos - n / 2.0), pos) = 1""")
 def _(v):
@@ -316,6 +250,18 @@ def _(v):
     return brackets(v.shot, 7200, 5, 10, 60).select("path", "n")
 
 
+LIKE9 = "bit_count(xor(hash, lag(hash) OVER w)) <= 1"
+
+
+@query("i9_gated_brackets", f"""WITH h AS (SELECT *, (ev // 20)::BIGINT AS hash FROM shot), s AS (SELECT *, ev - lag(ev) OVER w AS st, (epoch_us(captured_at) - lag(epoch_us(captured_at)) OVER w) / 1e6 AS dt, coalesce({LIKE9}, false) AS alike FROM h WINDOW w AS (PARTITION BY camera ORDER BY captured_at, path)),
+  j AS (SELECT *, coalesce(dt <= 7200 AND abs(st) >= 5 AND alike, false) AS fits FROM s), b AS (SELECT *, lag(CASE WHEN fits THEN st END) OVER (PARTITION BY camera ORDER BY captured_at, path) AS pb FROM j),
+  r AS (SELECT *, CASE WHEN fits AND (pb IS NULL OR sign(pb) = sign(st)) THEN 0 ELSE 1 END AS fresh FROM b), t AS (SELECT *, sum(fresh) OVER (PARTITION BY camera ORDER BY captured_at, path ROWS UNBOUNDED PRECEDING) AS run FROM r),
+  g AS (SELECT camera, run, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 3 AND max(ev) - min(ev) >= 10 AND max(CASE WHEN fresh = 0 THEN abs(st) END) - min(CASE WHEN fresh = 0 THEN abs(st) END) <= 60)
+  SELECT path, n::BIGINT AS n FROM t JOIN g ON g.camera = t.camera AND g.run = t.run""")
+def _(v):
+    return brackets(v.shot.withColumn("hash", F.floor(F.col("ev") / 20).cast("bigint")), 7200, 5, 10, 60, hash_col="hash", bits=1).select("path", "n")
+
+
 @query("i10_base_offset", "SELECT path, (base - ev)::INTEGER AS off FROM (SELECT path, ev, max(CASE WHEN rn = n // 2 + 1 THEN ev END) OVER (PARTITION BY grp) AS base FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ev, path) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM (" + HOURLY + ")))")
 def _(v):
     w = W.partitionBy("grp")
@@ -330,12 +276,6 @@ def _(v):
     return groups.where("n >= 2 and all_in").select("grp", "lead")
 
 
-@query("i12_panorama_segments")
-def _(v):
-    steps = v.shot.select((F.col("camera") % 40).alias("run"), "path", TIME, (F.col("ev") % 7 - 2).cast("double").alias("dx"), (F.col("ev") % 5 - 2).cast("double").alias("dy"), F.lit(30).alias("inliers"))
-    return panorama_segments(steps)
-
-
 @query("i13_kind_by_span", "SELECT grp, CASE WHEN max(ev) - min(ev) >= 40 THEN 'hdr' ELSE 'plain' END AS kind FROM (" + HOURLY + ") GROUP BY 1 HAVING count(*) >= 2")
 def _(v):
     return hourly(v).groupBy("grp").agg(F.count("*").alias("n"), F.when(F.max("ev") - F.min("ev") >= 40, "hdr").otherwise("plain").alias("kind")).where("n >= 2").drop("n")
@@ -398,6 +338,16 @@ def _(v):
     return auto_cull({"burst": hourly(v), "scene": scenes})
 
 
+@query("i22_all_kinds")
+def _(v):
+    named = lambda df, *by: df.withColumn("grp", F.concat_ws(" ", *[F.col(c).cast("string") for c in by]))
+    rung = named(brackets(v.shot, 7200, 5, 10, 60).join(v.shot.drop("camera"), "path"), "camera", "run")
+    alike = named(v.shot.withColumn("day", F.to_date(TIME)), "camera", "kind", "day")
+    scenes = named(sessions(v.shot, 15 * 60), "session")
+    kinds = {"bracket": rung, "burst": hourly(v), "similar": alike, "scene": scenes}
+    return auto_cull({k: df.select("path", "grp", "aggregate") for k, df in kinds.items()}, whole=v.shot.where("ev % 40 = 7").select("path"))
+
+
 @query("i23_highlights", "SELECT grp, path FROM (SELECT grp, path, aggregate, row_number() OVER (PARTITION BY grp ORDER BY aggregate DESC, path) AS rn FROM (" + HOURLY + ")) WHERE rn = 1 AND aggregate >= 7")
 def _(v):
     w = W.partitionBy("grp").orderBy(F.desc("aggregate"), "path")
