@@ -23,19 +23,28 @@ def group_heroes(df: DataFrame, group: Column, score: str = "aggregate", key: st
     return df.groupBy(group.alias("grp")).agg(F.count("*").alias("n"), F.min_by(key, F.struct(-F.col(score), F.col(key))).alias("hero"))
 
 
+def group_gaps(df: DataFrame, group: Column, name: str, score: str = "aggregate") -> DataFrame:
+    """Rows ``name, n, best, second, gap`` of groups of two and more scores, by aggregates alone: the second is the best one's equal if there are several, else the largest below."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(group.alias(name), F.col(score).alias("_s")).agg(F.count("*").alias("_k"))
+    # of the two largest values, each with its count
+    top = counts.groupBy(name).agg(F.sum("_k").alias("n"), F.max(F.struct("_s", "_k")).alias("b"))
+    below = counts.join(top.select(name, F.col("b._s").alias("_top")), name).where("_s < _top").groupBy(name).agg(F.max("_s").alias("_next"))
+    found = top.where("n >= 2").join(below, name, "left").withColumn("second", F.when(F.col("b._k") > 1, F.col("b._s")).otherwise(F.col("_next")))
+    return found.select(name, "n", F.col("b._s").alias("best"), "second", (F.col("b._s") - F.col("second")).alias("gap"))
+
+
 def top_per_group(df: DataFrame, group: str, n: int, score: str = "aggregate", key: str = "path") -> DataFrame:
     w = W.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), F.col(key).asc())
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
 def timeline_page(df: DataFrame, limit: int, per_group: int, cursor: str | None = None, older: bool = True) -> DataFrame:
-    """The next ``limit`` days before (or after) the cursor with their best items; one day more tells whether others follow."""
+    """The next ``limit`` days before (or after) the cursor with their best items and ``more``, whether other days follow."""
     days = df.withColumn("day", F.date_format("date_taken", DAY))
     if cursor:
         days = days.where(F.col("day") < cursor if older else F.col("day") > cursor)
-    keys = days.select("day").distinct().orderBy(F.desc("day") if older else F.asc("day")).limit(limit + 1)
-    kept = keys.orderBy(F.desc("day") if older else F.asc("day")).limit(limit)
-    return top_per_group(days.join(F.broadcast(kept), "day", "left_semi"), "day", per_group)
+    found = [r["day"] for r in days.select("day").distinct().orderBy(F.desc("day") if older else F.asc("day")).limit(limit + 1).collect()]
+    return top_per_group(days.where(F.col("day").isin(found[:limit])), "day", per_group).withColumn("more", F.lit(len(found) > limit))
 
 
 def on_this_day(df: DataFrame, month_day: str, before_year: int, per_year: int) -> DataFrame:
@@ -125,9 +134,7 @@ def _(v):
 
 @query("e11_group_gap", "SELECT day, n, round(best - second, 4) AS gap FROM (SELECT strftime(captured_at, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, max(aggregate) AS best, list_sort(list(aggregate), 'DESC')[2] AS second FROM shot GROUP BY 1) WHERE n >= 2")
 def _(v):
-    top = F.sort_array(F.collect_list("aggregate"), asc=False)
-    groups = v.shot.groupBy(F.date_format("captured_at", DAY).alias("day")).agg(F.count("*").alias("n"), top.alias("s")).where("n >= 2")
-    return groups.select("day", "n", F.round(F.col("s")[0] - F.col("s")[1], 4).alias("gap"))
+    return group_gaps(v.shot, F.date_format("captured_at", DAY), "day").select("day", "n", F.round("gap", 4).alias("gap"))
 
 
 @query("e12_union_all", "SELECT 'urgent' AS kind, count(*)::BIGINT AS n FROM item WHERE category = '1-URGENT' UNION ALL SELECT 'open', count(*)::BIGINT FROM item WHERE status = 'O'")

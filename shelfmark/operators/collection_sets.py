@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import season, short_id
 from shelfmark.operators.browse import top_per_group
 from shelfmark.operators.components import connected_components
-from shelfmark.operators.predicates import co_appearing
+from shelfmark.operators.predicates import co_appearing, hue_name
 from shelfmark.operators.similarity import ALIKE, REACHED, cosine_pairs
 from shelfmark.plans.query_spec import QuerySpec, composite
 from shelfmark.registry import query
-from shelfmark.runtime import stash
+from shelfmark.runtime import forget, stash
 
 
 def sets_by(df: DataFrame, key: Column, least: int, most: int, score: str = "aggregate") -> DataFrame:
@@ -24,11 +23,22 @@ def sets_by(df: DataFrame, key: Column, least: int, most: int, score: str = "agg
     return top_per_group(named.join(big, "name"), "name", most, score).select("name", "path", F.col("rn").alias("rank"), "n")
 
 
+#: The least count of a set in each dimension. Fixed values where the dimension is of the catalogue; others have 8.
+DIMENSIONS = {
+    "year": 20, "month": 8, "week": 8, "weekday": 20, "weekend": 20, "season": 10, "quarter": 15, "day": 3, "decade": 20, "camera": 15, "lens": 10, "category": 10, "status": 20, "band": 10,
+    "star": 10, "hue": 10, "initial": 10, "owner": 3, "gear": 8,
+}
+
+
 def dimension(name: str) -> Column:
-    """The key expression of a dimension."""
+    """The key expression of a dimension; null where a row has none."""
+    taken = F.col("date_taken")
     return {
-        "year": lambda: F.date_format("date_taken", "yyyy"), "month": lambda: F.date_format("date_taken", "yyyy-MM"), "weekday": lambda: (F.dayofweek("date_taken") - 1).cast("string"),
-        "camera": lambda: F.col("camera"), "lens": lambda: F.col("lens"), "category": lambda: F.col("category"), "status": lambda: F.col("status"), "season": lambda: season("date_taken"), "band": lambda: F.floor("aggregate").cast("string"),
+        "year": lambda: F.date_format(taken, "yyyy"), "month": lambda: F.date_format(taken, "yyyy-MM"), "week": lambda: F.date_format(F.date_trunc("week", taken), "yyyy-MM-dd"), "weekday": lambda: (F.dayofweek(taken) - 1).cast("string"),
+        "weekend": lambda: F.when(F.dayofweek(taken).isin(1, 7), "weekend").when(taken.isNotNull(), "workday"), "season": lambda: season("date_taken"), "quarter": lambda: F.concat_ws("-", F.date_format(taken, "yyyy"), F.quarter(taken).cast("string")),
+        "day": lambda: F.date_format(taken, "yyyy-MM-dd"), "decade": lambda: (F.floor(F.year(taken) / 10) * 10).cast("string"), "camera": lambda: F.col("camera"), "lens": lambda: F.col("lens"), "category": lambda: F.col("category"), "status": lambda: F.col("status"),
+        "band": lambda: F.floor("aggregate").cast("string"), "star": lambda: F.least(F.lit(5), F.floor(F.col("aggregate") / 2 + 0.5)).cast("string"), "hue": lambda: hue_name("hue"), "initial": lambda: F.substring("lens", 1, 1),
+        "owner": lambda: F.col("owner").cast("string"), "gear": lambda: F.concat_ws(" / ", "camera", "lens"),
     }[name]()
 
 
@@ -39,35 +49,64 @@ def dimension_sets(df: DataFrame, names: list[str], least: int) -> DataFrame:
     return rows.groupBy("dim", "value").agg(F.count("*").alias("n"), F.min_by("path", F.struct(-F.col("aggregate"), F.col("path"))).alias("best")).where(F.col("n") >= least)
 
 
-def deduplicated(sets: DataFrame, most_shared: float = 0.2) -> DataFrame:
-    """``name`` of the sets that stay: in order of priority one goes if it shares too much with an earlier kept one.
+def dimension_members(df: DataFrame, least: dict[str, int] | None = None, most: int = 40) -> DataFrame:
+    """Rows ``dim, value, n, path, rank``: the best ``most`` items of every value of every dimension that has enough items, all dimensions in one pass."""
+    least = least or DIMENSIONS
+    keys = F.array(*[F.struct(F.lit(n).alias("dim"), dimension(n).alias("value"), F.lit(k).alias("_least")) for n, k in least.items()])
+    rows = df.select("path", "aggregate", F.inline(keys)).where("value is not null")
+    rank = F.row_number().over(W.partitionBy("dim", "value").orderBy(F.col("aggregate").desc_nulls_last(), F.col("path").asc()))
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= most)  # tasks pass on their first ranks alone
+    sizes = rows.groupBy("dim", "value").agg(F.count("*").alias("n"), F.first("_least").alias("_l")).where(F.col("n") >= F.col("_l")).drop("_l")
+    return best.drop("aggregate", "_least").join(sizes, ["dim", "value"]).select("dim", "value", "n", "path", "rank")
+
+
+def crossed_sets(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
+    """Rows ``one, two, a, b, n, best``: counts and best item of every pair of values, for all pairs of dimensions in one pass over exploded keys."""
+    keys = F.array(*[F.struct(F.lit(x).alias("one"), F.lit(y).alias("two"), dimension(x).alias("a"), dimension(y).alias("b")) for x, y in pairs])
+    rows = df.select("path", "aggregate", F.inline(keys)).where("a is not null and b is not null")
+    return rows.groupBy("one", "two", "a", "b").agg(F.count("*").alias("n"), F.min_by("path", F.struct(-F.col("aggregate"), F.col("path"))).alias("best")).where(F.col("n") >= least)
+
 
-    Overlaps come from a join on items; components of overlapping sets are the greedy pass's groups.
+def deduplicated(sets: DataFrame, most_shared: float = 0.2, of: str = "smaller") -> DataFrame:
+    """``name`` of the sets that stay: in order of priority (then name) one goes if it shares more than a part of the smaller set, or of its ``own`` size, with an earlier kept one.
+
+    Overlaps come from a join on items. Each round keeps all sets that precede their undecided neighbours and drops the neighbours behind them, so the result is that of one pass in order,
+    and no group of overlapping sets is gathered. Null names and items take no part.
     """
-    sizes = sets.groupBy("name").agg(F.count("*").alias("size"), F.min("priority").alias("priority"))
-    pairs = sets.select("name", "path").alias("a").join(sets.select("name", "path").alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.name") < F.col("b.name")))
+    known = sets.where("name is not null and path is not null").select("name", "path", "priority").distinct()
+    sizes = stash(known.groupBy("name").agg(F.count_distinct("path").alias("size"), F.min("priority").alias("priority")))
+    items = known.select("name", "path").distinct()
+    pairs = items.alias("a").join(items.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.name") < F.col("b.name")))
     shared = pairs.groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count("*").alias("both"))
-    side = lambda s: sizes.select(F.col("name").alias(s), F.col("size").alias(f"n{s}"))
-    close = stash(shared.join(side("a"), "a").join(side("b"), "b").where(F.col("both") > most_shared * F.least("na", "nb")).select("a", "b"))
-    groups = stash(connected_components(close, "a", "b"))
-    edges = close.join(groups, F.col("a") == F.col("node")).select("component", "a", "b")
-    members = groups.join(sizes, F.col("node") == F.col("name")).select("component", F.col("node").alias("a"), F.col("priority").cast("string").alias("b"))
-
-    def greedy(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(right["a"], right["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        kept: set[str] = set()
-        for name, _ in sorted(zip(left["a"], left["b"].astype(float), strict=True), key=lambda r: (r[1], r[0])):
-            if near.get(name, set()).isdisjoint(kept):
-                kept.add(name)
-        return pd.DataFrame({"name": sorted(kept)})
-
-    members, edges = members.toDF("component", "a", "b"), edges.toDF("component", "a", "b")
-    chosen = members.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(greedy, "name string")
-    alone = sizes.join(groups.select(F.col("node").alias("name")), "name", "left_anti").select("name")
-    return alone.unionByName(chosen)
+    side = lambda s: sizes.select(F.col("name").alias(s), F.col("size").alias(f"n{s}"), F.struct("priority", "name").alias(f"o{s}"))
+    met = shared.join(side("a"), "a").join(side("b"), "b")
+    first = F.col("oa") < F.col("ob")
+    met = met.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), "both", F.when(first, F.col("nb")).otherwise(F.col("na")).alias("own"), F.least("na", "nb").alias("smaller"))
+    edges = stash(met.where(F.col("both") > most_shared * F.col(of)).select("later", "earlier"))
+    open_sets = sizes.select("name")
+    kept: DataFrame | None = None
+    while True:
+        keep = stash(open_sets.join(edges.select(F.col("later").alias("name")).distinct(), "name", "left_anti"))
+        kept = keep if kept is None else kept.unionByName(keep)
+        gone = edges.join(keep, F.col("earlier") == F.col("name"), "left_semi").select(F.col("later").alias("name")).distinct()
+        decided = stash(keep.unionByName(gone))
+        old_sets, old_edges = open_sets, edges
+        open_sets = stash(open_sets.join(decided, "name", "left_anti"))
+        left = edges.join(decided, F.col("later") == F.col("name"), "left_anti")
+        edges = stash(left.join(decided, F.col("earlier") == F.col("name"), "left_anti"))
+        for table in (old_sets, old_edges, decided):
+            forget(table)
+        if open_sets.isEmpty():
+            return kept
+
+
+def people_sets(faces: DataFrame, items: DataFrame, most: int, least: int = 1, most_shared: float = 0.5) -> DataFrame:
+    """Rows ``person, path, rank``: each person's best items; in the order of persons one goes if over half of its set is in the set of an earlier one that stays."""
+    best = stash(top_per_group(faces.select("person", "path").distinct().join(items, "path"), "person", most).select("person", "path", F.col("rn").alias("rank")))
+    large = best.groupBy("person").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sets = best.join(large, "person", "left_semi")
+    stay = deduplicated(sets.select(F.col("person").alias("name"), "path", F.col("person").alias("priority")), most_shared, "own")
+    return sets.join(stay.select(F.col("name").alias("person")), "person", "left_semi").select("person", "path", "rank")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -107,10 +146,15 @@ def newer_wins(stored: DataFrame, sidecar: DataFrame, key: str = "path") -> Data
     return joined.select(key, F.when(newer, F.coalesce("_r", "rating")).otherwise(F.col("rating")).alias("rating"), F.array_sort(F.array_union("tags", F.coalesce("_t", F.array().cast("array<string>")))).alias("tags"))
 
 
-@query("n1_people_sets", "SELECT person, path, rank::INTEGER AS rank FROM (SELECT l_suppkey AS person, i.path, row_number() OVER (PARTITION BY l_suppkey ORDER BY aggregate DESC, i.path) AS rank FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey <= 20) f JOIN item i ON i.path = l_orderkey) WHERE rank <= 10")
+@query("n1_people_sets", """WITH RECURSIVE f AS (SELECT DISTINCT l_suppkey AS person, l_orderkey AS path FROM lineitem),
+  b AS (SELECT * FROM (SELECT person, i.path, row_number() OVER (PARTITION BY person ORDER BY aggregate DESC, i.path) AS rank FROM f JOIN item i ON i.path = f.path) WHERE rank <= 10),
+  z AS (SELECT person, count(*) AS n FROM b GROUP BY 1), o AS (SELECT y.person AS later, x.person AS earlier FROM b x JOIN b y ON x.path = y.path AND x.person < y.person JOIN z ON z.person = y.person GROUP BY y.person, x.person, z.n HAVING count(*) > 0.5 * z.n),
+  p AS (SELECT person, row_number() OVER (ORDER BY person) AS i FROM z), g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+    SELECT g.i + 1, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.later = p.person AND list_contains(g.kept, o.earlier)) THEN g.kept ELSE list_append(g.kept, p.person) END FROM g JOIN p ON p.i = g.i + 1)
+  SELECT person, path, rank::INTEGER AS rank FROM b WHERE person IN (SELECT unnest(kept) FROM g WHERE i = (SELECT max(i) FROM g))""")
 def _(v):
-    faces = v.table("lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("path")).distinct()
-    return top_per_group(faces.join(v.item, "path"), "person", 10).select("person", "path", F.col("rn").alias("rank"))
+    faces = v.table("lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("path"))
+    return people_sets(faces, v.item, 10)
 
 
 @query("n2_seasonal", """SELECT name, path, rank::INTEGER AS rank FROM (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY aggregate DESC, path) AS rank FROM (SELECT path, aggregate, (year(date_taken) + CASE WHEN month(date_taken) = 12 THEN 1 ELSE 0 END) || '-' ||
@@ -194,8 +238,34 @@ def _(v):
 
 @query("n13_cross_dimension_sets", "SELECT camera, status, category, count(*)::BIGINT AS n FROM item GROUP BY GROUPING SETS ((camera, status), (camera, category), (status, category)) HAVING count(*) >= 50")
 def _(v):
-    v.item.createOrReplaceTempView("shelfmark_cross")
-    return v.spark.sql("SELECT camera, status, category, count(*) AS n FROM shelfmark_cross GROUP BY GROUPING SETS ((camera, status), (camera, category), (status, category)) HAVING count(*) >= 50")
+    return v.spark.sql("SELECT camera, status, category, count(*) AS n FROM {items} GROUP BY GROUPING SETS ((camera, status), (camera, category), (status, category)) HAVING count(*) >= 50", items=v.item)
+
+
+#: The dimensions in SQL over ``item`` with ``hue``.
+DIMENSION_SQL = {
+    "year": "strftime(date_taken, '%Y')", "month": "strftime(date_taken, '%Y-%m')", "week": "strftime(date_trunc('week', date_taken), '%Y-%m-%d')", "weekday": "dayofweek(date_taken)::VARCHAR", "weekend": "CASE WHEN dayofweek(date_taken) IN (0, 6) THEN 'weekend' ELSE 'workday' END",
+    "season": "(year(date_taken) + CASE WHEN month(date_taken) = 12 THEN 1 ELSE 0 END) || '-' || CASE WHEN month(date_taken) IN (12, 1, 2) THEN 'winter' WHEN month(date_taken) <= 5 THEN 'spring' WHEN month(date_taken) <= 8 THEN 'summer' ELSE 'autumn' END",
+    "quarter": "strftime(date_taken, '%Y') || '-' || quarter(date_taken)", "day": "strftime(date_taken, '%Y-%m-%d')", "decade": "(year(date_taken) // 10 * 10)::VARCHAR", "camera": "camera", "lens": "lens", "category": "category", "status": "status",
+    "band": "floor(aggregate)::INTEGER::VARCHAR", "star": "least(5, floor(aggregate / 2 + 0.5))::INTEGER::VARCHAR",
+    "hue": "CASE WHEN hue >= 345 OR hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 195 THEN 'cyan' WHEN hue < 255 THEN 'blue' WHEN hue < 300 THEN 'purple' ELSE 'magenta' END",
+    "initial": "substr(lens, 1, 1)", "owner": "owner::VARCHAR", "gear": "camera || ' / ' || lens",
+}
+#: Each of eight dimensions with each other one.
+CROSSED = [(x, y) for i, x in enumerate(("year", "season", "camera", "lens", "category", "status", "band", "hue")) for y in ("year", "season", "camera", "lens", "category", "status", "band", "hue")[i + 1 :]]
+HUED = "SELECT *, path % 360 AS hue FROM item"
+
+
+@query("n12_all_dimensions", f"""WITH d AS (SELECT path, aggregate, unnest([{", ".join(f"'{k}'" for k in DIMENSION_SQL)}]) AS dim, unnest([{", ".join(DIMENSION_SQL.values())}]) AS value FROM ({HUED})),
+  r AS (SELECT *, count(*) OVER (PARTITION BY dim, value) AS n, row_number() OVER (PARTITION BY dim, value ORDER BY aggregate DESC, path) AS rank FROM d WHERE value IS NOT NULL)
+  SELECT dim, value, n::BIGINT AS n, path, rank::INTEGER AS rank FROM r WHERE rank <= 12 AND n >= CASE dim {" ".join(f"WHEN '{k}' THEN {n}" for k, n in DIMENSIONS.items())} END""")
+def _(v):
+    return dimension_members(v.item.withColumn("hue", F.col("path") % 360), most=12)
+
+
+@query("n13_all_crossed", f"""WITH d AS (SELECT path, aggregate, unnest([{", ".join(f"'{x}'" for x, _ in CROSSED)}]) AS one, unnest([{", ".join(f"'{y}'" for _, y in CROSSED)}]) AS two, unnest([{", ".join(DIMENSION_SQL[x] for x, _ in CROSSED)}]) AS a, unnest([{", ".join(DIMENSION_SQL[y] for _, y in CROSSED)}]) AS b FROM ({HUED}))
+  SELECT one, two, a, b, count(*)::BIGINT AS n, min_by(path, (-aggregate, path)) AS best FROM d WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10""")
+def _(v):
+    return crossed_sets(v.item.withColumn("hue", F.col("path") % 360), CROSSED, 10)
 
 
 @query("n14_best_per_dimension", "SELECT lens AS name, path, rank::INTEGER AS rank FROM (SELECT lens, path, row_number() OVER (PARTITION BY lens ORDER BY aesthetic DESC, path) AS rank FROM scored) WHERE rank <= 5")

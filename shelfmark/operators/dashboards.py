@@ -111,8 +111,7 @@ def _(v):
 
 @query("d5_gear_report", """SELECT camera, lens, count(*)::BIGINT AS n, round(avg(aggregate), 3) AS mean, round(avg(aesthetic), 3) AS aesthetic FROM scored GROUP BY GROUPING SETS ((camera), (lens), (camera, lens)) HAVING count(*) >= 5""")
 def _(v):
-    v.scored.createOrReplaceTempView("shelfmark_gear")
-    return v.spark.sql("SELECT camera, lens, count(*) AS n, round(avg(aggregate), 3) AS mean, round(avg(aesthetic), 3) AS aesthetic FROM shelfmark_gear GROUP BY GROUPING SETS ((camera), (lens), (camera, lens)) HAVING count(*) >= 5")
+    return v.spark.sql("SELECT camera, lens, count(*) AS n, round(avg(aggregate), 3) AS mean, round(avg(aesthetic), 3) AS aesthetic FROM {items} GROUP BY GROUPING SETS ((camera), (lens), (camera, lens)) HAVING count(*) >= 5", items=v.scored)
 
 
 @query("d6_usage_history", "SELECT camera, string_agg(m || '=' || n, ',' ORDER BY m) AS history FROM (SELECT camera, strftime(date_taken, '%Y-%m') AS m, count(*) AS n FROM item GROUP BY 1, 2) GROUP BY 1")
@@ -257,13 +256,20 @@ def _(v):
     return v.geo.where("lat between -45 and 45").orderBy(F.desc("score"), "path").limit(200).select("path", "lat", "lon")
 
 
+@query("d24_hue_counts", "SELECT CASE WHEN h >= 345 OR h < 15 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green' WHEN h < 195 THEN 'cyan' WHEN h < 255 THEN 'blue' WHEN h < 300 THEN 'purple' ELSE 'magenta' END AS value, count(*)::BIGINT AS n FROM (SELECT path % 360 AS h FROM metric) GROUP BY 1")
+def _(v):
+    from shelfmark.operators.predicates import hue_name
+
+    return v.metric.select((F.col("path") % 360).alias("h")).groupBy(hue_name("h").alias("value")).agg(F.count("*").alias("n"))
+
+
 @query("d33_comparison_stats", "SELECT winner, category, count(*)::BIGINT AS n FROM pref GROUP BY 1, 2")
 def _(v):
     return v.pref.groupBy("winner", "category").agg(F.count("*").alias("n"))
 
 
 def coverage(items: DataFrame, pairs: DataFrame, score: str = "aggregate") -> DataFrame:
-    """Compared items by five score bins, with an evenness score of 0 to 100."""
+    """Compared items by five score bins."""
     seen = pairs.select(F.explode(F.array("a_path", "b_path")).alias("path")).distinct()
     bins = items.join(seen.withColumn("seen", F.lit(1)), "path", "left").groupBy(F.least(F.lit(4), F.floor(F.col(score) / 2)).alias("bin")).agg(F.count("*").alias("n"), F.count("seen").alias("compared"))
     return bins.withColumn("share", F.round(100.0 * F.col("compared") / F.col("n"), 2))
@@ -275,6 +281,33 @@ def _(v):
     return coverage(v.shot, v.pref.where("source = 'vote'"))
 
 
+def coverage_report(items: DataFrame, pairs: DataFrame, score: str = "aggregate") -> DataFrame:
+    """One row: ``pairs``, the count of compared sides in five score bins, ``evenness`` from 0 to 100 (100 less the mean relative deviation from even bins), and ``advice``.
+
+    Sides without a score fall in no bin. Advice asks for pairs up to 30 and 50, for bins below a tenth of all sides, and warns where one side wins over 70 % of decided pairs.
+    """
+    scores = items.select(F.col("path").alias("_p"), F.col(score).alias("_x"))
+    sides = pairs.select("winner", F.posexplode(F.array("a_path", "b_path")).alias("side", "_p")).join(scores, "_p", "left")
+    inside = lambda i: F.count_if(F.col("_x").isNotNull() & (F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.col("_x") / 2))) == i)).alias(f"bin{i}")
+    won = lambda w: F.count_if((F.col("winner") == w) & (F.col("side") == 0)).alias(f"won_{w}")
+    found = sides.agg(F.count_if(F.col("side") == 0).alias("pairs"), *[inside(i) for i in range(5)], won("a"), won("b"))
+    bins = F.array(*[F.col(f"bin{i}") for i in range(5)])
+    total = F.aggregate(bins, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    spread = F.aggregate(F.transform(bins, lambda x: F.abs(x - F.col("_t") / 5) / (F.col("_t") / 5)), F.lit(0.0), lambda a, x: a + x)
+    even = F.when(F.col("_t") > 0, F.greatest(F.lit(0.0), 100 - spread / 5 * 100)).otherwise(0.0)
+    share = F.try_divide(F.col("won_a"), F.col("won_a") + F.col("won_b"))
+    advice = [F.when(F.col("pairs") < 30, "enable").when(F.col("pairs") < 50, "more"), *[F.when((F.col("_t") > 0) & (F.col(f"bin{i}") * 100 < 10 * F.col("_t")), f"bin {2 * i}-{2 * i + 2}") for i in range(5)], F.when((share > 0.7) | (share < 0.3), "unbalanced")]
+    return found.withColumn("_t", total).select("pairs", *[f"bin{i}" for i in range(5)], even.alias("evenness"), F.concat_ws(",", *advice).alias("advice"))
+
+
+@query("d34_coverage_report", """WITH s AS (SELECT p.winner, unnest([0, 1]) AS side, unnest([a_path, b_path]) AS path FROM pref p WHERE source = 'vote'), x AS (SELECT winner, side, aggregate AS x FROM s LEFT JOIN shot ON shot.path = s.path),
+  b AS (SELECT count(*) FILTER (side = 0)::BIGINT AS pairs, """ + ", ".join(f"count(*) FILTER (least(4, floor(x / 2)) = {i})::BIGINT AS bin{i}" for i in range(5)) + """, count(x) AS t, (count(*) FILTER (side = 0 AND winner = 'a') / count(*) FILTER (side = 0 AND winner IN ('a', 'b'))) AS w FROM x)
+  SELECT pairs, bin0, bin1, bin2, bin3, bin4, round(greatest(0, 100 - (""" + " + ".join(f"abs(bin{i} - t / 5) / (t / 5)" for i in range(5)) + """) / 5 * 100), 6) AS evenness,
+  concat_ws(',', CASE WHEN pairs < 30 THEN 'enable' WHEN pairs < 50 THEN 'more' END, """ + ", ".join(f"CASE WHEN bin{i} * 100 < 10 * t THEN 'bin {2 * i}-{2 * i + 2}' END" for i in range(5)) + """, CASE WHEN w > 0.7 OR w < 0.3 THEN 'unbalanced' END) AS advice FROM b""")
+def _(v):
+    return coverage_report(v.shot, v.pref.where("source = 'vote'")).withColumn("evenness", F.round("evenness", 6))
+
+
 @query("d35_history_page", "SELECT a_path, b_path, winner FROM pref WHERE category = 'view' AND winner = 'b' AND voted_at >= TIMESTAMP '2024-01-05' ORDER BY voted_at DESC, a_path LIMIT 50 OFFSET 50")
 def _(v):
     held = v.pref.where("category = 'view' and winner = 'b' and voted_at >= timestamp'2024-01-05'")
@@ -294,7 +327,9 @@ def _(v):
 
 @query("d38_quartiles", "SELECT category, count(*)::BIGINT AS n, round(quantile_cont(aggregate::DOUBLE, 0.25), 4) AS q1, round(quantile_cont(aggregate::DOUBLE, 0.5), 4) AS q2, round(quantile_cont(aggregate::DOUBLE, 0.75), 4) AS q3 FROM item GROUP BY 1")
 def _(v):
-    q = v.item.groupBy("category").agg(F.count("*").alias("n"), F.percentile("aggregate", [0.25, 0.5, 0.75]).alias("q"))
+    from shelfmark.operators.order_stats import quantiles
+
+    q = quantiles(v.item, ["category"], "aggregate", [0.25, 0.5, 0.75])
     return q.select("category", "n", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)])
 
 
@@ -341,5 +376,4 @@ def snapshot(items: DataFrame) -> DataFrame:
 
 @query("d44_statistics_report", "SELECT category, camera, count(*)::BIGINT AS n, round(avg(aggregate), 3) AS mean, round(var_pop(aggregate), 3) AS variance FROM scored GROUP BY GROUPING SETS ((category), (camera), ())")
 def _(v):
-    v.scored.createOrReplaceTempView("shelfmark_report")
-    return v.spark.sql("SELECT category, camera, count(*) AS n, round(avg(aggregate), 3) AS mean, round(var_pop(aggregate), 3) AS variance FROM shelfmark_report GROUP BY GROUPING SETS ((category), (camera), ())")
+    return v.spark.sql("SELECT category, camera, count(*) AS n, round(avg(aggregate), 3) AS mean, round(var_pop(aggregate), 3) AS variance FROM {items} GROUP BY GROUPING SETS ((category), (camera), ())", items=v.scored)

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.plans.query_spec import QuerySpec, composite, ranges
 from shelfmark.registry import query
 
-HUES = {"red": [(345, 360), (0, 15)], "orange": [(15, 45)], "yellow": [(45, 75)], "green": [(75, 165)], "blue": [(165, 255)], "purple": [(255, 345)]}
+#: Hues in degrees, from the first edge up to, without, the second. Fixed values.
+HUES = {
+    "red": [(0, 15), (345, 360)], "orange": [(15, 45)], "yellow": [(45, 70)], "green": [(70, 165)], "cyan": [(165, 195)], "blue": [(195, 255)], "purple": [(255, 300)], "magenta": [(300, 345)],
+}
 
 
 def starts_with(column: str, prefix: str) -> Column:
@@ -73,16 +76,35 @@ def path_prefix(column: str, prefix: str) -> Column:
 
 
 def visible_to(df: DataFrame, grants: DataFrame, user: int, column: str = "place") -> DataFrame:
-    """Rows below any directory granted to the user; no grant, no rows."""
-    own = F.broadcast(grants.where(F.col("user_id") == user).select("prefix").distinct())
-    return df.join(own, F.col(column).startswith(F.col("prefix")), "left_semi")
+    """Rows below any directory granted to the user; no grant, no rows.
+
+    A row's beginning of each length that the user's grants have meets the grants by equality; so there is no comparison of each row with each grant, however many there are.
+    """
+    own = grants.where((F.col("user_id") == user) & F.col("prefix").isNotNull()).select("prefix").distinct()
+    lengths = [r["n"] for r in own.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as prefixes have lengths
+    if not lengths:
+        return df.limit(0)
+    out = df
+    for n in lengths:
+        granted = own.where(F.length("prefix") == n).withColumnRenamed("prefix", f"_p{n}")
+        out = out.join(granted, F.when(F.length(column) >= n, F.substring(column, 1, n)) == F.col(f"_p{n}"), "left")
+    return out.where(F.coalesce(*[F.col(f"_p{n}") for n in lengths]).isNotNull()).drop(*[f"_p{n}" for n in lengths])
 
 
 def matches_rule(rule: dict) -> Column:
-    """Numeric bounds and exact values; a null fails a bound."""
+    """Numeric bounds, exact values and tags; a null fails a bound.
+
+    ``any_tags`` and ``all_tags`` must be among the row's ``tags`` (an array of strings, null for none), ``excluded_tags`` must not; case doesn't count.
+    """
     parts = [F.coalesce(F.col(k[4:]) >= v, F.lit(False)) for k, v in rule.items() if k.startswith("min_")]
     parts += [F.coalesce(F.col(k[4:]) <= v, F.lit(False)) for k, v in rule.items() if k.startswith("max_")]
     parts += [F.coalesce(F.col(k[3:]) == v, F.lit(False)) for k, v in rule.items() if k.startswith("is_")]
+    if any(k in rule for k in ("any_tags", "all_tags", "excluded_tags")):
+        own = F.transform(F.coalesce(F.col("tags"), F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
+        has = lambda names: [F.coalesce(F.array_contains(own, n.lower()), F.lit(False)) for n in names]
+        parts += [reduce(or_, has(rule["any_tags"]))] if rule.get("any_tags") else []
+        parts += has(rule.get("all_tags", []))
+        parts += [~x for x in has(rule.get("excluded_tags", []))]
     return reduce(and_, parts, F.lit(True))
 
 
@@ -172,8 +194,8 @@ def _(v):
     return v.item.select("path", tier.alias("tier"))
 
 
-@query("b10_hue_buckets", """SELECT bucket, count(*)::BIGINT AS n FROM (SELECT CASE WHEN h >= 345 OR h < 15 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 75 THEN 'yellow' WHEN h < 165 THEN 'green'
-  WHEN h < 255 THEN 'blue' ELSE 'purple' END AS bucket FROM (SELECT path % 360 AS h FROM item)) GROUP BY bucket""")
+@query("b10_hue_buckets", """SELECT bucket, count(*)::BIGINT AS n FROM (SELECT CASE WHEN h >= 345 OR h < 15 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green'
+  WHEN h < 195 THEN 'cyan' WHEN h < 255 THEN 'blue' WHEN h < 300 THEN 'purple' ELSE 'magenta' END AS bucket FROM (SELECT path % 360 AS h FROM item)) GROUP BY bucket""")
 def _(v):
     return v.item.select((F.col("path") % 360).alias("h")).groupBy(hue_name("h").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -249,6 +271,17 @@ def _(v):
     return v.scored.select("path", matches_rule(RULE).alias("matched"), first_failure(RULE).alias("failed"))
 
 
+TAG_RULE = {"min_aggregate": 2.0, "any_tags": ["Bolt", "gear"], "all_tags": ["small"], "excluded_tags": ["red"]}
+
+
+@query("b22_tag_rules", """WITH t AS (SELECT path, list(tag) AS tags FROM item_tag GROUP BY 1), r AS (SELECT i.path, aggregate, coalesce(tags, []) AS tags FROM item i LEFT JOIN t ON t.path = i.path),
+  c AS (SELECT path, coalesce(aggregate >= 2.0, false) AS a, list_contains(tags, 'bolt') OR list_contains(tags, 'gear') AS b, list_contains(tags, 'small') AS c, NOT list_contains(tags, 'red') AS d FROM r)
+  SELECT path, a AND b AND c AND d AS matched, CASE WHEN NOT a THEN 'min_aggregate' WHEN NOT b THEN 'any_tags' WHEN NOT c THEN 'all_tags' WHEN NOT d THEN 'excluded_tags' END AS failed FROM c""")
+def _(v):
+    tagged = v.item.join(v.item_tag.groupBy("path").agg(F.collect_set("tag").alias("tags")), "path", "left")
+    return tagged.select("path", matches_rule(TAG_RULE).alias("matched"), first_failure(TAG_RULE).alias("failed"))
+
+
 @query("b23_filter_suggestions", """SELECT path, bound, old, round(new, 4) AS new FROM (
   SELECT path, 'min_aesthetic' AS bound, 4.5::DOUBLE AS old, CASE WHEN NOT aesthetic >= 4.5 THEN aesthetic * 0.9 END AS new FROM metric UNION ALL
   SELECT path, 'max_exposure', 6.0::DOUBLE, CASE WHEN NOT exposure <= 6.0 THEN exposure * 1.1 END FROM metric) WHERE new IS NOT NULL""")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shelfmark.operators.browse import global_rank, percentile_rank
+from shelfmark.operators.order_stats import auc
 from shelfmark.registry import query
 from shelfmark.runtime import stash
 from shelfmark.sources.views import METRICS
@@ -22,12 +23,12 @@ def canonical(pairs: DataFrame) -> DataFrame:
 
 
 def culling_pairs(decided: DataFrame, group: str, keeps: int = 2, cap: int = 12) -> DataFrame:
-    """Each rejected shot against kept ones in turn, at most ``cap`` pairs a group."""
-    kept = F.slice(F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct((-F.col("aggregate")).alias("m"), F.col("path"))))), 1, keeps)
-    lost = F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("path"))))
-    groups = decided.groupBy(group).agg(kept.alias("k"), lost.alias("r")).where((F.size("k") > 0) & (F.size("r") > 0))
-    rows = groups.select(group, "k", F.posexplode(F.slice("r", 1, cap)).alias("i", "loser"))
-    return rows.select(group, F.expr("k[i % size(k)].path").alias("a_path"), F.col("loser").alias("b_path"), F.lit("a").alias("winner"))
+    """Each rejected shot against kept ones in turn, at most ``cap`` pairs a group. Only a group's first ranks are looked at, so none is gathered."""
+    kept = decided.where("keep").select(group, "path", F.row_number().over(W.partitionBy(group).orderBy(F.desc("aggregate"), "path")).alias("n")).where(F.col("n") <= keeps)
+    lost = decided.where("not keep").select(group, F.col("path").alias("b_path"), F.row_number().over(W.partitionBy(group).orderBy("path")).alias("i")).where(F.col("i") <= cap)
+    sizes = kept.groupBy(group).agg(F.count("*").alias("size"))
+    turned = lost.join(sizes, group).withColumn("n", (F.col("i") - 1) % F.col("size") + 1)
+    return turned.join(kept.withColumnRenamed("path", "a_path"), [group, "n"]).select(group, "a_path", "b_path", F.lit("a").alias("winner"))
 
 
 def label_pairs(items: DataFrame, per_item: int = 6, total: int = 2000, gap: int = 2, pool: int = 500, sampled: int = 2) -> DataFrame:
@@ -45,7 +46,9 @@ def label_pairs(items: DataFrame, per_item: int = 6, total: int = 2000, gap: int
                     F.when(~F.coalesce(fav, F.lit(False)) & ~F.coalesce(rej, F.lit(False)) & (stars == 0), "plain"))
     classed = items.select("category", "path", stars.alias("stars"), F.explode(F.array_compact(named)).alias("class"))
     rank = F.row_number().over(W.partitionBy("category", "class").orderBy("path"))
-    first = classed.withColumn("n", rank).where(F.col("n") <= F.when(F.col("class") == "plain", pool).otherwise(depth))
+    # bounds as literals, so each task passes on its first rows alone
+    plain = F.col("class") == "plain"
+    first = classed.where(plain).withColumn("n", rank).where(F.col("n") <= pool).unionByName(classed.where(~plain).withColumn("n", rank).where(F.col("n") <= depth))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}
@@ -169,15 +172,6 @@ def bootstrap_fits(rows: DataFrame, size: int, replicates: int = 8, strata: int
     return sums.mapInPandas(solve, "replicate long, dim int, weight double")
 
 
-def auc(df: DataFrame, score: str, label: str, by: list[str] = [], least: int = 1) -> DataFrame:  # noqa: B006
-    """Area under the curve from counts of equal scores: no ranks of single rows, so no window over them."""
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pairs = counts.withColumn("won", F.col("p") * (below + F.col("q") / 2))
-    out = pairs.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("won").alias("won"))
-    return out.where((F.col("positives") >= least) & (F.col("negatives") >= least)).select(*by, "positives", F.try_divide("won", F.col("positives") * F.col("negatives")).alias("auc"))
-
-
 def group_softmax(df: DataFrame, group: str, score: str) -> DataFrame:
     top = F.max(score).over(W.partitionBy(group))
     e = df.withColumn("_e", F.exp(F.col(score) - top))

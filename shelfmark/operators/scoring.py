@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.operators.dashboards import pearson
+from shelfmark.operators.order_stats import at_index, average_rank, quantiles, spearman, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
 from shelfmark.sources.views import METRICS
@@ -68,15 +69,42 @@ def score(df: DataFrame, rules: dict[str, dict] = RULES, weights: dict[str, dict
     return df.withColumn("kind", category_of(rules)).withColumn("score", clamp(weighted(weights) - penalties()))
 
 
+#: What categories change in the steps after the weighted sum. Faces lose half for a blink, the default counts clipping one and a half times, silhouettes not at all, and night scenes no strong colour.
+STEPS = {
+    "blink": {"portrait": 0.5, "portrait_bw": 0.5, "group_portrait": 0.5}, "clipping": {"default": 1.5, "silhouette": 0.0}, "strong_colour": {"night": 0.0, "astro": 0.0, "concert": 0.0},
+    "noise": {}, "bonus": {},
+}
+
+
+def _of_kind(values: dict[str, float], otherwise: float, kind: str = "kind") -> Column:
+    out = F.lit(float(otherwise))
+    for name, value in values.items():
+        out = F.when(F.col(kind) == name, float(value)).otherwise(out)
+    return out
+
+
+def full_score(df: DataFrame, rules: dict[str, dict] = RULES, weights: dict[str, dict[str, float]] = WEIGHTS, steps: dict[str, dict[str, float]] = STEPS, low: float = 0.0, high: float = 10.0) -> DataFrame:
+    """``kind`` and ``score`` by all steps: weighted sum, blink multiplier, bonus, clipping, noise, far ends and strong colour, bounds.
+
+    Reads ``is_blink``, ``is_silhouette``, ``shadow_clipped`` and ``highlight_clipped`` (nulls count as 0): clipped shadows cost half a point, clipped highlights one, silhouettes neither; one expression, so it stays in the JVM.
+    """
+    flag = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    kinds = df.withColumn("kind", category_of(rules))
+    multiplied = weighted(weights) * F.when(flag("is_blink") > 0, _of_kind(steps.get("blink", {}), 1.0)).otherwise(1.0)
+    clipped = F.when(flag("is_silhouette") > 0, 0.0).otherwise(flag("shadow_clipped") * 0.5 + flag("highlight_clipped"))
+    noise = F.when(F.col("tech_sharpness") < 3, (3 - F.col("tech_sharpness")) * 0.2).otherwise(0.0)
+    ends = F.when((F.col("exposure") < 1) | (F.col("exposure") > 9), 0.5).otherwise(0.0)
+    strong = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("comp_score") - 8) * 0.5)
+    total = multiplied + _of_kind(steps.get("bonus", {}), 0.0) - clipped * _of_kind(steps.get("clipping", {}), 1.0) - noise * _of_kind(steps.get("noise", {}), 1.0) - ends - strong * _of_kind(steps.get("strong_colour", {}), 1.0)
+    return kinds.withColumn("score", clamp(total, low, high))
+
+
 def index_percentile(df: DataFrame, metrics: tuple[str, ...], p: float, by: list[str] = [], least: int = 1) -> DataFrame:  # noqa: B006
-    """The value at index ``min(int(n * p / 100), n - 1)`` of each sorted metric: exact, by value counts and running sums of these."""
-    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics]))).where("x is not null")
+    """The value at index ``min(int(n * p / 100), n - 1)`` of each sorted metric, exactly."""
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])))
     keys = [*by, "metric"]
-    counts = long.groupBy(*keys, "x").agg(F.count("*").alias("k"))
-    ordered = W.partitionBy(*keys).orderBy("x")
-    placed = counts.withColumn("upto", F.sum("k").over(ordered)).withColumn("n", F.sum("k").over(W.partitionBy(*keys)))
-    pick = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return placed.where((F.col("n") >= least) & (F.col("upto") > pick)).groupBy(*keys).agg(F.min("x").alias("value"), F.first("n").alias("n"))
+    pick = F.least(F.floor(F.col("k_all") * p / 100), F.col("k_all") - 1)
+    return at_index(value_counts(long, keys, "x"), keys, "x", {"value": pick}).where(F.col("n") >= least)
 
 
 def normalised(raw: Column, own: Column, overall: Column) -> Column:
@@ -85,29 +113,30 @@ def normalised(raw: Column, own: Column, overall: Column) -> Column:
     return F.when(base.isNull(), raw).otherwise(clamp(raw / base * 10))
 
 
-def average_rank(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties averaged, from value counts."""
-    counts = df.groupBy(*by, x).agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(W.partitionBy(*by).orderBy(x))
-    ranks = counts.withColumn(name, upto - (F.col("_k") - 1) / 2).drop("_k")
-    return df.join(ranks, [*by, x])
+def candidates_near(best: np.ndarray, spread: float, count: int, rng: np.random.Generator) -> np.ndarray:
+    """The best weights so far and others around them, each summing to 1."""
+    tried = np.vstack([best, np.abs(best + spread * rng.normal(size=(count, len(best))) / 2) + 1e-9])
+    return tried / tried.sum(axis=1, keepdims=True)
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = average_rank(average_rank(df, by, x, "_rx"), by, y, "_ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("_rx"), F.col("_ry")).alias("rho"))
+def rank_correlations(df: DataFrame, target: str, metrics: tuple[str, ...], tried: np.ndarray) -> list[float]:
+    """The rank correlation of each candidate's weighted sum with the target: all sums are ranked at once, candidates being groups of one table."""
+    known = df.where(F.col(target).isNotNull()).select(F.col(target).alias("_t"), *[F.coalesce(F.col(m), F.lit(0.0)).cast("double").alias(m) for m in metrics])
+    ranked = average_rank(known, [], "_t", "_rt")
+    sums = [F.struct(F.lit(i).alias("tried"), F.round(sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)), 9).alias("sum")) for i, row in enumerate(tried)]
+    long = ranked.select("_rt", F.inline(F.array(*sums)))
+    found = average_rank(long, ["tried"], "sum", "_rs").groupBy("tried").agg(pearson(F.col("_rs"), F.col("_rt")).alias("rho")).collect()
+    rho = {r["tried"]: r["rho"] for r in found}
+    return [-2.0 if rho.get(i) is None else rho[i] for i in range(len(tried))]
 
 
 def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS, candidates: int = 24, rounds: int = 3, seed: int = 3) -> dict[str, float]:
-    """Weights on the simplex of largest rank correlation with the target: Spark scores all candidates of a round in one pass over ranks."""
+    """Weights on the simplex of largest rank correlation with the target; each round ranks all its candidates in one pass and narrows around the best, the first of equals."""
     rng = np.random.default_rng(seed)
     best, spread = np.full(len(metrics), 1 / len(metrics)), 1.0
     for _ in range(rounds):
-        tried = np.vstack([best, np.abs(best + spread * rng.normal(size=(candidates, len(metrics))) / 2) + 1e-9])
-        tried /= tried.sum(axis=1, keepdims=True)
-        sums = [sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)) for row in tried]
-        found = df.agg(*[pearson(s, F.col(target)).alias(f"c{i}") for i, s in enumerate(sums)]).first()
-        best, spread = tried[int(np.argmax([-2.0 if found[f"c{i}"] is None else found[f"c{i}"] for i in range(len(tried))]))], spread / 2
+        tried = candidates_near(best, spread, candidates, rng)
+        best, spread = tried[int(np.argmax(np.round(rank_correlations(df, target, metrics, tried), 12)))], spread / 2
     return dict(zip(metrics, best.tolist(), strict=True))
 
 
@@ -190,6 +219,19 @@ def _(v):
     return score(v.scored).select("path", "kind", F.round("score", 9).alias("score"))
 
 
+FLAGS = {"is_blink": (11, 3), "shadow_clipped": (5, 2), "highlight_clipped": (7, 3), "is_silhouette": (13, 2)}
+OWN_STEPS = STEPS | {"bonus": {"fine": 0.3}, "noise": {"sharp": 0.5}}
+
+
+@query("g4_all_steps", f"""WITH f AS (SELECT *, {ORACLE_KIND} AS kind, {", ".join(f"(path % {a} < {b})::INTEGER AS {name}" for name, (a, b) in FLAGS.items())} FROM scored)
+  SELECT path, kind, round(greatest(0, least(10, ({ORACLE_WEIGHTED}) * CASE WHEN is_blink = 1 AND kind = 'portrait' THEN 0.5 ELSE 1 END + CASE WHEN kind = 'fine' THEN 0.3 ELSE 0 END
+  - CASE WHEN is_silhouette = 1 THEN 0 ELSE shadow_clipped * 0.5 + highlight_clipped END * CASE WHEN kind = 'default' THEN 1.5 ELSE 1 END
+  - CASE WHEN tech_sharpness < 3 THEN (3 - tech_sharpness) * 0.2 ELSE 0 END * CASE WHEN kind = 'sharp' THEN 0.5 ELSE 1 END - CASE WHEN exposure < 1 OR exposure > 9 THEN 0.5 ELSE 0 END - least(1.0, greatest(0.0, comp_score - 8) * 0.5))), 9) AS score FROM f""")
+def _(v):
+    rows = v.scored.withColumns({name: (F.col("path") % a < b).cast("int") for name, (a, b) in FLAGS.items()})
+    return full_score(rows, steps=OWN_STEPS).select("path", "kind", F.round("score", 9).alias("score"))
+
+
 @query("g5_weight_table", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}', {w / 100}::DOUBLE)" for k, own in WEIGHTS.items() for m, w in own.items()) + ") t(kind, metric, weight) WHERE kind IN (SELECT kind FROM (SELECT " + ORACLE_KIND + " AS kind FROM metric))")
 def _(v):
     weights = v.spark.createDataFrame([(k, m, w / sum(own.values())) for k, own in WEIGHTS.items() for m, w in own.items()], "kind string, metric string, weight double")
@@ -278,7 +320,7 @@ def _(v):
 @query("g18_boundaries", "SELECT quality = (n_chars > 1000)::INTEGER AS correct, count(*)::BIGINT AS n, round(quantile_cont(n_chars::DOUBLE, 0.1), 2) AS p10, round(quantile_cont(n_chars::DOUBLE, 0.9), 2) AS p90 FROM label GROUP BY 1")
 def _(v):
     correct = F.col("quality") == (F.col("n_chars") > 1000).cast("int")
-    q = v.label.groupBy(correct.alias("correct")).agg(F.count("*").alias("n"), F.percentile("n_chars", [0.1, 0.9]).alias("q"))
+    q = quantiles(v.label.withColumn("correct", correct), ["correct"], "n_chars", [0.1, 0.9])
     return q.select("correct", "n", F.round(F.col("q")[0], 2).alias("p10"), F.round(F.col("q")[1], 2).alias("p90"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars
-from shelfmark.operators import browse, collection_sets, preference, scoring, sessions, similarity
+from shelfmark.operators import browse, collection_sets, preference, scans, scoring, sessions, similarity
 from shelfmark.operators.components import connected_components
 from shelfmark.sources import tables
 
@@ -52,9 +52,9 @@ def test_bursts_match_any_member_and_null_times_stand_alone(spark):
 
 def test_scenes_split_where_a_label_holds_and_at_the_widest_gap(spark):
     df = shots(spark, [(t, 1, 0, k, 1.0) for t, k in [(0, "a"), (1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "b"), (6, "b")]]).withColumn("session", F.lit(1).cast("long"))
-    assert [r["part"] for r in sessions.split_scenes(df, 3, 100).orderBy("path").collect()] == [0, 0, 0, 0, 1, 1, 1]
+    assert [r["part"] for r in scans.split_scenes(df, 3, 100).orderBy("path").collect()] == [0, 0, 0, 0, 4, 4, 4]
     wide = shots(spark, [(t, 1, 0, "a", 1.0) for t in (0, 1, 10, 11)]).withColumn("session", F.lit(1).cast("long"))
-    assert [r["part"] for r in sessions.split_scenes(wide, 3, 2).orderBy("path").collect()] == [0, 0, 1, 1]
+    assert [r["part"] for r in scans.split_scenes(wide, 3, 2).orderBy("path").collect()] == [0, 0, 2, 2]
 
 
 def test_auto_cull_first_decision_wins(spark):
@@ -95,12 +95,6 @@ def test_merge_chains_and_cycles(spark):
     assert (got[1], got[2], got[3]) == (4, 4, 4) and got[10] == got[11] == 10
 
 
-def test_smoothing_with_no_weight_is_the_best_label(spark):
-    df = shots(spark, [(t, 1, 0, "a", 1.0) for t in range(4)]).withColumn("probs", F.expr("case when path = 2 then array(0.4D, 0.6D) else array(0.9D, 0.1D) end"))
-    assert [r["state"] for r in similarity.smooth(df, 0, 60).orderBy("path").collect()] == [0, 0, 1, 0]
-    assert [r["state"] for r in similarity.smooth(df, 0.95, 60).orderBy("path").collect()] == [0, 0, 0, 0]
-
-
 def test_density_clusters_leave_noise(spark):
     v = [[1.0, 0.0], [0.99, 0.1], [0.98, 0.15], [0.0, 1.0], [-1.0, 0.0]]
     df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
