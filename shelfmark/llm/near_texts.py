@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import if_small, making_room, slices, utf8
+from shelfmark.llm.common import if_small, making_room, release, slices, utf8
 from shelfmark.llm.simhash import majority, near_rows, shingle_hashes
 from shelfmark.operators.components import connected_components
 from shelfmark.runtime import forget, stash
@@ -52,7 +52,8 @@ def marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows ``row, doc_id, node, one, two`` of rows numbered ``_sim_row``: equal nodes are equal sets; ``one`` and ``two`` are the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        release()
+        for batch in slices(batches, limit=2 << 20):
             found = [shingle_set(t, width) for t in utf8(batch.column(2))]
             nodes = pa.array([n for n, _ in found], pa.int64())
             one = pa.array([majority(h) for _, h in found], pa.int64())
@@ -67,7 +68,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Data
     """Rows ``node, held`` of the wanted ``node, row``: each one's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        release()
+        for batch in slices(batches, limit=2 << 20):
             held = [shingle_set(t, width)[1].tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["node", "held"])
 
