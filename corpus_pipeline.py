@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.llm import mixing, near_texts, packing, pii, quality
 from shelfmark.llm.common import table
 from shelfmark.llm.queries import tokenizer_path
-from shelfmark.runtime import ship, stash
+from shelfmark.runtime import forget, ship, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; a stage's written input is deleted once its own output is written."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = stash(docs)
+            forget(last)
     return docs
