@@ -274,7 +274,28 @@ def test_mixing(spark, docs, nothing):
     assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) <= 1 for r in rated)
     assert mixing.mix(df, labels).columns == df.columns
     assert mixing.with_copies(nothing, labels).count() == 0
-    assert {r["rate"] for r in mixing.digest(mixing.with_copies(docs.limit(3), labels.limit(0))).collect()} != set()
+    # without labels every domain is equally likely
+    even = mixing.digest(mixing.with_copies(docs.where("doc_id < 6"), labels.limit(0))).collect()
+    assert len(even) == 6 and all(r[f"p_{d}"] == pytest.approx(1 / 3) for r in even for d in mixing.DOMAINS)
+
+
+def test_mixing_posteriors_and_tokens_equal_plain_loops(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = mixing.train(docs, labels)
+    got = mixing.posteriors(docs, model, carry=["doc_id"]).collect()
+
+    def plain(text):
+        raw = text.encode()
+        words = raw.lower().split()
+        seen = {zlib.crc32(w.strip(mixing.EDGES)) % mixing.BUCKETS for w in words if w.strip(mixing.EDGES)}
+        size = max(1, len(raw))
+        shares = [1.0, 10 * sum(raw.count(c) for c in (b"E", b"A", b"T", b"N", b"I")) / size, 10 * sum(raw.count(c.encode()) for c in "#*$%&|<>!") / size, 1 - len(set(words)) / max(1, len(words))]
+        logits = [sum(model.words[h, k] for h in seen) + sum(s * model.counts[i, k] for i, s in enumerate(shares)) for k in range(len(mixing.DOMAINS))]
+        odds = [np.exp(x - max(logits)) for x in logits]
+        return len(words), [o / sum(odds) for o in odds]
+
+    want = collections.Counter((i, plain(t)[0], *(round(x, 6) for x in plain(t)[1])) for i, t in texts())
+    assert collections.Counter((r["doc_id"], r["_mix_tokens"], *(round(x, 6) for x in r["_mix_p"])) for r in got) == want
 
 
 def test_neighbours(spark):
