@@ -101,4 +101,4 @@ def test_empty_and_odd_tables(spark):
     index = vectors.VectorIndex(nothing)
     assert index.search(nothing.selectExpr("vec_id as k", "embedding as v"), 3).collect() == []
     owners = spark.createDataFrame([(1, [1.0] * 6), (2, [1.0, 2.0])], "owner int, centroid array<double>")
-    assert {r["vec_id"] for r in similarity.nearest_owner(spark.createDataFrame(ODD, KIND), owners, -1.0).collect()} <= {905}
+    assert {r["vec_id"] for r in similarity.nearest_owner(spark.createDataFrame(ODD, KIND), owners, -1.0).collect()} <= {901, 905}
