@@ -374,6 +374,37 @@ def snapshot(items: DataFrame) -> DataFrame:
     return long.groupBy("summary", "value").agg(F.count("*").alias("n"))
 
 
+def full_snapshot(items: DataFrame, tags: DataFrame, faces: DataFrame, at) -> DataFrame:
+    """Rows ``summary, value, n, updated_at``: twelve kinds of counts in three passes.
+
+    One pass over ``items`` (``is_blink``, ``in_burst``, ``is_lead``, ``camera``, ``lens``, ``category``, ``pattern``, ``f_stop``, ``focal``) gives the total, the counts without blinks, without
+    bursts' other shots and without both, and those of each camera, lens, category, pattern, aperture (one decimal) and whole focal length; one over ``tags`` each tag's, one over ``faces`` each person's items. Null values have no row, null flags
+    count as unset.
+    """
+    open_eyes = F.coalesce(F.col("is_blink"), F.lit(0)) == 0
+    shown = (F.coalesce(F.col("in_burst"), F.lit(0)) == 0) | (F.coalesce(F.col("is_lead"), F.lit(0)) == 1)
+    one = lambda name, holds: F.struct(F.lit(name).alias("summary"), F.when(holds, F.lit("")).alias("value"))
+    counts = [one("total", F.lit(True)), one("without_blinks", open_eyes), one("without_bursts", shown), one("without_both", open_eyes & shown)]
+    values = {"camera": F.nullif("camera", F.lit("")), "lens": F.nullif("lens", F.lit("")), "category": F.col("category"), "pattern": F.nullif("pattern", F.lit("")), "aperture": F.round("f_stop", 1).cast("string"), "focal": F.round("focal").cast("int").cast("string")}
+    long = items.select(F.inline(F.array(*counts, *[F.struct(F.lit(k).alias("summary"), c.alias("value")) for k, c in values.items()]))).where("value is not null")
+    found = long.groupBy("summary", "value").agg(F.count("*").alias("n"))
+    tagged = tags.where("tag is not null").groupBy(F.lit("tag").alias("summary"), F.col("tag").alias("value")).agg(F.count("*").alias("n"))
+    people = faces.where("person is not null").select("person", "path").distinct().groupBy(F.lit("person").alias("summary"), F.col("person").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return found.unionByName(tagged).unionByName(people).withColumn("updated_at", F.lit(at))
+
+
+@query("d32_full_snapshot", """WITH i AS (SELECT *, (path % 11 = 0)::INTEGER AS is_blink, (path % 4 < 2)::INTEGER AS in_burst, (path % 4 = 1)::INTEGER AS is_lead, CASE WHEN path % 7 > 0 THEN status ELSE '' END AS pattern, (path % 32)::DOUBLE / 8 + 1 AS f_stop, path % 50 + 10 AS focal FROM item),
+  f AS (SELECT *, is_blink = 0 AS eyes, in_burst = 0 OR is_lead = 1 AS shown FROM i), r AS (SELECT 'total' AS summary, '' AS value, count(*) AS n FROM f UNION ALL SELECT 'without_blinks', '', count(*) FROM f WHERE eyes UNION ALL SELECT 'without_bursts', '', count(*) FROM f WHERE shown
+  UNION ALL SELECT 'without_both', '', count(*) FROM f WHERE eyes AND shown UNION ALL SELECT 'camera', camera, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'lens', lens, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY 2
+  UNION ALL SELECT 'pattern', pattern, count(*) FROM f WHERE pattern <> '' GROUP BY 2 UNION ALL SELECT 'aperture', round(f_stop, 1)::VARCHAR, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'focal', focal::VARCHAR, count(*) FROM f GROUP BY 2
+  UNION ALL SELECT 'tag', tag, count(*) FROM item_tag GROUP BY 2 UNION ALL SELECT 'person', l_suppkey::VARCHAR, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 2) SELECT summary, value, n::BIGINT AS n, 1700000000 AS updated_at FROM r""")
+def _(v):
+    flag = lambda c: c.cast("int")
+    items = v.item.withColumns({"is_blink": flag(F.col("path") % 11 == 0), "in_burst": flag(F.col("path") % 4 < 2), "is_lead": flag(F.col("path") % 4 == 1), "pattern": F.when(F.col("path") % 7 > 0, F.col("status")).otherwise(""), "f_stop": (F.col("path") % 32).cast("double") / 8 + 1, "focal": F.col("path") % 50 + 10})
+    faces = v.table("lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("path"))
+    return full_snapshot(items, v.item_tag, faces, 1_700_000_000)
+
+
 @query("d44_statistics_report", "SELECT category, camera, count(*)::BIGINT AS n, round(avg(aggregate), 3) AS mean, round(var_pop(aggregate), 3) AS variance FROM scored GROUP BY GROUPING SETS ((category), (camera), ())")
 def _(v):
     return v.spark.sql("SELECT category, camera, count(*) AS n, round(avg(aggregate), 3) AS mean, round(var_pop(aggregate), 3) AS variance FROM {items} GROUP BY GROUPING SETS ((category), (camera), ())", items=v.scored)
