@@ -198,6 +198,64 @@ def _(v):
     return co_appearing(v.table("lineitem"), "l_orderkey", "l_suppkey").where("together <= 12")
 
 
+#: Axes of a discovery, the first of equals counts.
+AXES = ("time", "similar", "person", "tag", "location", "mood")
+
+
+def seed_axes(seeds: DataFrame, items: DataFrame, hours: float, least_cosine: float, km: float, mood: float) -> dict[str, DataFrame]:
+    """For each axis the rows ``seed, path`` of items near a seed: in time, by vector, with the same person or tag, by place, and by mood (a number).
+
+    Times, places and moods meet in buckets as wide as the reach, so only neighbours are compared; persons and tags meet by equality. Seeds are few, and their vectors
+    meet the items' in blocks. Items need ``path, captured_at, embedding, person, tag, lat, lon, mood``; nulls are near nothing, and no seed is near itself.
+    """
+    from shelfmark.functions.scalars import cosine, haversine
+    from shelfmark.operators.sessions import near_in_time
+
+    def by_bucket(column: str, width: float, near) -> DataFrame:
+        left = seeds.where(F.col(column).isNotNull()).select(F.col("path").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in ("lat", "lon", "mood")]).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"s_{column}") / width) - 1, F.floor(F.col(f"s_{column}") / width) + 1)))
+        right = items.select("path", "lat", "lon", "mood", F.floor(F.col(column) / width).alias("_b"))
+        return left.join(right, "_b").where(near & (F.col("path") != F.col("seed"))).select("seed", "path")
+
+    def same(column: str) -> DataFrame:
+        left = seeds.select(F.col("path").alias("seed"), F.col(column).alias("_v"))
+        return left.join(items.select("path", F.col(column).alias("_v")), "_v").where("path <> seed").select("seed", "path")
+
+    vectors = seeds.where("embedding is not null").select(F.col("path").alias("seed"), F.col("embedding").alias("q"))
+    parts = 16
+    dealt = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    alike = dealt.join(items.where("embedding is not null").select("path", "embedding", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("_b")), "_b").where(F.size("embedding") == F.size("q"))
+    return {
+        "time": near_in_time(seeds, items, int(hours * 3600)), "similar": alike.where((cosine("embedding", "q") >= least_cosine) & (F.col("path") != F.col("seed"))).select("seed", "path"), "person": same("person"), "tag": same("tag"),
+        "location": by_bucket("lat", km / 111.0, haversine("s_lat", "s_lon", "lat", "lon") <= km), "mood": by_bucket("mood", mood, F.abs(F.col("s_mood") - F.col("mood")) <= mood),
+    }
+
+
+def seeded_discovery(axes: dict[str, DataFrame], items: DataFrame, most: int = 40, least: int = 8, score: str = "aggregate") -> DataFrame:
+    """Rows ``seed, axis, path, rank``: each seed's axis with the most items, at most ``most`` of them counting, and these, the best first; seeds without an axis of ``least`` items have none. Ties go to the earlier axis."""
+    rows = None
+    for place, name in enumerate(n for n in AXES if n in axes):
+        part = axes[name].distinct().select("seed", F.lit(name).alias("axis"), F.lit(place).alias("_place"), "path")
+        rows = part if rows is None else rows.unionByName(part)
+    scored = rows.join(items.select("path", F.col(score).alias("_score")), "path")
+    ranked = stash(scored.withColumn("rank", F.row_number().over(W.partitionBy("seed", "axis").orderBy(F.col("_score").desc_nulls_last(), F.col("path").asc()))).where(F.col("rank") <= most))
+    counts = ranked.groupBy("seed", "axis", "_place").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    best = counts.groupBy("seed").agg(F.max_by("axis", F.struct(F.col("n"), -F.col("_place"))).alias("axis"))
+    return ranked.join(best, ["seed", "axis"]).select("seed", "axis", "path", "rank")
+
+
+@query("n8_six_axes", """WITH i AS (SELECT s.path, captured_at, camera % 40 AS person, kind || ev % 4 AS tag, (ev % 25) * 2.0::DOUBLE - 24 AS lat, (ev % 5) * 2.0::DOUBLE AS lon, aggregate AS mood, aggregate, e.embedding FROM shot s JOIN vec e ON e.vec_id = s.path),
+  p AS (SELECT a.path AS seed, b.*, abs(epoch_us(a.captured_at) - epoch_us(b.captured_at)) <= 36000000000 AS t, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 AS v, a.person = b.person AS w, a.tag = b.tag AS g,
+    2 * 6371.0 * asin(sqrt(pow(sin((radians(a.lat) - radians(b.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(a.lon) - radians(b.lon)) / 2), 2))) <= 100 AS l, abs(a.mood - b.mood) <= 0.2 AS m FROM i a JOIN i b ON a.path <> b.path AND a.path % 20 = 0),
+  x AS (SELECT seed, path, aggregate, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest([t, v, w, g, l, m]) AS near FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY seed, place ORDER BY aggregate DESC, path) AS rank FROM x WHERE near),
+  k AS (SELECT * FROM r WHERE rank <= 12), c AS (SELECT seed, place, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 5), b AS (SELECT seed, arg_max(place, (n, -place)) AS place FROM c GROUP BY 1)
+  SELECT k.seed, ['time', 'similar', 'person', 'tag', 'location', 'mood'][k.place + 1] AS axis, k.path, k.rank::INTEGER AS rank FROM k JOIN b ON b.seed = k.seed AND b.place = k.place""")
+def _(v):
+    shots = v.shot.join(v.vec, F.col("vec_id") == F.col("path"))
+    items = shots.select("path", "captured_at", (F.col("camera") % 40).alias("person"), F.concat("kind", (F.col("ev") % 4).cast("string")).alias("tag"), ((F.col("ev") % 25) * 2.0 - 24).alias("lat"), ((F.col("ev") % 5) * 2.0).alias("lon"), F.col("aggregate").alias("mood"), "aggregate", "embedding")
+    held = stash(items)
+    return seeded_discovery(seed_axes(held.where("path % 20 = 0"), held, 10, 0.2, 100, 0.2), held, 12, 5)
+
+
 @query("n8_seeded_discovery")
 def _(v):
     from shelfmark.operators.sessions import near_in_time
