@@ -10,16 +10,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfmark.operators.dashboards import pearson
-from shelfmark.runtime import stash
+from shelfmark.runtime import forget, stash
 
 BLOCK_ROWS = 50_000
 
 
 def running_totals(rows: DataFrame, by: list[str], order: str, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with ``<c>_before``, the sum of each column over the rows before in ``order``, and ``<c>_all``, over the whole group; equal values of ``order`` stand in one row."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    held = stash(rows.repartitionByRange(blocks, *by, order).withColumn("_block", F.spark_partition_id()))
+    once = stash(rows)  # counted, sampled for splitters and dealt: three readers
+    held = stash(once.repartitionByRange(max(1, -(-once.count() // block_rows)), *by, order).withColumn("_block", F.spark_partition_id()))
+    forget(once)
     parts = held.groupBy("_block", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     key = [F.col(c) for c in by] or [F.lit(0)]
     earlier, whole = W.partitionBy(*key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*key)
@@ -59,11 +59,36 @@ def average_rank(df: DataFrame, by: list[str], x: str, name: str, block_rows: in
     return df.join(ranks, same).drop("_r", *[f"_r_{c}" for c in by])
 
 
+def correlated_ranks(df: DataFrame, by: list[str], x: str, ranks: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``by, n, rho``: the correlation of the ranks of ``x`` with ranks that ``df`` has already, over the rows where ``x`` is known.
+
+    Rows of equal ``x`` are summed before they are ranked, so no rank goes back to a row; sums are taken around the middle rank.
+    """
+    sums = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("k"), F.sum(ranks).alias("_r"), F.sum(F.col(ranks) * F.col(ranks)).alias("_q"))
+    k, middle = F.col("k"), (F.col("k_all") + 1) / 2
+    rank, other = F.col("k_before") + (k + 1) / 2 - middle, F.col("_r") - k * middle
+    squares = F.col("_q") - 2 * middle * F.col("_r") + k * middle * middle
+    out = running_totals(sums, by, x, ["k"], block_rows).groupBy(*by).agg(F.sum("k").alias("n"), F.sum(k * rank * rank).alias("_xx"), F.sum(rank * other).alias("_xy"), F.sum(squares).alias("_yy"), F.sum(other).alias("_y"))
+    return out.select(*by, "n", F.try_divide("_xy", F.sqrt("_xx") * F.sqrt(F.greatest(F.lit(0.0), F.col("_yy") - F.col("_y") * F.col("_y") / F.col("n")))).alias("rho"))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``by, n, rho`` over the rows where both values are known."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(known, by, x, "_rx", block_rows), by, y, "_ry", block_rows)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("_rx"), F.col("_ry")).alias("rho"))
+    return correlated_ranks(average_rank(known, by, y, "_ry", block_rows), by, x, "_ry", block_rows)
+
+
+def spearman_each(df: DataFrame, columns: tuple[str, ...], y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``name, n, rho`` of each column with ``y`` over the rows where both are known; ``y`` is ranked once for all columns that have no null, and for each other one."""
+    known = stash(df.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), *columns))
+    gaps = known.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    long = lambda rows, names, *rest: rows.select(*rest, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names])))
+    full, holed = [c for c in columns if not gaps[c]], [c for c in columns if gaps[c]]
+    out = correlated_ranks(long(average_rank(known, [], "_y", "_ry", block_rows), full, "_ry"), ["name"], "x", "_ry", block_rows) if full else None
+    if holed:
+        part = spearman(long(known, holed, "_y"), ["name"], "x", "_y", block_rows)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] = [], least: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:  # noqa: B006

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.operators.dashboards import pearson
-from shelfmark.operators.order_stats import at_index, average_rank, quantiles, spearman, value_counts
+from shelfmark.operators.order_stats import at_index, average_rank, correlated_ranks, quantiles, spearman, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
+from shelfmark.runtime import stash
 from shelfmark.sources.views import METRICS
 
 #: Category rules in priority order, and weights in percent for each category.
@@ -119,24 +121,88 @@ def candidates_near(best: np.ndarray, spread: float, count: int, rng: np.random.
     return tried / tried.sum(axis=1, keepdims=True)
 
 
-def rank_correlations(df: DataFrame, target: str, metrics: tuple[str, ...], tried: np.ndarray) -> list[float]:
-    """The rank correlation of each candidate's weighted sum with the target: all sums are ranked at once, candidates being groups of one table."""
+#: Ranges of sums in which a pass over the rows counts all candidates, then those that are left; and the slack of a bound for rounding.
+BINS, ROUNDING = (4096, 65536), 1e-9
+
+
+def ranked_target(df: DataFrame, target: str, metrics: tuple[str, ...]) -> DataFrame:
+    """The metrics, nulls as 0, and ``_rt``, the rank of the target, of the rows that have one; written once for all rounds."""
     known = df.where(F.col(target).isNotNull()).select(F.col(target).alias("_t"), *[F.coalesce(F.col(m), F.lit(0.0)).cast("double").alias(m) for m in metrics])
-    ranked = average_rank(known, [], "_t", "_rt")
-    sums = [F.struct(F.lit(i).alias("tried"), F.round(sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)), 9).alias("sum")) for i, row in enumerate(tried)]
-    long = ranked.select("_rt", F.inline(F.array(*sums)))
-    found = average_rank(long, ["tried"], "sum", "_rs").groupBy("tried").agg(pearson(F.col("_rs"), F.col("_rt")).alias("rho")).collect()
+    return stash(average_rank(stash(known), [], "_t", "_rt").drop("_t"))
+
+
+def rank_correlations(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray) -> list[float]:
+    """The rank correlation of each candidate's weighted sum, in whole billionths, with the target's ranks: all sums are ranked at once, candidates being groups of one table."""
+    sums = [F.struct(F.lit(i).alias("tried"), F.floor(sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)) * 1e9 + 0.5).alias("sum")) for i, row in enumerate(tried)]
+    found = correlated_ranks(ranked.select("_rt", F.inline(F.array(*sums))), ["tried"], "sum", "_rt").collect()
     rho = {r["tried"]: r["rho"] for r in found}
     return [-2.0 if rho.get(i) is None else rho[i] for i in range(len(tried))]
 
 
+def rank_bounds(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """A lower and an upper bound of each candidate's rank correlation, from one pass that counts sums in ``bins`` ranges.
+
+    A range's mean rank is exact, as equal sums lie in one range. What ranks do within a range is bounded by the spread of its ranks on both sides (Cauchy-Schwarz).
+    """
+    ends = ranked.agg(F.count("*").alias("n"), *[f(m).alias(f"{k}_{m}") for m in metrics for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not ends["n"]:
+        return np.full(len(tried), -2.0), np.full(len(tried), 1.0)
+    middle, names = (ends["n"] + 1) / 2, list(metrics)
+    edges = np.array([[ends[f"lo_{m}"], ends[f"hi_{m}"]] for m in metrics])
+    reach = tried[:, :, None] * edges[None]
+    low = np.floor(reach.min(axis=2).sum(axis=1) * 1e9) - 1
+    width = np.maximum(np.ceil(reach.max(axis=2).sum(axis=1) * 1e9) + 2 - low, bins) / bins
+
+    def count(batches):
+        n, s, q = (np.zeros(len(tried) * bins) for _ in range(3))
+        for pdf in batches:
+            total = np.zeros((len(pdf), len(tried)))
+            for at, m in enumerate(names):
+                total += pdf[m].to_numpy()[:, None] * tried[None, :, at]
+            at = np.clip((np.floor(total * 1e9 + 0.5) - low) // width, 0, bins - 1).astype(np.int64) + np.arange(len(tried)) * bins
+            rank = np.repeat(pdf["_rt"].to_numpy() - middle, len(tried))
+            for into, weight in ((n, None), (s, rank), (q, rank * rank)):
+                into += np.bincount(at.ravel(), weight, len(into))
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cell, "n": n[cell], "s": s[cell], "q": q[cell]})
+
+    cells = ranked.mapInPandas(count, "cell long, n double, s double, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()  # candidates x bins rows
+    n, s, q = (np.zeros(len(tried) * bins) for _ in range(3))
+    for into, name in ((n, "n"), (s, "s"), (q, "q")):
+        into[cells["cell"].to_numpy()] = cells[name].to_numpy()
+    n, s, q = (x.reshape(len(tried), bins) for x in (n, s, q))
+    rank = np.cumsum(n, axis=1) - n + (n + 1) / 2 - middle
+    spread = n * (n * n - 1) / 12 * (n > 0)
+    least, cover = (n * rank * rank).sum(axis=1), (rank * s).sum(axis=1)
+    loose = np.sqrt(spread * np.maximum(0, q - s * s / np.maximum(n, 1))).sum(axis=1)
+    size = np.sqrt(q.sum(axis=1))
+    small, large = np.sqrt(least) * size, np.sqrt(least + spread.sum(axis=1)) * size
+    with np.errstate(divide="ignore", invalid="ignore"):
+        lower = np.where(cover >= loose, (cover - loose) / large, (cover - loose) / small)
+        upper = np.where(cover + loose >= 0, (cover + loose) / small, (cover + loose) / large)
+    known = (least > 0) & (size > 0)
+    return np.where(known, lower - ROUNDING, -2.0), np.where(known, upper + ROUNDING, 1.0)
+
+
+def best_candidate(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: tuple[int, ...] = BINS) -> int:
+    """The first candidate of largest rank correlation. Passes that bound all correlations leave the few that can be it, and if more than one is left these are ranked."""
+    left = np.arange(len(tried))
+    for count in bins:
+        lower, upper = rank_bounds(ranked, metrics, tried[left], count)
+        left = left[upper >= lower.max()]
+        if len(left) == 1:
+            return int(left[0])
+    return int(left[np.argmax(np.round(rank_correlations(ranked, metrics, tried[left]), 12))])
+
+
 def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS, candidates: int = 24, rounds: int = 3, seed: int = 3) -> dict[str, float]:
-    """Weights on the simplex of largest rank correlation with the target; each round ranks all its candidates in one pass and narrows around the best, the first of equals."""
+    """Weights on the simplex of largest rank correlation with the target; each round judges all its candidates in one pass and narrows around the best, the first of equals."""
     rng = np.random.default_rng(seed)
     best, spread = np.full(len(metrics), 1 / len(metrics)), 1.0
+    ranked = ranked_target(df, target, metrics)
     for _ in range(rounds):
         tried = candidates_near(best, spread, candidates, rng)
-        best, spread = tried[int(np.argmax(np.round(rank_correlations(df, target, metrics, tried), 12)))], spread / 2
+        best, spread = tried[best_candidate(ranked, metrics, tried)], spread / 2
     return dict(zip(metrics, best.tolist(), strict=True))
 
 

@@ -73,3 +73,32 @@ def test_weights_are_those_of_a_plain_search(spark):
         rho = [np.corrcoef(ranks(np.round(x @ w, 9)), ranks(y))[0, 1] for w in tried]
         best, spread = tried[int(np.argmax(np.round(rho, 12)))], spread / 2
     assert list(found.values()) == pytest.approx(best.tolist()) and found["p"] > found["q"]
+
+
+def test_bounds_hold_the_rank_correlations_and_leave_the_best(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((400, 3))
+    y = np.round(2 * x[:, 0] + x[:, 1] + rng.random(400), 1)
+    names = ("p", "q", "r")
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "p double, q double, r double, y double")
+    ranked = scoring.ranked_target(df, "y", names)
+    tried = scoring.candidates_near(np.full(3, 1 / 3), 1.0, 8, rng)
+    tried = np.vstack([tried, tried[3]])
+    exact = np.array([np.corrcoef(ranks(np.round(x @ w, 9)), ranks(y))[0, 1] for w in tried])
+    assert scoring.rank_correlations(ranked, names, tried) == pytest.approx(exact)
+    for bins in (7, 64):
+        lower, upper = scoring.rank_bounds(ranked, names, tried, bins)
+        assert (lower <= exact).all() and (exact <= upper).all()
+    assert (upper - lower < 0.2).all()
+    assert scoring.best_candidate(ranked, names, tried, (7, 64)) == scoring.best_candidate(ranked, names, tried, ()) == int(np.argmax(np.round(exact, 12)))
+
+
+def test_each_column_is_correlated_over_its_own_known_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), None if a > 0.7 else float(round(b, 1)), None if b > 0.9 else float(round(a + b, 1)), 1.0) for a, b in rng.random((90, 2))]
+    df = spark.createDataFrame(rows, "p double, q double, y double, flat double")
+    found = {r["name"]: (r["n"], r["rho"]) for r in order_stats.spearman_each(df, ("p", "q", "flat"), "y", 11).collect()}
+    for at, name in enumerate("pq"):
+        part = [(r[at], r[2]) for r in rows if r[at] is not None and r[2] is not None]
+        assert found[name] == (len(part), pytest.approx(np.corrcoef(ranks([a for a, _ in part]), ranks([b for _, b in part]))[0, 1]))
+    assert found["flat"][1] is None
