@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.operators.dashboards import pearson
-from shelfmark.operators.order_stats import at_index, average_rank, correlated_ranks, quantiles, spearman, value_counts
+from shelfmark.operators.order_stats import at_index, average_rank, correlated_ranks, quantiles, spearman, spearman_each, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
 from shelfmark.runtime import stash
@@ -361,8 +361,7 @@ def _(v):
 
 @query("g14_metric_srcc", f"SELECT m AS metric_key, round(corr(rx, ry), 4) AS rho FROM (SELECT m, {RANKS.format(p='m', x='x')} AS rx, {RANKS.format(p='m', x='aggregate')} AS ry FROM (SELECT metric_name AS m, x, aggregate FROM ({LONG}) l JOIN item ON item.path = l.path)) GROUP BY 1")
 def _(v):
-    long = v.scored.select("aggregate", F.inline(F.array(*[F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("x")) for m in METRICS])))
-    return spearman(long, ["metric_key"], "x", "aggregate").select("metric_key", F.round("rho", 4).alias("rho"))
+    return spearman_each(v.scored, METRICS, "aggregate").select(F.col("name").alias("metric_key"), F.round("rho", 4).alias("rho"))
 
 
 @query("g15_baseline_table", "SELECT category, round(corr(aesthetic, aggregate), 4) AS plcc, round(avg(abs(aesthetic - aggregate)), 4) AS mae FROM scored GROUP BY 1")
