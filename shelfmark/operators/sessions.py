@@ -75,41 +75,115 @@ def widest_gaps(df: DataFrame, group: str, time: str = "captured_at", key: str =
     return sized.groupBy(group).agg(best.alias("b")).select(group, "b.cut", "b.gap")
 
 
-def _greedy_bursts(rapid: float, window: float, bits: int):
-    def run(batches):
-        session, number, members = None, 0, []
-        for pdf in batches:
-            times = pdf["captured_at"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-            hashes, people, sessions_, burst = pdf["hash"].to_numpy(np.int64).view(np.uint64), pdf["person"].to_numpy(), pdf["session"].to_numpy(), np.zeros(len(pdf), np.int64)
-            for i in range(len(pdf)):
-                if sessions_[i] != session:
-                    session, number, members = sessions_[i], 0, []
-                fits = False
-                if members:
-                    t, h, p = (np.array(x) for x in zip(*members, strict=True))
-                    gap, far = times[i] - t, np.bitwise_count(h ^ hashes[i])
-                    fits = bool((((gap <= rapid) & (far <= 2 * bits) & (p == people[i])) | ((gap <= window) & (far <= bits))).any())
-                    members = [m for m in members if times[i] - m[0] <= max(rapid, window)]
-                if not fits:
-                    members, number = [], number + 1
-                members.append((times[i], hashes[i], people[i]))
-                burst[i] = number
-            yield pdf.assign(burst=burst)[["session", "path", "burst"]]
-
-    return run
-
-
-def bursts(df: DataFrame, rapid: float, window: float, bits: int) -> DataFrame:
+def _last_matches(times: np.ndarray, hashes: np.ndarray, people: np.ndarray, rapid: float, window: float, bits: int) -> np.ndarray:
+    """For each row of a stretch in time order the place of the last earlier row that it matches, else -1; all rows look back one step further at once until they match or time is out of reach."""
+    found, left, back = np.full(len(times), -1), np.arange(1, len(times)), 1
+    while len(left):
+        at = left - back
+        gap, far = times[left] - times[at], np.bitwise_count(hashes[left] ^ hashes[at])
+        fits = ((gap <= rapid) & (far <= 2 * bits) & (people[left] == people[at])) | ((gap <= window) & (far <= bits))
+        found[left[fits]] = at[fits]
+        left = left[~fits & (gap <= max(rapid, window)) & (at > 0)]
+        back += 1
+    return found
+
+
+def _next_start(last: np.ndarray, start: int, at: int) -> int:
+    """The first place from ``at`` on whose last match lies before ``start``, so that it begins a burst; the length where there is none."""
+    for i in range(at, len(last)):
+        if last[i] < start:
+            return i
+    return len(last)
+
+
+def _crossings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a block does to a burst that comes in, for the sessions at its two ends: rows ``session, block, lasts, exits, breaks``.
+
+    A burst that began at ``s`` first breaks at a row whose last match lies before ``s``; of these only rows count whose last match lies before all earlier ones'. From such a row
+    on nothing before it matters: where the last burst then begins, and how many have begun.
+    """
+    pdf = pdf.sort_values("pos", kind="stable")
+    first, out = int(pdf["pos"].iloc[0]), []
+    for session in dict.fromkeys((pdf["session"].iloc[0], pdf["session"].iloc[-1])):
+        part = pdf[pdf["session"] == session]
+        base, last = int(part["pos"].iloc[0]), part["last"].tolist()
+        lowest = np.minimum.accumulate(last)
+        heads = [0, *(np.flatnonzero(lowest[1:] < lowest[:-1]) + 1).tolist()]
+        known: dict[int, tuple[int, int]] = {}
+        for head in reversed(heads):
+            met, at = [head], head
+            while (at := _next_start(last, base + at, at + 1)) < len(last) and at not in known:
+                met.append(at)
+            exit_at, count = known[at] if at < len(last) else (met[-1], 0)
+            for place in reversed(met):
+                known[place] = (exit_at, count := count + 1)
+        out.append((session, pdf["block"].iloc[0], [int(last[h]) for h in heads], [base + known[h][0] for h in heads], [known[h][1] for h in heads]))
+    return pd.DataFrame(out, columns=["session", "block", "lasts", "exits", "breaks"])
+
+
+def _carried(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One session's blocks, a few numbers each: where the burst that enters each block began, and its number."""
+    pdf, start, number, out = pdf.sort_values("block"), np.iinfo(np.int64).max, 0, []
+    for row in pdf.itertuples():
+        out.append((row.session, row.block, start, number))
+        for last, leaves, breaks in zip(row.lasts, row.exits, row.breaks, strict=True):
+            if last < start:
+                start, number = leaves, number + breaks
+                break
+    return pd.DataFrame(out, columns=["session", "block", "start", "number"])
+
+
+#: Rows of a block of shots.
+BURST_ROWS = 20_000
+
+
+def bursts(df: DataFrame, rapid: float, window: float, bits: int, block_rows: int = BURST_ROWS) -> DataFrame:
     """Greedy runs where a shot joins if it matches any member: soon after one of the same person, or alike within the window.
 
-    Both tests are bounded in time, so cutting at wider gaps is exact. Each piece runs in
-    time order through one task, which remembers only what the tests can still reach. A
-    null time is a burst of its own.
+    A shot matches a member of the burst that began at ``s`` just if the last shot that it matches lies at ``s`` or later. So blocks of shots in time order, each with
+    the shots before it that the tests can reach, find each shot's last match; blocks tell what they do to a burst that comes in, and number their
+    shots with what does come in. A session of any length is so dealt to as many tasks as it has blocks. A null time is a burst of its own.
     """
-    timed = sessions(df.where("captured_at is not null"), max(rapid, window))
-    ordered = timed.select("session", "path", "captured_at", "hash", "person").repartition("session").sortWithinPartitions("session", "captured_at", "path")
-    done = ordered.mapInPandas(_greedy_bursts(rapid, window, bits), "session long, path long, burst long")
-    return done.unionByName(df.where("captured_at is null").select(F.lit(None).cast("long").alias("session"), "path", F.col("path").alias("burst")))
+    from shelfmark.operators.scans import few, numbered
+
+    reach = max(rapid, window)
+    timed = sessions(df.where("captured_at is not null"), reach).select(F.col("session").cast("long").alias("session"), "path", micros(TIME).alias("at"), "hash", "person")
+    rows = stash(numbered(timed, [F.col("session"), F.col("at"), F.col("path")], block_rows))
+    began = rows.groupBy("block").agg(F.min("at").alias("began"), F.min("session").alias("entered"))
+    limit = F.lit(round(reach * 1e6))
+    # each block's shots go to the later blocks that they reach: blocks meet in buckets of time as wide as the reach
+    bucket = lambda c: F.floor(F.col(c) / F.lit(max(1, round(reach * 1e6))))
+    ends = rows.groupBy("block").agg(F.max("at").alias("ended"), F.max("session").alias("entered")).withColumn("_b", F.explode(F.array(bucket("ended"), bucket("ended") + 1)))
+    ahead = ends.join(began.withColumnRenamed("block", "to").withColumn("_b", bucket("began")), ["_b", "entered"]).where((F.col("to") > F.col("block")) & (F.col("began") - F.col("ended") <= limit))
+    ahead = few(stash(ahead.select("block", "to", "began", "entered")))
+    guests = rows.join(ahead, "block").where((F.col("session") == F.col("entered")) & (F.col("began") - F.col("at") <= limit)).select("session", "path", "at", "hash", "person", "pos", F.col("to").alias("block"), F.lit(False).alias("own"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        place, session, last = pdf["pos"].to_numpy(), pdf["session"].to_numpy(), np.full(len(pdf), -1)
+        found = _last_matches(pdf["at"].to_numpy() / 1e6, pdf["hash"].to_numpy(np.int64).view(np.uint64), pdf["person"].to_numpy(), rapid, window, bits)
+        hit = found >= 0
+        hit[hit] = session[found[hit]] == session[hit]
+        last[hit] = place[found[hit]]
+        return pdf.assign(last=last)[pdf["own"]][["session", "path", "block", "pos", "last"]]
+
+    kind = df.schema["path"].dataType.simpleString()
+    matched = stash(rows.select("session", "path", "at", "hash", "person", "pos", "block", F.lit(True).alias("own")).unionByName(guests).groupBy("block").applyInPandas(match, f"session long, path {kind}, block int, pos long, last long"))
+    links = matched.groupBy("block").applyInPandas(_crossings, "session long, block int, lasts array<long>, exits array<long>, breaks array<long>").groupBy("session").applyInPandas(_carried, "session long, block int, start long, number long")
+
+    def number(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        pdf, given = pdf.sort_values("pos", kind="stable"), {r.session: (r.start, r.number) for r in known.itertuples()}
+        burst, now = np.zeros(len(pdf), np.int64), None
+        for i, (session, place, last) in enumerate(zip(pdf["session"], pdf["pos"], pdf["last"], strict=True)):
+            if session != now:
+                now, (start, count) = session, given.get(session, (np.iinfo(np.int64).max, 0))
+            if last < start:
+                start, count = place, count + 1
+            burst[i] = count
+        return pdf.assign(burst=burst)[["session", "path", "burst"]]
+
+    done = matched.groupBy("block").cogroup(links.groupBy("block")).applyInPandas(number, f"session long, path {kind}, burst long")
+    return done.unionByName(df.where("captured_at is null").select(F.lit(None).cast("long").alias("session"), "path", F.col("path").cast("long").alias("burst")))
 
 
 def lead(df: DataFrame, group: list[str], score: str = "aggregate", time: str = TIME, key: str = "path") -> DataFrame:

@@ -159,3 +159,25 @@ def test_a_long_even_session_splits(spark):
     df = spark.range(3000).selectExpr("id as path", "timestamp_seconds(1700000000 + id) as captured_at", "'a' as kind")
     got = scans.split_scenes(sessions.sessions(df, 60), 3, 40, block_rows=200).groupBy("part").count().collect()
     assert sum(r["count"] for r in got) == 3000 and max(r["count"] for r in got) <= 40 and min(r["count"] for r in got) >= 20
+
+
+@pytest.mark.parametrize("block_rows", [3, 11, 1000])
+def test_bursts_in_blocks_equal_a_plain_walk(spark, block_rows):
+    rng = random.Random(5)
+    rows, clock = [], 0
+    for path in range(160):
+        clock += rng.choice([0, 1, 2, 3, 3, 9 if path < 120 else 70])
+        rows.append((path, at(clock), rng.choice([0, 3, 7, 31, 2**40 - 1]), rng.randrange(3)))
+    want, members, session, number, before = {}, [], 0, 0, None
+    for path, when, code, person in rows:
+        if before is None or (when - before).total_seconds() > 12:
+            session, number, members = session + 1, 0, []
+        before = when
+        near = [((when - t).total_seconds(), (code ^ h).bit_count(), p) for t, h, p in members]
+        if not any((gap <= 2 and far <= 4 and p == person) or (gap <= 12 and far <= 2) for gap, far, p in near):
+            members, number = [], number + 1
+        members.append((when, code, person))
+        want[path] = (session, number)
+    df = spark.createDataFrame(rows, "path long, captured_at timestamp, hash long, person long").repartition(5)
+    got = {r["path"]: (r["session"], r["burst"]) for r in sessions.bursts(df, 2, 12, 2, block_rows).collect()}
+    assert got == want and len({s for s, _ in want.values()}) > 1 and max(n for _, n in want.values()) > 5
