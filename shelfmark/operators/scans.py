@@ -184,6 +184,41 @@ def _reached(starts: DataFrame, jumps: DataFrame) -> DataFrame:
     return now
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    """The places that are met from each run's first one on; ``rows`` has ``block, pos, first, next``, and places that follow lie ahead.
+
+    Each block tells where a walk that stands at a place leaves it. Pointers double over the few places alone where walks enter a block, and each block is walked again from these.
+    """
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        place, ahead = pdf["pos"].to_numpy(), pdf["next"].fillna(-1).to_numpy(np.int64)
+        inside = np.searchsorted(place, ahead).tolist()
+        exits, last = ahead.tolist(), int(place[-1])
+        for i in range(len(exits) - 1, -1, -1):
+            if 0 <= exits[i] <= last:
+                exits[i] = exits[inside[i]]
+        return pd.DataFrame({"block": pdf["block"], "pos": place, "next": pd.array(np.where(np.array(exits) < 0, 0, exits), "Int64"), "done": np.array(exits) < 0})
+
+    def walk(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        place, ahead = pdf["pos"].to_numpy(), pdf["next"].fillna(-1).to_numpy(np.int64)
+        inside, met = np.where((ahead >= 0) & (ahead <= place[-1]), np.searchsorted(place, ahead), -1).tolist() if len(pdf) else [], set()
+        for at in np.searchsorted(place, entered["pos"].to_numpy()).tolist():
+            while at >= 0 and at not in met:
+                met.add(at)
+                at = inside[at]
+        return pd.DataFrame({"pos": place[sorted(met)]})
+
+    exits = rows.groupBy("block").applyInPandas(leave, "block int, pos long, next long, done boolean")
+    exits = stash(exits.select("block", "pos", F.when(~F.col("done"), F.col("next")).alias("next")))
+    starts = rows.where("pos = first").select("pos")
+    doors = exits.where("next is not null").select(F.col("next").alias("pos")).unionByName(starts).distinct()
+    doors = stash(exits.join(doors, "pos"))
+    entered = _reached(starts, doors.select("pos", "next")).join(doors.select("pos", "block"), "pos")
+    return rows.select("block", "pos", "next").groupBy("block").cogroup(entered.groupBy("block")).applyInPandas(walk, "pos long")
+
+
 def panorama_segments(frames: DataFrame, settings: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``run, path, segment, axis, drift, ortho`` of the frames that belong to a sweep; a sweep is numbered by its first frame's place in the run.
 
@@ -205,7 +240,7 @@ def panorama_segments(frames: DataFrame, settings: dict | None = None, block_row
         broken[axis, sign] = ~F.col("ok") | (F.abs(along) > units(s["max_step"])) | (along * sign < -units(s["back_tolerance"])) | (F.abs(across) > slant)
     # running sums and the next break of each way: within blocks by windows, over blocks from their totals
     before = W.partitionBy("block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    behind = W.partitionBy("block").orderBy("pos").rowsBetween(0, W.unboundedFollowing)
+    behind = W.partitionBy("block").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)  # backwards, as a frame up to the end is summed anew for each row
     summed = seen.withColumn("sx", F.coalesce(F.sum("x").over(before), F.lit(0))).withColumn("sy", F.coalesce(F.sum("y").over(before), F.lit(0)))
     over = W.orderBy("block")  # a row for each block
     totals = stash(summed.groupBy("block").agg(F.sum("x").alias("tx"), F.sum("y").alias("ty")))
@@ -213,7 +248,7 @@ def panorama_segments(frames: DataFrame, settings: dict | None = None, block_row
     placed = summed.join(few(totals), "block").withColumn("sx", F.col("sx") + F.col("bx")).withColumn("sy", F.col("sy") + F.col("by")).drop("bx", "by")
     breaks = [F.min(F.when(broken[way], F.struct("pos", "sx", "sy"))) for way in WAYS]
     held = stash(placed.select("*", *[b.over(behind).alias(f"b{k}") for k, b in enumerate(breaks)]))
-    later = W.orderBy("block").rowsBetween(1, W.unboundedFollowing)
+    later = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     firsts = held.groupBy("block").agg(*[F.min(f"b{k}").alias(f"f{k}") for k in range(len(WAYS))])
     firsts = firsts.select("block", *[F.min(f"f{k}").over(later).alias(f"f{k}") for k in range(len(WAYS))])
     met = held.join(few(firsts), "block")
@@ -229,8 +264,8 @@ def panorama_segments(frames: DataFrame, settings: dict | None = None, block_row
     cap = F.greatest(units(s["max_ortho"]).cast("double"), F.lit(s["ortho_ratio"]) * F.col("best.drift"))
     judged = met.withColumn("best", best).withColumn("taken", F.coalesce((F.col("best.drift") >= units(s["min_drift"])) & (F.col("best.ortho") <= cap), F.lit(False)))
     go = F.when(F.col("taken"), F.col("best.end") + 1).otherwise(F.greatest(F.coalesce(F.col("best.end"), F.lit(0)), F.col("pos") + 1))
-    walked = stash(judged.select("run", "path", "pos", "first", "taken", "best", F.when(go <= F.col("last"), go).alias("next")))
-    reached = _reached(walked.where("pos = first").select("pos"), walked.select("pos", "next"))
+    walked = stash(judged.select("run", "path", "block", "pos", "first", "taken", "best", F.when(go <= F.col("last"), go).alias("next")))
+    reached = _walked(walked)
     sweeps = walked.where("taken").join(reached, "pos", "left_semi").select("run", (F.col("pos") - F.col("first")).alias("segment"), "best.axis", (F.col("best.drift") / UNIT).alias("drift"), (F.col("best.ortho") / UNIT).alias("ortho"), F.explode(F.sequence("pos", "best.end")).alias("pos"))
     return sweeps.join(walked.select("pos", "path"), "pos").select("run", "path", "segment", "axis", "drift", "ortho")
 

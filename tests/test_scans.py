@@ -181,3 +181,31 @@ def test_bursts_in_blocks_equal_a_plain_walk(spark, block_rows):
     df = spark.createDataFrame(rows, "path long, captured_at timestamp, hash long, person long").repartition(5)
     got = {r["path"]: (r["session"], r["burst"]) for r in sessions.bursts(df, 2, 12, 2, block_rows).collect()}
     assert got == want and len({s for s, _ in want.values()}) > 1 and max(n for _, n in want.values()) > 5
+
+
+@pytest.mark.parametrize("block", [1, 4, 50])
+def test_walks_over_blocks_meet_the_places_of_a_plain_walk(spark, block):
+    rng, rows, want = random.Random(4), [], set()
+    for first in (0, 37, 40, 90):
+        last = {0: 36, 37: 39, 40: 89, 90: 129}[first]
+        ahead = {p: p + rng.choice([1, 1, 2, 5, 17]) for p in range(first, last + 1)}
+        rows += [(p // block, p, first, ahead[p] if ahead[p] <= last else None) for p in ahead]
+        at_ = first
+        while at_ <= last:
+            want.add(at_)
+            at_ = ahead[at_]
+    df = spark.createDataFrame(rows, "block int, pos long, first long, next long").repartition(3)
+    got = [r["pos"] for r in scans._walked(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_no_scan_sums_a_frame_anew_for_each_row(spark):
+    df = spark.createDataFrame([(p % 2, p, at(p), 0.1, 0.0, 20) for p in range(20)], "run long, path long, captured_at timestamp, dx double, dy double, inliers int")
+    seen = []
+    inner = scans.stash
+    scans.stash = lambda d, *rest: (seen.append(d._jdf.queryExecution().analyzed().toString()), inner(d, *rest))[1]
+    try:
+        scans.panorama_segments(df, {"min_frames": 3, "min_drift": 0.1, "min_inliers": 15}, 5).collect()
+    finally:
+        scans.stash = inner
+    assert seen and not any("unboundedfollowing" in plan.lower() for plan in seen)
