@@ -352,3 +352,8 @@ def _(v):
 @query("f28_week_of_year", "SELECT path, strftime(date_taken, '%W') AS week, dayofweek(date_taken)::INTEGER AS weekday FROM item")
 def _(v):
     return v.item.select("path", week_of_year("date_taken").alias("week"), (F.dayofweek("date_taken") - 1).alias("weekday"))
+
+
+def round_scaled(c: Column, digits: int) -> Column:
+    """``c`` times a power of ten, rounded half away from zero and scaled back, all in doubles as SQL engines round; ``F.round`` looks at the shortest decimal form instead, so that 4.0375 becomes 4.038 and not 4.037."""
+    return F.round(c * float(10**digits)) / float(10**digits)

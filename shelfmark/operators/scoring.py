@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfmark.operators.dashboards import pearson
+from shelfmark.functions.scalars import round_scaled
 from shelfmark.operators.order_stats import at_index, average_rank, correlated_ranks, quantiles, spearman, spearman_each, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
@@ -272,7 +272,7 @@ def _(v):
 @query("g2_metric_vector", "SELECT path, round(least(10, aesthetic), 3) || ';' || round(CASE WHEN camera = 'BUILDING' THEN 5.0 ELSE comp_score END, 3) AS vector FROM scored")
 def _(v):
     mono = F.when(F.col("camera") == "BUILDING", 5.0).otherwise(F.col("comp_score"))
-    return v.scored.select("path", F.concat_ws(";", F.round(clamp(F.col("aesthetic")), 3).cast("string"), F.round(mono, 3).cast("string")).alias("vector"))
+    return v.scored.select("path", F.concat_ws(";", round_scaled(clamp(F.col("aesthetic")), 3).cast("string"), round_scaled(mono, 3).cast("string")).alias("vector"))
 
 
 @query("g3_penalties", f"SELECT path, round({ORACLE_PENALTY}, 4) AS penalty FROM metric")

@@ -87,3 +87,14 @@ def test_brackets_must_look_alike(spark):
 
     df = spark.sql("select id as path, 1 as camera, timestamp_seconds(1700000000 + id) as captured_at, int(id) as ev, if(id < 3, 0L, if(id = 4, -1L, 0L)) as hash from range(6)")
     assert {r["path"] for r in sessions.brackets(df, hash_col="hash").collect()} == {0, 1, 2, 3} and {r["path"] for r in sessions.brackets(df).collect()} == set(range(6))
+
+
+def test_rounded_texts_are_those_of_sql(spark):
+    import duckdb
+
+    from shelfmark.functions.scalars import round_scaled
+
+    values = [k / 80 for k in range(801)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", round_scaled(F.col("x"), 3).cast("string").alias("t")).collect()
+    want = {x: duckdb.execute("SELECT round(?::DOUBLE, 3)::VARCHAR", [x]).fetchone()[0] for x in values}
+    assert {r["x"]: r["t"] for r in got} == want and want[4.0375] == "4.037"
