@@ -376,6 +376,6 @@ def _(v):
 
 @query("c12_seed_window", "SELECT s.path AS seed, count(*)::BIGINT AS near FROM shot s JOIN shot o ON o.captured_at BETWEEN s.captured_at - INTERVAL 1 DAY AND s.captured_at + INTERVAL 1 DAY AND o.path <> s.path WHERE s.path % 500 = 0 GROUP BY 1")
 def _(v):
-    from shelfmark.operators.sessions import near_in_time
+    from shelfmark.operators.scans import near_counts
 
-    return near_in_time(v.shot.where("path % 500 = 0"), v.shot, 86400).groupBy("seed").agg(F.count("*").alias("near"))
+    return near_counts(v.shot.where("path % 500 = 0"), v.shot, 86400).select("seed", "near")

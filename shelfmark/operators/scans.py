@@ -34,6 +34,23 @@ def numbered(df: DataFrame, order: list[Column], block_rows: int = BLOCK_ROWS) -
     return held.join(few(first), "block").withColumn("pos", F.col("_first") + F.col("_at")).drop("_first", "_at")
 
 
+def near_counts(seeds: DataFrame, rows: DataFrame, seconds: int, key: str = "path", time: str = TIME) -> DataFrame:
+    """Rows ``seed, near``: how many rows lie within ``seconds`` of a seed, its own key not counted; seeds without any are left out.
+
+    The count is a difference of two running counts, over rows up to the window's end and over rows before its begin, so no pair is made.
+    """
+    from shelfmark.operators.order_stats import running_totals
+
+    reach = seconds * 1_000_000
+    asked = stash(seeds.where(F.col(time).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("seed"), micros(time).alias("_at")))
+    edges = asked.select("seed", "_at", F.inline(F.array(F.struct((F.col("_at") - reach).alias("_t"), F.lit(False).alias("_end")), F.struct((F.col("_at") + reach).alias("_t"), F.lit(True).alias("_end")))))
+    counted = rows.where(F.col(key).isNotNull()).select(micros(time).alias("_t"), F.lit(1).alias("k")).unionByName(edges.select("_t", F.lit(0).alias("k"))).where("_t is not null").groupBy("_t").agg(F.sum("k").alias("k"))
+    before = running_totals(counted, [], "_t", ["k"]).select("_t", "k", "k_before")
+    spans = edges.join(before, "_t").groupBy("seed", "_at").agg(F.sum(F.when(F.col("_end"), F.col("k_before") + F.col("k")).otherwise(-F.col("k_before"))).alias("_n"))
+    own = asked.join(rows.select(F.col(key).alias("seed"), micros(time).alias("_t")), "seed").groupBy("seed").agg(F.count_if(F.abs(F.col("_t") - F.col("_at")) <= reach).alias("_own"))
+    return spans.groupBy("seed").agg(F.sum("_n").alias("_n")).join(own, "seed", "left").select("seed", (F.col("_n") - F.coalesce("_own", F.lit(0))).alias("near")).where("near > 0")
+
+
 # label smoothing
 
 

@@ -209,3 +209,13 @@ def test_no_scan_sums_a_frame_anew_for_each_row(spark):
     finally:
         scans.stash = inner
     assert seen and not any("unboundedfollowing" in plan.lower() for plan in seen)
+
+
+def test_near_counts_equal_the_pairs_and_make_none(spark):
+    rng = random.Random(2)
+    rows = [(p, at(rng.choice([0, 5, 10, 11, 40, 300]) + p % 3)) for p in range(60)] + [(60, at(9000)), (61, None), (10, at(6))]
+    df = spark.createDataFrame(rows, "path long, captured_at timestamp")
+    seeds = df.where("path % 10 = 0")
+    want = {r["seed"]: r["n"] for r in sessions.near_in_time(seeds, df, 10).groupBy("seed").count().withColumnRenamed("count", "n").collect()}
+    found = scans.near_counts(seeds, df, 10)
+    assert {r["seed"]: r["near"] for r in found.collect()} == want and 60 not in want
