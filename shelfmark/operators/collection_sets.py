@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import season, short_id
@@ -202,32 +204,133 @@ def _(v):
 AXES = ("time", "similar", "person", "tag", "location", "mood")
 
 
-def seed_axes(seeds: DataFrame, items: DataFrame, hours: float, least_cosine: float, km: float, mood: float) -> dict[str, DataFrame]:
-    """For each axis the rows ``seed, path`` of items near a seed: in time, by vector, with the same person or tag, by place, and by mood (a number).
+def _best(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The ``most`` rows of best ``score`` of each group; tasks pass on their first ranks alone."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.col("score").desc_nulls_last(), F.col("path").asc()))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
-    Times, places and moods meet in buckets as wide as the reach, so only neighbours are compared; persons and tags meet by equality. Seeds are few, and their vectors
-    meet the items' in blocks. Items need ``path, captured_at, embedding, person, tag, lat, lon, mood``; nulls are near nothing, and no seed is near itself.
+
+#: Items of the narrowest range that has a list of its own, vectors of a block of seeds and of items, and columns of a product.
+RANGE_ROWS, SEED_ROWS, ITEM_ROWS, COLUMNS = 32, 8192, 16384, 2048
+
+
+def _cover(low: int, high: int) -> list[tuple[int, int]]:
+    """The fewest ranges ``level, number`` of 2 ** level places each that make up the places from ``low`` to ``high``."""
+    out, level, high = [], 0, high + 1
+    while low < high:
+        if low % 2:
+            out.append((level, low))
+            low += 1
+        if high % 2:
+            high -= 1
+            out.append((level, high))
+        low, high, level = low // 2, high // 2, level + 1
+    return out
+
+
+def best_in_reach(seeds: DataFrame, items: DataFrame, reach: float, most: int) -> DataFrame:
+    """Rows ``seed, path, score``: of the items (``path, x, score``) with ``|x - at| <= reach`` the ``most`` best of each seed (``seed, at``), itself left out.
+
+    Ranges of x, halved down to a few items, each have their best items. A seed takes those of the ranges that lie within its reach, and of the ranges at both ends the
+    items themselves, the best of each x. So no seed meets all that it reaches.
     """
-    from shelfmark.functions.scalars import cosine, haversine
-    from shelfmark.operators.sessions import near_in_time
+    ends = items.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    span = float(ends["high"] - ends["low"]) if ends["n"] else 0.0
+    held = ends["n"] * min(1.0, 2 * reach / span) if span > 0 else 0
+    parts = 1 << max(2, min(20, int(held / RANGE_ROWS).bit_length()))
+    width, low = (2.0 * reach / parts) or 1.0, float(ends["low"] or 0)
+    levels = parts.bit_length()
+    spot = F.floor((F.col("x").cast("double") - low) / width)
+    kept = _best(items.where(F.col("x").isNotNull()), ["x"], most + 1).withColumn("_spot", spot)
+    lists = _best(kept.select("path", "score", F.col("_spot"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("number", F.expr("shiftright(_spot, level)")), ["level", "number"], most + 1)
+
+    def cover(batches):
+        for pdf in batches:
+            out = []
+            for seed, at in zip(pdf["seed"], pdf["at"], strict=True):
+                first, last = (int(np.floor((float(at) + way * reach - low) / width)) for way in (-1, 1))
+                inside = _cover(first + 2, last - 2)
+                # a level of -1: the items themselves
+                out += [(seed, at, level, number) for level, number in inside] + [(seed, at, -1, n) for n in sorted({*range(first - 1, min(first + 2, last + 2)), *range(max(last - 1, first + 2), last + 2)})]
+            yield pd.DataFrame(out, columns=["seed", "at", "level", "number"])
+
+    types = {f.name: f.dataType.simpleString() for f in seeds.schema.fields}
+    wanted = seeds.where("at is not null").select("seed", "at").mapInPandas(cover, f"seed {types['seed']}, at {types['at']}, level int, number long")
+    whole = wanted.where("level >= 0").join(lists, ["level", "number"]).select("seed", "path", "score")
+    single = wanted.where("level < 0").join(kept.withColumnRenamed("_spot", "number"), "number").where(F.abs(F.col("at") - F.col("x")) <= reach).select("seed", "path", "score")
+    return _best(whole.unionByName(single).where("path <> seed"), ["seed"], most)
+
+
+def best_alike(seeds: DataFrame, items: DataFrame, least: float, most: int) -> DataFrame:
+    """Rows ``seed, path, score``: the ``most`` best items of cosine ``least`` or more to each seed, itself left out.
+
+    Blocks of seeds meet blocks of items, each in products of bounded size, the best items first, and a seed that has found enough leaves its block. All pairs of blocks meet.
+    """
+    seeds, items = (df.where("embedding is not null").select(*names, F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("size")) for df, names in ((seeds, ["seed"]), (items, ["path", "score"])))
+    rows, columns = max(1, -(-seeds.count() // SEED_ROWS)), max(1, -(-items.count() // ITEM_ROWS))
+    left = seeds.withColumn("i", F.pmod(F.xxhash64("seed"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = items.withColumn("j", F.pmod(F.xxhash64("path"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+
+    def units(vectors: pd.Series) -> np.ndarray:
+        v = np.array(vectors.tolist(), float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)  # NaN is like nothing
+
+    def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"seed": asked["seed"].iloc[:0], "path": found["path"].iloc[:0], "score": found["score"].iloc[:0]})]
+        if len(asked) and len(found):
+            found = found.sort_values(["score", "path"], ascending=[False, True], na_position="last")
+            names, keys, scores, every, other = asked["seed"].to_numpy(), found["path"].to_numpy(), found["score"].to_numpy(), units(asked["v"]), units(found["v"])
+            for at in range(0, len(names), COLUMNS):
+                open_, count = np.arange(at, min(at + COLUMNS, len(names))), np.zeros(min(COLUMNS, len(names) - at), np.int64)
+                for to in range(0, len(keys), COLUMNS):
+                    near = (every[open_] @ other[to : to + COLUMNS].T >= least) & (keys[None, to : to + COLUMNS] != names[open_][:, None])
+                    met = np.cumsum(near, axis=1) + count[:, None]
+                    a, b = np.nonzero(near & (met <= most))
+                    out.append(pd.DataFrame({"seed": names[open_[a]], "path": keys[to + b], "score": scores[to + b]}))
+                    still, count = met[:, -1] < most, met[:, -1]
+                    open_, count = open_[still], count[still]
+                    if not len(open_):
+                        break
+        return pd.concat([p for p in out if len(p)] or out[:1])
+
+    pairs = left.groupBy("i", "j", "size").cogroup(right.groupBy("i", "j", "size")).applyInPandas(lambda l, r: meet(l, r), f"seed {kinds['path']}, path {kinds['path']}, score {kinds['score']}")  # noqa: E741
+    return _best(pairs, ["seed"], most)
+
+
+def seed_axes(seeds: DataFrame, items: DataFrame, hours: float, least_cosine: float, km: float, mood: float, most: int = 40, score: str = "aggregate") -> dict[str, DataFrame]:
+    """For each axis the rows ``seed, path`` of the ``most`` best items near a seed: in time, by vector, with the same person or tag, by place, and by mood (a number).
+
+    No seed meets all that is near it: times and moods have ranges with their best items, persons, tags and places each have their best items, and places meet in
+    buckets as wide as the reach. Only vectors are compared one by one, in blocks. Items need ``path, captured_at, embedding, person, tag, lat, lon, mood`` and
+    the score; nulls are near nothing, and no seed is near itself.
+    """
+    from shelfmark.functions.scalars import haversine
+    from shelfmark.operators.sessions import micros
 
-    def by_bucket(column: str, width: float, near) -> DataFrame:
-        left = seeds.where(F.col(column).isNotNull()).select(F.col("path").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in ("lat", "lon", "mood")]).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"s_{column}") / width) - 1, F.floor(F.col(f"s_{column}") / width) + 1)))
-        right = items.select("path", "lat", "lon", "mood", F.floor(F.col(column) / width).alias("_b"))
-        return left.join(right, "_b").where(near & (F.col("path") != F.col("seed"))).select("seed", "path")
+    rated = lambda *columns: items.select("path", F.col(score).alias("score"), *columns)
+    asked = lambda *columns: seeds.select(F.col("path").alias("seed"), *columns)
 
     def same(column: str) -> DataFrame:
-        left = seeds.select(F.col("path").alias("seed"), F.col(column).alias("_v"))
-        return left.join(items.select("path", F.col(column).alias("_v")), "_v").where("path <> seed").select("seed", "path")
-
-    vectors = seeds.where("embedding is not null").select(F.col("path").alias("seed"), F.col("embedding").alias("q"))
-    parts = 16
-    dealt = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    alike = dealt.join(items.where("embedding is not null").select("path", "embedding", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("_b")), "_b").where(F.size("embedding") == F.size("q"))
-    return {
-        "time": near_in_time(seeds, items, int(hours * 3600)), "similar": alike.where((cosine("embedding", "q") >= least_cosine) & (F.col("path") != F.col("seed"))).select("seed", "path"), "person": same("person"), "tag": same("tag"),
-        "location": by_bucket("lat", km / 111.0, haversine("s_lat", "s_lon", "lat", "lon") <= km), "mood": by_bucket("mood", mood, F.abs(F.col("s_mood") - F.col("mood")) <= mood),
+        best = _best(rated(F.col(column).alias("_v")).where("_v is not null"), ["_v"], most + 1)
+        return _best(asked(F.col(column).alias("_v")).join(best, "_v").where("path <> seed"), ["seed"], most)
+
+    def placed() -> DataFrame:
+        width = km / 111.0
+        known = "lat is not null and lon is not null"
+        bucket = F.floor(F.col("lat") / width)
+        best = _best(rated("lat", "lon").where(known), ["lat", "lon"], most + 1).withColumn("_b", bucket)
+        spots = seeds.where(known).select("lat", "lon").distinct().withColumn("_b", F.explode(F.sequence(bucket - 1, bucket + 1))).withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
+        near = spots.join(best, "_b").where(haversine("s_lat", "s_lon", "lat", "lon") <= km).drop("lat", "lon", "_b")
+        lists = _best(near, ["s_lat", "s_lon"], most + 1)
+        return _best(asked(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).join(lists, ["s_lat", "s_lon"]).where("path <> seed"), ["seed"], most)
+
+    found = {
+        "time": best_in_reach(asked(micros("captured_at").alias("at")), rated(micros("captured_at").alias("x")), int(hours * 3600) * 1_000_000, most), "similar": best_alike(asked("embedding"), rated("embedding"), least_cosine, most),
+        "person": same("person"), "tag": same("tag"), "location": placed(), "mood": best_in_reach(asked(F.col("mood").alias("at")), rated(F.col("mood").alias("x")), mood, most),
     }
+    return {name: rows.select("seed", "path") for name, rows in found.items()}
 
 
 def seeded_discovery(axes: dict[str, DataFrame], items: DataFrame, most: int = 40, least: int = 8, score: str = "aggregate") -> DataFrame:
@@ -253,7 +356,7 @@ def _(v):
     shots = v.shot.join(v.vec, F.col("vec_id") == F.col("path"))
     items = shots.select("path", "captured_at", (F.col("camera") % 40).alias("person"), F.concat("kind", (F.col("ev") % 4).cast("string")).alias("tag"), ((F.col("ev") % 25) * 2.0 - 24).alias("lat"), ((F.col("ev") % 5) * 2.0).alias("lon"), F.col("aggregate").alias("mood"), "aggregate", "embedding")
     held = stash(items)
-    return seeded_discovery(seed_axes(held.where("path % 20 = 0"), held, 10, 0.2, 100, 0.2), held, 12, 5)
+    return seeded_discovery(seed_axes(held.where("path % 20 = 0"), held, 10, 0.2, 100, 0.2, 12), held, 12, 5)
 
 
 @query("n8_seeded_discovery")

@@ -102,3 +102,35 @@ def test_empty_and_odd_tables(spark):
     assert index.search(nothing.selectExpr("vec_id as k", "embedding as v"), 3).collect() == []
     owners = spark.createDataFrame([(1, [1.0] * 6), (2, [1.0, 2.0])], "owner int, centroid array<double>")
     assert {r["vec_id"] for r in similarity.nearest_owner(spark.createDataFrame(ODD, KIND), owners, -1.0).collect()} <= {901, 905}
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0, 40.0])
+def test_the_best_in_reach_are_those_of_all_pairs(spark, spread, monkeypatch):
+    from shelfmark.operators import collection_sets
+
+    monkeypatch.setattr(collection_sets, "RANGE_ROWS", 2)
+    rng = np.random.default_rng(12)
+    rows = [(p, float(np.round(spread * rng.random(), 1)), None if p % 9 == 0 else float(rng.integers(0, 6))) for p in range(200)] + [(200, None, 1.0), (201, 500.0, 1.0)]
+    items = spark.createDataFrame(rows, "path long, x double, score double")
+    seeds = [(p, x) for p, x, _ in rows if p % 7 == 0 or p > 199]
+    found = collection_sets.best_in_reach(spark.createDataFrame(seeds, "seed long, at double"), items, 0.3, 4).collect()
+    for seed, place in seeds:
+        near = [(-9 if s is None else s, -p) for p, x, s in rows if place is not None and x is not None and abs(place - x) <= 0.3 and p != seed]
+        assert sorted(r["path"] for r in found if r["seed"] == seed) == sorted(-p for _, p in sorted(near, reverse=True)[:4])
+
+
+def test_the_best_alike_are_those_of_all_pairs(spark, monkeypatch):
+    from shelfmark.operators import collection_sets
+
+    for name, size in (("SEED_ROWS", 5), ("ITEM_ROWS", 30), ("COLUMNS", 4)):
+        monkeypatch.setattr(collection_sets, name, size)
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(120, 5))
+    rows = [(p, None if p == 3 else [0.0] * 5 if p == 4 else [1.0, 2.0] if p == 5 else v.tolist(), None if p % 9 == 0 else float(rng.integers(0, 6))) for p, v in enumerate(vectors)]
+    items = spark.createDataFrame(rows, "path long, embedding array<double>, score double")
+    found = collection_sets.best_alike(items.where("path % 6 < 2").selectExpr("path AS seed", "embedding"), items, 0.4, 3).collect()
+    plain = {p: np.array(v) / np.linalg.norm(v) for p, v, _ in rows if v and any(v)}
+    assert found
+    for seed in (p for p in range(120) if p % 6 < 2):
+        near = [(-9 if s is None else s, -p) for p, _, s in rows if p != seed and p in plain and seed in plain and len(plain[p]) == len(plain[seed]) and plain[p] @ plain[seed] >= 0.4]
+        assert sorted(r["path"] for r in found if r["seed"] == seed) == sorted(-p for _, p in sorted(near, reverse=True)[:3])
