@@ -168,6 +168,30 @@ def _orders(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
     return np.argsort(-(_units(vectors) @ centres.T), axis=1, kind="stable")
 
 
+#: Queries and vectors of a list that meet at once, and rows of one product.
+SEARCH_ROWS, PRODUCT_ROWS = 8192, 256
+
+
+def _nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """Rows ``q, k, similarity``: for each query of a block the ``k`` most alike vectors of a block, ties to the smaller key, in products of bounded size."""
+    out = [pd.DataFrame({"q": asked["q"].iloc[:0], "k": held["k"].iloc[:0], "similarity": np.zeros(0)})]
+    if len(asked) and len(held):
+        names, keys, rows, columns = asked["q"].to_numpy(), held["k"].to_numpy(), _units(asked["qv"]), _units(held["v"])
+        for at in range(0, len(names), PRODUCT_ROWS):
+            alike = rows[at : at + PRODUCT_ROWS] @ columns.T
+            alike[(names[at : at + PRODUCT_ROWS, None] == keys[None, :]) | ~(alike >= least - SLACK)] = -np.inf
+            close = np.round(alike, 9)
+            cut = np.partition(close, -k, axis=1)[:, -k] if k < close.shape[1] else np.full(len(close), -np.inf)
+            a, b = np.nonzero((close >= cut[:, None]) & (alike > -np.inf))
+            order = np.lexsort((keys[b], -close[a, b], a))
+            a, b = a[order], b[order]
+            first = np.searchsorted(a, np.arange(len(close)))
+            top = np.arange(len(a)) - first[a] < k
+            part = pd.DataFrame({"q": names[at + a[top]], "k": keys[b[top]], "similarity": np.clip(alike[a[top], b[top]], -1, 1)})
+            out.append(part[part["similarity"] >= least])
+    return pd.concat([p for p in out if len(p)] or out[:1])
+
+
 class VectorIndex:
     """Inverted lists around the centres of a coarse quantiser.
 
@@ -221,9 +245,16 @@ class VectorIndex:
                 if len(pdf):
                     yield pd.DataFrame({"q": np.repeat(pdf["k"].to_numpy(), probes), "qv": [v for v in pdf["v"] for _ in range(probes)], "list": _orders(pdf["v"], centres)[:, :probes].ravel().astype(np.int32)})
 
-        asked = stash(queries.select("k", F.col("v").cast("array<double>").alias("v")).mapInPandas(open_lists, f"q {self.kind}, qv array<double>, list int"))
-        wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # MOST_PIVOTS numbers at most
-        near = self.table.where(F.col("list").isin(wanted)).join(asked, "list").where("k <> q").withColumn("similarity", cosine("v", "qv")).where(F.col("similarity") >= least)
+        asked = stash(queries.select("k", F.col("v").cast("array<double>").alias("v")).where((F.size("v") == centres.shape[1]) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).mapInPandas(open_lists, f"q {self.kind}, qv array<double>, list int"))
+        sizes = asked.groupBy("list").agg(F.count("*").alias("asked")).join(self.table.groupBy("list").agg(F.count("*").alias("held")), "list").collect()  # MOST_PIVOTS rows at most
+        if not sizes:
+            return queries.limit(0).selectExpr("k", "1 as rank", "k as neighbour", "0.0D as similarity")
+        cuts = F.broadcast(self.table.sparkSession.createDataFrame([(r["list"], -(-r["asked"] // SEARCH_ROWS), -(-r["held"] // SEARCH_ROWS)) for r in sizes], "list int, rows int, columns int"))
+        spot, every = lambda key, n: F.pmod(F.xxhash64(key, F.lit(11)), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(cuts, "list").select("list", "q", "qv", spot("q", "rows").alias("i"), every("columns").alias("j"))
+        right = self.table.where(F.col("list").isin([r["list"] for r in sizes])).join(cuts, "list").select("list", "k", "v", spot("k", "columns").alias("j"), every("rows").alias("i"))
+        meet = lambda l, r: _nearest(l, r, k, least)  # noqa: E731, E741
+        near = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(lambda l, r: meet(l, r), f"q {self.kind}, k {self.kind}, similarity double")  # noqa: E741
         rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), F.asc("k")))
         return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("k"), "rank", F.col("k").alias("neighbour"), "similarity")
 

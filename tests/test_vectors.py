@@ -134,3 +134,20 @@ def test_the_best_alike_are_those_of_all_pairs(spark, monkeypatch):
     for seed in (p for p in range(120) if p % 6 < 2):
         near = [(-9 if s is None else s, -p) for p, _, s in rows if p != seed and p in plain and seed in plain and len(plain[p]) == len(plain[seed]) and plain[p] @ plain[seed] >= 0.4]
         assert sorted(r["path"] for r in found if r["seed"] == seed) == sorted(-p for _, p in sorted(near, reverse=True)[:3])
+
+
+def test_lists_are_searched_in_blocks_with_ties_by_key(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SEARCH_ROWS", 9)
+    monkeypatch.setattr(vectors, "PRODUCT_ROWS", 4)
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(70, 6))
+    rows = [(p, (base[p] if p < 70 else base[p % 3]).tolist()) for p in range(110)]  # copies of three
+    df = spark.createDataFrame([*rows, (110, [0.0] * 6)], "vec_id long, embedding array<double>")
+    index = vectors.VectorIndex(df, lists=4)
+    asked = [(p, v) for p, v in rows if p % 4 == 0] + [(200, [0.0] * 6), (201, [1.0, 2.0]), (202, None), (203, [float("nan")] * 6)]
+    found = index.search(spark.createDataFrame(asked, "k long, v array<double>"), 5, probes=4).collect()
+    unit = {p: np.array(v) / np.linalg.norm(v) for p, v in rows}
+    for p in (p for p, _ in asked[:-4]):
+        want = sorted((-round(float(unit[p] @ unit[o]), 9), o) for o in unit if o != p)[:5]
+        assert [r["neighbour"] for r in sorted((r for r in found if r["k"] == p), key=lambda r: r["rank"])] == [o for _, o in want]
+    assert {r["k"] for r in found} == {p for p, _ in asked[:-4]}
