@@ -63,10 +63,16 @@ def dimension_members(df: DataFrame, least: dict[str, int] | None = None, most:
 
 
 def crossed_sets(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
-    """Rows ``one, two, a, b, n, best``: counts and best item of every pair of values, for all pairs of dimensions in one pass over exploded keys."""
+    """Rows ``one, two, a, b, n, best``: counts and best item of every pair of values, for all pairs of dimensions at once over exploded keys."""
+    from shelfmark.operators.scans import few
+
     keys = F.array(*[F.struct(F.lit(x).alias("one"), F.lit(y).alias("two"), dimension(x).alias("a"), dimension(y).alias("b")) for x, y in pairs])
-    rows = df.select("path", "aggregate", F.inline(keys)).where("a is not null and b is not null")
-    return rows.groupBy("one", "two", "a", "b").agg(F.count("*").alias("n"), F.min_by("path", F.struct(-F.col("aggregate"), F.col("path"))).alias("best")).where(F.col("n") >= least)
+    rated = F.when(F.col("aggregate").isNull(), float("inf")).when(F.isnan("aggregate"), float("-inf")).otherwise(F.col("aggregate"))
+    rows = df.select("path", rated.alias("_rated"), F.inline(keys)).where("a is not null and b is not null")
+    # counts and largest scores are numbers, so tasks add them up in place and sort nothing; a second pass finds whose scores these are
+    names = ["one", "two", "a", "b"]
+    large = few(stash(rows.groupBy(*names).agg(F.count("*").alias("n"), F.max("_rated").alias("_top")).where(F.col("n") >= least)))
+    return rows.join(large, names).where(F.col("_rated") == F.col("_top")).groupBy(*names).agg(F.first("n").alias("n"), F.min("path").alias("best"))
 
 
 def deduplicated(sets: DataFrame, most_shared: float = 0.2, of: str = "smaller") -> DataFrame:

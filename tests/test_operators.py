@@ -220,3 +220,15 @@ def test_label_pairs_match_plain_loops(spark):
         got = [tuple(r) for r in label_pairs(df, *caps).collect()]
         assert got == greedy_pairs(rows, *caps)
     assert label_pairs(df.limit(0)).count() == 0
+
+
+def test_crossed_sets_sort_no_rows(spark):
+    rows = [(p, dt.datetime(2020 + p % 3, 1 + p % 12, 3), "c%d" % (p % 2), "l%d" % (p % 4), None if p == 7 else p % 5 * 1.5) for p in range(60)]
+    df = spark.createDataFrame(rows, "path long, date_taken timestamp, camera string, lens string, aggregate double")
+    found = collection_sets.crossed_sets(df, [("year", "camera"), ("camera", "lens")], 10)
+    want = {}
+    for path, taken, camera, lens, score in rows:
+        for key in (("year", "camera", str(taken.year), camera), ("camera", "lens", camera, lens)):
+            want.setdefault(key, []).append((float("-inf") if score is None else -score, path))
+    assert {(r["one"], r["two"], r["a"], r["b"]): (r["n"], r["best"]) for r in found.collect()} == {k: (len(v), min(v)[1]) for k, v in want.items() if len(v) >= 10}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
