@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import cosine, hamming, intersection, unit
+from shelfmark.operators.alike import CloseOrAlike, Cosine, best_partners, linked_components, with_links
 from shelfmark.operators.components import connected_components
-from shelfmark.operators.vectors import BLOCK_ROWS, VectorIndex, cosine_pairs, dominant_dimension, mmr, similarity_groups, usable
+from shelfmark.operators.vectors import BLOCK_ROWS, VectorIndex, alike_components, cosine_pairs, dominant_dimension, mmr, similarity_groups, usable
 from shelfmark.registry import query
 from shelfmark.runtime import stash
 
@@ -41,12 +42,10 @@ def hamming_pairs(df: DataFrame, radius: int, key: str = "vec_id", hash_col: str
     return left.join(right, same & (far <= radius) & (first == F.col("l.band"))).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), far.alias("bits"))
 
 
-def duplicate_groups(df: DataFrame, strict: int, loose: int, least_cosine: float, key: str = "vec_id") -> DataFrame:
+def duplicate_groups(df: DataFrame, strict: int, loose: int, least_cosine: float, key: str = "vec_id", alone: int = BLOCK_ROWS) -> DataFrame:
     """Components of pairs that are close by hash, or less close but alike by vector."""
-    pairs = hamming_pairs(df, loose, key)
-    side = lambda s: df.select(F.col(key).alias(s), F.col("embedding").alias(f"v{s}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("bits") <= strict) | (cosine("va", "vb") >= least_cosine))
-    return connected_components(checked, "a", "b")
+    held = df.where("hash is not null").select(F.col(key).alias("k"), F.col("hash").alias("h"), F.col("embedding").alias("v"))
+    return linked_components(held, CloseOrAlike(strict, loose, least_cosine), alone)
 
 
 def nearest(df: DataFrame, query_id: int, k: int, least: float = -1.0, key: str = "vec_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import cosine
-from shelfmark.operators.components import connected_components
+from shelfmark.operators.alike import Cosine, linked_components
 from shelfmark.runtime import forget, stash
 
 #: Vectors of a block, whatever the table's size.
@@ -131,12 +131,18 @@ def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str =
     return rows.unionByName(guests).groupBy("cell", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}, cosine double")
 
 
+def alike_components(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``node, component`` of all vectors with a partner at least so alike, exactly; as the components of ``cosine_pairs``, whose pairs are not listed."""
+    held = usable(df.select(F.col(key).alias("k"), F.col(column).alias("v")), "v")
+    return linked_components(held, Cosine(least), block_rows)
+
+
 def similarity_groups(df: DataFrame, least: float, min_size: int = 2, max_size: int = 50, key: str = "vec_id", score: str = "score", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``component, count, best, members``: connected groups of alike vectors of ``min_size`` to ``max_size`` rows, with their best by score (ties: the smallest key, null scores count 0).
 
     Groups are counted before their members are listed, so a group that is too large is never gathered.
     """
-    groups = stash(connected_components(cosine_pairs(df, least, key, block_rows=block_rows), "a", "b"))
+    groups = stash(alike_components(df, least, key, block_rows=block_rows))
     sizes = groups.groupBy("component").agg(F.count("*").alias("count")).where(F.col("count").between(min_size, max_size))
     rows = groups.join(sizes, "component").join(df.select(F.col(key).alias("node"), F.coalesce(F.col(score), F.lit(0)).alias("_score")), "node")
     best = F.min_by("node", F.struct(-F.col("_score"), F.col("node"))).alias("best")
