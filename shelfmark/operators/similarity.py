@@ -337,7 +337,7 @@ def _(v):
 
 @query("j13_group_paging", f"WITH RECURSIVE e AS ({ALIKE} 0.3), {REACHED} SELECT component, count(*)::BIGINT AS n FROM g WHERE node % 7 <> 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5('4:' || component), component LIMIT 20")
 def _(v):
-    groups = connected_components(cosine_pairs(v.vec, 0.3), "a", "b").where("node % 7 <> 0").groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
+    groups = alike_components(v.vec, 0.3).where("node % 7 <> 0").groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
     return groups.orderBy(F.md5(F.concat(F.lit("4:"), F.col("component").cast("string")).cast("binary")), "component").limit(20)
 
 
