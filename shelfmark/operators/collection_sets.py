@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import season, short_id
 from shelfmark.operators.browse import top_per_group
-from shelfmark.operators.components import connected_components
 from shelfmark.operators.predicates import co_appearing, hue_name
-from shelfmark.operators.similarity import ALIKE, REACHED, cosine_pairs
+from shelfmark.operators.similarity import ALIKE, REACHED
+from shelfmark.operators.vectors import alike_components
 from shelfmark.plans.query_spec import QuerySpec, composite
 from shelfmark.registry import query
 from shelfmark.runtime import forget, stash
@@ -182,7 +182,7 @@ def _(v):
   t AS (SELECT component, label, count(*) AS k FROM g JOIN s USING (component) JOIN vec ON vec_id = node GROUP BY 1, 2)
   SELECT component, array_to_string(list(label::VARCHAR ORDER BY k DESC, label)[1:2], ' & ') AS title FROM t GROUP BY 1""")
 def _(v):
-    groups = connected_components(cosine_pairs(v.vec, 0.33), "a", "b")
+    groups = alike_components(v.vec, 0.33)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "component").limit(5)
     tags = groups.join(F.broadcast(sizes), "component").join(v.vec.select(F.col("vec_id").alias("node"), "label"), "node").groupBy("component", "label").agg(F.count("*").alias("k"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("m"), F.col("label")))), 1, 2)
