@@ -254,7 +254,7 @@ def _(v):
 @query("j2_components", f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id < b.vec_id AND {COS.format(a='a.embedding', b='b.embedding')} >= 0.35),
   u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.c) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def _(v):
-    return connected_components(cosine_pairs(v.vec, 0.35), "a", "b")
+    return alike_components(v.vec, 0.35)
 
 
 @query("j3_cosine_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format(a='a.embedding', b='b.embedding')}, 5) AS cos FROM vec a JOIN vec b ON a.vec_id < b.vec_id AND {COS.format(a='a.embedding', b='b.embedding')} >= 0.35")
