@@ -129,15 +129,15 @@ def nearest_owner(df: DataFrame, owners: DataFrame, least: float, key: str = "ve
     return top.where(F.col("b.cosine") >= least).select(key, F.col("b.owner").alias("owner"), F.col("b.cosine").alias("cosine"))
 
 
-def density_clusters(df: DataFrame, least: float, min_points: int, key: str = "vec_id") -> DataFrame:
+def density_clusters(df: DataFrame, least: float, min_points: int, key: str = "vec_id", alone: int = BLOCK_ROWS) -> DataFrame:
     """DBSCAN over cosine: core points have enough neighbours; a border point joins its most alike core; the rest is noise (null)."""
-    pairs = stash(cosine_pairs(df, least, key))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    core = stash(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("a").alias("core")))
-    inner = both.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
-    groups = connected_components(inner.select("a", "b").unionByName(core.select(F.col("core").alias("a"), F.col("core").alias("b"))), "a", "b")
-    border = both.join(groups, F.col("b") == F.col("node")).join(core, F.col("a") == F.col("core"), "left_anti")
-    joined = border.groupBy("a").agg(F.min_by("component", F.struct(-F.col("cosine"), F.col("b"))).alias("component")).select(F.col("a").alias("node"), "component")
+    held = stash(usable(df.select(F.col(key).alias("k"), F.col("embedding").alias("v")), "v"))
+    links = stash(with_links(held, Cosine(least), min_points - 1, alone))
+    core = stash(held.join(links.where(F.col("links") + 1 >= min_points), "k", "left_semi"))
+    found = linked_components(core, Cosine(least), alone)
+    groups = stash(core.select(F.col("k").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    edge = held.join(links.where(F.col("links") + 1 < min_points), "k", "left_semi")
+    joined = best_partners(edge, core, Cosine(least)).join(groups, F.col("partner") == F.col("node")).select(F.col("k").alias("node"), "component")
     return df.select(F.col(key).alias("node")).join(groups.unionByName(joined), "node", "left").select(F.col("node").alias(key), F.col("component").alias("cluster"))
 
 
