@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.functions.scalars import cosine
-from shelfmark.operators.alike import Cosine, linked_components
+from shelfmark.operators.alike import SIDE_BYTES, TILE, Cosine, linked_components, units
 from shelfmark.runtime import forget, stash
 
 #: Vectors of a block, whatever the table's size.
@@ -42,15 +44,20 @@ def _angles(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(one @ other.T, -1, 1))
 
 
-def _meet(own: pd.DataFrame, other: pd.DataFrame | None, least: float) -> pd.DataFrame:
-    """Pairs within ``own``, or between both."""
-    left = _units(own["v"])
-    right = left if other is None else _units(other["v"])
-    ka, kb = own["k"].to_numpy(), (own if other is None else other)["k"].to_numpy()
-    alike = left @ right.T if len(left) and len(right) else np.zeros((len(left), len(right)))
-    a, b = np.nonzero(alike >= least)
-    a, b = (a[ka[a] < kb[b]], b[ka[a] < kb[b]]) if other is None else (a, b)
-    return pd.DataFrame({"a": np.minimum(ka[a], kb[b]), "b": np.maximum(ka[a], kb[b]), "cosine": alike[a, b]})
+def _meet(own: pa.Table, other: pa.Table | None, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs within ``own``, or between both, a batch for each pair of tiles."""
+    tiles = lambda rows: [(part.column("k").to_numpy(), units(part.column("v"))) for part in (rows.slice(at, TILE) for at in range(0, rows.num_rows, TILE))]
+    left = tiles(own)
+    right = left if other is None else tiles(other)
+    for n, (ka, x) in enumerate(left):
+        for m, (kb, y) in enumerate(right[: n + 1] if other is None else right):
+            alike = x @ y.T
+            a, b = np.nonzero(alike >= least)
+            if other is None and m == n:
+                a, b = a[ka[a] < kb[b]], b[ka[a] < kb[b]]
+            else:  # rows of one key are no pair
+                a, b = a[ka[a] != kb[b]], b[ka[a] != kb[b]]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(ka[a], kb[b]), "b": np.maximum(ka[a], kb[b]), "cosine": alike[a, b]})
 
 
 def _pivots(held: DataFrame, count: int) -> np.ndarray:
@@ -88,10 +95,11 @@ def cells(df: DataFrame, least: float, key: str = "vec_id", column: str = "embed
             higher = number[None, :] > cell[:, None]
             even = (number[None, :] + cell[:, None]) % 2 == 0
             goes &= (number[None, :] != cell[:, None]) & (higher == even)
-            row, to = np.nonzero(goes)
-            yield pd.DataFrame({"cell": np.concatenate([cell, to]).astype(np.int32), "home": np.concatenate([cell, cell[row]]).astype(np.int32), "k": pd.concat([pdf["k"], pdf["k"].iloc[row]]).to_numpy(), "v": pd.concat([pdf["v"], pdf["v"].iloc[row]]).to_numpy()})
+            goes[np.arange(len(pdf)), cell] = True
+            yield pd.DataFrame({"cells": [np.flatnonzero(g).astype(np.int32) for g in goes], "home": cell, "k": pdf["k"], "v": pdf["v"]})
 
-    dealt = placed.mapInPandas(visit, f"cell int, home int, k {kind}, v array<double>")
+    # a vector is repeated by Spark, row by row: in Python a batch's copies would grow with the pivots
+    dealt = placed.mapInPandas(visit, f"cells array<int>, home int, k {kind}, v array<double>").select(F.explode("cells").alias("cell"), "home", "k", "v")
     sizes = stash(dealt.groupBy("cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("own"), F.count_if(F.col("home") != F.col("cell")).alias("visitors")))
     return dealt, sizes
 
@@ -104,13 +112,17 @@ def skipped_share(df: DataFrame, least: float, **options) -> float:
     return 1 - met / max(1, count * (count - 1) / 2)
 
 
-def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Rows ``a, b, cosine`` of all pairs at least so alike, exactly.
 
     Vectors meet in cells around pivots, and only in cells that may hold a partner; how many pairs of cells that spares is up to the data, ``skipped_share`` tells. A cell of more than
-    ``block_rows`` vectors is cut into blocks that meet pairwise, each meeting one matrix product. Vectors that are null, of another length than most, or hold
+    ``block_rows`` vectors is cut into blocks that meet pairwise, each meeting matrix products over tiles. Blocks grow with the table up to ``SIDE_BYTES``, so that a vector is
+    repeated by few of them. Vectors that are null, of another length than most, or hold
     null or infinite components take no part; a zero vector is like none (cosine 0).
     """
+    if block_rows is None:
+        count, size = df.agg(F.count(column), F.max(F.size(column))).first()
+        block_rows = max(BLOCK_ROWS, min(SIDE_BYTES // (8 * max(1, size or 1)), count // 16))
     dealt, sizes = cells(df, least, key, column, block_rows)
     parts = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("own") / block_rows)).cast("int").alias("s"), F.ceil(F.col("visitors") / block_rows).cast("int").alias("t")))  # a row for each pivot
     spot = lambda n: F.pmod(F.xxhash64("k", F.lit(9)), F.greatest(F.lit(1), n)).cast("int")
@@ -120,15 +132,17 @@ def cosine_pairs(df: DataFrame, least: float, key: str = "vec_id", column: str =
     rows = own.withColumn("m", F.explode(F.concat(others, visits))).select("cell", "m.i", "m.j", "k", "v", F.col("i").alias("own"))
     guests = dealt.where("home <> cell").join(parts, "cell").withColumn("j", -1 - spot(F.col("t"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("cell", "i", "j", "k", "v", F.lit(-1).alias("own"))
 
-    def meet(place: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(place[1]), int(place[2])
-        if i == j:
-            return _meet(pdf, None, least)
-        left = pdf["own"] == i
-        return _meet(pdf[left], pdf[~left], least)
+    kind = df.schema[key].dataType
+    schema = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind)), ("cosine", pa.float64())])
 
-    kind = df.schema[key].dataType.simpleString()
-    return rows.unionByName(guests).groupBy("cell", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}, cosine double")
+    def meet(place: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        i, j = place[1].as_py(), place[2].as_py()
+        left = rows.column("own").to_numpy() == i
+        for batch in _meet(rows, None, least) if i == j else _meet(rows.filter(pa.array(left)), rows.filter(pa.array(~left)), least):
+            yield batch.cast(schema)
+
+    return rows.unionByName(guests).groupBy("cell", "i", "j").applyInArrow(meet, f"a {kind.simpleString()}, b {kind.simpleString()}, cosine double")
 
 
 def alike_components(df: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:

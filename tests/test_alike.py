@@ -89,3 +89,28 @@ def test_nothing_and_odd_vectors(spark):
     assert similarity.density_clusters(nothing, 0.5, 3).collect() == []
     odd = spark.createDataFrame(ODD, "vec_id long, embedding array<double>, score double, label long")
     assert vectors.alike_components(odd, 0.5).collect() == []
+
+
+def test_a_vector_is_repeated_by_spark_and_not_in_python(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    schemas, plain = [], DataFrame.mapInPandas
+    kinds = {type(frame(spark, clustered(10))), DataFrame}
+    for kind in kinds:
+        monkeypatch.setattr(kind, "mapInPandas", lambda self, run, schema, _own=getattr(kind, "mapInPandas", plain), **kw: schemas.append((self, out := _own(self, run, schema, **kw))) or out)
+    v = clustered()
+    dealt, _ = vectors.cells(frame(spark, v), 0.2, pivots=40)
+    assert dealt.count() > 3 * (len(v) + 1)
+    assert all(out.count() <= len(v) + len(ODD) for _, out in schemas) and schemas
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    for name, size in (("BLOCK_ROWS", 4), ("TILE", 7)):
+        monkeypatch.setattr(vectors, name, size)
+    met, plain = [], vectors.cells
+    monkeypatch.setattr(vectors, "cells", lambda df, least, key, column, rows: met.append(rows) or plain(df, least, key, column, rows))
+    v = clustered()
+    u = unit(v)
+    got = vectors.cosine_pairs(frame(spark, v), 0.5).where("b < 900").collect()
+    assert {(r["a"], r["b"]) for r in got} == {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if u[i] @ u[j] >= 0.5} and len(got) == len(set(got))
+    assert met[0] >= len(v) // 16
