@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.plans.query_spec import QuerySpec, composite, ranges
 from shelfmark.registry import query
+from shelfmark.runtime import shuffle_width
 
 #: Hues in degrees, from the first edge up to, without, the second. Fixed values.
 HUES = {
@@ -322,11 +323,23 @@ def _(v):
     return joined.groupBy(F.col("s_name").alias("person"), F.col("p_name").alias("item")).agg(F.count("*").alias("n"))
 
 
+#: Pairs that a task counts at once, on the average.
+PAIRS_A_TASK = 1_000_000
+
+
 def co_appearing(members: DataFrame, group: str, member: str) -> DataFrame:
-    """Unordered pairs within a group with their number of shared groups; groups are single items, so they are small."""
-    once = members.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    pairs = once.alias("a").join(once.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.m") < F.col("b.m")))
-    return pairs.groupBy(F.col("a.m").alias("a"), F.col("b.m").alias("b")).agg(F.count("*").alias("together"))
+    """Unordered pairs within a group with their number of shared groups; groups are single items, so they are small.
+
+    Groups and pairs are dealt to so many tasks that each has about ``PAIRS_A_TASK`` pairs, whatever the table's size; tasks pass on their counts of pairs.
+    """
+    rows = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null")
+    pairs = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+    tasks = max(shuffle_width(members.sparkSession), int(pairs // PAIRS_A_TASK) + 1)
+    dealt = rows.withColumn("p", F.pmod(F.xxhash64("g"), F.lit(16 * tasks))).repartition(tasks, "p")
+    sets = dealt.groupBy("p", "g").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    once = sets.select("p", "ms", F.posexplode("ms").alias("at", "a")).select("p", "a", F.explode(F.slice("ms", F.col("at") + 2, F.size("ms"))).alias("b"))
+    counts = once.groupBy("p", "a", "b").agg(F.count("*").alias("n"))
+    return counts.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("together"))
 
 
 @query("c3_co_appearance", """SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*)::BIGINT AS together FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a

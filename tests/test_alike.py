@@ -114,3 +114,21 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     got = vectors.cosine_pairs(frame(spark, v), 0.5).where("b < 900").collect()
     assert {(r["a"], r["b"]) for r in got} == {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if u[i] @ u[j] >= 0.5} and len(got) == len(set(got))
     assert met[0] >= len(v) // 16
+
+
+def test_pairs_that_appear_together_are_dealt_by_their_count(spark, monkeypatch):
+    from collections import Counter
+
+    from shelfmark.operators import predicates
+
+    monkeypatch.setattr(predicates, "PAIRS_A_TASK", 100)
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(m)) for g, m in zip(rng.integers(0, 150, 900), rng.integers(0, 40, 900), strict=True)] + [(None, 1), (None, 2), (7, None), (8, None)] + [(200, m) for m in range(60)]
+    groups = {}
+    for g, m in rows:
+        if g is not None and m is not None:
+            groups.setdefault(g, set()).add(m)
+    want = Counter(p for ms in groups.values() for p in itertools.combinations(sorted(ms), 2))
+    got = predicates.co_appearing(spark.createDataFrame(rows, "o long, s long"), "o", "s")
+    assert {(r["a"], r["b"]): r["together"] for r in got.collect()} == want
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
