@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.llm import mixing, near_texts, packing, pii, quality
 from shelfmark.llm.common import table
 from shelfmark.llm.queries import tokenizer_path
-from shelfmark.runtime import forget, ship, stash
+from shelfmark.runtime import forget, ship, stash, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number < len(STAGES) - 1:
             docs = stash(docs)
             forget(last)
+            del last
+            sweep(spark)
     return docs

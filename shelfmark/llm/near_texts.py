@@ -8,8 +8,9 @@ counters compare them; pairs within the radius are candidates, and only those of
 shingles count as links. Choices have more bits for more texts, so that groups stay small,
 and there are as many choices as a miss rate of ``MISS`` asks for. Texts with equal sets collapse first.
 
-A group passes on at most ``few`` candidates for each text in a round, and names the texts that have
-more. Pairs that are linked by then are not asked again, those found unlike are not either, and
+Choices are compared in turns, the first of a few and of a crowded group's cuts alone: what is linked by then is not
+asked in later ones, so the copies of a large group don't meet in each choice again. A group passes on at most ``few``
+candidates for each text in a round, and names the texts that have more. Pairs that are linked by then are not asked again, those found unlike are not either, and
 rounds go on, among the texts named, with four times as many until no text is named; hence no
 candidate is dropped, and a large group of copies doesn't pass on its pairs.
 
@@ -25,12 +26,13 @@ from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.llm.common import if_small, making_room, release, slices, utf8
 from shelfmark.llm.simhash import majority, near_rows, shingle_hashes
 from shelfmark.operators.components import connected_components
-from shelfmark.runtime import forget, stash
+from shelfmark.runtime import forget, stash, sweep
 
 BITS, RADIUS = 128, 31
 #: Share of bits on which sets of similarity 4/5 agree, one standard deviation to the safe side.
@@ -89,18 +91,20 @@ def _dealt(distinct: DataFrame, chosen: list[list[int]], largest: int) -> DataFr
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     mask = lambda bits, word: F.lit(signed(sum(1 << (b & 63) for b in bits if b >> 6 == word)))
     parts = [F.xxhash64(F.col("one").bitwiseAND(mask(bits, 0)), F.col("two").bitwiseAND(mask(bits, 1))) for bits in chosen]
-    keyed = distinct.select("node", "one", "two", F.posexplode(F.array(*parts)).alias("choice", "part"))
+    own = [c for c in ("component", "unlike") if c in distinct.columns]
+    keyed = distinct.select("node", "one", "two", *own, F.posexplode(F.array(*parts)).alias("choice", "part"))
     crowded = keyed.groupBy("choice", "part").count().where(F.col("count") > largest).select("choice", "part", F.ceil(F.col("count") * 2 / largest).cast("int").alias("cuts"))
     cut = keyed.join(crowded, ["choice", "part"], "left").withColumn("own", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
     spread = cut.withColumn("other", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.expr("sequence(0, cuts - 1)"))))
-    return spread.select("choice", "part", F.coalesce(F.least("own", "other"), F.lit(0)).alias("a"), F.when(F.col("own").isNotNull(), F.greatest("own", "other")).otherwise(F.lit(0)).alias("b"), "node", "one", "two")
+    return spread.select("choice", "part", F.coalesce(F.least("own", "other"), F.lit(0)).alias("a"), F.when(F.col("own").isNotNull(), F.greatest("own", "other")).otherwise(F.lit(0)).alias("b"), "node", "one", "two", *own)
 
 
 def open_pairs(nodes: np.ndarray, prints: np.ndarray, order: list[int], components: np.ndarray | None, unlike: list[list[int] | None] | None, few: int) -> tuple[set[tuple[int, int]], list[int]]:
-    """For each text up to ``few`` near ones of other components that were not found unlike, next in turn; and the texts that have more."""
+    """For each text up to ``few`` near ones of other components that were not found unlike, next in turn and of two components few in all; and the texts that have more."""
     near = near_rows(prints, RADIUS, order)
     pairs: set[tuple[int, int]] = set()
     more: list[int] = []
+    taken: dict[tuple[int, int], int] = {}
     for i in np.flatnonzero(np.bitwise_count(near).sum(axis=1) > 1):
         others = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little"))
         others = others[others != i]
@@ -110,7 +114,20 @@ def open_pairs(nodes: np.ndarray, prints: np.ndarray, order: list[int], componen
                 others = others[~np.isin(nodes[others], unlike[i])]
         if len(others) > few:
             more.append(int(nodes[i]))
-            others = np.roll(others, -np.searchsorted(others, i))[:few]
+            others = np.roll(others, -np.searchsorted(others, i))
+            if components is None:
+                others = others[:few]
+            else:  # one of each component, and of two components few pairs in all
+                others = others[np.sort(np.unique(components[others], return_index=True)[1])]
+                free = []
+                for j in others.tolist():
+                    ends = (min(components[i], components[j]), max(components[i], components[j]))
+                    if taken.get(ends, 0) < few:
+                        taken[ends] = taken.get(ends, 0) + 1
+                        free.append(j)
+                        if len(free) == few:
+                            break
+                others = free
         pairs.update((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))) for j in others)
     return pairs, more
 
@@ -125,7 +142,7 @@ def _compare(chosen: list[list[int]], few: int):
         rows = rows.take(pa.array(first))
         prints = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("one", "two")], axis=1)
         known = "component" in rows.column_names
-        pairs, more = open_pairs(nodes[first], prints, orders[key[0].as_py()], rows.column("component").to_numpy() if known else None, rows.column("unlike").to_pylist() if known else None, few)
+        pairs, more = open_pairs(nodes[first], prints, orders[key[0].as_py()], pc.coalesce(rows.column("component"), rows.column("node")).to_numpy() if known else None, rows.column("unlike").to_pylist() if known else None, few)
         return pa.table({"u": pa.array([*(a for a, _ in pairs), *more], pa.int64()), "v": pa.array([*(b for _, b in pairs), *([None] * len(more))], pa.int64())})
 
     return run
@@ -147,28 +164,54 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long, alike boolean")
 
 
+def turns(chosen: list[list[int]]) -> list[tuple[list[list[int]], bool]]:
+    """The choices that are compared at a time, and whether crowded groups' cuts meet each other yet; ever more of them, as ever more texts are linked by then."""
+    out, at, size = [(chosen[:2], False)], 0, 6
+    while at < len(chosen):
+        out.append((chosen[at : at + size], True))
+        at, size = at + size, size * 2
+    return out
+
+
 def near_components(docs: DataFrame, distinct: DataFrame, text_col: str, width: int, group: int = GROUP, largest: int = LARGEST, few: int = FEW) -> DataFrame:
     """From ``node, row, one, two``, rows ``node, component`` for all that link to another."""
     chosen = choices(distinct.count(), group)
-    dealt = _dealt(distinct, chosen, largest)
-    asked = stash(dealt.groupBy("choice", "part", "a", "b").applyInArrow(_compare(chosen, few), "u long, v long").distinct())
-    found = None
-    while True:
-        pairs = asked.where("v is not null")
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        sets = stash(_sets(docs, distinct.select("node", "row").join(ends, "node", "left_semi"), text_col, width))
-        new = stash(_verified(pairs, sets))
-        forget(sets)
-        found = new if found is None else found.unionByName(new)
-        linked = stash(connected_components(found.where("alike"), "u", "v"))
-        more = asked.where("v is null").select(F.col("u").alias("node"))
-        if more.isEmpty():
-            return linked
-        few *= 4
+    found = linked = named = None
+    spark = distinct.sparkSession
+
+    def known(rows: DataFrame) -> DataFrame:
+        """With ``component`` where it is another's node, and the texts found ``unlike``."""
+        if found is None:
+            return rows
         bad = found.where("not alike")
         both = bad.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(bad.select(F.col("v").alias("node"), F.col("u").alias("other")))
-        known = distinct.select("node").join(more, "node", "left_semi").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(both.groupBy("node").agg(F.collect_set("other").alias("unlike")), "node", "left")
-        asked = stash(dealt.join(known, "node").groupBy("choice", "part", "a", "b").applyInArrow(_compare(chosen, few), "u long, v long").distinct())
+        return rows.join(linked.where("component <> node"), "node", "left").join(both.groupBy("node").agg(F.collect_set("other").alias("unlike")), "node", "left")
+
+    def compare(rows: DataFrame, picked: list[list[int]], across: bool, few: int) -> DataFrame:
+        """The texts that have more; pairs are decided, those of a component are not asked."""
+        nonlocal found, linked
+        dealt = _dealt(known(rows), picked, largest)
+        asked = stash((dealt if across else dealt.where("a = b")).groupBy("choice", "part", "a", "b").applyInArrow(_compare(picked, few), "u long, v long").distinct())
+        pairs = asked.where("v is not null")
+        if found is None or not pairs.isEmpty():
+            ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+            sets = stash(_sets(docs, distinct.select("node", "row").join(ends, "node", "left_semi"), text_col, width))
+            new = stash(_verified(pairs, sets))
+            forget(sets)
+            found = new if found is None else found.unionByName(new)
+            linked = stash(connected_components(found.where("alike"), "u", "v"))
+        sweep(spark)
+        return asked.where("v is null").select(F.col("u").alias("node"))
+
+    for picked, across in turns(chosen):
+        more = compare(distinct, picked, across, few)
+        if across:  # what cuts alone leave open is asked again anyway
+            named = more if named is None else named.unionByName(more)
+    named = named.distinct() if named is not None else more
+    while not named.isEmpty():
+        few *= 4
+        named = compare(distinct.join(named, "node", "left_semi"), chosen, True, few)
+    return linked
 
 
 def _rooted(numbered: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:

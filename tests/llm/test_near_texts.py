@@ -90,3 +90,21 @@ def test_counters_match_plain_counts():
         got = np.unpackbits(near_rows(values, radius, rng.permutation(64 * words).tolist()).view(np.uint8), axis=1, bitorder="little")[:, : len(values)]
         apart = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2, dtype=int)
         assert (got == (apart <= radius)).all()
+
+
+def test_pairs_follow_the_rows_of_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 4000, 300)]
+    held = []
+    for i in range(240):
+        copy = list(base)
+        for at in rng.choice(300, 1 + i % 5, replace=False):
+            copy[at] = f"new{i}y{at}"
+        held.append((i, " ".join(copy)))
+    df = near_texts._numbered(spark.createDataFrame(held, "doc_id long, text string"))
+    distinct = near_texts.marks(df, "doc_id", "text", 5).select("node", "row", "one", "two").cache()
+    asked, plain = [], near_texts._verified
+    monkeypatch.setattr(near_texts, "_verified", lambda pairs, sets: asked.append(pairs.count()) or plain(pairs, sets))
+    found = near_texts.near_components(df, distinct, "text", 5, group=16, largest=64).collect()
+    assert len(found) == 240 and len({r["component"] for r in found}) == 1
+    assert sum(asked) < 10 * 240, asked
