@@ -19,18 +19,6 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def release() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece has at most ``rows`` rows and about ``limit`` bytes."""
     for batch in batches:

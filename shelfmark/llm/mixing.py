@@ -70,29 +70,34 @@ class Classifier:
         enough and in excess in a class.
         """
         domains, size = self.words.shape[1], len(hashed)
-        flat, row = np.concatenate(hashed), np.repeat(np.arange(size), [len(h) for h in hashed])
-        present = np.stack([np.bincount(flat[classes[row] == k], minlength=BUCKETS) for k in range(domains)], axis=1)
+        flat, row = np.concatenate(hashed).astype(np.int32, copy=False), np.repeat(np.arange(size, dtype=np.int32), [len(h) for h in hashed])
+        often = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= LEAST_DOCS)
+        present = np.stack([np.bincount(flat[classes[row] == k], minlength=BUCKETS)[often] for k in range(domains)], axis=1)
         of_class, docs = np.bincount(classes, minlength=domains), present.sum(axis=1, keepdims=True)
         expected = docs * of_class / size
         excess = (present - expected) / np.sqrt(np.maximum(expected * (1 - of_class / size), 0.3))
-        used = (docs[:, 0] >= LEAST_DOCS) & (excess.max(axis=1) >= LEAST_EXCESS)
-        own, other = (present + 1) / (of_class + 2), (docs - present + 1) / (size - of_class + 2)
-        scale = np.where(used[:, None], np.log(own / other), 0.0)
-        flat, row = flat[used[flat]], row[used[flat]]
-        truth, weights = np.eye(domains)[classes], np.zeros_like(self.words)
+        used = excess.max(axis=1) >= LEAST_EXCESS
+        own, other = (present[used] + 1) / (of_class + 2), (docs[used] - present[used] + 1) / (size - of_class + 2)
+        scale, used = np.log(own / other), often[used]
+        # only the words that take part are held from here on
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        flat = place[flat]
+        flat, row = flat[flat >= 0], row[flat >= 0]
+        truth, weights = np.eye(domains)[classes], np.zeros_like(scale)
         seen_w, seen_c = np.full_like(weights, 1e-8), np.full_like(self.counts, 1e-8)
         for _ in range(rounds):
             now = weights * scale
             logits = np.stack([np.bincount(row, now[flat, k], size) for k in range(domains)], axis=1) + counts @ self.counts
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = (odds / odds.sum(axis=1, keepdims=True) - truth) / size
-            grad_w = np.stack([np.bincount(flat, error[row, k], BUCKETS) for k in range(domains)], axis=1) * scale + decay * weights
+            grad_w = np.stack([np.bincount(flat, error[row, k], len(used)) for k in range(domains)], axis=1) * scale + decay * weights
             grad_c = counts.T @ error
             seen_w += grad_w**2
             seen_c += grad_c**2
             weights -= rate * grad_w / np.sqrt(seen_w)
             self.counts -= rate * grad_c / np.sqrt(seen_c)
-        self.words = weights * scale
+        self.words[used] = weights * scale
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:

@@ -29,10 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import if_small, making_room, release, slices, utf8
+from shelfmark.llm.common import if_small, making_room, slices, utf8
 from shelfmark.llm.simhash import majority, near_rows, shingle_hashes
 from shelfmark.operators.components import connected_components
-from shelfmark.runtime import forget, stash, sweep
+from shelfmark.runtime import forget, release, stash, sweep
 
 BITS, RADIUS = 128, 31
 #: Share of bits on which sets of similarity 4/5 agree, one standard deviation to the safe side.
@@ -173,6 +173,17 @@ def turns(chosen: list[list[int]]) -> list[tuple[list[list[int]], bool]]:
     return out
 
 
+def joined(linked: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Rows ``node, component`` once ``links`` join what is linked already; earlier links stand for themselves as each node's to its component, so few rounds are needed."""
+    if linked is None:
+        return stash(connected_components(links, "u", "v"))
+    if links.isEmpty():
+        return linked
+    new = stash(connected_components(linked.toDF("u", "v").unionByName(links), "u", "v"))
+    forget(linked)
+    return new
+
+
 def near_components(docs: DataFrame, distinct: DataFrame, text_col: str, width: int, group: int = GROUP, largest: int = LARGEST, few: int = FEW) -> DataFrame:
     """From ``node, row, one, two``, rows ``node, component`` for all that link to another."""
     chosen = choices(distinct.count(), group)
@@ -199,7 +210,7 @@ def near_components(docs: DataFrame, distinct: DataFrame, text_col: str, width:
             new = stash(_verified(pairs, sets))
             forget(sets)
             found = new if found is None else found.unionByName(new)
-            linked = stash(connected_components(found.where("alike"), "u", "v"))
+            linked = joined(linked, new.where("alike").select("u", "v"))
         sweep(spark)
         return asked.where("v is null").select(F.col("u").alias("node"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,10 +49,40 @@ def forget(held: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so once the driver collects garbage, by itself every half hour."""
+def release() -> None:
+    """Give memory that this Python process has freed back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so once the driver collects garbage, by itself every half hour.
+
+    The driver also gives back what Python and Java have freed outside the heap: a job of many small stages leaves hundreds of MB there.
+    """
+    release()
     spark.sparkContext._jvm.System.gc()
+    with suppress(Py4JError):  # a virtual machine older than Java 17.0.9 can't
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """What ``jcmd System.trim_native_heap`` does, for the driver."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+    for at, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[at] = jvm.java.lang.Class.forName(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(server, given)
 
 
 def shuffle_width(spark: SparkSession) -> int:
