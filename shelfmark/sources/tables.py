@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MEDIA = ("jpg", "jpeg", "png", "raw", "dng")
@@ -71,13 +75,56 @@ def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     return parse_sidecars(spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("x")))
 
 
+def sidecar_fields(xml: str | None) -> tuple[str | None, str | None, list[str] | None, str | None]:
+    """Rating, label, keywords and date of a text in one parse: the first text node of an element of the name, whatever its namespace, and all those of list items below a subject."""
+    if not xml:
+        return None, None, None, None
+    first, words, open_, held = {"Rating": "", "Label": "", "MetadataDate": ""}, [], [], []
+    seen = set()
+
+    def flush(*_) -> None:
+        if not held:
+            return
+        text = "".join(held)
+        held.clear()
+        name = open_[-1]
+        if name in first and name not in seen:
+            seen.add(name)
+            first[name] = text
+        elif name == "li" and "subject" in open_[:-1]:
+            words.append(text)
+
+    def start(name: str, _) -> None:
+        flush()
+        open_.append(name.rpartition("\x01")[2])
+
+    def end(_) -> None:
+        flush()
+        open_.pop()
+
+    parser = expat.ParserCreate("utf-8", "\x01")  # a sign that no namespace can hold
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, held.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = flush
+    try:
+        parser.Parse(xml.encode(), True)
+    except expat.ExpatError as wrong:
+        raise ValueError(f"Invalid XML document: {wrong}") from wrong
+    return first["Rating"], first["Label"], words, first["MetadataDate"]
+
+
 def parse_sidecars(texts: DataFrame) -> DataFrame:
     """Rows ``path, rating, label, keywords, dated`` from ``path`` and the XML text ``x``."""
-    one = lambda tag: f"//*[local-name()='{tag}']/text()"
-    return texts.select(
-        "path", F.xpath_string("x", F.lit(one("Rating"))).try_cast("int").alias("rating"), F.nullif(F.xpath_string("x", F.lit(one("Label"))), F.lit("")).alias("label"),
-        F.xpath("x", F.lit("//*[local-name()='subject']//*[local-name()='li']/text()")).alias("keywords"), F.nullif(F.xpath_string("x", F.lit(one("MetadataDate"))), F.lit("")).alias("dated"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rating, label, keywords, dated = zip(*map(sidecar_fields, batch.column("x").to_pylist()), strict=True) if batch.num_rows else ((), (), (), ())
+            arrays = [pa.array(rating, pa.string()), pa.array(label, pa.string()), pa.array(keywords, pa.list_(pa.string())), pa.array(dated, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *arrays], names=["path", "rating", "label", "keywords", "dated"])
+
+    kept = texts.select("path", F.col("x").cast("string").alias("x"))
+    kind = kept.schema["path"].dataType.simpleString()
+    found = kept.mapInArrow(run, f"path {kind}, rating string, label string, keywords array<string>, dated string")
+    return found.select("path", F.col("rating").try_cast("int").alias("rating"), F.nullif("label", F.lit("")).alias("label"), "keywords", F.nullif("dated", F.lit("")).alias("dated"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
