@@ -8,9 +8,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators.dashboards import pearson
-from shelfmark.operators.order_stats import at_index, spearman, value_counts
+from shelfmark.operators.order_stats import at_index, spearman_each, value_counts
 from shelfmark.operators.scoring import WEIGHTS
 from shelfmark.registry import query
+from shelfmark.runtime import stash
 from shelfmark.sources.views import METRICS
 
 #: Thresholds. Fixed values, to be overridden by name.
@@ -59,12 +60,13 @@ def diagnose(df: DataFrame, weights: dict[str, float] | None = None, target: str
     at, weights = LIMITS | limits, weights or {m: w / 100 for m, w in WEIGHTS["default"].items()}
     names = list(weights)
     everything, spark = [*names, target], df.sparkSession
+    df = stash(df.select(*dict.fromkeys([*everything, base, category])))  # every pass reads what is written here, not the joins behind it
     seen = moments(df, everything)
     inline = lambda cols: F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in cols]))
     place = lambda p: F.least(F.floor(F.col("k_all") * p / 100), F.col("k_all") - 1)
     picks = at_index(value_counts(df.select(inline(everything)), ["metric"], "x"), ["metric"], "x", {f"p{p}": place(p) for p in (25, 75, 90)}).collect()
     q = {r["metric"]: r for r in picks}
-    rho = {r["metric"]: r["rho"] for r in spearman(df.select(target, inline(names)), ["metric"], "x", target).collect()}
+    rho = {r["name"]: r["rho"] for r in spearman_each(df, tuple(names), target).collect()}
     iqr = {m: q[m]["p75"] - q[m]["p25"] for m in q}
     floor = [F.count_if(F.col(m) <= seen[f"lo_{m}"] + at["floor_width"]).alias(f"f_{m}") if m in q else F.lit(0).alias(f"f_{m}") for m in names]
     far = F.abs(F.col(base) - F.col(target)) > at["disagreement"]
