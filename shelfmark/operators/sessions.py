@@ -237,8 +237,8 @@ def auto_cull(groups: dict[str, DataFrame], strictness: float = 50, min_keep: in
     done = None if whole is None else stash(whole.where("path is not null").select("path").distinct().select("path", F.lit("panorama").alias("source"), F.lit(True).alias("keep")))
     for name, df in groups.items():
         left = df if done is None else df.join(done.select("path"), "path", "left_anti")
-        sizes = left.groupBy("grp").agg(F.count("*").alias("_n")).where("_n >= 2").select("grp")
-        part = stash(keep_split(left.join(sizes, "grp"), ["grp"], strictness, min_keep, score).select("path", F.lit(name).alias("source"), "keep"))
+        sized = left.where("grp is not null").withColumn("_n", F.count("*").over(W.partitionBy("grp")))  # in the same place as the ranks, so rows are dealt once
+        part = stash(keep_split(sized, ["grp"], strictness, min_keep, score).where("_n >= 2").select("path", F.lit(name).alias("source"), "keep"))
         done = part if done is None else done.unionByName(part)
     return done
 
