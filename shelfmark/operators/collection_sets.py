@@ -51,15 +51,46 @@ def dimension_sets(df: DataFrame, names: list[str], least: int) -> DataFrame:
     return rows.groupBy("dim", "value").agg(F.count("*").alias("n"), F.min_by("path", F.struct(-F.col("aggregate"), F.col("path"))).alias("best")).where(F.col("n") >= least)
 
 
+#: Dimensions that the same columns decide; any other one decides itself, as a column of its name behind ``_``.
+DECIDED = {
+    ("date_taken",): ("year", "month", "week", "weekday", "weekend", "season", "quarter", "day", "decade"), ("camera", "lens"): ("camera", "lens", "initial", "gear"),
+    ("_band", "_star"): ("band", "star"),
+}
+
+
 def dimension_members(df: DataFrame, least: dict[str, int] | None = None, most: int = 40) -> DataFrame:
-    """Rows ``dim, value, n, path, rank``: the best ``most`` items of every value of every dimension that has enough items, all dimensions in one pass."""
+    """Rows ``dim, value, n, path, rank``: the best ``most`` items of every value of every dimension that has enough items, all dimensions in one pass.
+
+    An item is ranked once for all dimensions that the same columns decide, in the finest sets of these, such as days; only their best and their counts go on to months and years.
+    """
     least = least or DIMENSIONS
-    keys = F.array(*[F.struct(F.lit(n).alias("dim"), dimension(n).alias("value"), F.lit(k).alias("_least")) for n, k in least.items()])
-    rows = df.select("path", "aggregate", F.inline(keys)).where("value is not null")
-    rank = F.row_number().over(W.partitionBy("dim", "value").orderBy(F.col("aggregate").desc_nulls_last(), F.col("path").asc()))
-    best = rows.withColumn("rank", rank).where(F.col("rank") <= most)  # tasks pass on their first ranks alone
-    sizes = rows.groupBy("dim", "value").agg(F.count("*").alias("n"), F.first("_least").alias("_l")).where(F.col("n") >= F.col("_l")).drop("_l")
-    return best.drop("aggregate", "_least").join(sizes, ["dim", "value"]).select("dim", "value", "n", "path", "rank")
+    decided = {n: columns for columns, names in DECIDED.items() for n in names}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for n in least:
+        groups.setdefault(decided.get(n, (f"_{n}",)), []).append(n)
+    finest = ["_of", "_k0", "_k1"]
+
+    def decider(name: str) -> Column:
+        return F.to_date(name) if name == "date_taken" else dimension(name[1:]) if name[0] == "_" else F.col(name)
+
+    def members(sets: DataFrame, *kept: str) -> DataFrame:
+        """The finest sets' rows as rows of each dimension."""
+        own = {c: F.when(F.col("_of") == k, F.col(f"_k{at}")).cast("date" if c == "date_taken" else "string") for k, columns in enumerate(groups) for at, c in enumerate(columns)}
+        value = lambda n: F.col(f"_{n}") if f"_{n}" in own else dimension(n)
+        keys = [F.when(F.col("_of") == k, F.array(*[F.struct(F.lit(n).alias("dim"), value(n).alias("value"), F.lit(least[n]).alias("_least")) for n in names])) for k, names in enumerate(groups.values())]
+        return sets.withColumns(own).select(*kept, F.inline(F.coalesce(*keys))).where("value is not null")
+
+    slots = [F.struct(F.lit(k).alias("_of"), *[(decider(columns[at]) if at < len(columns) else F.lit(None)).cast("string").alias(f"_k{at}") for at in (0, 1)]) for k, columns in enumerate(groups)]
+    rows = df.select("path", "aggregate", F.inline(F.array(*slots)))
+
+    def best(sets: DataFrame, by: list[str]) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(F.col("aggregate").desc_nulls_last(), F.col("path").asc()))
+        return sets.withColumn("rank", rank).where(F.col("rank") <= most)  # tasks pass on their first ranks alone
+
+    found = best(members(best(rows, finest), "path", "aggregate"), ["dim", "value"])
+    counts = members(rows.groupBy(*finest).agg(F.count("*").alias("n")), "n")
+    sizes = counts.groupBy("dim", "value").agg(F.sum("n").alias("n"), F.first("_least").alias("_l")).where(F.col("n") >= F.col("_l")).drop("_l")
+    return found.drop("aggregate", "_least").join(sizes, ["dim", "value"]).select("dim", "value", "n", "path", "rank")
 
 
 def crossed_sets(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
