@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,52 +40,73 @@ def settled_sessions(stream: DataFrame, quiet: str, late: str = "10 minutes", by
     return groups.agg(F.count("*").alias("n"), F.max("captured_at").alias("newest")).select(by, F.col("w.start").alias("began"), "newest", "n")
 
 
+#: Groups of cameras that share a state, and rows of a list in a state.
+GROUPS, PACKED = 256, 20_000
+WAITING, MEMBER = ["none", "camera", "at", "path", "hash", "person"], ["none", "camera", "at", "path", "hash", "person", "burst"]
+
+
 class Bursts(StatefulProcessor):
-    """Rows wait until the watermark has passed them, then join in time order: to the open burst if they match any member of it, else to a new one."""
+    """Rows wait until the watermark has passed them, then join in time order: to their camera's open burst if they match any member of it, else to a new one.
+
+    The cameras of a group share a state, whose rows are packed as numbers, so a batch costs as many calls as there are groups. Times are microseconds.
+    """
 
     def __init__(self, rapid: float, window: float, bits: int):
-        self.rapid, self.window, self.bits = rapid, window, bits
+        self.rapid, self.window, self.bits = rapid * 1e6, window * 1e6, bits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        row = "path long, at double, hash long, person long"
-        self.waiting = handle.getListState("waiting", row)
-        self.members = handle.getListState("members", row + ", burst long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.members = handle.getListState("members", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [(int(r.path), r.captured_at.timestamp(), int(r.hash), int(r.person)) for pdf in rows for r in pdf.itertuples()]
-        self.waiting.appendList(fresh)
+        fresh = np.concatenate([pdf[WAITING].to_numpy(np.int64) for pdf in rows])
+        self.waiting.appendList(self._packed(fresh))
         # a timer for each row's time would do as well; the earliest sets the next one when it fires
-        self.handle.registerTimer(max(int(min(r[1] for r in fresh) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(int(fresh[:, 2].min()) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs() / 1000
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[1], r[0]))
-        ready, rest = [r for r in waiting if r[1] <= mark], [r for r in waiting if r[1] > mark]
-        members, out, reach = list(self.members.get()), [], max(self.rapid, self.window)
-        for path, at, code, person in ready:
+        mark, reach = timerValues.getCurrentWatermarkInMs() * 1000, max(self.rapid, self.window)
+        waiting = self._rows(self.waiting, WAITING)
+        passed = waiting[:, 2] <= mark
+        ready, rest = waiting[passed], waiting[~passed]
+        ready = ready[np.lexsort(ready.T[3::-1])]  # by camera, time and path
+        open_: dict[tuple[int, int], list[tuple]] = {}
+        for none, camera, *member in self._rows(self.members, MEMBER).tolist():
+            open_.setdefault((none, camera), []).append(tuple(member))
+        named = []
+        for none, camera, at, path, code, person in ready.tolist():
+            members = open_.get((none, camera), [])
             fits = any(self._matches(at, code, person, m) for m in members)
             burst = members[0][4] if fits else path
-            members = [*(m for m in (members if fits else []) if at - m[1] <= reach), (path, at, code, person, burst)]
-            out.append((key[0], path, burst))
+            open_[none, camera] = [*(m for m in (members if fits else []) if at - m[0] <= reach), (at, path, code, person, burst)]
+            named.append(burst)
+        kept = np.array([(*k, *m) for k, members in open_.items() for m in members if mark - m[0] <= reach], np.int64).reshape(-1, len(MEMBER))
         self._keep(self.waiting, rest)
-        self._keep(self.members, [m for m in members if mark - m[1] <= reach])
-        # the next row that waits, or the time when the last member can't be reached any more
-        later = [r[1] for r in rest] or [m[1] + reach for m in members if mark - m[1] <= reach]
+        self._keep(self.members, kept)
+        # the next row that waits, or the time when a member can't be reached any more
+        later = [int(t.min()) for t in (rest[:, 2], kept[:, 2] + int(reach)) if len(t)]
         if later:
-            self.handle.registerTimer(max(int(min(later) * 1000) + 1, int(mark * 1000) + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["camera", "path", "burst"])
+            self.handle.registerTimer(max(min(later), mark) // 1000 + 1)
+        if named:
+            yield pd.DataFrame({"camera": pd.arrays.IntegerArray(ready[:, 1].copy(), ready[:, 0] > 0), "path": ready[:, 3], "burst": named})
 
-    def _matches(self, at: float, code: int, person: int, member: tuple) -> bool:
-        gap, far = at - member[1], ((code ^ member[2]) & (2**64 - 1)).bit_count()
+    def _matches(self, at: int, code: int, person: int, member: tuple) -> bool:
+        gap, far = at - member[0], ((code ^ member[2]) & (2**64 - 1)).bit_count()
         return (gap <= self.rapid and far <= 2 * self.bits and person == member[3]) or (gap <= self.window and far <= self.bits)
 
     @staticmethod
-    def _keep(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
+    def _packed(rows: np.ndarray) -> list[tuple]:
+        return [(rows[k : k + PACKED].tobytes(),) for k in range(0, len(rows), PACKED)]
+
+    @staticmethod
+    def _rows(state, columns: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(x[0]) for x in state.get()), np.int64).reshape(-1, len(columns))
+
+    def _keep(self, state, rows: np.ndarray) -> None:
+        if len(rows):
+            state.put(self._packed(rows))
         elif state.exists():
             state.clear()
 
@@ -92,14 +114,17 @@ class Bursts(StatefulProcessor):
         pass
 
 
-def bursts(stream: DataFrame, rapid: float, window: float, bits: int, late: str = "10 minutes") -> DataFrame:
+def bursts(stream: DataFrame, rapid: float, window: float, bits: int, late: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """Rows ``camera, path, burst`` of a stream of ``camera, path, captured_at, hash, person``; a burst is named by its first row.
 
     A row is emitted once the watermark has passed it. Rows behind the watermark are dropped, and counted (``late_rows``). What can't be reached any more leaves the state. To be run
-    in append mode within ``rocks_state``.
+    in append mode within ``rocks_state``. A task holds what waits of one of the ``groups`` of cameras, whose number stays the same as long as a stream's checkpoint is used.
     """
-    rows = stream.select("camera", "path", "captured_at", "hash", "person").withWatermark("captured_at", late)
-    return rows.groupBy("camera").transformWithStateInPandas(Bursts(rapid, window, bits), "camera long, path long, burst long", "Append", "EventTime")
+    rows = stream.select(
+        F.pmod(F.xxhash64("camera"), F.lit(groups)).alias("group"), F.col("camera").isNull().cast("long").alias("none"), F.coalesce(F.col("camera").cast("long"), F.lit(0)).alias("camera"),
+        F.unix_micros("captured_at").alias("at"), "captured_at", "path", "hash", "person",
+    ).withWatermark("captured_at", late)
+    return rows.groupBy("group").transformWithStateInPandas(Bursts(rapid, window, bits), "camera long, path long, burst long", "Append", "EventTime")
 
 
 def replay(stream: DataFrame) -> tuple[DataFrame, dict[str, int]]:
