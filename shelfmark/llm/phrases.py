@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shelfmark.llm.common import SMALL_ROWS, Numbers, if_small, slices, utf8
@@ -42,8 +43,8 @@ SCALE = 2_000_000
 COVERS = 80
 #: Upper and lower bound of a bit field's size, in powers of two.
 LARGEST_FIELD, LEAST_FIELD = 27, 16
-#: Words that a task holds in its open blocks.
-BLOCK_WORDS = 3 << 20
+#: Words that a task holds in its open blocks, and those of one block.
+BLOCK_WORDS, LONGEST_BLOCK = 3 << 20, 1 << 20
 SLICE = 1 << 20
 #: Capitals to small letters, signs between pieces to one mark (a blank on both sides makes it a word of its own), tabs to blanks.
 MARK = b"."
@@ -78,24 +79,26 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, shards: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents as blocks ``lang, words, tokens, n``, in a table with a folder for each ``shard``. A task holds ``BLOCK_WORDS`` words, and what a text has beyond."""
+    """The documents as blocks ``lang, words, tokens, n``, in a table with a folder for each ``shard``. A task holds ``BLOCK_WORDS`` words, and what a text has beyond.
+
+    A task deals whole blocks to the shards in turn, not single documents: fewer and longer blocks repeat fewer phrases.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_blocks: dict[tuple[int, str], Block] = {}
-        held = turn = 0
+        open_blocks: dict[str, Block] = {}
+        held, turn = 0, TaskContext.get().partitionId()
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if not text:
                     continue
-                key, turn = (turn % shards, lang), turn + 1
-                held += open_blocks.setdefault(key, Block()).add(text)
-                while held >= BLOCK_WORDS:
-                    largest = max(open_blocks, key=lambda k: len(open_blocks[k].tokens))
-                    done = open_blocks.pop(largest)
-                    held = sum(len(b.tokens) for b in open_blocks.values())
-                    yield done.row(*largest)
+                held += open_blocks.setdefault(lang, Block()).add(text)
+                full = lang if len(open_blocks[lang].tokens) >= LONGEST_BLOCK else None
+                while full is not None or held >= BLOCK_WORDS:
+                    full = full if full is not None else max(open_blocks, key=lambda k: len(open_blocks[k].tokens))
+                    yield open_blocks.pop(full).row(turn % shards, full)
+                    held, turn, full = sum(len(b.tokens) for b in open_blocks.values()), turn + 1, None
         for key, block in open_blocks.items():
-            yield block.row(*key)
+            yield block.row(turn % shards, key)
 
     blocks = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "shard int, lang string, words array<string>, tokens binary, n long")
     return stash(blocks, partition_by="shard")
@@ -243,7 +246,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         rows = fresh.select("lang", "phrase", "k", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("since"), F.lit(0).cast("long").alias("count"), "new")
         if still is not None:
             rows = rows.unionByName(still.where("not closed").drop("closed").withColumn("new", F.lit(0).cast("long")))
-        summed = rows.groupBy("lang", "phrase", "k").agg(F.max("start").alias("start"), F.max("since").alias("since"), F.sum("count").alias("count"), F.sum("new").alias("new"))
+        # dealt first: a task's rows hardly repeat, so summing them before they are dealt would cost and spare nothing
+        summed = rows.repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.max("start").alias("start"), F.max("since").alias("since"), F.sum("count").alias("count"), F.sum("new").alias("new"))
         if frequent is not None:
             # a phrase starts when both its subphrases have; where that is known the key finds nothing (and, in a shuffle, is one that no phrase has, so these rows don't meet in one task)
             asked = F.col("start").isNull() & (F.col("k") > 1)
