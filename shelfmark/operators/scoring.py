@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.functions.scalars import round_scaled
 from shelfmark.operators.dashboards import pearson
-from shelfmark.operators.order_stats import at_index, average_rank, correlated_ranks, quantiles, spearman, spearman_each, value_counts
+from shelfmark.operators.order_stats import at_index, average_rank, quantiles, spearman, spearman_each, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
-from shelfmark.runtime import stash
+from shelfmark.runtime import shuffle_width, stash
 from shelfmark.sources.views import METRICS
 
 #: Category rules in priority order, and weights in percent for each category.
@@ -122,8 +122,10 @@ def candidates_near(best: np.ndarray, spread: float, count: int, rng: np.random.
     return tried / tried.sum(axis=1, keepdims=True)
 
 
-#: Ranges of sums in which a pass over the rows counts all candidates, then those that are left; and the slack of a bound for rounding.
-BINS, ROUNDING = (4096, 65536), 1e-9
+#: Ranges of sums in which a pass over the rows bounds all candidates; and the slack of a bound for rounding.
+BINS, ROUNDING = (4096,), 1e-9
+#: Rows that a task counts or sorts at once, and rows of one candidate that a task ranks.
+COUNTED_ROWS, RANKED_ROWS = 1 << 17, 1 << 19
 
 
 def ranked_target(df: DataFrame, target: str, metrics: tuple[str, ...]) -> DataFrame:
@@ -132,42 +134,113 @@ def ranked_target(df: DataFrame, target: str, metrics: tuple[str, ...]) -> DataF
     return stash(average_rank(stash(known), [], "_t", "_rt").drop("_t"))
 
 
-def rank_correlations(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray) -> list[float]:
-    """The rank correlation of each candidate's weighted sum, in whole billionths, with the target's ranks: all sums are ranked at once, candidates being groups of one table."""
-    sums = [F.struct(F.lit(i).alias("tried"), F.floor(sum((F.col(m) * float(w) for m, w in zip(metrics, row, strict=True)), F.lit(0.0)) * 1e9 + 0.5).alias("sum")) for i, row in enumerate(tried)]
-    found = correlated_ranks(ranked.select("_rt", F.inline(F.array(*sums))), ["tried"], "sum", "_rt").collect()
-    rho = {r["tried"]: r["rho"] for r in found}
-    return [-2.0 if rho.get(i) is None else rho[i] for i in range(len(tried))]
+def rank_ends(ranked: DataFrame, metrics: tuple[str, ...]) -> tuple[int, np.ndarray, float]:
+    """The count of rows, each metric's least and largest value, and the squares of the target's ranks around their mean."""
+    found = ranked.agg(F.count("*").alias("n"), F.sum("_rt").alias("s"), F.sum(F.col("_rt") * F.col("_rt")).alias("q"), *[f(m).alias(f"{k}_{m}") for m in metrics for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    n = found["n"]
+    return n, np.array([[found[f"lo_{m}"], found[f"hi_{m}"]] for m in metrics], float), found["q"] - found["s"] * found["s"] / n if n else 0.0
 
 
-def rank_bounds(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(batches, names: list[str]):
+    """The columns of Arrow batches, many batches at a time: what a block costs whatever its rows is then shared by many rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        size += batch.num_rows
+        if size >= COUNTED_ROWS:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _whole_sums(values: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Weighted sums in whole billionths."""
+    total = np.zeros(len(values[0]))
+    for x, weight in zip(values, weights, strict=True):
+        total += x * weight
+    return np.floor(total * 1e9 + 0.5)
+
+
+def _equal_together(sums: np.ndarray, n: np.ndarray | None, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each sum once, in order, with its count and the total of ``r``."""
+    order = np.argsort(sums)
+    sums, r = sums[order], r[order]
+    first = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1]]))
+    return sums[first], np.diff(first, append=len(sums)) if n is None else np.add.reduceat(n[order], first), np.add.reduceat(r, first)
+
+
+def rank_correlations(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, ends: tuple[int, np.ndarray, float] | None = None, ranked_rows: int = RANKED_ROWS) -> list[float]:
+    """The rank correlation of each candidate's weighted sum, in whole billionths, with the target's ranks.
+
+    Tasks sort each candidate's sums of a block, with equal ones together, and deal them as arrays to ranges of sums; a range is ranked by itself, and the driver adds up what the ranges, a row each,
+    leave to the ranks before them. Which range a sum falls into comes from a sample, and changes no rank.
+    """
+    rows, _, squares = ends or rank_ends(ranked, metrics)
+    if not rows:
+        return [-2.0] * len(tried)
+    middle, names, parts = (rows + 1) / 2, [*metrics, "_rt"], -(-rows // ranked_rows)
+    splits = np.zeros((len(tried), 0))
+    if parts > 1:
+        some = ranked.select(*metrics).sample(min(1.0, max(2000, 200 * parts) / rows), 1).toPandas()
+        splits = np.array([np.quantile(_whole_sums([some[m].to_numpy() for m in metrics], w), np.arange(1, parts) / parts) if len(some) else np.zeros(parts - 1) for w in tried])
+
+    def deal(batches):
+        for *values, rank in _blocks(batches, names):
+            for k, weights in enumerate(tried):
+                sums, n, r = _equal_together(_whole_sums(values, weights), None, rank - middle)
+                cuts = pa.array(np.concatenate([[0], np.searchsorted(sums, splits[k]), [len(sums)]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (sums, n.astype(np.int64), r)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(parts, k)), pa.array(np.arange(parts)), *lists], names=["tried", "part", "sum", "n", "r"])
+
+    def place(table: pa.Table) -> pa.Table:
+        sums, n, r = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]) for name in ("sum", "n", "r"))
+        sums, n, r = _equal_together(sums, n, r)
+        rank = np.cumsum(n) - n + (n + 1) / 2 - (n.sum() + 1) / 2
+        out = {"tried": table["tried"][0].as_py(), "part": table["part"][0].as_py(), "n": int(n.sum()), "xx": float((n * rank * rank).sum()), "xy": float((rank * r).sum()), "y": float(r.sum())}
+        return pa.Table.from_pylist([out])
+
+    pieces = ranked.select(*names).mapInArrow(deal, "tried long, part long, sum array<double>, n array<bigint>, r array<double>").where(F.size("n") > 0)
+    dealt = pieces.repartition(max(1, min(len(tried) * parts, max(shuffle_width(ranked.sparkSession), len(tried) * parts // 16))), "tried", "part")
+    found = dealt.groupBy("tried", "part").applyInArrow(place, "tried long, part long, n long, xx double, xy double, y double").toPandas()  # candidates x ranges rows
+    out = []
+    for k in range(len(tried)):
+        of = found[found["tried"] == k].sort_values("part")
+        n = of["n"].to_numpy(float)
+        before = np.cumsum(n) - n + (n + 1) / 2 - middle
+        xx, xy = float((of["xx"] + n * before * before).sum()), float((of["xy"] + before * of["y"]).sum())
+        out.append(xy / (np.sqrt(xx) * np.sqrt(squares)) if xx > 0 and squares > 0 else -2.0)
+    return out
+
+
+def rank_bounds(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: int, ends: tuple[int, np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A lower and an upper bound of each candidate's rank correlation, from one pass that counts sums in ``bins`` ranges.
 
     A range's mean rank is exact, as equal sums lie in one range. What ranks do within a range is bounded by the spread of its ranks on both sides (Cauchy-Schwarz).
     """
-    ends = ranked.agg(F.count("*").alias("n"), *[f(m).alias(f"{k}_{m}") for m in metrics for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not ends["n"]:
+    rows, edges, _ = ends or rank_ends(ranked, metrics)
+    if not rows:
         return np.full(len(tried), -2.0), np.full(len(tried), 1.0)
-    middle, names = (ends["n"] + 1) / 2, list(metrics)
-    edges = np.array([[ends[f"lo_{m}"], ends[f"hi_{m}"]] for m in metrics])
+    middle, names = (rows + 1) / 2, [*metrics, "_rt"]
     reach = tried[:, :, None] * edges[None]
     low = np.floor(reach.min(axis=2).sum(axis=1) * 1e9) - 1
     width = np.maximum(np.ceil(reach.max(axis=2).sum(axis=1) * 1e9) + 2 - low, bins) / bins
 
     def count(batches):
-        n, s, q = (np.zeros(len(tried) * bins) for _ in range(3))
-        for pdf in batches:
-            total = np.zeros((len(pdf), len(tried)))
-            for at, m in enumerate(names):
-                total += pdf[m].to_numpy()[:, None] * tried[None, :, at]
-            at = np.clip((np.floor(total * 1e9 + 0.5) - low) // width, 0, bins - 1).astype(np.int64) + np.arange(len(tried)) * bins
-            rank = np.repeat(pdf["_rt"].to_numpy() - middle, len(tried))
-            for into, weight in ((n, None), (s, rank), (q, rank * rank)):
-                into += np.bincount(at.ravel(), weight, len(into))
+        n, s, q = (np.zeros((len(tried), bins)) for _ in range(3))
+        for *values, rank in _blocks(batches, names):  # counting touches all ranges of a candidate
+            rank = rank - middle
+            square = rank * rank
+            for k, weights in enumerate(tried):
+                at = np.clip((_whole_sums(values, weights) - low[k]) / width[k], 0, bins - 1).astype(np.int64)
+                for into, weight in ((n, None), (s, rank), (q, square)):
+                    into[k] += np.bincount(at, weight, bins)
         cell = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": cell, "n": n[cell], "s": s[cell], "q": q[cell]})
+        for at in range(0, len(cell), COUNTED_ROWS):
+            some = cell[at : at + COUNTED_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n.ravel()[some], s.ravel()[some], q.ravel()[some])], names=["cell", "n", "s", "q"])
 
-    cells = ranked.mapInPandas(count, "cell long, n double, s double, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()  # candidates x bins rows
+    cells = ranked.select(*names).mapInArrow(count, "cell long, n double, s double, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()  # candidates x bins rows
     n, s, q = (np.zeros(len(tried) * bins) for _ in range(3))
     for into, name in ((n, "n"), (s, "s"), (q, "q")):
         into[cells["cell"].to_numpy()] = cells[name].to_numpy()
@@ -185,15 +258,16 @@ def rank_bounds(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray,
     return np.where(known, lower - ROUNDING, -2.0), np.where(known, upper + ROUNDING, 1.0)
 
 
-def best_candidate(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: tuple[int, ...] = BINS) -> int:
-    """The first candidate of largest rank correlation. Passes that bound all correlations leave the few that can be it, and if more than one is left these are ranked."""
+def best_candidate(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, bins: tuple[int, ...] = BINS, ends: tuple[int, np.ndarray, float] | None = None) -> int:
+    """The first candidate of largest rank correlation. Passes that bound all correlations leave those that can be it, and if more than one is left these are ranked."""
     left = np.arange(len(tried))
+    ends = ends or rank_ends(ranked, metrics)
     for count in bins:
-        lower, upper = rank_bounds(ranked, metrics, tried[left], count)
+        lower, upper = rank_bounds(ranked, metrics, tried[left], count, ends)
         left = left[upper >= lower.max()]
         if len(left) == 1:
             return int(left[0])
-    return int(left[np.argmax(np.round(rank_correlations(ranked, metrics, tried[left]), 12))])
+    return int(left[np.argmax(np.round(rank_correlations(ranked, metrics, tried[left], ends), 12))])
 
 
 def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS, candidates: int = 24, rounds: int = 3, seed: int = 3) -> dict[str, float]:
@@ -201,9 +275,10 @@ def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS,
     rng = np.random.default_rng(seed)
     best, spread = np.full(len(metrics), 1 / len(metrics)), 1.0
     ranked = ranked_target(df, target, metrics)
+    ends = rank_ends(ranked, metrics)
     for _ in range(rounds):
         tried = candidates_near(best, spread, candidates, rng)
-        best, spread = tried[best_candidate(ranked, metrics, tried)], spread / 2
+        best, spread = tried[best_candidate(ranked, metrics, tried, ends=ends)], spread / 2
     return dict(zip(metrics, best.tolist(), strict=True))
 
 
