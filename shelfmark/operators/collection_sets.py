@@ -93,17 +93,59 @@ def dimension_members(df: DataFrame, least: dict[str, int] | None = None, most:
     return found.drop("aggregate", "_least").join(sizes, ["dim", "value"]).select("dim", "value", "n", "path", "rank")
 
 
+#: Dimensions that the month of a date decides, and the most combinations of keys that are counted as one.
+MONTHLY, BLOCK_CELLS = ("year", "month", "season", "quarter", "decade"), 100
+
+
+def _crossings(counts: dict[str, int], wanted: set[frozenset[str]]) -> dict[tuple[str, ...], set[frozenset[str]]]:
+    """Sets of keys, each with the wanted pairs that it counts: keys of few values share a block, and any two blocks make a set, so there are never more sets than pairs."""
+    blocks: list[list[str]] = []
+    sizes: list[int] = []
+    for key in sorted(counts, key=lambda k: (-counts[k], k)):
+        at = next((i for i, size in enumerate(sizes) if size * counts[key] <= BLOCK_CELLS), None)
+        if at is None:
+            blocks, sizes = [*blocks, [key]], [*sizes, counts[key]]
+        else:
+            blocks[at].append(key)
+            sizes[at] *= counts[key]
+    unions = [(*x, *y) for i, x in enumerate(blocks) for y in blocks[i + 1 :]] or [tuple(blocks[0])]
+    out: dict[tuple[str, ...], set[frozenset[str]]] = {}
+    for pair in wanted:
+        out.setdefault(next(u for u in unions if pair <= set(u)), set()).add(pair)
+    return out
+
+
 def crossed_sets(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
-    """Rows ``one, two, a, b, n, best``: counts and best item of every pair of values, for all pairs of dimensions at once over exploded keys."""
+    """Rows ``one, two, a, b, n, best``: counts and best item of every pair of values, for all pairs of dimensions.
+
+    An item is counted in a few sets of many dimensions, not in each pair; only the sets' counts and largest scores go on to the pairs. A second pass looks for the items of the scores that won.
+    """
     from shelfmark.operators.scans import few
 
-    keys = F.array(*[F.struct(F.lit(x).alias("one"), F.lit(y).alias("two"), dimension(x).alias("a"), dimension(y).alias("b")) for x, y in pairs])
+    key = lambda n: "date_taken" if n in MONTHLY else f"_{n}"
+    value = lambda n: dimension(n) if n in MONTHLY else F.col(f"_{n}")
+    of = {key(n): F.trunc("date_taken", "month") if n in MONTHLY else dimension(n) for p in pairs for n in p}
     rated = F.when(F.col("aggregate").isNull(), float("inf")).when(F.isnan("aggregate"), float("-inf")).otherwise(F.col("aggregate"))
-    rows = df.select("path", rated.alias("_rated"), F.inline(keys)).where("a is not null and b is not null")
-    # counts and largest scores are numbers, so tasks add them up in place and sort nothing; a second pass finds whose scores these are
-    names = ["one", "two", "a", "b"]
-    large = few(stash(rows.groupBy(*names).agg(F.count("*").alias("n"), F.max("_rated").alias("_top")).where(F.col("n") >= least)))
-    return rows.join(large, names).where(F.col("_rated") == F.col("_top")).groupBy(*names).agg(F.first("n").alias("n"), F.min("path").alias("best"))
+    rows = stash(df.select("path", rated.alias("_rated"), *[c.alias(k) for k, c in of.items()]))
+    counts = rows.agg(*[F.approx_count_distinct(k).alias(k) for k in of]).first().asDict()
+    sets = _crossings({k: n + 1 for k, n in counts.items()}, {frozenset((key(x), key(y))) for x, y in pairs})
+    number = lambda held: sum(1 << len(of) - 1 - at for at, k in enumerate(of) if k not in held)  # noqa: E731  (as grouping_id does)
+    # counts and largest scores are numbers, so tasks add them up in place and sort nothing
+    cells = stash(rows.groupingSets([[F.col(k) for k in held] for held in sets], *[F.col(k) for k in of]).agg(F.count("*").alias("n"), F.max("_rated").alias("_top"), F.grouping_id().alias("_set")))
+    struct = lambda x, y: F.struct(F.lit(x).alias("one"), F.lit(y).alias("two"), value(x).alias("a"), value(y).alias("b"))
+    crossed = [F.when(F.col("_set") == number(held), F.array(*[struct(x, y) for x, y in pairs if frozenset((key(x), key(y))) in own])) for held, own in sets.items()]
+    names, place = ["one", "two", "a", "b"], ["_set", *of]
+    members = cells.select(*place, "n", "_top", F.inline(F.coalesce(*crossed))).where("a is not null and b is not null")
+    large = few(stash(members.groupBy(*names).agg(F.sum("n").alias("n"), F.max("_top").alias("_most")).where(F.col("n") >= least)))
+    won = stash(members.drop("n").join(large, names).where(F.col("_top") == F.col("_most")).drop("_most"))
+
+    tops = few(won.select(F.col("_top").alias("_rated")).distinct())
+    slots = [F.struct(F.lit(number(held)).cast("long").alias("_set"), *[(F.col(k) if k in held else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in of]) for held in sets]
+    near = rows.join(tops, "_rated", "left_semi").select("path", "_rated", F.inline(F.array(*slots)))
+    asked = few(won.select(*[F.col(c).alias(f"_of_{c}") for c in place], "_top").distinct())
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in place]
+    best = near.join(asked, [F.col("_rated") == F.col("_top"), *same]).groupBy(*[f"_of_{c}" for c in place]).agg(F.min("path").alias("best"))
+    return won.join(best, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in place]).groupBy(*names).agg(F.first("n").alias("n"), F.min("best").alias("best"))
 
 
 def deduplicated(sets: DataFrame, most_shared: float = 0.2, of: str = "smaller") -> DataFrame:
