@@ -11,7 +11,7 @@ from shelfmark.operators.dashboards import pearson
 from shelfmark.operators.order_stats import at_index, average_rank, quantiles, spearman, spearman_each, value_counts
 from shelfmark.operators.predicates import first_failure, matches_rule
 from shelfmark.registry import query
-from shelfmark.runtime import shuffle_width, stash
+from shelfmark.runtime import shuffle_width, stash, sweep
 from shelfmark.sources.views import METRICS
 
 #: Category rules in priority order, and weights in percent for each category.
@@ -155,7 +155,7 @@ def _blocks(batches, names: list[str]):
 
 
 def _whole_sums(values: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """Weighted sums in whole billionths."""
+    """Weighted sums in whole billionths, as doubles."""
     total = np.zeros(len(values[0]))
     for x, weight in zip(values, weights, strict=True):
         total += x * weight
@@ -163,17 +163,29 @@ def _whole_sums(values: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
 
 
 def _equal_together(sums: np.ndarray, n: np.ndarray | None, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each sum once, in order, with its count and the total of ``r``."""
-    order = np.argsort(sums)
-    sums, r = sums[order], r[order]
+    """Each sum once, in order, with its count and the total of ``r``; all are whole numbers."""
+    low, bits = int(sums.min()), len(sums).bit_length()
+    if int(sums.max()) - low < 1 << 62 - bits:  # a sum and its place in one number: sorting these is faster than sorting places
+        both = np.sort((sums - low << bits) | np.arange(len(sums)))
+        sums, order = (both >> bits) + low, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(sums)
+        sums = sums[order]
     first = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1]]))
-    return sums[first], np.diff(first, append=len(sums)) if n is None else np.add.reduceat(n[order], first), np.add.reduceat(r, first)
+    if len(first) == len(sums):
+        return sums, np.ones(len(sums), np.int64) if n is None else n[order], r[order]
+    return sums[first], np.diff(first, append=len(sums)) if n is None else np.add.reduceat(n[order], first), np.add.reduceat(r[order], first)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes each, if they fit."""
+    return x.astype(np.int32) if abs(int(x.min())) < 1 << 31 and abs(int(x.max())) < 1 << 31 else x
 
 
 def rank_correlations(ranked: DataFrame, metrics: tuple[str, ...], tried: np.ndarray, ends: tuple[int, np.ndarray, float] | None = None, ranked_rows: int = RANKED_ROWS) -> list[float]:
     """The rank correlation of each candidate's weighted sum, in whole billionths, with the target's ranks.
 
-    Tasks sort each candidate's sums of a block, with equal ones together, and deal them as arrays to ranges of sums; a range is ranked by itself, and the driver adds up what the ranges, a row each,
+    Tasks sort each candidate's sums of a block, with equal ones together, and deal them as packed numbers (steps from sum to sum, and ranks) to ranges of sums; a range is ranked by itself, and the driver adds up what the ranges, a row each,
     leave to the ranks before them. Which range a sum falls into comes from a sample, and changes no rank.
     """
     rows, _, squares = ends or rank_ends(ranked, metrics)
@@ -185,22 +197,34 @@ def rank_correlations(ranked: DataFrame, metrics: tuple[str, ...], tried: np.nda
         some = ranked.select(*metrics).sample(min(1.0, max(2000, 200 * parts) / rows), 1).toPandas()
         splits = np.array([np.quantile(_whole_sums([some[m].to_numpy() for m in metrics], w), np.arange(1, parts) / parts) if len(some) else np.zeros(parts - 1) for w in tried])
 
+    def packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
     def deal(batches):
         for *values, rank in _blocks(batches, names):
+            twice = (2 * (rank - middle)).astype(np.int64)
             for k, weights in enumerate(tried):
-                sums, n, r = _equal_together(_whole_sums(values, weights), None, rank - middle)
-                cuts = pa.array(np.concatenate([[0], np.searchsorted(sums, splits[k]), [len(sums)]]), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (sums, n.astype(np.int64), r)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(parts, k)), pa.array(np.arange(parts)), *lists], names=["tried", "part", "sum", "n", "r"])
+                sums, n, r = _equal_together(_whole_sums(values, weights).astype(np.int64), None, twice)
+                cuts = np.concatenate([[0], np.searchsorted(sums, splits[k]), [len(sums)]])
+                steps = np.diff(sums, prepend=sums[0])
+                steps[cuts[:-1][cuts[:-1] < len(sums)]] = 0
+                columns = {"tried": np.full(parts, k), "part": np.arange(parts), "size": np.diff(cuts), "low": sums[np.minimum(cuts[:-1], len(sums) - 1)]}
+                lists = [packed(_narrow(steps), cuts), packed(_narrow(r), cuts), packed(_narrow(n), cuts) if len(n) < len(rank) else pa.nulls(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), *lists], names=[*columns, "steps", "r", "n"])
+
+    def numbers(raw: bytes | None, size: int) -> np.ndarray:
+        return np.ones(size, np.int64) if raw is None else np.frombuffer(raw, np.int32 if len(raw) == 4 * size else np.int64).astype(np.int64)
 
     def place(table: pa.Table) -> pa.Table:
-        sums, n, r = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]) for name in ("sum", "n", "r"))
+        rows = table.to_pylist()
+        sums, r = (np.concatenate(c) for c in zip(*[(row["low"] + np.cumsum(numbers(row["steps"], row["size"])), numbers(row["r"], row["size"])) for row in rows], strict=True))
+        n = np.concatenate([numbers(row["n"], row["size"]) for row in rows]) if any(row["n"] is not None for row in rows) else None
         sums, n, r = _equal_together(sums, n, r)
         rank = np.cumsum(n) - n + (n + 1) / 2 - (n.sum() + 1) / 2
-        out = {"tried": table["tried"][0].as_py(), "part": table["part"][0].as_py(), "n": int(n.sum()), "xx": float((n * rank * rank).sum()), "xy": float((rank * r).sum()), "y": float(r.sum())}
-        return pa.Table.from_pylist([out])
+        r = r / 2
+        return pa.Table.from_pylist([{"tried": rows[0]["tried"], "part": rows[0]["part"], "n": int(n.sum()), "xx": float((n * rank * rank).sum()), "xy": float((rank * r).sum()), "y": float(r.sum())}])
 
-    pieces = ranked.select(*names).mapInArrow(deal, "tried long, part long, sum array<double>, n array<bigint>, r array<double>").where(F.size("n") > 0)
+    pieces = ranked.select(*names).mapInArrow(deal, "tried long, part long, size long, low long, steps binary, r binary, n binary").where("size > 0")
     dealt = pieces.repartition(max(1, min(len(tried) * parts, max(shuffle_width(ranked.sparkSession), len(tried) * parts // 16))), "tried", "part")
     found = dealt.groupBy("tried", "part").applyInArrow(place, "tried long, part long, n long, xx double, xy double, y double").toPandas()  # candidates x ranges rows
     out = []
@@ -279,6 +303,7 @@ def fit_weights(df: DataFrame, target: str, metrics: tuple[str, ...] = METRICS,
     for _ in range(rounds):
         tried = candidates_near(best, spread, candidates, rng)
         best, spread = tried[best_candidate(ranked, metrics, tried, ends=ends)], spread / 2
+        sweep(df.sparkSession)  # a round's shuffle files go before the next one's come
     return dict(zip(metrics, best.tolist(), strict=True))
 
 

@@ -52,3 +52,15 @@ def test_small_batches_are_counted_together():
     batches = [pa.RecordBatch.from_pydict({"a": [float(i)], "b": [2.0 * i]}) for i in range(50)]
     blocks = list(scoring._blocks(iter(batches), ["a", "b"]))
     assert len(blocks) == 1 and blocks[0][1].tolist() == [2.0 * i for i in range(50)]
+
+
+@pytest.mark.parametrize("scale", [1e4, 1e8])
+def test_sums_far_apart_are_ranked_too(spark, scale):
+    rng = np.random.default_rng(5)
+    x = rng.random((90, 3)) * scale
+    y = np.round(x[:, 0] / scale + rng.random(90), 1)
+    ranked = scoring.ranked_target(spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "p double, q double, r double, y double"), "y", NAMES)
+    tried = scoring.candidates_near(np.full(3, 1 / 3), 1.0, 3, rng)
+    want = [np.corrcoef(ranks(x @ w), ranks(y))[0, 1] for w in tried]
+    for rows in (1 << 19, 11):
+        assert scoring.rank_correlations(ranked, NAMES, tried, ranked_rows=rows) == pytest.approx(want, abs=1e-12)
